@@ -302,22 +302,29 @@ SKETCH_PROMPT = (
 # --------------------------------------------------------------------------------
 
 
+def inline_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A table of literals. It is part of the plan, so its size is known to the optimizer."""
+
+    def shown(value: object) -> str:
+        return f"'{value}'" if isinstance(value, str) else str(value)
+
+    listed = ", ".join("(" + ", ".join(shown(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({columns})")
+
+
 def taxonomy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        TAXONOMY, "task_name string, perception string, reasoning string, category string"
-    )
+    return inline_table(spark, TAXONOMY, "task_name, perception, reasoning, category")
 
 
 def families(spark: SparkSession) -> DataFrame:
     rows = [(task, family) for family, tasks in FAMILIES.items() for task in tasks]
-    return spark.createDataFrame(rows, "task_name string, category string")
+    return inline_table(spark, rows, "task_name, category")
 
 
 def clutter_pairs(spark: SparkSession, extended: bool = False) -> DataFrame:
     rows = ([EXTRA_CLUTTER_PAIR] if extended else []) + CLUTTER_PAIRS
-    return spark.createDataFrame(rows, "clean_task string, business_task string, primitive string")
+    return inline_table(spark, rows, "clean_task, business_task, primitive")
 
 
 def strategy_ranks(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
-    rows = list(enumerate(names or STRATEGIES))
-    return spark.createDataFrame(rows, "rank int, strategy string")
+    return inline_table(spark, list(enumerate(names or STRATEGIES)), "rank, strategy")

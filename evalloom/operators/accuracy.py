@@ -317,19 +317,15 @@ def confusion(results: DataFrame) -> DataFrame:
         F.col("parsed_answer").isNotNull().alias("answered"),
         F.col("parsed_answer").try_cast("bigint").alias("predicted"),
         F.col("ground_truth").try_cast("bigint").alias("truth"),
-    ).groupBy("task_name", "answered", "predicted", "truth").agg(F.count("*").alias("n"))
-    fit = (
-        cells.groupBy("task_name")
-        .agg(
-            F.sum(F.when(answered, F.col("n"))).alias("pairs"),
-            F.count_if(
-                F.col("truth").isNull() | (answered & F.col("predicted").isNull())
-            ).alias("bad"),
-        )
-        .where((F.col("pairs") >= 5) & (F.col("bad") == 0))
-        .select("task_name")
+    ).groupBy("task_name", "predicted", "truth").agg(
+        F.count_if(answered).alias("n"),
+        F.count_if(F.col("truth").isNull() | (answered & F.col("predicted").isNull())).alias("bad"),
     )
-    return cells.where(answered).drop("answered").join(fit, "task_name", "left_semi")
+    fit = cells.groupBy("task_name").agg(F.sum("n").alias("pairs"), F.sum("bad").alias("bad"))
+    fit = fit.where((F.col("pairs") >= 5) & (F.col("bad") == 0)).select("task_name")
+    # both sides use both counts, so Spark aggregates the rows once
+    counted = cells.where((F.col("n") > 0) & (F.col("bad") == 0)).drop("bad")
+    return counted.join(fit, "task_name", "left_semi")
 
 
 def confusion_table(results: DataFrame, labels: list[int]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Checks for reward gaming over episodes.
 
 All five checks read one profile: counts per (truth, answer, confidence bin), made in
-a single pass with partial aggregation. Answers are extracted once per episode and no
-episode text is shuffled.
+a single pass with partial aggregation and stored in the shared folder. Answers are
+extracted once per episode and no episode text is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from evalloom import dims
 from evalloom.functions import rewards
 from evalloom.functions.extract import final_row_col
 from evalloom.operators.columns import with_fields
+from evalloom.storage import stored
 
 DOMINANT_SHARE = 0.15
 FLAT_STD = 0.05
@@ -46,7 +47,7 @@ def profile(episodes: DataFrame, order: str = "episode_id") -> DataFrame:
         confidence.isNotNull().alias("has_confidence"),
         bucket(confidence, dims.CONFIDENCE_BINS, closed=False).alias("confidence_bin"),
     )
-    return (
+    counts = (
         read.groupBy("ground_truth", "answer", "has_confidence", "confidence_bin")
         .agg(
             F.count("*").alias("n"),
@@ -61,6 +62,7 @@ def profile(episodes: DataFrame, order: str = "episode_id") -> DataFrame:
             .otherwise(F.lit(0)),
         )
     )
+    return stored(counts, "profile")
 
 
 def _share(part: str, whole: str = "n") -> Column:
@@ -152,7 +154,7 @@ def step_consistency(prof: DataFrame) -> DataFrame:
 
 
 def _bucket_rows(prof: DataFrame, labels: list[str], column: str) -> DataFrame:
-    listed = prof.sparkSession.createDataFrame(list(enumerate(labels)), f"position int, {column} string")
+    listed = dims.inline_table(prof.sparkSession, list(enumerate(labels)), f"position, {column}")
     return F.broadcast(listed)
 
 

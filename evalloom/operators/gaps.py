@@ -14,42 +14,74 @@ from evalloom.functions import scoring
 from evalloom.operators.accuracy import TEXT_SUFFIX, ratio, tally
 
 
-def control_pairs(names: DataFrame) -> DataFrame:
-    """``(task_name, text_task)`` for every task whose control is present too."""
-    image = names.select("task_name")
-    text = names.select(F.col("task_name").alias("text_task"))
-    return image.join(text, F.concat("task_name", F.lit(TEXT_SUFFIX)) == F.col("text_task"))
+def _by_base(acc: DataFrame) -> DataFrame:
+    """A task and its text control side by side, from one small group-by on the base name.
 
-
-def split_tasks(names: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Mark text controls: a ``_text`` name whose base task is in ``known``.
-
-    ``known`` is the task registry, or the names themselves when not given.
+    A ``_text`` name is a control only when its base task is present; otherwise it is a
+    task of its own. No self-join is needed, so the results are read once.
     """
-    bases = (names if known is None else known).select(
-        F.concat("task_name", F.lit(TEXT_SUFFIX)).alias("task_name")
-    ).distinct().withColumn("_control", F.lit(True))
-    return names.join(bases, "task_name", "left").select(
+    is_text = F.endswith("task_name", F.lit(TEXT_SUFFIX))
+    named = acc.withColumn("_text", is_text).withColumn(
+        "base", F.regexp_replace("task_name", TEXT_SUFFIX + "$", "")
+    )
+
+    def side(column: str, text: bool) -> Column:
+        return F.max(F.when(F.col("_text") if text else ~F.col("_text"), F.col(column)))
+
+    both = named.groupBy("base").agg(
+        side("acc", False).alias("i_acc"), side("n", False).alias("i_n"),
+        side("acc", True).alias("t_acc"), side("n", True).alias("t_n"),
+    )
+    alone = F.col("i_n").isNull()
+    return both.select(
+        F.when(alone, F.concat("base", F.lit(TEXT_SUFFIX))).otherwise(F.col("base")).alias("task_name"),
+        F.coalesce("i_acc", "t_acc").alias("image_acc"),
+        F.coalesce("i_n", "t_n").alias("image_n"),
+        F.when(~alone, F.col("t_acc")).alias("text_acc"),
+        F.when(~alone, F.col("t_n")).alias("text_n"),
+    ).withColumn("gap", F.col("text_acc") - F.col("image_acc"))
+
+
+def control_pairs(counts: DataFrame) -> DataFrame:
+    """``(task_name, text_task)`` for every task of a tally whose control is present too."""
+    acc = counts.select("task_name", "n", F.lit(0.0).alias("acc"))
+    return _by_base(acc).where(F.col("text_n").isNotNull()).select(
+        "task_name", F.concat("task_name", F.lit(TEXT_SUFFIX)).alias("text_task")
+    )
+
+
+def split_tasks(counts: DataFrame) -> DataFrame:
+    """Mark the text controls of a tally: ``_text`` names whose base task is present."""
+    acc = counts.select("task_name", "n", F.lit(0.0).alias("acc"))
+    paired = _by_base(acc).select(
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.struct("task_name", F.lit(False).alias("is_control")),
+                    F.when(
+                        F.col("text_n").isNotNull(),
+                        F.struct(
+                            F.concat("task_name", F.lit(TEXT_SUFFIX)).alias("task_name"),
+                            F.lit(True).alias("is_control"),
+                        ),
+                    ),
+                )
+            )
+        ).alias("t")
+    )
+    return paired.select("t.*")
+
+
+def split_by_registry(counts: DataFrame, registry: DataFrame) -> DataFrame:
+    """Mark text controls whose base task is in a task registry, present here or not."""
+    bases = registry.select(
+        F.concat("task_name", F.lit(TEXT_SUFFIX)).alias("task_name"), F.lit(True).alias("_control")
+    )
+    return counts.join(bases, "task_name", "left").select(
         "task_name", F.coalesce("_control", F.lit(False)).alias("is_control")
     )
 
 
-def _paired(acc: DataFrame) -> DataFrame:
-    """Every non-control task with its control's figures (null without a control)."""
-    text = acc.select(
-        F.col("task_name").alias("text_task"), F.col("acc").alias("text_acc"),
-        F.col("n").alias("text_n"),
-    )
-    controls = control_pairs(acc).select(F.col("text_task").alias("task_name"))
-    image = acc.join(controls, "task_name", "left_anti").select(
-        "task_name", F.col("acc").alias("image_acc"), F.col("n").alias("image_n")
-    )
-    joined = image.join(
-        text, F.concat("task_name", F.lit(TEXT_SUFFIX)) == F.col("text_task"), "left"
-    ).drop("text_task")
-    return joined.withColumn("gap", F.col("text_acc") - F.col("image_acc"))
-
-
 def with_taxonomy(tasks: DataFrame, default: str) -> DataFrame:
     joined = tasks.join(F.broadcast(dims.taxonomy(tasks.sparkSession)), "task_name", "left")
     for column in ("perception", "reasoning", "category"):
@@ -62,7 +94,7 @@ def full_diagnostic(results: DataFrame) -> DataFrame:
     acc = tally(results, "task_name").select(
         "task_name", "n", ratio("n_correct", "n").alias("acc")
     )
-    return with_taxonomy(_paired(acc), "—").select(
+    return with_taxonomy(_by_base(acc), "—").select(
         "task_name", "image_acc", "text_acc", "gap",
         scoring.failure_class(F.col("image_acc"), F.col("text_acc")).alias("failure_class"),
         "perception", "reasoning", "category",
@@ -101,7 +133,7 @@ def paired_percent(results: DataFrame) -> DataFrame:
     acc = tally(results, "task_name").select(
         "task_name", "n", (ratio("n_correct", "n") * 100).alias("acc")
     )
-    return with_taxonomy(_paired(acc).where(F.col("text_acc").isNotNull()), "?").select(
+    return with_taxonomy(_by_base(acc).where(F.col("text_acc").isNotNull()), "?").select(
         "task_name", "image_acc", "text_acc", "gap", "image_n", "text_n",
         "perception", "reasoning", "category",
     )

@@ -1,7 +1,7 @@
 """Reachability and depth over edge tables too large for one row.
 
-Both run as rounds of equi-joins. Each round is cut with ``checkpoint()``, so plans stay
-short and a lost executor never restarts the walk.
+Both run as rounds of equi-joins. Each round is written to the shared folder, so plans
+stay short and a lost executor never restarts the walk.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.storage import ensure_checkpoints
+from evalloom.storage import stored
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -18,13 +18,12 @@ def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Da
     Only pairs not met before are walked on, so shared paths are followed once and
     cycles end.
     """
-    ensure_checkpoints(edges.sparkSession)
     steps = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
-    frontier = starts.select("start", F.col("start").alias("node")).distinct().checkpoint()
+    frontier = stored(starts.select("start", F.col("start").alias("node")).distinct(), "reach")
     found = frontier
     for _ in range(max_rounds):
         onward = frontier.join(steps, "node").select("start", F.col("dst").alias("node")).distinct()
-        frontier = onward.join(found, ["start", "node"], "left_anti").checkpoint()
+        frontier = stored(onward.join(found, ["start", "node"], "left_anti"), "reach")
         if frontier.isEmpty():
             return found
         found = found.unionByName(frontier)
@@ -45,11 +44,11 @@ def tree_depth(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     Every node keeps a pointer to an ancestor and the distance to it. A round replaces
     the pointer by the ancestor's own, so depth d takes about log2(d) rounds.
     """
-    ensure_checkpoints(nodes.sparkSession)
-    state = nodes.select(
+    first = nodes.select(
         "tree", "node", F.col("parent").alias("up"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
-    ).checkpoint()
+    )
+    state = stored(first, "depth")
     for _ in range(max_rounds):
         moving = state.where(F.col("up").isNotNull())
         if moving.isEmpty():
@@ -62,5 +61,5 @@ def tree_depth(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
             "tree", "node", F.col("next").alias("up"),
             (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
         )
-        state = state.where(F.col("up").isNull()).unionByName(moved).checkpoint()
+        state = stored(state.where(F.col("up").isNull()).unionByName(moved), "depth")
     raise RuntimeError("parent links form a cycle or a tree is too deep")

@@ -63,19 +63,22 @@ def accuracy_by_param(results: DataFrame, pairs: list[tuple[str, str]] | None =
         F.count("*").alias("n"),
         F.count_if(is_correct()).alias("n_correct"),
         F.count_if(F.col("value_type").isin(*_NOT_SCALAR)).alias("n_other"),
+        F.count("value").alias("n_value"),
     )
-    fit = (
-        cells.groupBy("task_name", "param")
-        .agg(F.sum("n_other").alias("other"), F.count("value").alias("values"))
-        .where((F.col("other") == 0) & (F.col("values") > 1))
-        .select("task_name", "param")
+    # both sides of the join use all four counts, so Spark aggregates the rows once
+    whole = cells.groupBy("task_name", "param").agg(
+        F.sum("n").alias("param_n"),
+        F.try_divide(F.sum("n_correct"), F.sum("n")).alias("param_accuracy"),
+        F.sum("n_other").alias("others"),
+        F.count_if(F.col("n_value") > 0).alias("values"),
     )
     return (
-        cells.where(F.col("value").isNotNull())
-        .join(fit, ["task_name", "param"], "left_semi")
+        cells.join(whole, ["task_name", "param"])
+        .where((F.col("others") == 0) & (F.col("values") > 1))
+        .where((F.col("n_value") > 0) & (F.col("n_other") == 0))
         .select(
             "task_name", "param", "value", "n",
-            F.try_divide(F.col("n_correct"), F.col("n")).alias("accuracy"),
+            F.try_divide("n_correct", "n").alias("accuracy"), "param_n", "param_accuracy",
         )
     )
 

@@ -47,14 +47,15 @@ def best_strategies(results: DataFrame, names: list[str] | None = None) -> DataF
 
 
 def _with_baseline_delta(means: DataFrame) -> DataFrame:
-    """Add the difference to the baseline row (one row per strategy here)."""
-    base = means.where(F.col("strategy") == "baseline").select(F.col("mean_acc").alias("base"))
-    delta = F.col("mean_acc") - F.col("base")
-    # one row at most on the right; a left join on a constant keeps every strategy
-    joined = means.withColumn("_one", F.lit(1)).join(
-        base.withColumn("_one", F.lit(1)), "_one", "left"
-    )
-    return joined.select("strategy", "mean_acc", delta.alias("delta"))
+    """Add the difference to the baseline row.
+
+    ``means`` has one row per strategy, so all of it fits one short list, which is
+    opened again with the baseline taken out of it.
+    """
+    listed = means.agg(F.collect_list(F.struct("strategy", "mean_acc")).alias("all"))
+    base = F.get(F.filter("all", lambda s: s["strategy"] == "baseline"), F.lit(0))["mean_acc"]
+    opened = listed.select(F.explode("all").alias("s"), base.alias("base"))
+    return opened.select("s.*", (F.col("s.mean_acc") - F.col("base")).alias("delta"))
 
 
 def strategy_means(results: DataFrame) -> DataFrame:

@@ -206,7 +206,8 @@ def prj4(spark, sf_dir):
     return pm.accuracy_by_param(fx.results(spark, sf_dir)).select("task_name", "param").distinct()
 
 
-@query("agg6", _BY_PARAM + " SELECT task_name, param, value, n, accuracy FROM shown WHERE n_values > 1")
+@query("agg6", _BY_PARAM + """ SELECT task_name, param, value, n, accuracy, (SELECT count(*) FROM results r WHERE r.task_name = s.task_name) AS param_n,
+   (SELECT (count(*) FILTER (WHERE correct))::DOUBLE / count(*) FROM results r WHERE r.task_name = s.task_name) AS param_accuracy FROM shown s WHERE n_values > 1""")
 def agg6(spark, sf_dir):
     return pm.accuracy_by_param(fx.results(spark, sf_dir))
 
@@ -224,7 +225,7 @@ _SPLIT = T + """, names AS (SELECT task_name FROM tally) SELECT a.task_name,
 
 @query("prj5", _SPLIT)
 def prj5(spark, sf_dir):
-    return gaps.split_tasks(fx.results(spark, sf_dir).select("task_name").distinct())
+    return gaps.split_tasks(acc.tally(fx.results(spark, sf_dir), "task_name"))
 
 
 @query("prj5_suffix", T + " SELECT task_name, n FROM tally WHERE NOT ends_with(task_name, '_text')")
@@ -236,7 +237,7 @@ def prj5_suffix(spark, sf_dir):
    x.task_name IS NOT NULL AS is_control FROM tally t LEFT JOIN taxonomy x ON t.task_name = x.task_name || '_text'""")
 def prj5_registry(spark, sf_dir):
     names = fx.results(spark, sf_dir).select("task_name").distinct()
-    return gaps.split_tasks(names, dims.taxonomy(spark))
+    return gaps.split_by_registry(names, F.broadcast(dims.taxonomy(spark)))
 
 
 @query("prj6", f"{RESPONSES} SELECT sample_id FROM responses WHERE NOT coalesce(reasoning_mode, false)")
