@@ -94,8 +94,8 @@ _ITEMS = "[w for w in [trim(v) for v in string_split({0}, ',')] if w <> '']"
 
 def _sorted_words(column: str) -> str:
     items = _ITEMS.format(column)
-    # upper and lower case of one word never meet in these texts
-    return f"array_to_string([s.v for s in list_sort([{{'k': lower(w), 'v': w}} for w in {items}])], ',')"
+    keyed = f"list_transform({items}, lambda w, i: {{'k': lower(w), 'i': i, 'v': w}})"
+    return f"array_to_string([s.v for s in list_sort({keyed})], ',')"
 
 
 def _labels(found: str) -> str:
@@ -326,8 +326,6 @@ def labelled_pairs(spark, sf_dir):
 
 
 _SETE = "list_distinct([trim(v) for v in string_split(lower({0}), ',')])"
-_ERROR_SQL = f"""p AS (SELECT CAST(o_orderkey AS STRING) AS sample_id, {_ETASK} AS task_name, {_ESCORER} AS scorer, {_EGOT} AS a, {_EWANT} AS g FROM orders),
-  q AS (SELECT *, [CAST(u AS BIGINT) - CAST(w AS BIGINT) for u, w in []] AS unused FROM p)"""
 _SIZES = """CASE WHEN contains(a, ',') AND contains(g, ',') AND task_name = 'counting_grid' THEN nullif(array_to_string([CASE WHEN z.e <> 0 THEN z.d
    || CASE WHEN z.e > 0 THEN ' over by ' ELSE ' under by ' END || abs(z.e)::VARCHAR END for z in
    [{'d': CASE WHEN len(string_split(a, ',')) <> 2 THEN 'd' || (i - 1)::VARCHAR WHEN i = 1 THEN 'rows' ELSE 'cols' END,
