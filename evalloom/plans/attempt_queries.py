@@ -103,7 +103,7 @@ def fld6(spark, sf_dir):
 
 
 @query("fld7", sql("decompose") + """, w AS (SELECT sample_id, max(task_name) AS task_name, max(parsed_answer) FILTER (WHERE pass_kind = 'final') AS fin,
-   list(CAST(parsed_answer AS BIGINT) ORDER BY attempt_idx) FILTER (WHERE pass_kind = 'sub' AND parsed_answer IS NOT NULL) AS subs, sum(latency_s) AS latency_s,
+   list(TRY_CAST(parsed_answer AS BIGINT) ORDER BY attempt_idx) FILTER (WHERE pass_kind = 'sub' AND parsed_answer IS NOT NULL) AS subs, sum(latency_s) AS latency_s,
    string_agg(substr(prompt, 1, 100) || '>' || substr(raw_response, 1, 200), ';' ORDER BY attempt_idx) FILTER (WHERE pass_kind = 'sub') AS strategy_sub_responses FROM attempts GROUP BY sample_id)
    SELECT sample_id, coalesce(fin, CASE WHEN task_name = 'counting_grid' AND subs[1] > 1 AND subs[2] > 1 THEN (subs[1] - 1)::VARCHAR || ',' || (subs[2] - 1)::VARCHAR END) AS parsed_answer,
    latency_s, strategy_sub_responses, 3 AS strategy_steps FROM w""")
@@ -126,12 +126,12 @@ def fld8(spark, sf_dir):
 
 
 _ROUNDS = sql("iterative_refine") + """, l AS (SELECT *, lag(parsed_answer) OVER (PARTITION BY sample_id ORDER BY attempt_idx) AS before FROM attempts),
-   stop AS (SELECT sample_id, min(attempt_idx) AS at FROM l WHERE attempt_idx >= 1 AND parsed_answer = before GROUP BY sample_id),
-   kept AS (SELECT l.*, at FROM l LEFT JOIN stop USING (sample_id) WHERE attempt_idx <= coalesce(at, 99))"""
+   stop AS (SELECT sample_id, min(attempt_idx) AS stop_at FROM l WHERE attempt_idx >= 1 AND parsed_answer = before GROUP BY sample_id),
+   kept AS (SELECT l.*, stop_at FROM l LEFT JOIN stop USING (sample_id) WHERE attempt_idx <= coalesce(stop_at, 99))"""
 
 
 @query("fld9", _ROUNDS + """ SELECT sample_id, arg_max(parsed_answer, attempt_idx) FILTER (WHERE parsed_answer IS NOT NULL) AS parsed_answer, arg_max(raw_response, attempt_idx) AS raw_response,
-   count(*) AS strategy_rounds, max(at) IS NOT NULL AS strategy_converged, string_agg(coalesce(parsed_answer, '-'), ',' ORDER BY attempt_idx) AS strategy_all_answers, sum(latency_s) AS latency_s FROM kept GROUP BY sample_id""")
+   count(*) AS strategy_rounds, max(stop_at) IS NOT NULL AS strategy_converged, string_agg(coalesce(parsed_answer, '-'), ',' ORDER BY attempt_idx) AS strategy_all_answers, sum(latency_s) AS latency_s FROM kept GROUP BY sample_id""")
 def fld9(spark, sf_dir):
     return folds.iterative_refine(fx.attempts(spark, sf_dir, "iterative_refine")).select(
         "sample_id", "parsed_answer", "raw_response", F.col("strategy_rounds").cast("bigint").alias("strategy_rounds"),
@@ -139,7 +139,7 @@ def fld9(spark, sf_dir):
     )
 
 
-@query("win7", _ROUNDS + " SELECT sample_id, at + 1 AS converged_round FROM stop")
+@query("win7", _ROUNDS + " SELECT sample_id, stop_at + 1 AS converged_round FROM stop")
 def win7(spark, sf_dir):
     rounds = fx.attempts(spark, sf_dir, "iterative_refine")
     gathered = folds._gather(rounds, rounds=folds._slots("round", range(5)))

@@ -14,64 +14,69 @@ from evalloom.sources import readers, writers
 from evalloom.storage import scratch_path
 
 E = "WITH " + fx.EPISODES_SQL
-_RESP = F.col("response")
-_TRUTH = F.col("ground_truth")
 
 # What the worked steps and the final answer hold, by form (see the fixture).
-_PAIRS = """(CASE form WHEN 0 THEN [[r + 1, rs], [c + 1, c]] WHEN 1 THEN [[r + 1, rs], [c + 1, c]]
-   WHEN 4 THEN (CASE WHEN abs(r + 1 - rs) <= 2 THEN [[r + 1, rs]] ELSE [] END) ELSE [] END
-   || CASE WHEN form = 0 AND abs(c + 1 - ra) <= 2 THEN [[c + 1, ra]] ELSE [] END)"""
+_PAIRS = """(CASE form WHEN 0 THEN [[r + 1, rs], [c + 1, c], [r + 1, ra]] WHEN 1 THEN [[r + 1, rs], [c + 1, c]]
+   WHEN 4 THEN [[r + 1, rs]] ELSE [] END)"""
 _OUTCOME = "(CASE WHEN answer = ground_truth THEN 1.0 ELSE 0.0 END)::DOUBLE"
 _CHECK = "(CASE WHEN form = 3 THEN rs = r END)"
 
 
 def episode_columns(**columns):
+    """A query of columns built from (response, truth)."""
+
     def run(spark, sf_dir):
         rows = fx.episodes(spark, sf_dir)
-        return rows.select("episode_id", *[c.alias(n) for n, c in columns.items()])
+        made = [build(F.col("response"), F.col("ground_truth")).alias(n) for n, build in columns.items()]
+        return rows.select("episode_id", *made)
 
     return run
 
 
-_pairs = F.array_join(
-    F.transform(
-        F.array_sort(rewards.line_cell_pairs(_RESP)),
-        lambda p: F.concat(p["lines"].cast("string"), F.lit(">"), p["cells"].cast("string")),
-    ), ","
-)
+def shown_pairs(response, _):
+    return F.array_join(
+        F.transform(
+            F.array_sort(rewards.line_cell_pairs(response)),
+            lambda p: F.concat(p["lines"].cast("string"), F.lit(">"), p["cells"].cast("string")),
+        ), ","
+    )
+
+
 query("rwd1", E + f" SELECT episode_id, array_to_string([p[1]::VARCHAR || '>' || p[2]::VARCHAR for p in list_sort({_PAIRS})], ',') AS pairs FROM episodes")(
-    episode_columns(pairs=_pairs)
+    episode_columns(pairs=shown_pairs)
 )
 query("rwd2", E + f" SELECT episode_id, {_OUTCOME} AS reward FROM episodes")(
-    episode_columns(reward=rewards.outcome(_RESP, _TRUTH))
+    episode_columns(reward=rewards.outcome)
 )
-_rows, _cols = rewards.last_dimension_values(_RESP)
 query("rwd3", E + " SELECT episode_id, CASE WHEN form IN (0, 1) THEN rs::VARCHAR END AS last_rows, CASE form WHEN 1 THEN c::VARCHAR END AS last_cols FROM episodes")(
-    episode_columns(last_rows=_rows, last_cols=_cols)
+    episode_columns(
+        last_rows=lambda response, _: rewards.last_dimension_values(response)[0],
+        last_cols=lambda response, _: rewards.last_dimension_values(response)[1],
+    )
 )
 # form 0 names its columns with "vertical", which the last-value pattern does not read
 query("rwd4", E + """ SELECT episode_id, CASE WHEN form IN (0, 1) AND rs <> ra THEN 0.0 WHEN form = 1 AND c <> ca THEN 0.0 ELSE 1.0 END::DOUBLE AS consistency FROM episodes""")(
-    episode_columns(consistency=rewards.consistency(_RESP))
+    episode_columns(consistency=lambda response, _: rewards.consistency(response))
 )
 _CONS = "(CASE WHEN form IN (0, 1) AND rs <> ra THEN 0.0 WHEN form = 1 AND c <> ca THEN 0.0 ELSE 1.0 END)::DOUBLE"
 _SHARE = f"(len([p for p in {_PAIRS} if p[2] = p[1] - 1])::DOUBLE / len({_PAIRS}))"
 _PROCESS = f"(CASE WHEN len({_PAIRS}) = 0 THEN {_OUTCOME} ELSE greatest({_OUTCOME}, 0.8::DOUBLE * {_OUTCOME} + 0.2::DOUBLE * {_SHARE} * {_CONS}) END)"
 query("rwd5", E + f" SELECT episode_id, round({_PROCESS}, 9) AS reward FROM episodes")(
-    episode_columns(reward=F.round(rewards.process(_RESP, _TRUTH), 9))
+    episode_columns(reward=lambda *c: F.round(rewards.process(*c), 9))
 )
 query("rwd6", E + " SELECT episode_id, has_code FROM episodes")(
-    episode_columns(has_code=rewards.has_code(_RESP))
+    episode_columns(has_code=lambda response, _: rewards.has_code(response))
 )
 query("rwd7", E + f" SELECT episode_id, {_CHECK} AS agrees FROM episodes")(
-    episode_columns(agrees=rewards.tool_output_check(_RESP, _TRUTH))
+    episode_columns(agrees=rewards.tool_output_check)
 )
 query("rwd8", E + " SELECT episode_id, form = 2 AS fabricated FROM episodes")(
-    episode_columns(fabricated=rewards.fabricated(_RESP))
+    episode_columns(fabricated=lambda response, _: rewards.fabricated(response))
 )
 _TOOL = f"""(CASE WHEN NOT has_code THEN {_OUTCOME} WHEN form = 2 THEN {_OUTCOME} * 0.7::DOUBLE WHEN {_CHECK} IS NULL OR {_OUTCOME} = 1 THEN {_OUTCOME}
    WHEN {_CHECK} THEN 0.5 ELSE 0.0 END)::DOUBLE"""
 query("rwd9", E + f" SELECT episode_id, {_TOOL} AS reward FROM episodes")(
-    episode_columns(reward=rewards.tool_use(_RESP, _TRUTH))
+    episode_columns(reward=rewards.tool_use)
 )
 
 
@@ -200,10 +205,10 @@ _FLAGS = _DIST + f""", facts AS (SELECT {_STEPS} AS cons, avg(has_code::INT) FIL
      count(*) FILTER (WHERE conf >= 0.9 AND conf < 1.01) AS top_n FROM episodes),
    sizes AS (SELECT ground_truth, round_even(avg((answer IS NOT DISTINCT FROM ground_truth)::INT), 3) AS accuracy, count(*) AS n FROM episodes GROUP BY ground_truth),
    flat AS (SELECT count(*) FILTER (WHERE n >= 3) >= 5 AND stddev_pop(accuracy) FILTER (WHERE n >= 3) < 0.05 AS flat, stddev_pop(accuracy) FILTER (WHERE n >= 3) AS std FROM sizes),
-   flags AS (SELECT list_filter([CASE WHEN top_share > 0.15 THEN 'DOMINANT PREDICTION: ''' || top_answer || ''' accounts for ' || round_even(top_share * 100, 0)::BIGINT::VARCHAR || '% of answers' END,
+   flags AS (SELECT list_filter([CASE WHEN top_share > 0.15 THEN 'DOMINANT PREDICTION: ''' || top_answer || ''' accounts for ' || round_even(round_even(top_share, 3) * 100, 0)::BIGINT::VARCHAR || '% of answers' END,
      CASE WHEN flat THEN 'FLAT ACCURACY: std=' || printf('%.4f', std) || ' across sizes (suspiciously uniform)' END,
-     CASE WHEN cons < 0.70 THEN 'LOW COT CONSISTENCY: ' || round_even(cons * 100, 0)::BIGINT::VARCHAR || '% of CoT arithmetic matches final answer' END,
-     CASE WHEN easy > 0.30 THEN 'TOOL OVERUSE on easy grids: ' || round_even(easy * 100, 0)::BIGINT::VARCHAR || '% tool-use rate for grids <= 8' END,
+     CASE WHEN cons < 0.70 THEN 'LOW COT CONSISTENCY: ' || round_even(round_even(cons, 3) * 100, 0)::BIGINT::VARCHAR || '% of CoT arithmetic matches final answer' END,
+     CASE WHEN easy > 0.30 THEN 'TOOL OVERUSE on easy grids: ' || round_even(round_even(easy, 3) * 100, 0)::BIGINT::VARCHAR || '% tool-use rate for grids <= 8' END,
      CASE WHEN top_n >= 5 AND top_bin < 0.7 THEN 'OVERCONFIDENCE: high confidence (>0.9) with accuracy < 70%' END], lambda m: m IS NOT NULL) AS f FROM dist, facts, flat)"""
 
 
