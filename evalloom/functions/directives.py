@@ -35,10 +35,13 @@ def directive(response: Column) -> Column:
         ),
     )
     # a repeated name keeps its last value
-    distinct = F.filter(
+    distinct = tx.let(
         pairs,
-        lambda p, i: ~F.array_contains(
-            F.transform(F.slice(pairs, i + 2, F.array_size(pairs)), lambda q: q["key"]), p["key"]
+        lambda ps: F.filter(
+            ps,
+            lambda p, i: ~F.array_contains(
+                F.transform(F.slice(ps, i + 2, F.array_size(ps)), lambda q: q["key"]), p["key"]
+            ),
         ),
     )
     bare_name = F.lit("arg")

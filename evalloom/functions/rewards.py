@@ -55,11 +55,12 @@ def line_cell_pairs(response: Column) -> Column:
     """Array of ``(lines, cells)`` structs stated in the worked steps."""
 
     def pairs(pattern: str) -> Column:
-        return F.zip_with(
-            tx.all_matches(response, pattern, 1),
-            tx.all_matches(response, pattern, 2),
-            lambda a, b: F.struct(
-                a.try_cast("bigint").alias("lines"), b.try_cast("bigint").alias("cells")
+        # the text is searched once; the groups are read off the short matches
+        return F.transform(
+            tx.all_matches(response, pattern, 0),
+            lambda m: F.struct(
+                F.regexp_extract(m, pattern, 1).try_cast("bigint").alias("lines"),
+                F.regexp_extract(m, pattern, 2).try_cast("bigint").alias("cells"),
             ),
         )
 
@@ -76,13 +77,14 @@ def outcome(response: Column, truth: Column) -> Column:
     return F.when(final_row_col(response) == truth, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def last_dimension_values(response: Column) -> tuple[Column, Column]:
-    """Last row value and last column value derived in the worked steps (null if none)."""
-    kinds = tx.all_matches(response, LINES_TO_DIMENSION, 3)
-    values = tx.all_matches(response, LINES_TO_DIMENSION, 2)
-    stated = F.zip_with(
-        values, kinds,
-        lambda v, k: F.struct(v.alias("value"), F.lower(F.substring(k, 1, 3)).alias("axis")),
+def last_dimension_values(response: Column) -> Column:
+    """Struct of the last ``row`` and ``col`` value derived in the worked steps (null if none)."""
+    stated = F.transform(
+        tx.all_matches(response, LINES_TO_DIMENSION, 0),
+        lambda m: F.struct(
+            F.regexp_extract(m, LINES_TO_DIMENSION, 2).alias("value"),
+            F.lower(F.substring(F.regexp_extract(m, LINES_TO_DIMENSION, 3), 1, 3)).alias("axis"),
+        ),
     )
 
     def nearest(tail: Column) -> Column:
@@ -97,18 +99,19 @@ def last_dimension_values(response: Column) -> tuple[Column, Column]:
         tx.all_matches(response, MINUS_ONE_TAIL, 3),
         lambda v, tail: F.struct(v.alias("value"), nearest(tail).alias("axis")),
     )
-    found = F.concat(stated, derived)
 
-    def last(axis: str) -> Column:
-        return F.try_element_at(F.filter(found, lambda s: s["axis"] == axis), F.lit(-1))["value"]
+    def last(found: Column, axis: str) -> Column:
+        chosen = F.filter(found, lambda s: s["axis"] == axis)
+        return F.try_element_at(chosen, F.lit(-1))["value"].alias(axis)
 
-    return last("row"), last("col")
+    return tx.let(
+        F.concat(stated, derived), lambda found: F.struct(last(found, "row"), last(found, "col"))
+    )
 
 
 def consistency(response: Column) -> Column:
     """0 when the last derived row or column value contradicts the final answer, else 1."""
     final = F.split(final_row_col(response), ",")
-    rows, cols = last_dimension_values(response)
 
     def differs(value: Column, i: int) -> Column:
         # compared as numbers: "011" and "11" are the same count
@@ -116,18 +119,24 @@ def consistency(response: Column) -> Column:
             value.try_cast("bigint").cast("string") != F.get(final, F.lit(i)), F.lit(False)
         )
 
-    return F.when(differs(rows, 0) | differs(cols, 1), F.lit(0.0)).otherwise(F.lit(1.0))
+    return tx.let(
+        last_dimension_values(response),
+        lambda v: F.when(differs(v["row"], 0) | differs(v["col"], 1), F.lit(0.0)).otherwise(F.lit(1.0)),
+    )
 
 
 @register_reward("process")
 def process(response: Column, truth: Column) -> Column:
     """Outcome plus a bonus for steps that apply cells = lines - 1 and match the answer."""
     won = outcome(response, truth)
-    pairs = line_cell_pairs(response)
-    good = F.array_size(F.filter(pairs, lambda p: p["cells"] == p["lines"] - 1))
-    share = F.try_divide(good, F.array_size(pairs))
-    mixed = F.lit(0.8) * won + F.lit(0.2) * share * consistency(response)
-    return F.when(F.array_size(pairs) == 0, won).otherwise(F.greatest(won, mixed))
+
+    def share(pairs: Column) -> Column:
+        good = F.array_size(F.filter(pairs, lambda p: p["cells"] == p["lines"] - 1))
+        return F.try_divide(good, F.array_size(pairs))
+
+    # without pairs the share is null and so is the bonus: the outcome is left
+    bonus = F.lit(0.2) * tx.let(line_cell_pairs(response), share) * consistency(response)
+    return F.greatest(won, F.lit(0.8) * won + bonus)
 
 
 def has_code(response: Column) -> Column:

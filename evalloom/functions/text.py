@@ -7,6 +7,8 @@ answers are written in many languages and Java is ASCII-only by default.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,15 @@ WHITESPACE = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once.
+
+    An expression used inside a higher-order function is computed again for every
+    element, unless it is bound to a variable first; a one-element ``transform`` does that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space from both ends."""
     return F.btrim(text, F.lit(WHITESPACE))

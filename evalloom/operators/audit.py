@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import text as tx
 from evalloom.functions.extract import PARSERS
 from evalloom.functions.scoring import SCORERS
+from evalloom.operators.columns import with_fields
 
 KEYS: dict[str, Callable[[], Column]] = {}
 
@@ -49,13 +50,15 @@ def terminals(edges: Column, start: Column) -> Column:
     reached so far; as many steps as edges are always enough, and a cycle does no harm.
     """
 
-    def grow(reached: Column, _: Column) -> Column:
-        onward = F.filter(edges, lambda e: F.array_contains(reached, e[0]))
-        return F.array_union(reached, F.transform(onward, lambda e: e[1]))
+    def walk(es: Column) -> Column:
+        def grow(reached: Column, _: Column) -> Column:
+            onward = F.filter(es, lambda e: F.array_contains(reached, e[0]))
+            return F.array_union(reached, F.transform(onward, lambda e: e[1]))
 
-    reached = F.aggregate(edges, F.array(start), grow)
-    sources = F.transform(edges, lambda e: e[0])
-    return F.array_sort(F.array_except(reached, sources))
+        reached = F.aggregate(es, F.array(start), grow)
+        return F.array_sort(F.array_except(reached, F.transform(es, lambda e: e[0])))
+
+    return tx.let(edges, walk)
 
 
 @answer_key("arrow_following")
@@ -73,19 +76,28 @@ def members(regions: Column, wanted: Callable[[Column], Column]) -> Column:
 def venn_key() -> Column:
     regions = payload("item_regions", "map<string,string>")
     kind = payload("question_type")
-    both = [_ask(r"in BOTH (.+?) AND (.+?)\?", i) for i in (1, 2)]
-    only = _ask(r"ONLY in (.+?) and not", 1)
-    minus = [_ask(r"are in (.+?) but NOT in (.+?)\?", i) for i in (1, 2)]
+
+    def asked(pattern: str, *groups: int) -> Column:
+        return F.array(*[_ask(pattern, i) for i in groups])
+
+    both = tx.let(
+        asked(r"in BOTH (.+?) AND (.+?)\?", 1, 2),
+        lambda q: members(
+            regions, lambda s: F.array_contains(s, q[0]) & F.array_contains(s, q[1])
+        ),
+    )
+    only = tx.let(
+        asked(r"ONLY in (.+?) and not", 1), lambda q: members(regions, lambda s: s == q)
+    )
+    minus = tx.let(
+        asked(r"are in (.+?) but NOT in (.+?)\?", 1, 2),
+        lambda q: members(
+            regions, lambda s: F.array_contains(s, q[0]) & ~F.array_contains(s, q[1])
+        ),
+    )
     items = (
-        F.when(
-            kind == "intersection",
-            members(regions, lambda s: F.array_contains(s, both[0]) & F.array_contains(s, both[1])),
-        )
-        .when(kind == "exclusive", members(regions, lambda s: s == F.array(only)))
-        .when(
-            kind == "union_minus",
-            members(regions, lambda s: F.array_contains(s, minus[0]) & ~F.array_contains(s, minus[1])),
-        )
+        F.when(kind == "intersection", both).when(kind == "exclusive", only)
+        .when(kind == "union_minus", minus)
     )
     return F.when(F.array_size(items) > 0, F.array_join(items, ", ")).when(
         items.isNotNull(), "None"
@@ -139,12 +151,17 @@ def merged_key() -> Column:
     merges = payload("merges", "array<struct<r:int,c:int,sr:int,sc:int,label:string>>")
     row = F.coalesce(_ask(r"in row (\d+)", 1), _ask(r"spans rows (\d+)-", 1)).try_cast("int") - 1
     col = F.coalesce(_ask(r"spans columns (\d+)-", 1), _ask(r"in column (\d+)", 1)).try_cast("int") - 1
-    inside = F.filter(
-        merges,
-        lambda m: (row >= m["r"]) & (row < m["r"] + m["sr"])
-        & (col >= m["c"]) & (col < m["c"] + m["sc"]),
-    )
-    return F.get(inside, F.lit(0))["label"]
+
+    def covering(cell: Column) -> Column:
+        row_no, col_no = cell["row"], cell["col"]
+        return F.filter(
+            merges,
+            lambda m: (row_no >= m["r"]) & (row_no < m["r"] + m["sr"])
+            & (col_no >= m["c"]) & (col_no < m["c"] + m["sc"]),
+        )
+
+    asked = F.struct(row.alias("row"), col.alias("col"))
+    return F.get(tx.let(asked, covering), F.lit(0))["label"]
 
 
 def _sorted_words(name: str) -> Column:
@@ -177,9 +194,11 @@ def path_key() -> Column:
     paths = payload("path_details", "array<struct<color:string,`from`:string,`to`:string>>")
     a = _ask(r"direct paths connect (.+?) to (.+?)\?", 1)
     b = _ask(r"direct paths connect (.+?) to (.+?)\?", 2)
-    return F.array_size(
-        F.filter(paths, lambda p: (p["from"] == a) & (p["to"] == b))
-    ).cast("string")
+    ends = F.struct(a.alias("a"), b.alias("b"))
+    direct = tx.let(
+        ends, lambda q: F.filter(paths, lambda p: (p["from"] == q["a"]) & (p["to"] == q["b"]))
+    )
+    return F.array_size(direct).cast("string")
 
 
 @answer_key("touching_circles")
@@ -198,10 +217,17 @@ def adjacency_key() -> Column:
 
 def whole_percentages(raw: Column) -> Column:
     """Integer shares of an array of amounts, the rounding remainder put on the first."""
-    total = F.aggregate(raw, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-    shares = F.transform(raw, lambda v: F.bround(v / total * 100).cast("bigint"))
-    rest = F.lit(100) - F.aggregate(shares, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-    return F.transform(shares, lambda v, i: F.when(i == 0, v + rest).otherwise(v))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+
+    shares = tx.let(
+        total(raw), lambda t: F.transform(raw, lambda v: F.bround(v / t * 100).cast("bigint"))
+    )
+    return tx.let(
+        shares,
+        lambda s: F.concat(F.array(s[0] + 100 - total(s)), F.slice(s, 2, F.array_size(s))),
+    )
 
 
 def percentages_add_up() -> Column:
@@ -215,7 +241,7 @@ def audit_manifest(manifest: DataFrame) -> DataFrame:
     for task, build in KEYS.items():
         here = F.col("task_name") == task
         chain = F.when(here, build()) if chain is None else chain.when(here, build())
-    return manifest.withColumn("expected", chain).withColumn(
+    return with_fields(manifest, expected=chain).withColumn(
         "matches", F.col("expected") == F.col("ground_truth")
     )
 

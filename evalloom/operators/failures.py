@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.functions import text as tx
 from evalloom.functions.scoring import error_type
 from evalloom.operators.accuracy import image_tasks_only, is_correct, ratio
 from evalloom.operators.columns import with_fields
@@ -30,8 +31,11 @@ def is_artifact() -> Column:
     """
     shares = F.from_json(F.get_json_object("params", "$.percentages"), "array<double>")
     target = F.coalesce(F.get_json_object("params", "$.target_pct").try_cast("double"), F.lit(0.0))
-    near = F.exists(shares, lambda p: (p != target) & (F.abs(p - target) <= AMBIGUOUS_SLICE_POINTS))
-    return (F.col("task_name") == "pie_chart") & F.coalesce(near, F.lit(False))
+
+    def near(t: Column) -> Column:
+        return F.exists(shares, lambda p: (p != t) & (F.abs(p - t) <= AMBIGUOUS_SLICE_POINTS))
+
+    return (F.col("task_name") == "pie_chart") & F.coalesce(tx.let(target, near), F.lit(False))
 
 
 def label_errors(results: DataFrame) -> DataFrame:

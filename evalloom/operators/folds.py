@@ -59,14 +59,16 @@ def _answers(calls: Column) -> Column:
 
 
 def _vote_counts(answers: Column) -> Column:
-    given = F.array_compact(answers)
-    return F.transform(
-        F.array_distinct(given),
-        lambda a: F.struct(
-            a.alias("answer"),
-            F.array_size(F.filter(given, lambda b: b == a)).cast("bigint").alias("votes"),
-        ),
-    )
+    def count(given: Column) -> Column:
+        return F.transform(
+            F.array_distinct(given),
+            lambda a: F.struct(
+                a.alias("answer"),
+                F.array_size(F.filter(given, lambda b: b == a)).cast("bigint").alias("votes"),
+            ),
+        )
+
+    return tx.let(F.array_compact(answers), count)
 
 
 def vote(answers: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom import dims
+from evalloom.functions import text as tx
 from evalloom.functions.prompts import fill
 from evalloom.operators import cot_text
 from evalloom.operators.sampling import hash_number, hash_text, pick
@@ -50,7 +51,10 @@ def sweep_combos(axes: DataFrame) -> DataFrame:
     if "defaults" in axes.columns:
         kept = F.map_filter("defaults", lambda k, _: ~F.array_contains(names, k))
         params = F.map_concat(kept, params)
-    return combos.select("task_name", "combo", "n_combos", names.alias("axes"), params.alias("params"))
+    made = combos.select(
+        "task_name", "combo", "n_combos", names.alias("axis_names"), params.alias("params")
+    )
+    return made.withColumnsRenamed({"axis_names": "axes"})
 
 
 def replicas(n_combos: Column, min_samples: int = 50, max_per: int = 20) -> Column:
@@ -131,11 +135,14 @@ def distractors(
     )
     candidates = F.concat(shuffled(others, "other"), moved, steps)
 
-    def take(chosen: Column, v: Column) -> Column:
-        fits = (F.array_size(chosen) <= n) & F.forall(chosen, lambda e: F.abs(v - e) >= least)
-        return F.when(fits, F.array_append(chosen, v)).otherwise(chosen)
+    def choose(limit: Column) -> Column:
+        def take(chosen: Column, v: Column) -> Column:
+            fits = (F.array_size(chosen) <= n) & F.forall(chosen, lambda e: F.abs(v - e) >= limit)
+            return F.when(fits, F.array_append(chosen, v)).otherwise(chosen)
+
+        return F.aggregate(candidates, F.array(correct), take)
 
-    return F.slice(F.aggregate(candidates, F.array(correct), take), 2, n)
+    return F.slice(tx.let(least, choose), 2, n)
 
 
 def _shown(value: Column) -> Column:
@@ -229,19 +236,25 @@ def insert_correction(text: Column, rows: Column) -> Column:
     """Add a self-correction after the first line naming the horizontal line count."""
     count = (rows + 1).cast("string")
     note = fill(cot_text.CORRECTION, h_lines=count, rows=rows.cast("string"))
-    lines = F.split(text, "\n")
-    at = F.get(
-        F.filter(
-            F.sequence(F.lit(1), F.array_size(lines)),
-            lambda i: F.contains(F.lower(F.get(lines, i - 1)), F.lit("horizontal"))
-            & F.contains(F.get(lines, i - 1), count),
-        ),
-        F.lit(0),
-    )
-    with_note = F.concat(
-        F.slice(lines, F.lit(1), at), F.array(note), F.slice(lines, at + 1, F.array_size(lines))
-    )
-    return F.when(at.isNull(), text).otherwise(F.array_join(with_note, "\n"))
+
+    def place(lines: Column) -> Column:
+        names_count = F.filter(
+            F.transform(
+                lines,
+                lambda line, i: F.when(
+                    F.contains(F.lower(line), F.lit("horizontal")) & F.contains(line, count), i + 1
+                ),
+            ),
+            lambda i: i.isNotNull(),
+        )
+        return tx.let(F.get(names_count, F.lit(0)), lambda at: insert(lines, at))
+
+    def insert(lines: Column, at: Column) -> Column:
+        rest = F.slice(lines, at + 1, F.array_size(lines))
+        with_note = F.concat(F.slice(lines, F.lit(1), at), F.array(note), rest)
+        return F.array_join(F.coalesce(with_note, lines), "\n")
+
+    return tx.let(F.split(text, "\n"), place)
 
 
 def training_rows(seeds: DataFrame) -> DataFrame:

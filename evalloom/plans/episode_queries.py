@@ -50,8 +50,8 @@ query("rwd2", E + f" SELECT episode_id, {_OUTCOME} AS reward FROM episodes")(
 )
 query("rwd3", E + " SELECT episode_id, CASE WHEN form IN (0, 1) THEN rs::VARCHAR END AS last_rows, CASE form WHEN 1 THEN c::VARCHAR END AS last_cols FROM episodes")(
     episode_columns(
-        last_rows=lambda response, _: rewards.last_dimension_values(response)[0],
-        last_cols=lambda response, _: rewards.last_dimension_values(response)[1],
+        last_rows=lambda response, _: rewards.last_dimension_values(response)["row"],
+        last_cols=lambda response, _: rewards.last_dimension_values(response)["col"],
     )
 )
 # form 0 names its columns with "vertical", which the last-value pattern does not read

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.operators.columns import with_struct
 from evalloom.operators.sampling import balanced_sample, hash_text
 
 # --- fixed values: name pattern, task, parser and parameters of each image set ---
@@ -80,11 +81,12 @@ def label_paths(paths: DataFrame) -> DataFrame:
         )
         fits = F.rlike(name, F.lit(rule["pattern"]))
         row = F.when(fits, made) if row is None else row.when(fits, made)
-    labelled = paths.withColumn("m", row).where(F.col("m").isNotNull())
+    names = ["task_name", "prompt", "ground_truth", "parser", "params"]
+    labelled = with_struct(paths, row, names).where(F.col("task_name").isNotNull())
     return labelled.select(
         F.substring(hash_text("path", F.col("path")), 1, 8).alias("sample_id"),
-        "m.task_name", F.col("path").alias("image_path"), "m.prompt", "m.ground_truth",
-        "m.parser", F.lit("exact_match").alias("scorer"), "m.params",
+        "task_name", F.col("path").alias("image_path"), "prompt", "ground_truth",
+        "parser", F.lit("exact_match").alias("scorer"), "params",
     )
 
 
