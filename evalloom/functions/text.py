@@ -107,7 +107,10 @@ def sort_ignoring_case(items: Column) -> Column:
 def format_general(number: Column) -> Column:
     """Six significant digits, no trailing zeros, exponent beyond 1e6 or below 1e-4."""
     size = F.abs(number)
-    exponent = F.when(size == 0, F.lit(0)).otherwise(F.floor(F.log10(size)).cast("int"))
+    rough = F.when(size == 0, F.lit(0)).otherwise(F.floor(F.log10(size)).cast("int"))
+    # 999999.6 rounds up to the next power of ten
+    carried = F.round(size / F.pow(F.lit(10.0), rough), 5) >= 10
+    exponent = F.when(carried, rough + 1).otherwise(rough)
 
     def plain(value: Column) -> Column:
         return F.regexp_replace(value.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")

@@ -7,6 +7,8 @@ extracted once per episode and no episode text is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,12 @@ def _share(part: str, whole: str = "n") -> Column:
     return F.try_divide(F.sum(part), F.sum(whole))
 
 
+def _one_row(parts: list[DataFrame]) -> DataFrame:
+    """Columns of several one-row tables in one row: a union folded by a global aggregate."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def answer_distribution(prof: DataFrame, top: int = 10) -> DataFrame:
     """Most frequent answer, its share, and the divergence of answers from truths.
 
@@ -101,14 +109,15 @@ def answer_distribution(prof: DataFrame, top: int = 10) -> DataFrame:
         counts.where(p > 0).orderBy(F.desc("p"), "seen").limit(top)
         .agg(F.array_sort(F.collect_list(F.struct((-p).alias("o"), "seen", "key", "p"))).alias("t"))
         .select(F.transform("t", lambda s: F.struct(s["key"].alias("answer"), s["p"].alias("n")))
-                .alias("top_answers"), F.lit(1).alias("_one"))
+                .alias("top_answers"))
     )
     share = F.col("b.p") / F.col("n_episodes")
-    return totals.withColumn("_one", F.lit(1)).join(leading, "_one").select(
+    figures = totals.select(
         "n_episodes", "n_unique", F.col("b.key").alias("top_answer"),
         F.bround(share, 3).alias("top_fraction"), (share > DOMINANT_SHARE).alias("dominant"),
-        F.bround("kl", 4).alias("kl_divergence"), "top_answers",
+        F.bround("kl", 4).alias("kl_divergence"),
     )
+    return _one_row([figures, leading]).where(F.col("n_episodes") > 0)
 
 
 def size_table(prof: DataFrame) -> DataFrame:

@@ -252,14 +252,11 @@ def key2(spark, sf_dir):
     return graph.tree_depth(nodes)
 
 
-@query("jn12", f"WITH {_PART_EDGES}, q AS (SELECT p_partkey AS a, (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) AS b FROM part UNION SELECT p_partkey, p_partkey // 2 FROM part)"
+@query("jn12", f"WITH {_PART_EDGES}, q AS (SELECT p_partkey AS a, p_partkey * 2 + p_size % 3 AS b FROM part UNION SELECT p_partkey, p_partkey // 2 FROM part)"
        " SELECT a, b FROM q WHERE EXISTS (SELECT 1 FROM edges e WHERE (e.src = a AND e.dst = b) OR (e.src = b AND e.dst = a))")
 def jn12(spark, sf_dir):
     parts = fx.table(spark, sf_dir, "part")
-    n = parts.agg(F.count("*").alias("n"))
-    spread = parts.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").select(
-        F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("n")).alias("b")
-    )
+    spread = parts.selectExpr("p_partkey AS a", "p_partkey * 2 + p_size % 3 AS b")
     half = parts.selectExpr("p_partkey AS a", "p_partkey div 2 AS b")
     return geo.adjacent(spread.union(half).distinct(), part_edges(spark, sf_dir), []).select("a", "b")
 

@@ -177,12 +177,12 @@ query("dia4", _RATES)(tool_rates)
 
 @query("jn13", E + f""" SELECT bucket, count(e.episode_id) AS n FROM {_BUCKETS} LEFT JOIN episodes e ON greatest(r, c) BETWEEN lo AND hi GROUP BY bucket""")
 def jn13(spark, sf_dir):
-    """The bucket as a range join with a four-row table of literals."""
-    buckets = dims.inline_table(spark, dims.SIZE_BUCKETS, "bucket, lo, hi")
+    """Ranges are matched on the row itself; the list of buckets only adds the empty ones."""
+    buckets = dims.inline_table(spark, dims.SIZE_BUCKETS, "bucket, lo, hi").select("bucket")
     sides = F.transform(F.split("ground_truth", ","), lambda v: v.try_cast("int"))
-    sized = fx.episodes(spark, sf_dir).select(F.array_max(sides).alias("side"))
-    counted = sized.join(F.broadcast(buckets), F.col("side").between(F.col("lo"), F.col("hi"))).groupBy("bucket").agg(F.count("*").alias("n"))
-    return buckets.select("bucket").join(counted, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    named = dg.bucket(F.array_max(sides), dims.SIZE_BUCKETS, closed=True)
+    counted = fx.episodes(spark, sf_dir).groupBy(named.alias("bucket")).agg(F.count("*").alias("n"))
+    return buckets.join(counted, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _BINS = fx.values_sql(dims.CONFIDENCE_BINS, "confidence_bin, lo, hi")
