@@ -27,7 +27,7 @@ HEADLINE = [
 def line_results(spark: SparkSession, sf_dir: str):
     """Answers on every line item: the largest table, scored and summed up per task."""
     pred = (F.col("l_partkey") + F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)) % 10
-    rows = fx.table(spark, sf_dir, "lineitem").select(
+    rows = fx.spread_table(spark, sf_dir, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("task_name"),
         (F.col("l_partkey") % 10).cast("string").alias("ground_truth"),
         F.lit("integer").alias("parser"), F.lit("integer_distance").alias("scorer"),

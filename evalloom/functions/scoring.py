@@ -69,6 +69,7 @@ def set_member(answer: Column, truth: Column) -> Column:
 @register_scorer("integer_distance")
 def integer_distance(answer: Column, truth: Column) -> Column:
     """Signed error (positive = counted too many) and a score that decays with it."""
+    # the difference is named once: in generated code Spark computes it once per row
     error = tx.to_int(answer) - tx.to_int(truth)
     return score_struct(
         correct=_yes(error == 0),
@@ -80,19 +81,24 @@ def integer_distance(answer: Column, truth: Column) -> Column:
 
 @register_scorer("row_col")
 def row_col(answer: Column, truth: Column) -> Column:
-    got, want = F.split(answer, ","), F.split(truth, ",")
-    ints = [tx.to_int(F.get(parts, F.lit(i))) for parts in (got, want) for i in (0, 1)]
-    valid = (F.array_size(got) == 2) & (F.array_size(want) == 2)
-    for value in ints:
-        valid = valid & value.isNotNull()
-    rows = _yes(valid & (ints[0] == ints[2]))
-    cols = _yes(valid & (ints[1] == ints[3]))
-    return score_struct(
-        correct=rows & cols,
-        score=(rows.cast("int") + cols.cast("int")) / F.lit(2.0),
-        row_correct=rows,
-        col_correct=cols,
-    )
+    def read(text: Column) -> Column:
+        # null unless there are exactly two integers
+        parts = F.transform(F.split(text, ","), tx.to_int)
+        return tx.let(
+            parts, lambda p: F.when((F.array_size(p) == 2) & ~F.exists(p, lambda v: v.isNull()), p)
+        )
+
+    def judge(pair: Column) -> Column:
+        rows = _yes(pair["got"][0] == pair["want"][0])
+        cols = _yes(pair["got"][1] == pair["want"][1])
+        return score_struct(
+            correct=rows & cols,
+            score=(rows.cast("int") + cols.cast("int")) / F.lit(2.0),
+            row_correct=rows,
+            col_correct=cols,
+        )
+
+    return tx.let(F.struct(read(answer).alias("got"), read(truth).alias("want")), judge)
 
 
 def set_match_scorer(treat_none_as_empty: bool = False) -> ColumnScorer:
@@ -106,9 +112,19 @@ def set_match_scorer(treat_none_as_empty: bool = False) -> ColumnScorer:
         got, want = tx.csv_items(answer), tx.csv_items(truth)
         if treat_none_as_empty:
             got, want = F.array_remove(got, "NONE"), F.array_remove(want, "NONE")
-        n_got, n_want = F.array_size(got), F.array_size(want)
-        hits = F.array_size(F.array_intersect(got, want))
-        missing, zero, one = answer.isNull(), F.lit(0.0), F.lit(1.0)
+        sizes = tx.let(
+            F.struct(got.alias("got"), want.alias("want")),
+            lambda s: F.struct(
+                F.array_size(s["got"]).alias("n_got"),
+                F.array_size(s["want"]).alias("n_want"),
+                F.array_size(F.array_intersect(s["got"], s["want"])).alias("hits"),
+            ),
+        )
+        return tx.let(sizes, judge)
+
+    def judge(sizes: Column) -> Column:
+        n_got, n_want, hits = sizes["n_got"], sizes["n_want"], sizes["hits"]
+        missing, zero, one = n_got.isNull(), F.lit(0.0), F.lit(1.0)
         empty = _unit(n_got == 0)
         precision = (
             F.when(missing, zero).when(n_want == 0, empty).when(n_got == 0, zero)
@@ -118,10 +134,10 @@ def set_match_scorer(treat_none_as_empty: bool = False) -> ColumnScorer:
             F.when(missing, zero).when(n_want == 0, one).when(n_got == 0, zero)
             .otherwise(F.try_divide(hits, n_want))
         )
+        # the harmonic mean of hits/n_got and hits/n_want
         f1 = F.coalesce(F.try_divide(F.lit(2.0) * precision * recall, precision + recall), zero)
-        correct = ~missing & (hits == n_got) & (hits == n_want)
         return score_struct(
-            correct=_yes(correct),
+            correct=_yes(~missing & (hits == n_got) & (hits == n_want)),
             score=F.when(missing, zero).when(n_want == 0, empty).otherwise(f1),
             precision=precision,
             recall=recall,
@@ -168,21 +184,20 @@ def _size_errors(answer: Column, truth: Column) -> Column:
         F.slice(got, F.lit(1), n), F.slice(want, F.lit(1), n),
         lambda a, g: tx.to_int(a) - tx.to_int(g),
     )
-    labels = F.transform(
-        errors,
-        lambda e, i: F.when(
-            e != 0,
-            F.concat(
-                F.when(n != 2, F.concat(F.lit("d"), i.cast("string")))
-                .when(i == 0, "rows").otherwise("cols"),
-                F.when(e > 0, " over by ").otherwise(" under by "),
-                F.abs(e).cast("string"),
-            ),
-        ),
+
+    def label(e: Column, i: Column, size: Column) -> Column:
+        axis = (
+            F.when(size != 2, F.concat(F.lit("d"), i.cast("string")))
+            .when(i == 0, "rows").otherwise("cols")
+        )
+        way = F.when(e > 0, " over by ").otherwise(" under by ")
+        return F.when(e != 0, F.concat(axis, way, F.abs(e).cast("string")))
+
+    labels = tx.let(
+        errors, lambda es: F.transform(es, lambda e, i: label(e, i, F.array_size(es)))
     )
-    listed = F.nullif(F.array_join(labels, "; "), F.lit(""))
     both = F.contains(truth, F.lit(",")) & F.contains(answer, F.lit(","))
-    return F.when(both & whole, listed)
+    return F.when(both & whole, F.nullif(F.array_join(labels, "; "), F.lit("")))
 
 
 def _reading_error(answer: Column, truth: Column) -> Column:
@@ -193,9 +208,10 @@ def _reading_error(answer: Column, truth: Column) -> Column:
     )
     same = F.aggregate(pairs, F.lit(0), lambda total, v: total + F.coalesce(v, F.lit(0)))
     ratio = same / F.greatest(F.length(truth), F.length(answer), F.lit(1))
-    return (
-        F.when(ratio < 0.3, "Hallucination").when(ratio < 0.8, "Major char errors")
-        .otherwise("Minor char error")
+    return tx.let(
+        ratio,
+        lambda r: F.when(r < 0.3, "Hallucination").when(r < 0.8, "Major char errors")
+        .otherwise("Minor char error"),
     )
 
 
@@ -218,12 +234,15 @@ def error_type(task: Column, scorer: Column, answer: Column, truth: Column) -> C
     """Short label saying how a wrong answer is wrong."""
     got = F.coalesce(answer, F.lit(""))
     want = F.coalesce(truth, F.lit(""))
-    diff = _number(got) - _number(want)
-    amount = tx.format_general(diff)
-    count_error = (
-        F.when(diff > 0, F.concat(F.lit("Overcount (+"), amount, F.lit(")")))
-        .when(diff < 0, F.concat(F.lit("Undercount ("), amount, F.lit(")")))
-    )
+
+    def direction(diff: Column) -> Column:
+        amount = tx.format_general(diff)
+        return (
+            F.when(diff > 0, F.concat(F.lit("Overcount (+"), amount, F.lit(")")))
+            .when(diff < 0, F.concat(F.lit("Undercount ("), amount, F.lit(")")))
+        )
+
+    count_error = tx.let(_number(got) - _number(want), direction)
     reading = F.when(task.isin(*READING_TASKS) & (want != ""), _reading_error(got, want))
     sets = F.when(scorer == "set_match", _set_errors(got, want))
     other = F.when(

@@ -139,7 +139,7 @@ def fld9(spark, sf_dir):
     )
 
 
-@query("win7", _ROUNDS + " SELECT sample_id, stop_at + 1 AS converged_round FROM stop")
+@query("win7", _ROUNDS + " SELECT sample_id, (stop_at + 1)::BIGINT AS converged_round FROM stop")
 def win7(spark, sf_dir):
     rounds = fx.attempts(spark, sf_dir, "iterative_refine")
     gathered = folds._gather(rounds, rounds=folds._slots("round", range(5)))
@@ -236,7 +236,7 @@ def agg29(spark, sf_dir):
 @query("win2", _WRONG + """, typed AS (SELECT *, row_number() OVER (PARTITION BY task_name, error_type ORDER BY line_no) AS turn, count(*) OVER (PARTITION BY task_name, error_type) AS type_n,
      min(line_no) OVER (PARTITION BY task_name, error_type) AS first_seen FROM wrong),
    picked AS (SELECT *, row_number() OVER (PARTITION BY task_name ORDER BY turn, type_n DESC, first_seen) AS pick FROM typed)
-   SELECT task_name, pick, error_type, type_n, sample_id, parsed_answer, ground_truth FROM picked WHERE pick <= 5""")
+   SELECT task_name, pick::INTEGER AS pick, error_type, type_n, sample_id, parsed_answer, ground_truth FROM picked WHERE pick <= 5""")
 def win2(spark, sf_dir):
     return fl.diverse_failures(fx.results(spark, sf_dir))
 
@@ -250,7 +250,7 @@ def win8(spark, sf_dir):
 
 @query("win9", _R + """, w AS (SELECT task_name, sample_id, row_number() OVER (PARTITION BY task_name ORDER BY line_no) AS rank FROM results WHERE NOT correct),
    r AS (SELECT task_name, (count(*) FILTER (WHERE NOT correct))::DOUBLE / count(*) AS fail_rate FROM results GROUP BY task_name)
-   SELECT task_name, fail_rate, rank, sample_id FROM w JOIN r USING (task_name) WHERE rank <= 4""")
+   SELECT task_name, fail_rate, rank::INTEGER AS rank, sample_id FROM w JOIN r USING (task_name) WHERE rank <= 4""")
 def win9(spark, sf_dir):
     rows = fx.results(spark, sf_dir)
     return fl.leading_failures(rows, acc.failure_rates(rows))

@@ -88,7 +88,7 @@ _AUDIT = {
 
 def audit_rows(spark, sf_dir, task):
     params, prompt = _AUDIT[task]
-    return fx.table(spark, sf_dir, "orders").selectExpr(
+    return fx.spread_table(spark, sf_dir, "orders").selectExpr(
         "CAST(o_orderkey AS STRING) AS sample_id", f"'{task}' AS task_name", f"{params} AS params", f"{prompt} AS prompt"
     )
 

@@ -278,7 +278,7 @@ def src5(spark, sf_dir):
     return readers.read_training_rows(spark, path).select("seed", "strategy", "is_skip", "chain_of_thought")
 
 
-@query("dia7_generated", "WITH " + _SEEDS_SQL + " SELECT count(*) AS n_rows, 0 AS n_failures FROM seeds")
+@query("dia7_generated", "WITH " + _SEEDS_SQL + " SELECT count(*) AS n_rows, 0::BIGINT AS n_failures FROM seeds")
 def dia7_generated(spark, sf_dir):
     """Every generated row must earn all three rewards in full."""
     scored = dg.add_rewards(dg.with_response(gen.training_rows(seeds(spark, sf_dir))), ["outcome", "process", "tool_use"])

@@ -28,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly per-row work, over all cores.
+
+    The test tables are single files, so a scan is one task. Only such a table, with fewer
+    splits than the session has cores, is spread; a table of many splits is left alone.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def derive(df: DataFrame, stages: list[Stage], columns: list[str] | None = None) -> DataFrame:
     for stage in stages:
         df = df.selectExpr("*", *[f"{expr} AS {name}" for name, expr in stage.items()])
@@ -116,7 +127,7 @@ RESPONSE_COLUMNS = [
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "events"), _RESPONSE_STAGES, RESPONSE_COLUMNS)
+    return derive(spread_table(spark, sf_dir, "events"), _RESPONSE_STAGES, RESPONSE_COLUMNS)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +270,7 @@ def attempts(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
         *[F.struct(F.lit(k).alias("pass_kind"), F.lit(i).alias("attempt_idx")) for k, i in CALLS[strategy]]
     )
     crossed = (
-        derive(table(spark, sf_dir, "events"), _ATTEMPT_BASE)
+        derive(spread_table(spark, sf_dir, "events"), _ATTEMPT_BASE)
         .select("*", F.explode(calls).alias("call")).select("*", "call.*").drop("call")
     )
     return ev.extract_answers(derive(crossed, _ATTEMPT_STAGES, ATTEMPT_COLUMNS))
@@ -317,7 +328,7 @@ _EPISODE_PARTS = ["r", "c", "ra", "ca", "rs", "form", "steps"]
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = derive(table(spark, sf_dir, "orders"), _EPISODE_STAGES, EPISODE_COLUMNS)
+    flat = derive(spread_table(spark, sf_dir, "orders"), _EPISODE_STAGES, EPISODE_COLUMNS)
     metadata = F.struct(
         F.split("ground_truth", ",")[0].cast("int").alias("rows"),
         F.split("ground_truth", ",")[1].cast("int").alias("cols"),

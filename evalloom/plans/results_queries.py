@@ -322,7 +322,7 @@ def jn6(spark, sf_dir):
     )
 
 
-@query("agg11", _DIAG + """ SELECT failure_class, rank, task_name, image_acc, text_acc, gap FROM (SELECT *, row_number() OVER (PARTITION BY failure_class
+@query("agg11", _DIAG + """ SELECT failure_class, rank::INTEGER AS rank, task_name, image_acc, text_acc, gap FROM (SELECT *, row_number() OVER (PARTITION BY failure_class
    ORDER BY CASE failure_class WHEN 'perceptual' THEN -gap WHEN 'reasoning' THEN text_acc ELSE image_acc END, task_name) AS rank
    FROM diag WHERE failure_class IN ('perceptual', 'reasoning', 'mixed')) WHERE rank <= 10""")
 def agg11(spark, sf_dir):
