@@ -194,9 +194,5 @@ def height_up_to(segments: DataFrame, targets: DataFrame, keys: list[str]) -> Da
 def peak_series(values: DataFrame, keys: list[str]) -> DataFrame:
     """The series with the highest value per figure; ties go to the first name."""
     peaks = values.groupBy(*keys, "series").agg(F.max("value").alias("peak"))
-    order = F.max(F.struct("peak")).alias("best")
-    best = peaks.groupBy(*keys).agg(order)
-    return (
-        peaks.join(best, keys).where(F.col("peak") == F.col("best.peak"))
-        .groupBy(*keys).agg(F.min("series").alias("series"), F.max("peak").alias("peak"))
-    )
+    best = F.min(F.struct((-F.col("peak")).alias("order"), "series", "peak"))
+    return peaks.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.series", "b.peak")

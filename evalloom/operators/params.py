@@ -59,10 +59,13 @@ def accuracy_by_param(results: DataFrame, pairs: list[tuple[str, str]] | None =
     if pairs is not None:
         wanted = F.concat_ws("|", "task_name", "param").isin(*[f"{t}|{p}" for t, p in pairs])
         flat = flat.where(wanted)
+    # texts and lists only disqualify their parameter: they need no groups of their own
+    other = F.col("value_type").isin(*_NOT_SCALAR)
+    flat = flat.withColumns({"other": other, "value": F.when(~other, F.col("value"))})
     cells = flat.groupBy("task_name", "param", "value").agg(
         F.count("*").alias("n"),
         F.count_if(is_correct()).alias("n_correct"),
-        F.count_if(F.col("value_type").isin(*_NOT_SCALAR)).alias("n_other"),
+        F.count_if("other").alias("n_other"),
         F.count("value").alias("n_value"),
     )
     # both sides of the join use all four counts, so Spark aggregates the rows once

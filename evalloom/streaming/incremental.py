@@ -36,11 +36,13 @@ def score_stream(
         # the whole row is compared, so which repeat is kept does not depend on timing
         whole = F.struct(*[c for c in batch.columns if c != "sample_id"])
         once = batch.groupBy("sample_id").agg(F.min(whole).alias("r")).select("sample_id", "r.*")
+        once = once.persist()
         # only the ids of this batch are sought in the history, which is scanned, not shuffled
         history = _scored_before(session, sink, batch_id)
         repeated = history.join(once.select("sample_id"), "sample_id", "left_semi")
         fresh = pending(once, repeated)
         evaluate(fresh).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        once.unpersist()
 
     responses = spark.readStream.schema(schemas.RESPONSES).json(source)
     return (
