@@ -44,9 +44,7 @@ def directive(response: Column) -> Column:
             ),
         ),
     )
-    bare_name = F.lit("arg")
-    for name, argument in dims.POSITIONAL_ARGUMENTS.items():
-        bare_name = F.when(tool == name, argument).otherwise(bare_name)
+    bare_name = tx.lookup(tool, dims.POSITIONAL_ARGUMENTS, "arg")
     args = (
         F.when(raw_args.isNull() | (raw_args == ""), F.create_map().cast("map<string,string>"))
         .when(F.contains(raw_args, F.lit("=")), F.map_from_entries(distinct))

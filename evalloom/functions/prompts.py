@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalloom import dims
+from evalloom.functions import text as tx
 
 
 def fill(template: str, **values: Column) -> Column:
@@ -55,9 +56,7 @@ def decompose_final(question: Column, observations: Column) -> Column:
 
 def refine(task: Column, question: Column, answers: Column) -> Column:
     """Next refinement round: the answers so far and the task's critique."""
-    critique = F.lit(dims.DEFAULT_CRITIQUE)
-    for name, advice in dims.CRITIQUES.items():
-        critique = F.when(task == name, advice).otherwise(critique)
+    critique = tx.lookup(task, dims.CRITIQUES, dims.DEFAULT_CRITIQUE)
     return fill(
         dims.REFINE_PROMPT,
         rounds=F.array_size(answers).cast("string"),

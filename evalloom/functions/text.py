@@ -29,6 +29,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lookup(key: Column, values: dict[str, str], default: str) -> Column:
+    """Value of a key in a small fixed table; the key expression is used once."""
+    table = F.create_map(*[F.lit(v) for pair in values.items() for v in pair])
+    return F.coalesce(F.try_element_at(table, key), F.lit(default))
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space from both ends."""
     return F.btrim(text, F.lit(WHITESPACE))

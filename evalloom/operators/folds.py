@@ -135,9 +135,7 @@ def crop_zoom(attempts: DataFrame, max_crops: int = 4) -> DataFrame:
     ).where(F.col("full").isNotNull())
     everything = F.concat(F.array("full"), F.col("crops"))
     answers = _answers(everything)
-    rule = F.lit(dims.DEFAULT_CROP_RULE)
-    for task, name in dims.CROP_RULES.items():
-        rule = F.when(F.col("task_name") == task, name).otherwise(rule)
+    rule = tx.lookup(F.col("task_name"), dims.CROP_RULES, dims.DEFAULT_CROP_RULE)
     largest = F.array_max(F.transform(answers, tx.to_int)).cast("string")
     return gathered.select(
         "sample_id", "task_name", F.col("full.raw_response").alias("raw_response"),
@@ -321,10 +319,7 @@ def sketchpad(attempts: DataFrame, max_passes: int = 3) -> DataFrame:
 def routed_strategy(task: Column) -> Column:
     """The strategy a task is sent to; a text control follows its base task."""
     base = F.regexp_replace(task, TEXT_SUFFIX + "$", "")
-    chain = F.lit(dims.DEFAULT_ROUTE)
-    for name, strategy in dims.ROUTES.items():
-        chain = F.when(base == name, strategy).otherwise(chain)
-    return chain
+    return tx.lookup(base, dims.ROUTES, dims.DEFAULT_ROUTE)
 
 
 def adaptive(strategy_results: DataFrame) -> DataFrame:

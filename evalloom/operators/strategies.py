@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom import dims
+from evalloom.functions import text as tx
 from evalloom.operators.accuracy import image_tasks_only, is_correct, ratio, tally
 
 
@@ -100,16 +101,14 @@ def routing_gain(
     def side(name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("strategy") == name, F.col("acc"))), F.lit(0.0))
 
-    routed = F.lit(None).cast("string")
-    for task, strategy in (routes or dims.ROUTES).items():
-        routed = F.when(F.col("task_name") == task, strategy).otherwise(routed)
+    routed = tx.lookup(F.col("task_name"), routes or dims.ROUTES, dims.DEFAULT_ROUTE)
     both = acc.groupBy("task_name").agg(
         side("baseline").alias("baseline_acc"), side("adaptive").alias("adaptive_acc")
     )
     delta = F.col("adaptive_acc") - F.col("baseline_acc")
     return both.select(
         "task_name", "baseline_acc", "adaptive_acc", delta.alias("delta"),
-        F.coalesce(routed, F.lit(dims.DEFAULT_ROUTE)).alias("route"),
+        routed.alias("route"),
         (F.abs(delta) >= 3).alias("labelled"),
     )
 

@@ -253,7 +253,7 @@ def key2(spark, sf_dir):
 
 
 @query("jn12", f"WITH {_PART_EDGES}, q AS (SELECT p_partkey AS a, p_partkey * 2 + p_size % 3 AS b FROM part UNION SELECT p_partkey, p_partkey // 2 FROM part)"
-       " SELECT a, b FROM q WHERE EXISTS (SELECT 1 FROM edges e WHERE (e.src = a AND e.dst = b) OR (e.src = b AND e.dst = a))")
+       ", both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) SELECT q.a, q.b FROM q JOIN both_ways USING (a, b)")
 def jn12(spark, sf_dir):
     parts = fx.table(spark, sf_dir, "part")
     spread = parts.selectExpr("p_partkey AS a", "p_partkey * 2 + p_size % 3 AS b")
