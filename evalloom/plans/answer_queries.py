@@ -167,11 +167,14 @@ _ALL_SQL = "WITH " + ", ".join(
 
 def mixed_answers(spark, sf_dir):
     """All parsers in one table, and one name that is not registered."""
-    rows = None
-    for parser in TEXTS:
-        part = texts(spark, sf_dir, parser)
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.unionByName(texts(spark, sf_dir, "integer").withColumn("parser", F.lit("nobody_knows")))
+    named = TEXTS | {"nobody_knows": TEXTS["integer"]}
+    arms = " ".join(f"WHEN '{name}' THEN {made}" for name, made in named.items())
+    each = fx.spread_table(spark, sf_dir, "orders").select(
+        "*", F.explode(F.array(*[F.lit(name) for name in named])).alias("parser")
+    )
+    return each.selectExpr(
+        "CAST(o_orderkey AS STRING) AS sample_id", f"CASE parser {arms} END AS raw_response", "parser"
+    )
 
 
 @query("jn10", _ALL_SQL + " SELECT parser, count(*) AS n, count(parsed_answer) AS n_parsed, count(DISTINCT parsed_answer) AS answers FROM parsed GROUP BY parser")
