@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder; on a
-    cluster the setting is required, as executors do not share local disks.
+    A session that does not name one gets a folder in its warehouse, which executors and
+    driver share as well; a machine-local temporary folder is never used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="evalloom-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for one written table."""
-    return f"{shared_folder(spark)}/evalloom/{name}-{uuid.uuid4().hex}"
+    """A new path for one written table, deleted by ``release`` at the latest on exit."""
+    path = f"{shared_folder(spark)}/evalloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,3 +38,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete every table written so far; frames that read them are of no use afterwards."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        jvm = getattr(spark.sparkContext, "_jvm", None)
+        if jvm is None or spark.sparkContext._jsc is None:
+            continue
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _release_on_exit() -> None:
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the session has ended before; nothing can be deleted then
+        _WRITTEN.clear()
