@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import common, quality_rules
+from evalloom.llm import common, quality_rules, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,3 +73,60 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def _op4_sql() -> str:
+    """Each kind's matches and the pieces between them; lengths of both place the matches."""
+    kinds = [(i, *kind) for i, kind in enumerate((*secret_scan.KINDS, secret_scan.LOOSE))]
+    quoted = {name: pattern.replace("'", "''") for _, name, pattern, _, _ in kinds}
+    blank = "t"
+    for _, name, _, _, _ in kinds[:-1]:
+        pieces = f"string_split_regex({blank}, '{quoted[name]}')"
+        whole = f"list_append(regexp_extract_all({blank}, '{quoted[name]}', 0), '')"
+        blank = f"array_to_string(list_transform(list_zip({pieces}, {whole}), lambda z: z[1] || repeat(' ', length(z[2]))), '')"
+    parts = []
+    for i, name, _, group, least in kinds:
+        text = blank if i == len(kinds) - 1 else "t"
+        mixed = "AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')"
+        parts.append(
+            f"""SELECT doc_id, owner, {i} AS kind, '{name}' AS name, start, start + length(whole) AS stop, value FROM (
+            SELECT doc_id, owner, m[j] AS whole, g[j] AS value,
+                   list_sum(list_transform(b[1:j], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0) AS start
+            FROM (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM (
+              SELECT doc_id, owner, regexp_extract_all(x, '{quoted[name]}', 0) AS m,
+                     regexp_extract_all(x, '{quoted[name]}', {group}) AS g, string_split_regex(x, '{quoted[name]}') AS b
+              FROM (SELECT doc_id, owner, {text} AS x FROM d))))
+            WHERE length(value) >= {least} {mixed if i == len(kinds) - 1 else ""}"""
+        )
+    span = "name || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+owners AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n FROM found GROUP BY value),
+spans AS (SELECT found.*, n <= 2 AS live FROM found JOIN owners USING (value)),
+made AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+         count(*) FILTER (WHERE kind = 2) AS n_hex,
+         string_agg({span}, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base,
+         string_agg({span}, ',' ORDER BY start, kind) FILTER (WHERE kind < 3 OR live) AS spans,
+         count(*) FILTER (WHERE live) AS n_live
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN made USING (doc_id)
+"""
+
+
+@query("op4_secret_scan", _op4_sql())
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secret_scan.scan(docs, keep_text=False)
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.span_text(F.col("base_spans")), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("all_spans")).alias("spans"),
+        F.size(F.filter("all_spans", lambda s: s["live"])).cast("bigint").alias("n_live"),
+    )
