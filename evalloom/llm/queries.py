@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import common, quality_rules, secret_scan
+from evalloom.llm import common, quality_rules, secret_scan, simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,3 +130,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.span_text(F.col("all_spans")).alias("spans"),
         F.size(F.filter("all_spans", lambda s: s["live"])).cast("bigint").alias("n_live"),
     )
+
+
+@query("op3_simhash_dedup")
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
