@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import common, quality_rules, secret_scan, simhash_dedup
+from evalloom.llm import common, quality_rules, secret_scan, simhash_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,3 +138,13 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = toxicity.rate(docs, common.table(spark, sf_dir, "labels"))
+    return rated.select(
+        "doc_id", (common.id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
+    )
