@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import common, quality_rules, secret_scan, simhash_dedup, toxicity
+from evalloom.llm import common, packing, quality_rules, secret_scan, simhash_dedup, token_files, toxicity
+from evalloom.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: A file of public_tokenizers, found on every machine by that package.
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -148,3 +153,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (common.id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
         F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(cut)
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return token_files.read(spark, path)
