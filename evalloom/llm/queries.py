@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import common, packing, quality_rules, secret_scan, simhash_dedup, token_files, toxicity
+from evalloom.llm import common, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_files, toxicity
 from evalloom.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +166,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
     return token_files.read(spark, path)
+
+
+@query("op10_lm_score")
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(common.table(spark, sf_dir, "documents"))
