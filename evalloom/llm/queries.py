@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import common, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_files, toxicity
+from evalloom.llm import common, html_text, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_files, toxicity
 from evalloom.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_score")
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(common.table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select(
+        "page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("bigint").alias("n_chars")
+    )
