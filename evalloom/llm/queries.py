@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import common, html_text, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_files, toxicity
+from evalloom.llm import bitsliced_topk, common, html_text, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_files, toxicity
 from evalloom.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,3 +179,24 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("bigint").alias("n_chars")
     )
+
+
+_OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+
+@query("op5_bitsliced_topk", _OP5_SQL)
+def op5_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return bitsliced_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
