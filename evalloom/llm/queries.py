@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bitsliced_topk, common, html_text, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_files, toxicity
+from evalloom.llm import bitsliced_topk, common, html_text, lm_score, mixing, packing, quality_rules, secret_scan, simhash_dedup, token_files, toxicity
 from evalloom.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,3 +200,8 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 def op5_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
     return bitsliced_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op2_source_mixing")
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(common.table(spark, sf_dir, "documents")))

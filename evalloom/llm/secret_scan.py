@@ -107,8 +107,9 @@ def scan(
     repo_col: str = "doc_id",
     max_owners: int = 2,
     keep_text: bool = True,
+    names: tuple[str, str] = ("base_spans", "all_spans"),
 ) -> DataFrame:
-    """``docs`` with ``base_spans`` and ``all_spans``: arrays of (start, kind, end, live).
+    """``docs`` with ``base_spans`` and ``all_spans`` (or other ``names``): arrays of (start, kind, end, live).
 
     A span is live when at most ``max_owners`` owners hold its value; ``all_spans`` adds
     the live loose ones to the base spans. Columns of ``docs`` with these names are
@@ -116,7 +117,7 @@ def scan(
     stored table, where ``keep_text=False`` leaves them out; of the documents only those
     with candidates are shuffled.
     """
-    docs = docs.drop("base_spans", "all_spans", "_row", "_base", "_loose", "_owner", "_repo")
+    docs = docs.drop(*names, "_row", "_base", "_loose", "_owner", "_repo", "_key", "_spans")
     kept = docs.columns
     scanned = candidates(
         docs.withColumn("_owner", common.column_or_null(docs, owner_col, "string").cast("string"))
@@ -150,12 +151,12 @@ def scan(
         scanned.where(holds).drop("_base", "_loose").join(spans, F.col("_row") == F.col("_key"))
         .select(
             *[F.col(f"`{c}`") for c in kept],
-            F.filter("_spans", lambda s: s["kind"] < len(KINDS)).alias("base_spans"),
-            F.filter("_spans", lambda s: (s["kind"] < len(KINDS)) | s["live"]).alias("all_spans"),
+            F.filter("_spans", lambda s: s["kind"] < len(KINDS)).alias(names[0]),
+            F.filter("_spans", lambda s: (s["kind"] < len(KINDS)) | s["live"]).alias(names[1]),
         )
     )
     none = F.array().cast(kind)
-    without = scanned.where(~holds).select(*[F.col(f"`{c}`") for c in kept], none.alias("base_spans"), none.alias("all_spans"))
+    without = scanned.where(~holds).select(*[F.col(f"`{c}`") for c in kept], none.alias(names[0]), none.alias(names[1]))
     return without.unionByName(with_any)
 
 
