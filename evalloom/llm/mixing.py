@@ -6,7 +6,7 @@ part of one more. A binary tree over the output shards splits these exact quotas
 node the left half's slots receive a multivariate-hypergeometric draw of what the node
 holds, so that each shard ends with exact quotas that look like a fair deal of the
 whole. A shard then takes its own stretch of each source's permuted draws, which no other shard
-has, and shuffles its rows.
+has, and shuffles its documents.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from evalloom.llm import common
 from evalloom.storage import stored
 
 #: Words in a block at least, documents in a chunk of a line, draws in a shard.
-BLOCK, CHUNK, DRAWS = 512, 4_096, 512
+BLOCK, CHUNK, DRAWS = 2_048, 4_096, 128
 #: Blocks of all sources stay below this number, which the random generator can split; beyond it blocks grow.
 MOST_BLOCKS = 1 << 29
 #: Sources are dealt to so many groups; the tree splits groups first, then the sources within.
@@ -201,7 +201,8 @@ def mix(
     """A mixture of ``docs`` with the sources' shares set by weights, repeated up to ``most`` times.
 
     Taken words of a source are its target, rounded to a word: the last draw of a source ends within
-    its block. Documents are taken whole but for the ends of blocks. A null source is a source,
+    its block. A document that reaches over blocks stays whole where these are all drawn in the
+    same pass, so cuts are found in the last pass alone. A null source is a source,
     documents without words are in no shard, repeated rows are documents each, and an empty
     table gives an empty mixture. Everything random is a hash of ids or seeded by the node
     of the tree, so reruns agree. Lines are placed by chunks of bounded size, so a source
@@ -247,6 +248,13 @@ def mix(
     rows = pieces.join(drawn, (F.col("sid") == F.col("s")) & (F.col("block") == F.col("b"))).withColumn(
         "words", F.least("words", F.col("limit") - F.col("offset"))
     ).where("words > 0")
+    # what a document gives to neighbouring blocks of one pass is one stretch, in the shard of the first
+    line = Window.partitionBy("row", "epoch").orderBy("first_word")
+    rows = rows.withColumn("_new", (F.lag(F.col("first_word") + F.col("words")).over(line) != F.col("first_word")).cast("long"))
+    rows = rows.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy("row", "epoch", "_run").agg(
+        F.min_by(F.struct("shard", "t"), "first_word").alias("_first"), F.min("first_word").alias("first_word"), F.sum("words").alias("words")
+    ).select("row", "epoch", "_first.*", "first_word", "words")
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("shard", "t", "row"), "t", "row")
     rows = rows.withColumn("position", F.row_number().over(shuffled) - 1).select(
         "row", "shard", "position", "epoch", "first_word", "words"
