@@ -127,15 +127,15 @@ def links(fps: DataFrame, radius: int = 2, direct: int = DIRECT) -> DataFrame:
         found.append(sizes.where(f"n = 2 AND bit_count(a ^ b) <= {radius}").select("a", "b"))
         if sizes.where("n > 2").isEmpty():
             break
-        small = direct if level < 3 else 1 << BITS
+        small = direct if level < 3 else 1 << 62
         crowd = sizes.where("n > 2").select(F.col("path").alias("p"), F.col("key").alias("k"), "n")
         shared = stored(
             keyed.join(crowd, (F.col("path") == F.col("p")) & (F.col("key") == F.col("k"))).select("path", "key", "fp", "n"),
             "simhash-shared",
         )
-        buckets = shared.where(F.col("n") <= F.lit(small).cast("decimal(20,0)")).groupBy("path", "key").agg(F.collect_list("fp").alias("fps"))
+        buckets = shared.where(F.col("n") <= small).groupBy("path", "key").agg(F.collect_list("fp").alias("fps"))
         found.append(buckets.select("fps").mapInArrow(_linked(radius), "a long, b long"))
-        rows = shared.where(F.col("n") > F.lit(small).cast("decimal(20,0)")).select("path", "fp")
+        rows = shared.where(F.col("n") > small).select("path", "fp")
         paths = children
         if level == 3 or rows.isEmpty():
             break
