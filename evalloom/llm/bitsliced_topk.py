@@ -56,7 +56,7 @@ def sliced(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for d in range(n):
             bitmap = np.packbits((column >> np.uint64(d) & np.uint64(1)).astype(np.uint8), bitorder="little")
             maps.append(np.pad(bitmap, (0, (len(matrix) + pad) // 8 - len(bitmap))).view(np.uint64))
-    return low, bits, np.array(maps, np.uint64).reshape(len(maps), -1)
+    return low, bits, np.array(maps, np.uint64).reshape(len(maps), (len(matrix) + pad) // 64)
 
 
 def index(rows: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ class Block:
         self.ids = np.frombuffer(ids, np.int64)
         self.low, self.bits = np.frombuffer(low, np.int64), np.frombuffer(bits, np.int64)
         words = -(-len(self.ids) // 64)
-        self.maps = np.frombuffer(slices, np.uint64).reshape(-1, words)
+        self.maps = np.frombuffer(slices, np.uint64).reshape(int(self.bits.sum()), words)
         self.all = np.zeros(words, np.uint64)
         self.all[:] = ~np.uint64(0)
         if over := len(self.ids) % 64:
