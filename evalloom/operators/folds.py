@@ -1,13 +1,18 @@
 """Folding the attempts made on a sample into one answer.
 
-The input is one row per model call (``schemas.ATTEMPTS`` plus ``parsed_answer``).
-A fold groups by sample once. The calls of a sample are put into a fixed number of
-slots by conditional aggregates, so even a sample that is repeated in a large part
-of the table needs a bounded buffer, and rows are combined before the shuffle.
+The input is one row per model call (``schemas.ATTEMPTS`` plus ``parsed_answer``). A table
+may hold the calls of several strategies and models: a fold groups by sample, strategy
+and model, as far as these columns are there, and carries them through. Every row is
+a call that was made and counts, repeated ones too; calls are ordered by ``attempt_idx``, equal
+indexes by kind and content. The calls of one key meet in one array, which is as long as the
+answers a fold reports; counts that need no order (``majority_vote``) are combined
+before the shuffle instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +22,43 @@ from evalloom.functions.directives import code_text, directive
 from evalloom.functions.extract import parse_by_name
 from evalloom.operators.accuracy import TEXT_SUFFIX
 
-_CALL = ["attempt_idx", "parsed_answer", "raw_response", "latency_s", "input_tokens", "output_tokens"]
+KEY = ("sample_id", "strategy", "model")
+_CALL = ["attempt_idx", "pass_kind", "parsed_answer", "raw_response", "latency_s", "input_tokens", "output_tokens", "task_name", "parser"]
 
+Fold = Callable[[DataFrame], DataFrame]
+FOLDS: dict[str, Fold] = {}
 
-def _slot(kind: str, index: int, extra: list[str] | None = None) -> Column:
-    """The call of a kind at an index, as a struct; null when it was not made."""
-    call = F.struct(*_CALL, *(extra or []))
-    here = (F.col("pass_kind") == kind) & (F.col("attempt_idx") == index)
-    return F.min(F.when(here, call))
 
+def register_fold(name: str, fold: Fold) -> None:
+    """Make a strategy known to ``fold_all``; a later registration of a name replaces the earlier."""
+    FOLDS[name] = fold
 
-def _slots(kind: str, indexes: range, extra: list[str] | None = None) -> Column:
-    """Calls of a kind in index order, missing ones left out."""
-    return F.array_compact(F.array(*[_slot(kind, i, extra) for i in indexes]))
 
+def _keys(attempts: DataFrame) -> list[str]:
+    return [c for c in KEY if c in attempts.columns]
 
-def _gather(attempts: DataFrame, **slots: Column) -> DataFrame:
-    return attempts.groupBy("sample_id").agg(
-        F.min("task_name").alias("task_name"),
-        *[column.alias(name) for name, column in slots.items()],
-    )
+
+def _gather(attempts: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """One row per key with all its calls in order, and the task."""
+    call = F.struct(*[F.col(c) if c in attempts.columns else F.lit(None).cast("string").alias(c) for c in _CALL], *(extra or []))
+    gathered = attempts.groupBy(*_keys(attempts)).agg(F.array_sort(F.collect_list(call)).alias("_all"))
+    return gathered.withColumn("task_name", F.array_min(F.transform("_all", lambda c: c["task_name"])))
+
+
+def _of(kind: str) -> Column:
+    """The calls of a kind, in order."""
+    return F.filter("_all", lambda c: c["pass_kind"] == kind)
+
+
+def _first(kind: str) -> Column:
+    """The first call of a kind; null when there was none."""
+    return F.get(_of(kind), F.lit(0))
+
+
+def _carried(gathered: DataFrame, name: str) -> list[Column]:
+    """The key and the task; the strategy is the recorded one or else the fold's own."""
+    strategy = F.col("strategy") if "strategy" in gathered.columns else F.lit(name)
+    return ["sample_id", "task_name", strategy.alias("strategy"), *[c for c in ("model",) if c in gathered.columns]]
 
 
 def _usage(calls: Column) -> list[Column]:
@@ -81,17 +103,18 @@ def vote(answers: Column) -> Column:
 
 
 def majority_vote(attempts: DataFrame) -> DataFrame:
-    """Majority answer per sample for any number of attempts.
+    """Majority answer per key for any number of attempts.
 
-    Counts are made per (sample, answer) first, so votes are combined before both
+    Counts are made per (key, answer) first, so votes are combined before both
     shuffles; ties go to the answer seen first.
     """
-    counts = attempts.groupBy("sample_id", "parsed_answer").agg(
+    keys = _keys(attempts)
+    counts = attempts.groupBy(*keys, "parsed_answer").agg(
         F.count("*").alias("c"), F.min("attempt_idx").alias("first")
     )
     given = F.col("parsed_answer").isNotNull()
     best = F.max(F.when(given, F.struct("c", (-F.col("first")).alias("first"), "parsed_answer")))
-    return counts.groupBy("sample_id").agg(
+    return counts.groupBy(*keys).agg(
         best["parsed_answer"].alias("parsed_answer"),
         F.coalesce(best["c"], F.lit(0)).alias("votes"),
         F.sum("c").alias("attempts"),
@@ -100,49 +123,47 @@ def majority_vote(attempts: DataFrame) -> DataFrame:
 
 def baseline(attempts: DataFrame) -> DataFrame:
     """The first plain attempt."""
-    first = attempts.where((F.col("pass_kind") == "full") & (F.col("attempt_idx") == 0))
-    return first.select(
-        "sample_id", "task_name", "raw_response", "parsed_answer", "latency_s",
-        "input_tokens", "output_tokens", F.lit("baseline").alias("strategy"),
+    gathered = _gather(attempts).withColumn("one", _first("full")).where(F.col("one").isNotNull())
+    return gathered.select(
+        *_carried(gathered, "baseline"), F.col("one.raw_response").alias("raw_response"),
+        F.col("one.parsed_answer").alias("parsed_answer"), F.col("one.latency_s").alias("latency_s"),
+        F.col("one.input_tokens").alias("input_tokens"), F.col("one.output_tokens").alias("output_tokens"),
     )
 
 
-def _consensus(attempts: DataFrame, n: int, **more: Column) -> DataFrame:
-    gathered = _gather(attempts, calls=_slots("sample", range(n)), **more)
+def _consensus(attempts: DataFrame) -> DataFrame:
+    gathered = _gather(attempts).withColumn("calls", _of("sample")).withColumn("two", _first("verify"))
     gathered = gathered.where(F.array_size("calls") > 0).withColumn("winner", vote(_answers(F.col("calls"))))
     # with no valid answer the first call matches, as every answer is null
     won = F.filter("calls", lambda c: c["parsed_answer"].eqNullSafe(F.col("winner")))
     return gathered.withColumn("won", F.get(won, F.lit(0)))
 
 
-def best_of_n(attempts: DataFrame, n: int = 5) -> DataFrame:
-    """Majority vote over the first ``n`` samples, with votes and all answers."""
+def best_of_n(attempts: DataFrame) -> DataFrame:
+    """Majority vote over all samples taken, with votes and all answers."""
     answers = _answers(F.col("calls"))
-    return _consensus(attempts, n).select(
-        "sample_id", "task_name", F.col("won.raw_response").alias("raw_response"),
+    voted = _consensus(attempts)
+    return voted.select(
+        *_carried(voted, "best_of_n"), F.col("won.raw_response").alias("raw_response"),
         F.col("winner").alias("parsed_answer"), *_usage(F.col("calls")),
-        F.lit("best_of_n").alias("strategy"),
         F.array_size("calls").alias("strategy_n"),
         F.map_from_entries(_vote_counts(answers)).alias("strategy_votes"),
         answers.alias("strategy_all_answers"),
     )
 
 
-def crop_zoom(attempts: DataFrame, max_crops: int = 4) -> DataFrame:
+def crop_zoom(attempts: DataFrame) -> DataFrame:
     """Whole picture and crops combined by the task's rule: a vote or the largest number."""
-    gathered = _gather(
-        attempts, full=_slot("full", 0), crops=_slots("crop", range(max_crops))
-    ).where(F.col("full").isNotNull())
+    gathered = _gather(attempts).withColumn("full", _first("full")).withColumn("crops", _of("crop")).where(F.col("full").isNotNull())
     everything = F.concat(F.array("full"), F.col("crops"))
     answers = _answers(everything)
     rule = tx.lookup(F.col("task_name"), dims.CROP_RULES, dims.DEFAULT_CROP_RULE)
     largest = F.array_max(F.transform(answers, tx.to_int)).cast("string")
     return gathered.select(
-        "sample_id", "task_name", F.col("full.raw_response").alias("raw_response"),
+        *_carried(gathered, "crop_zoom"), F.col("full.raw_response").alias("raw_response"),
         F.when(rule == "max", F.coalesce(largest, F.col("full.parsed_answer")))
         .otherwise(vote(answers)).alias("parsed_answer"),
         *_usage(everything),
-        F.lit("crop_zoom").alias("strategy"),
         F.col("full.parsed_answer").alias("strategy_full_answer"),
         _answers(F.col("crops")).alias("strategy_crop_answers"),
         answers.alias("strategy_all_answers"),
@@ -168,15 +189,14 @@ def _second_look(first: Column, second: Column) -> tuple[Column, Column, Column]
 
 def verify(attempts: DataFrame) -> DataFrame:
     """First answer, replaced when the second look gives another one and does not confirm."""
-    gathered = _gather(attempts, one=_slot("full", 0), two=_slot("verify", 0)).where(
-        F.col("one").isNotNull()
-    )
+    gathered = _gather(attempts).withColumn("one", _first("full")).withColumn("two", _first("verify"))
+    gathered = gathered.where(F.col("one").isNotNull())
     first = F.col("one.parsed_answer")
     final, confirmed, changed = _second_look(first, F.col("two"))
     used = F.when(first.isNotNull(), F.array_compact(F.array("one", "two"))).otherwise(F.array("one"))
     return gathered.select(
-        "sample_id", "task_name", F.col("one.raw_response").alias("raw_response"),
-        final.alias("parsed_answer"), *_usage(used), F.lit("verify").alias("strategy"),
+        *_carried(gathered, "verify"), F.col("one.raw_response").alias("raw_response"),
+        final.alias("parsed_answer"), *_usage(used),
         first.alias("strategy_initial_answer"),
         F.when(first.isNotNull(), F.col("two.raw_response")).alias("strategy_verify_response"),
         confirmed.alias("strategy_verify_confirmed"),
@@ -184,46 +204,39 @@ def verify(attempts: DataFrame) -> DataFrame:
     )
 
 
-def best_of_n_verify(attempts: DataFrame, n: int = 5) -> DataFrame:
-    """Majority vote, then a second look at the consensus."""
-    gathered = _consensus(attempts, n, two=_slot("verify", 0))
+def best_of_n_verify(attempts: DataFrame) -> DataFrame:
+    """Majority vote over all samples taken, then a second look at the consensus."""
+    gathered = _consensus(attempts)
     winner = F.col("winner")
     final, confirmed, changed = _second_look(winner, F.col("two"))
     used = F.when(
         winner.isNotNull(), F.concat(F.col("calls"), F.array_compact(F.array("two")))
     ).otherwise(F.col("calls"))
     return gathered.select(
-        "sample_id", "task_name", F.col("won.raw_response").alias("raw_response"),
-        final.alias("parsed_answer"), *_usage(used),
-        F.lit("best_of_n_verify").alias("strategy"), winner.alias("strategy_consensus"),
+        *_carried(gathered, "best_of_n_verify"), F.col("won.raw_response").alias("raw_response"),
+        final.alias("parsed_answer"), *_usage(used), winner.alias("strategy_consensus"),
         confirmed.alias("strategy_verify_confirmed"), changed.alias("strategy_final_changed"),
     )
 
 
-def decompose(attempts: DataFrame, max_steps: int = 4) -> DataFrame:
+def decompose(attempts: DataFrame) -> DataFrame:
     """The final answer; for grid sizes a failed one is rebuilt from the line counts.
 
     The first two numbers among the sub-answers are line counts, one more than the cells.
     """
-    gathered = _gather(
-        attempts, subs=_slots("sub", range(max_steps), ["prompt"]), final=_slot("final", 0),
-        parser=F.min(F.when(F.col("pass_kind") == "final", F.col("parser"))),
-    ).where(F.col("final").isNotNull())
+    gathered = _gather(attempts, ["prompt"]).withColumn("subs", _of("sub")).withColumn("final", _first("final"))
+    gathered = gathered.where(F.col("final").isNotNull())
     lines = F.array_compact(_answers(F.col("subs")))
     rows, cols = (tx.to_int(F.get(lines, F.lit(i))) - 1 for i in (0, 1))
     rebuilt = F.when(
-        (F.col("task_name") == "counting_grid") & (F.col("parser") == "row_col")
+        (F.col("task_name") == "counting_grid") & (F.col("final.parser") == "row_col")
         & (rows > 0) & (cols > 0),
         F.concat(rows.cast("string"), F.lit(","), cols.cast("string")),
     )
-    # both arrays are put to one struct shape so that usage sums over all calls
-    everything = F.concat(
-        F.transform("subs", lambda c: c.dropFields("prompt")), F.array("final")
-    )
+    everything = F.concat(F.col("subs"), F.array("final"))
     return gathered.select(
-        "sample_id", "task_name", F.col("final.raw_response").alias("raw_response"),
-        F.coalesce(F.col("final.parsed_answer"), rebuilt).alias("parsed_answer"),
-        *_usage(everything), F.lit("decompose").alias("strategy"),
+        *_carried(gathered, "decompose"), F.col("final.raw_response").alias("raw_response"),
+        F.coalesce(F.col("final.parsed_answer"), rebuilt).alias("parsed_answer"), *_usage(everything),
         F.transform(
             "subs",
             lambda c: F.struct(
@@ -237,14 +250,14 @@ def decompose(attempts: DataFrame, max_steps: int = 4) -> DataFrame:
 
 def code_vision(attempts: DataFrame) -> DataFrame:
     """The final answer with the code and its output, each cut to 500 characters."""
-    gathered = _gather(
-        attempts, code=_slot("code", 0), output=_slot("output", 0), final=_slot("final", 0)
-    ).where(F.col("final").isNotNull())
+    gathered = _gather(attempts)
+    for kind in ("code", "output", "final"):
+        gathered = gathered.withColumn(kind, _first(kind))
+    gathered = gathered.where(F.col("final").isNotNull())
     used = F.array_compact(F.array("code", "final"))
     return gathered.select(
-        "sample_id", "task_name", F.col("final.raw_response").alias("raw_response"),
+        *_carried(gathered, "code_vision"), F.col("final.raw_response").alias("raw_response"),
         F.col("final.parsed_answer").alias("parsed_answer"), *_usage(used),
-        F.lit("code_vision").alias("strategy"),
         F.substring(code_text(F.col("code.raw_response")), 1, 500).alias("strategy_code"),
         F.substring(F.col("output.raw_response"), 1, 500).alias("strategy_code_output"),
         F.lit(3).alias("strategy_steps"),
@@ -261,33 +274,40 @@ def convergence_round(calls: Column) -> Column:
     return F.get(repeats, F.lit(0))
 
 
-def iterative_refine(attempts: DataFrame, max_rounds: int = 5) -> DataFrame:
+def convergence(attempts: DataFrame) -> DataFrame:
+    """The round in which each key's answers converged; keys that did not are left out."""
+    gathered = _gather(attempts).withColumn("rounds", _of("round"))
+    at = convergence_round(F.col("rounds")).cast("bigint")
+    return gathered.select(*_keys(attempts), at.alias("converged_round")).where(F.col("converged_round").isNotNull())
+
+
+def iterative_refine(attempts: DataFrame) -> DataFrame:
     """Rounds up to convergence; the answer is the last one that could be read."""
-    gathered = _gather(attempts, rounds=_slots("round", range(max_rounds))).where(
-        F.array_size("rounds") > 0
-    )
+    gathered = _gather(attempts).withColumn("rounds", _of("round")).where(F.array_size("rounds") > 0)
     stop = convergence_round(F.col("rounds"))
     kept = gathered.withColumn("stop", stop).withColumn(
         "kept", F.slice("rounds", F.lit(1), F.coalesce(F.col("stop"), F.array_size("rounds")))
     )
     answers = _answers(F.col("kept"))
     return kept.select(
-        "sample_id", "task_name",
+        *_carried(kept, "iterative_refine"),
         F.try_element_at("kept", F.lit(-1))["raw_response"].alias("raw_response"),
         F.try_element_at(F.array_compact(answers), F.lit(-1)).alias("parsed_answer"),
-        *_usage(F.col("kept")), F.lit("iterative_refine").alias("strategy"),
+        *_usage(F.col("kept")),
         F.array_size("kept").alias("strategy_rounds"),
         answers.alias("strategy_all_answers"),
         F.col("stop").isNotNull().alias("strategy_converged"),
     )
 
 
-def sketchpad(attempts: DataFrame, max_passes: int = 3) -> DataFrame:
-    """Passes up to the first that answers; a known tool call goes on to the next pass."""
-    gathered = _gather(
-        attempts, passes=_slots("pass", range(1, max_passes)),
-        parser=F.min(F.when(F.col("pass_kind") == "pass", F.col("parser"))),
-    ).where(F.array_size("passes") > 0)
+def sketchpad(attempts: DataFrame) -> DataFrame:
+    """Passes up to the first that answers; a known tool call goes on to the next pass.
+
+    Findings of the tools, where the table has them (``findings``), are joined over the passes used.
+    """
+    found = "findings" in attempts.columns
+    gathered = _gather(attempts, ["findings"] if found else None).withColumn("passes", _of("pass"))
+    gathered = gathered.where(F.array_size("passes") > 0).withColumn("parser", F.array_min(F.transform("passes", lambda c: c["parser"])))
     read = F.transform(
         "passes",
         lambda c: F.struct(
@@ -307,12 +327,12 @@ def sketchpad(attempts: DataFrame, max_passes: int = 3) -> DataFrame:
     last = F.get(F.col("read"), F.col("used") - 1)
     text = F.when(last["d"]["action"].isin("answer", "unknown"), last["d"]["value"]).otherwise(last["raw"])
     staged = staged.withColumn("text", text)
+    used = F.slice("passes", F.lit(1), F.col("used"))
+    findings = [F.array_join(F.transform(used, lambda c: c["findings"]), "\n").alias("strategy_findings")] if found else []
     return staged.select(
-        "sample_id", "task_name", F.col("text").alias("raw_response"),
-        parse_by_name(F.col("parser"), F.col("text")).alias("parsed_answer"),
-        *_usage(F.slice("passes", F.lit(1), F.col("used"))),
-        F.lit("sketchpad").alias("strategy"),
-        (F.col("used") + 1).alias("strategy_passes"),
+        *_carried(staged, "sketchpad"), F.col("text").alias("raw_response"),
+        parse_by_name(F.col("parser"), F.col("text")).alias("parsed_answer"), *_usage(used),
+        (F.col("used") + 1).alias("strategy_passes"), *findings,
     )
 
 
@@ -333,3 +353,32 @@ def adaptive(strategy_results: DataFrame) -> DataFrame:
         .withColumn("strategy_selected", F.col("strategy"))
         .withColumn("strategy", F.lit("adaptive"))
     )
+
+
+for _name, _fold in (
+    ("baseline", baseline), ("best_of_n", best_of_n), ("best_of_n_verify", best_of_n_verify), ("verify", verify),
+    ("crop_zoom", crop_zoom), ("decompose", decompose), ("code_vision", code_vision),
+    ("iterative_refine", iterative_refine), ("sketchpad", sketchpad),
+):
+    register_fold(_name, _fold)
+
+
+def fold_all(attempts: DataFrame, folds: dict[str, Fold] | None = None) -> DataFrame:
+    """Each strategy's calls folded by its own fold, in one table; fields a fold does not make are null.
+
+    A strategy without a fold fails the job, as leaving its samples out would go unseen.
+    """
+    folds = FOLDS if folds is None else folds
+    known = F.col("strategy").isin(*folds)
+    unknown = F.raise_error(F.concat(F.lit("no fold for strategy "), F.coalesce("strategy", F.lit("null"))))
+    checked = attempts.where(~F.coalesce(known, F.lit(False))).select("sample_id", unknown.cast("string").alias("strategy"))
+    parts = [fold(attempts.where(F.col("strategy") == name)) for name, fold in folds.items()]
+    out = parts[0]
+    for part in [*parts[1:], checked]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def fold_routed(attempts: DataFrame, folds: dict[str, Fold] | None = None) -> DataFrame:
+    """``adaptive`` from the calls themselves: only those of a task's routed strategy are folded."""
+    return adaptive(fold_all(attempts.where(F.col("strategy") == routed_strategy(F.col("task_name"))), folds))

@@ -63,9 +63,15 @@ def fld3(spark, sf_dir):
     )
 
 
-@query("fld4", sql("crop_zoom") + """, seen AS (SELECT *, CASE WHEN pass_kind = 'full' THEN 0 ELSE attempt_idx + 1 END AS pos FROM attempts),
+_SEEN = """, seen AS (SELECT *, CASE WHEN pass_kind = 'full' THEN 0 ELSE attempt_idx + 1 END AS pos FROM attempts),
   counted AS (SELECT sample_id, parsed_answer, count(*) AS c, min(pos) AS first FROM seen WHERE parsed_answer IS NOT NULL GROUP BY ALL),
   winner AS (SELECT sample_id, parsed_answer AS win FROM counted QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY c DESC, first) = 1)
+"""
+_ALL_CROPS = _SEEN + """ SELECT s.sample_id, CASE WHEN max(task_name) = 'hierarchy_depth' THEN coalesce(max(CAST(parsed_answer AS BIGINT))::VARCHAR, max(parsed_answer) FILTER (WHERE pos = 0)) ELSE max(win) END AS parsed_answer,
+   sum(latency_s) AS latency_s FROM seen s LEFT JOIN winner USING (sample_id) GROUP BY s.sample_id"""
+
+
+@query("fld4", sql("crop_zoom") + _SEEN + """
   SELECT s.sample_id, CASE WHEN max(task_name) = 'hierarchy_depth' THEN coalesce(max(CAST(parsed_answer AS BIGINT))::VARCHAR, max(parsed_answer) FILTER (WHERE pos = 0)) ELSE max(win) END AS parsed_answer,
    sum(latency_s) AS latency_s, string_agg(coalesce(parsed_answer, '-'), ',' ORDER BY pos) AS strategy_all_answers,
    max(parsed_answer) FILTER (WHERE pos = 0) AS strategy_full_answer FROM seen s LEFT JOIN winner USING (sample_id) GROUP BY s.sample_id""")
@@ -79,11 +85,14 @@ def fld4(spark, sf_dir):
 _CONFIRM = "regexp_matches(lower({0}), '" + "|".join(dims.CONFIRM_WORDS) + "')"
 
 
-@query("fld5", sql("verify") + f""", w AS (SELECT sample_id, max(parsed_answer) FILTER (WHERE pass_kind = 'full') AS p1, max(parsed_answer) FILTER (WHERE pass_kind = 'verify') AS p2,
+_VERIFIED = f"""WITH w AS (SELECT sample_id, max(parsed_answer) FILTER (WHERE pass_kind = 'full') AS p1, max(parsed_answer) FILTER (WHERE pass_kind = 'verify') AS p2,
    max(raw_response) FILTER (WHERE pass_kind = 'verify') AS r2, sum(latency_s) AS l_all, max(latency_s) FILTER (WHERE pass_kind = 'full') AS l_one FROM attempts GROUP BY sample_id),
    f AS (SELECT *, CASE WHEN p1 IS NULL THEN NULL WHEN p2 IS NOT NULL AND NOT {_CONFIRM.format('r2')} THEN p2 ELSE p1 END AS parsed_answer FROM w)
    SELECT sample_id, parsed_answer, p1 AS strategy_initial_answer, CASE WHEN p1 IS NOT NULL THEN {_CONFIRM.format('r2')} END AS strategy_verify_confirmed,
-   CASE WHEN p1 IS NOT NULL THEN parsed_answer <> p1 END AS strategy_final_changed, CASE WHEN p1 IS NULL THEN l_one ELSE l_all END AS latency_s FROM f""")
+   CASE WHEN p1 IS NOT NULL THEN parsed_answer <> p1 END AS strategy_final_changed, CASE WHEN p1 IS NULL THEN l_one ELSE l_all END AS latency_s FROM f"""
+
+
+@query("fld5", sql("verify") + " SELECT * FROM (" + _VERIFIED + ")")
 def fld5(spark, sf_dir):
     return folds.verify(fx.attempts(spark, sf_dir, "verify")).select(
         "sample_id", "parsed_answer", "strategy_initial_answer", "strategy_verify_confirmed",
@@ -125,9 +134,10 @@ def fld8(spark, sf_dir):
     )
 
 
-_ROUNDS = sql("iterative_refine") + """, l AS (SELECT *, lag(parsed_answer) OVER (PARTITION BY sample_id ORDER BY attempt_idx) AS before FROM attempts),
+_KEPT_ROUNDS = """, l AS (SELECT *, lag(parsed_answer) OVER (PARTITION BY sample_id ORDER BY attempt_idx) AS before FROM attempts),
    stop AS (SELECT sample_id, min(attempt_idx) AS stop_at FROM l WHERE attempt_idx >= 1 AND parsed_answer = before GROUP BY sample_id),
    kept AS (SELECT l.*, stop_at FROM l LEFT JOIN stop USING (sample_id) WHERE attempt_idx <= coalesce(stop_at, 99))"""
+_ROUNDS = sql("iterative_refine") + _KEPT_ROUNDS
 
 
 @query("fld9", _ROUNDS + """ SELECT sample_id, arg_max(parsed_answer, attempt_idx) FILTER (WHERE parsed_answer IS NOT NULL) AS parsed_answer, arg_max(raw_response, attempt_idx) AS raw_response,
@@ -142,9 +152,7 @@ def fld9(spark, sf_dir):
 @query("win7", _ROUNDS + " SELECT sample_id, (stop_at + 1)::BIGINT AS converged_round FROM stop")
 def win7(spark, sf_dir):
     rounds = fx.attempts(spark, sf_dir, "iterative_refine")
-    gathered = folds._gather(rounds, rounds=folds._slots("round", range(5)))
-    at = folds.convergence_round(F.col("rounds")).cast("bigint")
-    return gathered.select("sample_id", at.alias("converged_round")).where(F.col("converged_round").isNotNull())
+    return folds.convergence(rounds)
 
 
 _TOOLS = "(" + ", ".join(f"'{t}'" for t in dims.SKETCH_TOOLS) + ")"
@@ -184,9 +192,42 @@ def jn8(spark, sf_dir):
 
 @query("udf3", sql("best_of_n") + " SELECT sample_id, max(CAST(parsed_answer AS BIGINT))::VARCHAR AS parsed_answer FROM attempts GROUP BY sample_id")
 def udf3(spark, sf_dir):
-    """A strategy of the user's own: a fold is any aggregate over attempts."""
+    """A strategy of the user's own, registered by name: a fold is any aggregate over attempts."""
     largest = F.max(F.col("parsed_answer").try_cast("bigint")).cast("string")
-    return fx.attempts(spark, sf_dir, "best_of_n").groupBy("sample_id").agg(largest.alias("parsed_answer"))
+    own = {"largest": lambda df: df.groupBy("sample_id", "strategy").agg(largest.alias("parsed_answer"))}
+    attempts = fx.attempts(spark, sf_dir, "best_of_n").withColumn("strategy", F.lit("largest"))
+    return folds.fold_all(attempts, own).select("sample_id", "parsed_answer")
+
+
+def _fld_all_sql() -> str:
+    """Every strategy of one table folded apart: the rules of the queries above over more calls."""
+    last = {
+        "best_of_n": _VOTE.format(src="attempts") + " SELECT a.sample_id, max(win) AS parsed_answer, sum(latency_s) AS latency_s FROM attempts a LEFT JOIN winner USING (sample_id) GROUP BY a.sample_id",
+        "crop_zoom": _ALL_CROPS,
+        "decompose": """, w AS (SELECT sample_id, max(task_name) AS task_name, max(parsed_answer) FILTER (WHERE pass_kind = 'final') AS fin,
+           list(TRY_CAST(parsed_answer AS BIGINT) ORDER BY attempt_idx) FILTER (WHERE pass_kind = 'sub' AND parsed_answer IS NOT NULL) AS subs, sum(latency_s) AS latency_s FROM attempts GROUP BY sample_id)
+           SELECT sample_id, coalesce(fin, CASE WHEN task_name = 'counting_grid' AND subs[1] > 1 AND subs[2] > 1 THEN (subs[1] - 1)::VARCHAR || ',' || (subs[2] - 1)::VARCHAR END) AS parsed_answer, latency_s FROM w""",
+        "iterative_refine": _KEPT_ROUNDS + " SELECT sample_id, arg_max(parsed_answer, attempt_idx) FILTER (WHERE parsed_answer IS NOT NULL) AS parsed_answer, sum(latency_s) AS latency_s FROM kept GROUP BY sample_id",
+        "code_vision": " SELECT sample_id, max(parsed_answer) FILTER (WHERE pass_kind = 'final') AS parsed_answer, sum(latency_s) FILTER (WHERE pass_kind <> 'output') AS latency_s FROM attempts GROUP BY sample_id",
+        "verify": " SELECT sample_id, parsed_answer, latency_s FROM (" + _VERIFIED + ")",
+    }
+    return " UNION ALL ".join(
+        f"SELECT sample_id, '{name}' AS strategy, model, parsed_answer, latency_s FROM (WITH {fx.attempts_sql(name, fx.MANY_CALLS)}{rule}) JOIN (SELECT event_id::VARCHAR AS sample_id, 'm' || (event_id % 2)::VARCHAR AS model FROM events) USING (sample_id)"
+        for name, rule in last.items()
+    )
+
+
+@query("fld_all", _fld_all_sql())
+def fld_all(spark, sf_dir):
+    parts = [
+        fx.attempts(spark, sf_dir, name, fx.MANY_CALLS).withColumn("strategy", F.lit(name))
+        for name in ("best_of_n", "crop_zoom", "decompose", "iterative_refine", "code_vision", "verify")
+    ]
+    attempts = parts[0]
+    for part in parts[1:]:
+        attempts = attempts.unionByName(part)
+    attempts = attempts.withColumn("model", F.concat(F.lit("m"), (F.col("sample_id").cast("bigint") % 2).cast("string")))
+    return folds.fold_all(attempts).select("sample_id", "strategy", "model", "parsed_answer", "latency_s")
 
 
 # ---------------------------------------------------------------- model calls

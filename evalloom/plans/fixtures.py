@@ -216,6 +216,13 @@ CALLS = {
     "iterative_refine": [("round", i) for i in range(5)],
     "sketchpad": [("pass", 1), ("pass", 2)],
 }
+#: The same strategies with more calls than a run makes by default.
+MANY_CALLS = CALLS | {
+    "best_of_n": [("sample", i) for i in range(9)],
+    "crop_zoom": [("full", 0)] + [("crop", i) for i in range(6)],
+    "decompose": [("sub", i) for i in range(6)] + [("final", 0)],
+    "iterative_refine": [("round", i) for i in range(7)],
+}
 _ATTEMPT_STAGES: list[Stage] = [
     {
         "guess": "(truth + (event_id * 7 + attempt_idx * (1 + event_id % 3)) % 5 % 3) % 10",
@@ -264,10 +271,10 @@ ATTEMPT_COLUMNS = [
 ]
 
 
-def attempts(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+def attempts(spark: SparkSession, sf_dir: str, strategy: str, made: dict[str, list] = CALLS) -> DataFrame:
     """Calls of one strategy, with ``parsed_answer``."""
     calls = F.array(
-        *[F.struct(F.lit(k).alias("pass_kind"), F.lit(i).alias("attempt_idx")) for k, i in CALLS[strategy]]
+        *[F.struct(F.lit(k).alias("pass_kind"), F.lit(i).alias("attempt_idx")) for k, i in made[strategy]]
     )
     crossed = (
         derive(spread_table(spark, sf_dir, "events"), _ATTEMPT_BASE)
@@ -276,10 +283,10 @@ def attempts(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     return ev.extract_answers(derive(crossed, _ATTEMPT_STAGES, ATTEMPT_COLUMNS))
 
 
-def attempts_sql(strategy: str) -> str:
+def attempts_sql(strategy: str, made: dict[str, list] = CALLS) -> str:
     crossed = (
         f"(SELECT * FROM ({derive_sql('events', _ATTEMPT_BASE)}) CROSS JOIN "
-        f"{values_sql(CALLS[strategy], 'pass_kind, attempt_idx')})"
+        f"{values_sql(made[strategy], 'pass_kind, attempt_idx')})"
     )
     return f"""attempts AS (SELECT *, CASE parser WHEN 'integer' THEN {parse_integer_sql('raw_response')}
       WHEN 'row_col' THEN nullif(regexp_extract(raw_response, 'rows=(\\d+)', 1), '') || ',' ||

@@ -21,10 +21,10 @@ RESULTS = (
     " strategy_sub_questions int"
 )
 
-# One row per model call made for a sample. (sample_id, strategy, pass_kind,
-# attempt_idx) is the key, so a fold over one sample sees a bounded number of rows.
+# One row per model call made for a sample; (sample_id, strategy, model, pass_kind,
+# attempt_idx) names it.
 ATTEMPTS = (
-    "sample_id string, task_name string, parser string, strategy string,"
+    "sample_id string, task_name string, parser string, strategy string, model string,"
     " pass_kind string, attempt_idx int, prompt string, raw_response string,"
     " latency_s double, input_tokens bigint, output_tokens bigint"
 )

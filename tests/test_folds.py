@@ -1,5 +1,6 @@
 """Folding attempts, with canned calls."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalloom.operators import folds
@@ -48,15 +49,39 @@ def test_all_unreadable(spark):
     assert one(folds.majority_vote(df))["votes"] == 0
 
 
-def test_only_the_first_n_count(spark):
-    df = calls(spark, samples("{1}", "{2}", "{2}", "{2}"))
-    assert one(folds.best_of_n(df, n=2))["parsed_answer"] == "1"
+def test_every_call_counts(spark):
+    rows = samples(*["{5}"] * 7, *["{3}"] * 3)
+    assert one(folds.best_of_n(calls(spark, rows)))["parsed_answer"] == "5"
+    assert one(folds.majority_vote(calls(spark, rows)))["parsed_answer"] == "5"
 
 
-def test_repeated_calls_change_nothing(spark):
-    """A call stored many times fills one slot."""
+def test_repeated_calls_are_calls(spark):
+    """Rows of one kind and index count each, by the same rule in both votes."""
     rows = samples("{1}", "{2}", "{1}")
-    assert one(folds.best_of_n(calls(spark, rows + rows[1:2] * 50)))["parsed_answer"] == "1"
+    df = calls(spark, rows + rows[1:2] * 50)
+    got = one(folds.best_of_n(df))
+    assert (got["parsed_answer"], got["strategy_n"]) == ("2", 53) and one(folds.majority_vote(df))["votes"] == 51
+
+
+def test_strategies_and_models_stay_apart(spark):
+    one_table = calls(spark, samples("{1}", "{1}", "{2}")).withColumn("strategy", F.lit("best_of_n")).unionByName(
+        calls(spark, samples("{0}", "{0}", "{0}") + [("a", "verify", 0, "yes")]).withColumn("strategy", F.lit("best_of_n_verify"))
+    )
+    df = one_table.withColumn("model", F.lit("m1")).unionByName(one_table.withColumn("model", F.lit("m2")))
+    got = {(r["strategy"], r["model"]): r["parsed_answer"] for r in folds.fold_all(df).collect()}
+    assert got == {(s, m): a for s, a in (("best_of_n", "1"), ("best_of_n_verify", "0")) for m in ("m1", "m2")}
+    voted = {(r["strategy"], r["model"]): r["votes"] for r in folds.majority_vote(df.where("pass_kind = 'sample'")).collect()}
+    assert voted[("best_of_n", "m1")] == 2 and voted[("best_of_n_verify", "m2")] == 3
+    assert "SortAggregate" not in folds.best_of_n(df)._jdf.queryExecution().toString()
+
+
+def test_registered_folds(spark):
+    df = calls(spark, samples("{4}", "{9}")).withColumn("strategy", F.lit("largest"))
+    largest = F.max(F.col("parsed_answer").try_cast("bigint")).cast("string")
+    own = {"largest": lambda d: d.groupBy("sample_id", "strategy").agg(largest.alias("parsed_answer"))}
+    assert one(folds.fold_all(df, {**folds.FOLDS, **own}))["parsed_answer"] == "9"
+    with pytest.raises(Exception, match="no fold for strategy largest"):
+        folds.fold_all(df).collect()
 
 
 def verify(spark, first, second):
