@@ -29,12 +29,14 @@ def _with_text(docs: DataFrame, changed: Column, text: Column) -> list[Column]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity reaches ``TOXIC``, by a model fitted to the labels beside them."""
+    common.text_batches(spark)
     rated = toxicity.rate(docs, common.table(spark, sf_dir, "labels"), score_col="_pipeline_score")
     return rated.where(F.col("_pipeline_score") < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates keeps one: that of the smallest id, or the first read where ids are null or equal."""
+    common.text_batches(spark)
     rows = stored(docs.withColumn("_pipeline_row", F.monotonically_increasing_id()), "pipeline-rows")
     found = simhash_dedup.near_duplicates(rows, id_col="_pipeline_row").select(F.col("doc_id").alias("_r"), "component_id")
     ids = rows.select("_pipeline_row", F.col("doc_id").alias("_id")).join(found, F.col("_pipeline_row") == F.col("_r"))
@@ -59,6 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in sequences of 2048 tokens."""
+    common.text_batches(spark)
     return packing.pack(packing.pieces(docs, public_tokenizers.path(TOKENIZER)))
 
 

@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Has texts go to Python tasks by so many rows at a time, a few MB, instead of by the session's 10,000.
+
+    The batches are held on both sides at once, so this bounds what a task needs beside the heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; of null or blank text, an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
