@@ -39,7 +39,8 @@ _KEYS = 1 << 40
 
 @dataclass
 class Mix:
-    documents: DataFrame  # row, doc_id, size, sid and the kept columns: one row per document
+    kept: DataFrame  # row, size and the kept columns: one row per document
+    documents: DataFrame  # row, doc_id, size, sid: one row per document
     sources: DataFrame  # sid, source, n_docs, source_size, weight, target, and what is drawn
     rows: DataFrame  # row, shard, position, epoch, first_word, words: the mixture
 
@@ -216,7 +217,7 @@ def mix(
     sources = stored(known.mapInPandas(_drawn(block), schema), "mix-draws")
 
     documents = stored(
-        sized.join(
+        sized.select("row", "_id", "_source", "size").join(
             sources.select("sid", "n_docs", F.col("source").alias("_s")), F.col("_source").eqNullSafe(F.col("_s"))
         ).drop("_s")
         .withColumn("_key", F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(_KEYS)))
@@ -259,7 +260,7 @@ def mix(
     rows = rows.withColumn("position", F.row_number().over(shuffled) - 1).select(
         "row", "shard", "position", "epoch", "first_word", "words"
     )
-    return Mix(documents, sources, rows)
+    return Mix(sized.drop("_id", "_source"), documents, sources, rows)
 
 
 def taken_words(mixed: Mix) -> DataFrame:
@@ -286,7 +287,7 @@ def mixed_documents(
     text = F.col(f"`_kept_{text_col}`")
     parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0))
     cut = F.array_join(F.slice(parts, (F.col("first_word") + 1).cast("int"), F.col("words").cast("int")), "")
-    joined = mixed.documents.join(places, F.col("row") == F.col("r"))
+    joined = mixed.kept.join(places, F.col("row") == F.col("r"))
     opened = joined.select("size", *[f"_kept_{c}" for c in columns], F.inline("places"))
     return opened.select(
         *[(F.when(F.col("words") == F.col("size"), text).otherwise(cut) if c == text_col else F.col(f"`_kept_{c}`")).alias(c) for c in columns],

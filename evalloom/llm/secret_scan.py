@@ -113,9 +113,9 @@ def scan(
 
     A span is live when at most ``max_owners`` owners hold its value; ``all_spans`` adds
     the live loose ones to the base spans. Columns of ``docs`` with these names are
-    replaced; repeated rows are scanned one by one. The texts are scanned once, into a
-    stored table, where ``keep_text=False`` leaves them out; of the documents only those
-    with candidates are shuffled.
+    replaced; repeated rows are scanned one by one. Only documents with candidates are
+    shuffled. They are stored, and the others, if their texts are kept, are scanned again in
+    the end rather than copied; with ``keep_text=False`` all are stored without their texts.
     """
     docs = docs.drop(*names, "_row", "_base", "_loose", "_owner", "_repo", "_key", "_spans")
     kept = docs.columns
@@ -125,11 +125,14 @@ def scan(
         .withColumn("_row", F.monotonically_increasing_id()),
         text_col,
     )
-    if not keep_text:
-        kept = [c for c in kept if c != text_col]
-        scanned = scanned.drop(text_col)
-    scanned = stored(scanned, "secret-candidates")
     holds = (F.size("_base") > 0) | (F.size("_loose") > 0)
+    if keep_text:
+        plain = scanned.where(~holds)
+        scanned = stored(scanned.where(holds), "secret-candidates")
+    else:
+        kept = [c for c in kept if c != text_col]
+        scanned = stored(scanned.drop(text_col), "secret-candidates")
+        plain = scanned.where(~holds)
     each = (
         scanned.where(holds)
         .select("_row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.inline(F.concat("_base", "_loose")))
@@ -156,7 +159,7 @@ def scan(
         )
     )
     none = F.array().cast(kind)
-    without = scanned.where(~holds).select(*[F.col(f"`{c}`") for c in kept], none.alias(names[0]), none.alias(names[1]))
+    without = plain.select(*[F.col(f"`{c}`") for c in kept], none.alias(names[0]), none.alias(names[1]))
     return without.unionByName(with_any)
 
 
