@@ -7,6 +7,7 @@ does not grow with the data.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --- fixed values: task, perception demand, reasoning demand, category ----------
 TAXONOMY = [
@@ -303,13 +304,11 @@ SKETCH_PROMPT = (
 
 
 def inline_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
-    """A table of literals. It is part of the plan, so its size is known to the optimizer."""
+    """A table of literals, which are part of the plan."""
 
-    def shown(value: object) -> str:
-        return f"'{value}'" if isinstance(value, str) else str(value)
-
-    listed = ", ".join("(" + ", ".join(shown(v) for v in row) + ")" for row in rows)
-    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({columns})")
+    names = columns.split(", ")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+    return spark.range(1).select(F.inline(listed))
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:

@@ -307,8 +307,7 @@ def pass_at_k(attempts: DataFrame, by: list[str], k: int) -> DataFrame:
 def confusion(results: DataFrame) -> DataFrame:
     """Counts per task of (predicted, truth) for integer answers, with the marginals.
 
-    Only cells that occur are listed; the square zero-filled table is a pivot over
-    labels (``confusion_table``). Tasks with fewer than 5 pairs or a non-integer
+    Only cells that occur are listed; ``confusion_table`` has the square. Tasks with fewer than 5 pairs or a non-integer
     truth or answer are left out.
     """
     answered = F.col("answered")
@@ -328,15 +327,19 @@ def confusion(results: DataFrame) -> DataFrame:
     return counted.join(fit, "task_name", "left_semi")
 
 
-def confusion_table(results: DataFrame, labels: list[int]) -> DataFrame:
-    """Square table per task, one column per label, zero where nothing was counted.
+def confusion_table(results: DataFrame) -> DataFrame:
+    """Square table per task in long form: every pair of its labels, zero where nothing was counted.
 
-    ``labels`` is the caller's label set, so the width is known before the job runs.
+    The labels of a task are all that occur in it, as truth or as prediction.
     """
     cells = confusion(results)
-    shown = F.explode(F.array(*[F.lit(v).cast("bigint") for v in labels]))
-    rows = cells.select("task_name").distinct().select("task_name", shown.alias("predicted"))
-    wide = cells.groupBy("task_name", "predicted").pivot("truth", labels).agg(F.sum("n"))
-    names = {str(v): f"truth_{v}" for v in labels}
-    wide = wide.withColumnsRenamed(names)
-    return rows.join(wide, ["task_name", "predicted"], "left").fillna(0, list(names.values()))
+    labels = cells.select("task_name", F.explode(F.array("predicted", "truth")).alias("label")).groupBy("task_name").agg(
+        F.array_sort(F.collect_set("label")).alias("labels")
+    )
+    square = labels.select("task_name", "labels", F.explode("labels").alias("predicted")).select(
+        "task_name", "predicted", F.explode("labels").alias("truth")
+    )
+    counted = cells.select("task_name", "predicted", "truth", "n")
+    return square.join(counted, ["task_name", "predicted", "truth"], "left").select(
+        "task_name", "predicted", "truth", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
+    )

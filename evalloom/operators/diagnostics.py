@@ -264,13 +264,16 @@ def report_json(prof: DataFrame) -> DataFrame:
     return report(prof).select(F.to_json(F.struct("*")).alias("report"))
 
 
-def add_rewards(episodes: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One reward column per registered reward."""
-    chosen = names or list(rewards.REWARDS)
+def add_rewards(
+    episodes: DataFrame, names: list[str] | None = None, registry: dict[str, rewards.RewardColumn] | None = None
+) -> DataFrame:
+    """One reward column per reward of the registry, or of the chosen names in it."""
+    registry = rewards.REWARDS if registry is None else registry
+    chosen = names or list(registry)
     return with_fields(
         episodes,
         **{
-            f"reward_{name}": rewards.REWARDS[name](F.col("response"), F.col("ground_truth"))
+            f"reward_{name}": registry[name](F.col("response"), F.col("ground_truth"))
             for name in chosen
         },
     )

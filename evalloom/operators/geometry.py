@@ -12,7 +12,7 @@ PARALLEL = 1e-10
 _SLACK = 1e-6
 
 
-def _grid(segments: DataFrame, keys: list[str], max_cells: int) -> DataFrame:
+def _grid(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Bounds and grid width of each figure, from one aggregate."""
     x_low, x_high = F.least("x1", "x2"), F.greatest("x1", "x2")
     y_low, y_high = F.least("y1", "y2"), F.greatest("y1", "y2")
@@ -20,7 +20,7 @@ def _grid(segments: DataFrame, keys: list[str], max_cells: int) -> DataFrame:
         F.min(x_low).alias("gx"), F.max(x_high).alias("gx2"),
         F.min(y_low).alias("gy"), F.max(y_high).alias("gy2"), F.count("*").alias("gn"),
     )
-    side = F.least(F.greatest(F.ceil(F.sqrt("gn") / 2), F.lit(1)), F.lit(max_cells))
+    side = F.greatest(F.ceil(F.sqrt("gn") / 2), F.lit(1))
     return stats.select(
         *keys, "gx", "gy", side.cast("bigint").alias("cells"),
         (F.greatest(F.col("gx2") - F.col("gx"), F.lit(1e-9)) / side).alias("cw"),
@@ -37,9 +37,7 @@ def _cells(low: Column, high: Column, origin: str, width: str) -> Column:
     return F.sequence(cell(low - slack), cell(high + slack))
 
 
-def crossing_segments(
-    segments: DataFrame, keys: list[str], max_cells: int = 256
-) -> DataFrame:
+def crossing_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of segments of one figure that cross well inside both.
 
     ``segments``: keys, ``edge`` (number), ``x1, y1, x2, y2``. Each segment is put in
@@ -47,7 +45,7 @@ def crossing_segments(
     a figure with a third of all segments is spread over its cells. A pair is kept in
     the one cell that holds its crossing point, which makes the result free of repeats.
     """
-    placed = segments.join(_grid(segments, keys, max_cells), keys)
+    placed = segments.join(_grid(segments, keys), keys)
     x_low, x_high = F.least("x1", "x2"), F.greatest("x1", "x2")
     columns = placed.withColumn("cx", F.explode(_cells(x_low, x_high, "gx", "cw")))
     left = F.col("gx") + F.col("cx") * F.col("cw") - F.col("cw") * _SLACK

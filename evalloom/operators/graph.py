@@ -12,22 +12,21 @@ from pyspark.sql import functions as F
 from evalloom.storage import stored
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Every ``(start, node)`` with a path from start to node, start included.
 
     Only pairs not met before are walked on, so shared paths are followed once and
-    cycles end.
+    cycles end; the walk goes on until no pair is new, however long the paths are.
     """
     steps = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
     frontier = stored(starts.select("start", F.col("start").alias("node")).distinct(), "reach")
     found = frontier
-    for _ in range(max_rounds):
+    while True:
         onward = frontier.join(steps, "node").select("start", F.col("dst").alias("node")).distinct()
         frontier = stored(onward.join(found, ["start", "node"], "left_anti"), "reach")
         if frontier.isEmpty():
             return found
         found = found.unionByName(frontier)
-    raise RuntimeError(f"paths are longer than {max_rounds} edges")
 
 
 def reachable_terminals(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -38,18 +37,19 @@ def reachable_terminals(edges: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def tree_depth(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def tree_depth(nodes: DataFrame) -> DataFrame:
     """Number of levels of each tree, from ``(tree, node, parent)`` with null parents at roots.
 
     Every node keeps a pointer to an ancestor and the distance to it. A round replaces
-    the pointer by the ancestor's own, so depth d takes about log2(d) rounds.
+    the pointer by the ancestor's own, so depth d takes about log2(d) rounds. Nodes that still
+    move after as many rounds as the number of all nodes allows lie on a cycle.
     """
     first = nodes.select(
         "tree", "node", F.col("parent").alias("up"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
     )
     state = stored(first, "depth")
-    for _ in range(max_rounds):
+    for _ in range(state.count().bit_length() + 1):
         moving = state.where(F.col("up").isNotNull())
         if moving.isEmpty():
             return state.groupBy("tree").agg((F.max("dist") + 1).alias("depth"))
@@ -62,4 +62,4 @@ def tree_depth(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
             (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
         )
         state = stored(state.where(F.col("up").isNull()).unionByName(moved), "depth")
-    raise RuntimeError("parent links form a cycle or a tree is too deep")
+    raise RuntimeError("parent links form a cycle")

@@ -10,13 +10,32 @@ from evalloom.operators.accuracy import is_correct
 _NOT_SCALAR = ("STRING", "ARRAY", "OBJECT")
 
 
-def flatten_params(results: DataFrame, depth: int = 3) -> DataFrame:
+def nesting(results: DataFrame) -> int:
+    """How many levels of objects stand below the top of ``params``, at most over all rows."""
+    shape = F.schema_of_variant(F.try_parse_json("params"))
+    marks = F.regexp_extract_all(shape, F.lit("(OBJECT<|ARRAY<|>)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(level, mark):
+        now = level["now"] + F.when(mark == ">", -1).otherwise(1)
+        return F.struct(now.alias("now"), F.greatest(level["most"], now).alias("most"))
+
+    # quoted names may hold these marks themselves; the number of objects is a bound then
+    levels = F.when(F.contains(shape, F.lit("`")), F.regexp_count(shape, F.lit("OBJECT<"))).otherwise(
+        F.aggregate(marks, start, step, lambda level: level["most"])
+    )
+    return max((results.agg(F.max(levels)).first()[0] or 0) - 1, 0)
+
+
+def flatten_params(results: DataFrame, depth: int | None = None) -> DataFrame:
     """Long form of ``params``: one row per leaf, nested names joined by dots.
 
-    Values stay variants, so their JSON type is kept. ``depth`` is how many levels of
-    nested objects are opened; lists stay whole.
+    Values stay variants, so their JSON type is kept. Objects are opened at every level, however
+    deep, and lists stay whole. A pass over ``params`` finds the depth unless the caller
+    knows it; each level is opened within the row, without a shuffle.
     """
     spark = results.sparkSession
+    depth = nesting(results) if depth is None else depth
     # a null parameter still names a column, so variant nulls are kept as rows
     long = results.withColumn("_v", F.try_parse_json("params")).lateralJoin(
         spark.tvf.variant_explode(F.col("_v").outer())
@@ -34,7 +53,7 @@ def flatten_params(results: DataFrame, depth: int = 3) -> DataFrame:
     return long
 
 
-def param_strings(results: DataFrame, depth: int = 3) -> DataFrame:
+def param_strings(results: DataFrame, depth: int | None = None) -> DataFrame:
     """``flatten_params`` with the value as text and its JSON type beside it."""
     flat = flatten_params(results, depth)
     kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)

@@ -21,19 +21,26 @@ def task_matrix(
 ) -> DataFrame:
     """One row per image task, one accuracy column per strategy or model.
 
-    The names are given, so no extra job finds them. ``missing`` fills empty cells.
+    The names are given, so no extra job finds them; a name in the data that is not among
+    them fails the job instead of going unseen. ``missing`` fills empty cells.
     """
+    unlisted = F.raise_error(F.concat(F.lit(f"not a listed {across}: "), F.col(across)))
+    known = F.when(F.col(across).isNull() | F.col(across).isin(*names), F.col(across)).otherwise(unlisted)
     wide = (
-        _percent(image_tasks_only(results), "task_name", across)
+        _percent(image_tasks_only(results), "task_name", across).withColumn(across, known)
         .groupBy("task_name").pivot(across, names).agg(F.max("acc"))
     )
     return wide if missing is None else wide.fillna(missing, names)
 
 
 def best_strategies(results: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Best strategy per image task; ties go to the earlier name. Delta against baseline."""
+    """Best strategy per image task; ties go to the earlier name. Delta against baseline.
+
+    Strategies that are not among the names take part too, behind them in ties.
+    """
     ranks = F.broadcast(dims.strategy_ranks(results.sparkSession, names))
-    acc = _percent(image_tasks_only(results), "task_name", "strategy").join(ranks, "strategy")
+    acc = _percent(image_tasks_only(results).where("strategy IS NOT NULL"), "task_name", "strategy").join(ranks, "strategy", "left")
+    acc = acc.withColumn("rank", F.coalesce("rank", F.lit(len(names or dims.STRATEGIES))))
     best = F.max(F.struct("acc", (-F.col("rank")).alias("order"), "strategy"))
     baseline = F.max(F.when(F.col("strategy") == "baseline", F.col("acc")))
     return (
@@ -72,11 +79,14 @@ def strategy_means(results: DataFrame) -> DataFrame:
 def strategy_task_means(
     results: DataFrame, tasks: list[str], names: list[str]
 ) -> DataFrame:
-    """Mean over a fixed task list per strategy; a missing task counts as 0."""
+    """Mean over a fixed task list per strategy; a missing task counts as 0.
+
+    Listed strategies without results get 0, and strategies with results need not be listed.
+    """
     acc = _percent(results.where(F.col("task_name").isin(*tasks)), "task_name", "strategy")
     sums = acc.groupBy("strategy").agg((F.sum("acc") / len(tasks)).alias("mean_acc"))
-    listed = F.broadcast(dims.strategy_ranks(results.sparkSession, names))
-    means = listed.join(sums, "strategy", "left").select(
+    listed = dims.strategy_ranks(results.sparkSession, names)
+    means = listed.join(sums.where("strategy IS NOT NULL"), "strategy", "full").select(
         "strategy", F.coalesce("mean_acc", F.lit(0.0)).alias("mean_acc")
     )
     return _with_baseline_delta(means).orderBy("delta", "strategy")
@@ -113,28 +123,38 @@ def routing_gain(
     )
 
 
-def model_agreement(results: DataFrame, first: str, second: str, base: str) -> DataFrame:
-    """Who is right on the same sample: two models of one family against a base model.
-
-    The runs are folded by ``sample_id`` with conditional aggregates, which is one
-    shuffle in place of two joins. A sample missing in a run counts as wrong there;
-    samples missing in the base run are left out. ``rest`` are the samples the base
-    model shares with exactly one of the two.
-    """
+def _side_by_side(results: DataFrame, first: str, second: str, base: str) -> DataFrame:
+    """``task_name, a, b, c``: who is right on each sample and task of the base run."""
     model = F.col("model")
 
     def right(name: str) -> Column:
         return F.coalesce(F.max(F.when(model == name, is_correct())), F.lit(False))
 
-    per_sample = (
+    # the task is a key, so that only flags are aggregated
+    return (
         results.where(model.isin(first, second, base))
-        .groupBy("sample_id")
-        .agg(
-            F.max(F.when(model == base, F.col("task_name"))).alias("task_name"),
-            right(first).alias("a"), right(second).alias("b"), right(base).alias("c"),
-        )
-        .where(F.col("task_name").isNotNull())
+        .groupBy("sample_id", "task_name")
+        .agg(F.count_if(model == base).alias("n_base"), right(first).alias("a"), right(second).alias("b"), right(base).alias("c"))
+        .where(F.col("n_base") > 0)
     )
+
+
+def right_answers(results: DataFrame, first: str, second: str, base: str) -> DataFrame:
+    """How many of the base run's samples each of two other runs has right, per task."""
+    return _side_by_side(results, first, second, base).groupBy("task_name").agg(
+        F.count_if("a").alias("a_right"), F.count_if("b").alias("b_right"), F.count("*").alias("n")
+    )
+
+
+def model_agreement(results: DataFrame, first: str, second: str, base: str) -> DataFrame:
+    """Who is right on the same sample: two models of one family against a base model.
+
+    The runs are folded by sample and task with conditional aggregates of flags, which is
+    one shuffle in place of two joins. A sample missing in a run counts as wrong there;
+    samples missing in the base run are left out. ``rest`` are the samples the base
+    model shares with exactly one of the two.
+    """
+    per_sample = _side_by_side(results, first, second, base)
     a, b, c = F.col("a"), F.col("b"), F.col("c")
 
     def share(condition: Column) -> Column:

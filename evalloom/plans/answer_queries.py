@@ -68,7 +68,7 @@ TEXTS = {
 
 
 def texts(spark, sf_dir, parser):
-    return fx.spread_table(spark, sf_dir, "orders").selectExpr(
+    return fx.table(spark, sf_dir, "orders").selectExpr(
         "CAST(o_orderkey AS STRING) AS sample_id", f"{TEXTS[parser]} AS raw_response", f"'{parser}' AS parser"
     )
 
@@ -169,7 +169,7 @@ def mixed_answers(spark, sf_dir):
     """All parsers in one table, and one name that is not registered."""
     named = TEXTS | {"nobody_knows": TEXTS["integer"]}
     arms = " ".join(f"WHEN '{name}' THEN {made}" for name, made in named.items())
-    each = fx.spread_table(spark, sf_dir, "orders").select(
+    each = fx.table(spark, sf_dir, "orders").select(
         "*", F.explode(F.array(*[F.lit(name) for name in named])).alias("parser")
     )
     return each.selectExpr(
@@ -213,7 +213,7 @@ PAIRS = {
 def pairs(spark, sf_dir, scorer):
     """Answer and truth pairs; every thirteenth answer is missing."""
     answer, truth = PAIRS[scorer]
-    return fx.spread_table(spark, sf_dir, "orders").selectExpr(
+    return fx.table(spark, sf_dir, "orders").selectExpr(
         "CAST(o_orderkey AS STRING) AS sample_id",
         f"CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE {answer} END AS parsed_answer",
         f"{truth} AS ground_truth", f"'{scorer}' AS scorer",
@@ -322,7 +322,7 @@ _ESCORER = "CASE WHEN o_orderkey % 5 = 3 THEN 'set_match' ELSE 'exact_match' END
 
 
 def labelled_pairs(spark, sf_dir):
-    return fx.spread_table(spark, sf_dir, "orders").selectExpr(
+    return fx.table(spark, sf_dir, "orders").selectExpr(
         "CAST(o_orderkey AS STRING) AS sample_id", f"{_ETASK} AS task_name", f"{_ESCORER} AS scorer",
         f"{_EGOT} AS parsed_answer", f"{_EWANT} AS ground_truth",
     )
@@ -366,7 +366,7 @@ _REPLY = _mixed(
    CASE k WHEN 0 THEN 'crop_and_enhance' WHEN 1 THEN 'count_line_transitions' WHEN 2 THEN r || chr(10) || 'bye' WHEN 3 THEN 'plain words' WHEN 4 THEN 'detect_boxes' WHEN 5 THEN u ELSE 'other_tool' END AS value,
    CASE k WHEN 0 THEN 'region=center' WHEN 1 THEN 'axis=' || lower(u) || ';n=' || r WHEN 4 THEN '' WHEN 6 THEN 'arg=' || l END AS args FROM t""")
 def par11(spark, sf_dir):
-    rows = fx.spread_table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS STRING) AS sample_id", f"{_REPLY} AS x")
+    rows = fx.table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS STRING) AS sample_id", f"{_REPLY} AS x")
     d = directives.directive(F.col("x"))
     shown = F.array_join(
         F.transform(F.array_sort(F.map_entries("d.args")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"
@@ -383,7 +383,7 @@ _CODE = _mixed(
 @query("par12", f"""WITH t AS (SELECT CAST(o_orderkey AS STRING) AS sample_id, {_CODE} AS x FROM orders) SELECT sample_id,
    CASE WHEN regexp_matches(x, '(?s)```(?:python)?\\s*\\n(.*?)```') THEN trim(regexp_extract(x, '(?s)```(?:python)?\\s*\\n(.*?)```', 1), chr(10) || ' ') ELSE trim(x) END AS code FROM t""")
 def par12(spark, sf_dir):
-    rows = fx.spread_table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS STRING) AS sample_id", f"{_CODE} AS x")
+    rows = fx.table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS STRING) AS sample_id", f"{_CODE} AS x")
     return rows.select("sample_id", directives.code_text(F.col("x")).alias("code"))
 
 
@@ -396,7 +396,7 @@ _ASK = _mixed(
 
 
 def asked(spark, sf_dir):
-    return fx.spread_table(spark, sf_dir, "orders").selectExpr(
+    return fx.table(spark, sf_dir, "orders").selectExpr(
         "CAST(o_orderkey AS STRING) AS sample_id", f"{_ASK_TASK} AS task_name", f"{_ASK} AS prompt"
     )
 

@@ -83,11 +83,8 @@ query("rwd9", E + f" SELECT episode_id, {_TOOL} AS reward FROM episodes")(
 @query("udf4", E + " SELECT episode_id, length(response)::DOUBLE AS reward_brief FROM episodes")
 def udf4(spark, sf_dir):
     """A reward of the user's own, added by name."""
-    rewards.REWARDS["brief"] = lambda response, truth: F.length(response).cast("double")
-    try:
-        return dg.add_rewards(fx.episodes(spark, sf_dir), ["brief"]).select("episode_id", "reward_brief")
-    finally:
-        del rewards.REWARDS["brief"]
+    own = {"brief": lambda response, truth: F.length(response).cast("double")}
+    return dg.add_rewards(fx.episodes(spark, sf_dir), registry=own).select("episode_id", "reward_brief")
 
 
 # ---------------------------------------------------------------- checks

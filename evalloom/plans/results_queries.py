@@ -511,11 +511,12 @@ def agg7(spark, sf_dir):
     return acc.confusion(fx.results(spark, sf_dir))
 
 
-@query("agg7_table", _CELLS + ", shown AS (SELECT DISTINCT task_name, p AS predicted FROM cells, range(12) r(p)) SELECT task_name, predicted, "
-       + ", ".join(f"coalesce(sum(n) FILTER (WHERE truth = {v}), 0)::BIGINT AS truth_{v}" for v in range(12))
-       + " FROM shown LEFT JOIN cells USING (task_name, predicted) GROUP BY task_name, predicted")
+@query("agg7_table", _CELLS + """, fit AS (SELECT * FROM cells WHERE task_name IN (SELECT task_name FROM cells GROUP BY task_name HAVING sum(n) >= 5)),
+   labels AS (SELECT task_name, predicted AS label FROM fit UNION SELECT task_name, truth FROM fit)
+   SELECT a.task_name, a.label AS predicted, b.label AS truth, coalesce(n, 0)::BIGINT AS n FROM labels a JOIN labels b USING (task_name)
+   LEFT JOIN fit f ON f.task_name = a.task_name AND f.predicted = a.label AND f.truth = b.label""")
 def agg7_table(spark, sf_dir):
-    return acc.confusion_table(fx.results(spark, sf_dir), list(range(12)))
+    return acc.confusion_table(fx.results(spark, sf_dir))
 
 
 @query("agg8", R + """ SELECT task_name, sum(error)::DOUBLE / count(error) AS mean_error, (count(*) FILTER (WHERE error > 0))::DOUBLE / count(error) AS overcount_rate,
@@ -647,19 +648,8 @@ def agg27(spark, sf_dir):
 
 @query("jn7", _AGREE + " SELECT task_name, count(*) FILTER (WHERE a) AS a_right, count(*) FILTER (WHERE b) AS b_right, count(*) AS n FROM s GROUP BY task_name")
 def jn7(spark, sf_dir):
-    """The same three runs as two left joins from the base run."""
-    rows = agreeing(spark, sf_dir)
-
-    def run(model, name):
-        return rows.where(F.col("model") == model).select("sample_id", F.col("correct").alias(name))
-
-    base = rows.where(F.col("model") == "m0").select("sample_id", "task_name")
-    joined = base.join(run("m1", "a"), "sample_id", "left").join(run("m2", "b"), "sample_id", "left")
-    return joined.groupBy("task_name").agg(
-        F.count_if(F.coalesce("a", F.lit(False))).alias("a_right"),
-        F.count_if(F.coalesce("b", F.lit(False))).alias("b_right"),
-        F.count("*").alias("n"),
-    )
+    """The three runs side by side, by conditional aggregates over one scan."""
+    return st.right_answers(agreeing(spark, sf_dir), "m1", "m2", "m0")
 
 
 def repeats(spark, sf_dir):
