@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,26 +51,77 @@ def pending(manifest: DataFrame, completed: DataFrame) -> DataFrame:
     return manifest.join(completed.select("sample_id").distinct(), "sample_id", "left_anti")
 
 
+def _with_errors(model: Callable[[pd.DataFrame], pd.DataFrame], names: list[str]):
+    """The model over batches; where it raises on one, its rows are tried alone, and those that fail become error rows."""
+
+    def attempt(batch: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return model(batch).assign(error_message=None)
+        except Exception as error:  # noqa: BLE001  any failed call is a row of the result, not the end of the run
+            if len(batch) > 1:
+                return pd.concat([attempt(batch.iloc[[i]]) for i in range(len(batch))])
+            return pd.DataFrame({"sample_id": batch["sample_id"], "error_message": f"{type(error).__name__}: {error}"})
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield attempt(batch).reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+
+    return call
+
+
 def run_model(
     manifest: DataFrame,
     completed: DataFrame | None,
     model: Callable[[pd.DataFrame], pd.DataFrame],
     response_schema: T.StructType | str,
-    partitions: int = 10,
+    rows_per_task: int = 2_000,
 ) -> DataFrame:
     """Call a user function over the unfinished rows, a batch at a time.
 
-    ``partitions`` bounds how many calls run at once. The function gets a pandas
-    batch of manifest rows and returns rows of ``response_schema``. Write the
-    outcome before using it twice: a lost executor repeats its batches.
+    The function gets a pandas batch of manifest rows and returns rows of
+    ``response_schema``, which ``error_message`` is added to: a call that raises gives a row with
+    its message and no answer. Tasks hold ``rows_per_task`` rows, so that a lost one
+    repeats little; how many run at once is up to the executors' cores.
     """
     todo = manifest if completed is None else pending(manifest, completed)
+    schema = response_schema if isinstance(response_schema, T.StructType) else T.StructType.fromDDL(response_schema)
+    fields = [f for f in schema.fields if f.name != "error_message"]
+    schema = T.StructType([*fields, T.StructField("error_message", T.StringType())])
+    tasks = max(1, -(-todo.count() // rows_per_task))
+    return todo.repartition(tasks).mapInPandas(_with_errors(model, schema.names), schema)
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield model(batch)
 
-    return todo.repartition(partitions).mapInPandas(call, response_schema)
+def run_to(
+    manifest: DataFrame,
+    path: str,
+    model: Callable[[pd.DataFrame], pd.DataFrame],
+    response_schema: T.StructType | str,
+    rows_per_wave: int = 1_000_000,
+    rows_per_task: int = 2_000,
+) -> DataFrame:
+    """Run the model over the manifest rows that ``path`` (Parquet) has no result for, append, and read all results.
+
+    The backlog goes in waves by a hash of ``sample_id``, each appended when it is done, so a run
+    that breaks off keeps its finished waves and the next one goes on from there. Error rows
+    count as results; take them out of the path to try them again.
+    """
+    spark = manifest.sparkSession
+
+    def results() -> DataFrame | None:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
+    done = results()
+    todo = manifest if done is None else pending(manifest, done)
+    waves = max(1, -(-todo.count() // rows_per_wave))
+    for wave in range(waves):
+        part = manifest.where(F.pmod(F.xxhash64("sample_id"), F.lit(waves)) == wave)
+        run_model(part, results(), model, response_schema, rows_per_task).write.mode("append").parquet(path)
+    return results()
 
 
 def normalise_reasoning(results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import text as tx
@@ -10,6 +10,7 @@ from evalloom.functions.scoring import error_type
 from evalloom.operators.accuracy import image_tasks_only, is_correct, ratio
 from evalloom.operators.columns import with_fields
 from evalloom.operators.ranking import top_k_per_group
+from evalloom.storage import stored
 
 AMBIGUOUS_SLICE_POINTS = 5
 
@@ -69,11 +70,16 @@ def adjusted_ranking(results: DataFrame, k: int = 10) -> DataFrame:
 def diverse_failures(results: DataFrame, k: int = 5, order: str = "line_no") -> DataFrame:
     """Per task, up to ``k`` failures taken in turn from the error types, biggest type first.
 
-    Ties between types go to the type seen first. A sample is used once. Every ranking
-    is a two-step top-k, so one dominant task or error type is never ranked in one task.
+    Ties between types go to the type seen first. A sample is used once per task: of several
+    wrong rows with its id the first in ``order`` stands for it. The labelled rows are
+    stored, so the answers are read and labelled once. Every ranking is a two-step top-k,
+    so one dominant task or error type is never ranked in one task.
     """
     wrong = label_errors(wrong_rows(image_tasks_only(results)).where(~is_artifact()))
     wrong = wrong.select("task_name", "error_type", "sample_id", "parsed_answer", "ground_truth", order)
+    same = Window.partitionBy("task_name", "sample_id").orderBy(F.col(order), "error_type", "parsed_answer", "ground_truth")
+    wrong = wrong.withColumn("_turn", F.row_number().over(same)).where("_turn = 1").drop("_turn")
+    wrong = stored(wrong, "failures")
     types = wrong.groupBy("task_name", "error_type").agg(
         F.count("*").alias("type_n"), F.min(order).alias("first_seen")
     )

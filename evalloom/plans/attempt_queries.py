@@ -12,6 +12,7 @@ from evalloom.operators import failures as fl
 from evalloom.operators import folds
 from evalloom.plans import fixtures as fx
 from evalloom.plans.catalog import query
+from evalloom.storage import scratch_path
 
 
 def sql(strategy: str) -> str:
@@ -244,11 +245,34 @@ def called(spark, sf_dir):
     rows = fx.responses(spark, sf_dir)
     done = rows.where(F.col("line_no") % 4 == 0)
     return ev.run_model(
-        rows.select("sample_id", "ground_truth"), done, echo_model, "sample_id string, raw_response string", 4
-    )
+        rows.select("sample_id", "ground_truth"), done, echo_model, "sample_id string, raw_response string"
+    ).drop("error_message")
 
 
 query("gen11", _CALLED)(called)
+
+
+def moody_model(batch):
+    """A model that fails on some questions, and with them on their whole batch."""
+    if (batch["ground_truth"] == "3").any():
+        raise ValueError("no three")
+    return echo_model(batch)
+
+
+def loud_model(batch):
+    return batch.assign(raw_response="AGAIN " + batch["ground_truth"])[["sample_id", "raw_response"]]
+
+
+@query("gen11_resume", f"""WITH {fx.RESPONSES_SQL} SELECT sample_id,
+   CASE WHEN line_no % 4 = 0 THEN 'AGAIN ' || ground_truth WHEN ground_truth <> '3' THEN 'I see ' || ground_truth END AS raw_response,
+   CASE WHEN line_no % 4 <> 0 AND ground_truth = '3' THEN 'ValueError: no three' END AS error_message FROM responses""")
+def gen11_resume(spark, sf_dir):
+    """Two runs into one place: failed calls are rows, and the second run leaves all finished rows alone."""
+    path = scratch_path(spark, "model-run")
+    rows = fx.responses(spark, sf_dir).select("sample_id", "ground_truth", "line_no")
+    kind = "sample_id string, raw_response string"
+    ev.run_to(rows.where("line_no % 4 <> 0"), path, moody_model, kind, rows_per_wave=3_000)
+    return ev.run_to(rows, path, loud_model, kind)
 query("udf5", _CALLED)(called)
 
 
@@ -274,14 +298,35 @@ def agg29(spark, sf_dir):
     return fl.adjusted_ranking(fx.results(spark, sf_dir))
 
 
-@query("win2", _WRONG + """, typed AS (SELECT *, row_number() OVER (PARTITION BY task_name, error_type ORDER BY line_no) AS turn, count(*) OVER (PARTITION BY task_name, error_type) AS type_n,
+_PICKED = """, typed AS (SELECT *, row_number() OVER (PARTITION BY task_name, error_type ORDER BY line_no) AS turn, count(*) OVER (PARTITION BY task_name, error_type) AS type_n,
      min(line_no) OVER (PARTITION BY task_name, error_type) AS first_seen FROM wrong),
    picked AS (SELECT *, row_number() OVER (PARTITION BY task_name ORDER BY turn, type_n DESC, first_seen) AS pick FROM typed)
-   SELECT task_name, pick::INTEGER AS pick, error_type, type_n, sample_id, parsed_answer, ground_truth FROM picked WHERE pick <= 5""")
+   SELECT task_name, pick::INTEGER AS pick, error_type, type_n, sample_id, parsed_answer, ground_truth FROM picked WHERE pick <= 5"""
+
+
+@query("win2", _WRONG + _PICKED)
 def win2(spark, sf_dir):
     return fl.diverse_failures(fx.results(spark, sf_dir))
 
 
+def _several_models(spark, sf_dir):
+    """Results of two models: the second could be read on no sample of the first's."""
+    rows = fx.results(spark, sf_dir)
+    other = rows.withColumns({
+        "line_no": F.col("line_no") + 1_000_000, "parsed_answer": F.lit(None).cast("string"), "correct": F.lit(False),
+    })
+    return rows.unionByName(other)
+
+
+_TWO = """, both_models AS (SELECT * FROM results UNION ALL SELECT * REPLACE (line_no + 1000000 AS line_no, NULL AS parsed_answer, false AS correct) FROM results)"""
+
+
+@query("win2_models", _R + _TWO + f""", wrong AS (SELECT *, {_ERR} AS error_type FROM both_models WHERE NOT correct AND NOT ends_with(task_name, '_text') AND NOT {_ARTIFACT}
+     QUALIFY row_number() OVER (PARTITION BY task_name, sample_id ORDER BY line_no) = 1)""" + _PICKED)
+def win2_models(spark, sf_dir):
+    return fl.diverse_failures(_several_models(spark, sf_dir))
+
+
 @query("win8", _R + " SELECT task_name, arg_min(sample_id, line_no) AS sample_id, arg_min(ground_truth, line_no) AS ground_truth, arg_min(coalesce(parsed_answer, '~'), line_no) AS parsed_answer FROM results WHERE NOT correct GROUP BY task_name")
 def win8(spark, sf_dir):
     return fl.first_failures(fx.results(spark, sf_dir)).withColumn(

@@ -41,16 +41,26 @@ def read_attempts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_episodes(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """Episodes with ``response`` filled from worked steps and answer when absent."""
-    rows = with_response(_json(spark, path, schemas.EPISODES, "FAILFAST"))
-    # file and row position: order of appearance without a shuffle
-    rows = rows.withColumn("episode_id", F.monotonically_increasing_id())
-    return rows if n is None else rows.limit(n)
+    """Episodes with ``response`` filled from worked steps and answer when absent.
+
+    ``episode_id`` is a text that sorts by order of appearance: file, place of the split in
+    it, and row; ``n`` takes the first episodes in that order, whatever order files
+    are read in.
+    """
+    rows = with_response(_in_order(_json(spark, path, schemas.EPISODES, "FAILFAST"), "episode_id"))
+    return rows if n is None else rows.orderBy("episode_id").limit(n)
+
+
+def _in_order(rows: DataFrame, name: str) -> DataFrame:
+    """Adds a text that sorts rows of files by path, split and row; within a split, row numbers of a task ascend."""
+    start, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    place = F.concat_ws("#", "_metadata.file_path", F.lpad(start.cast("string"), 20, "0"), F.lpad(row.cast("string"), 20, "0"))
+    return rows.withColumn(name, place)
 
 
 def read_training_rows(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     rows = _json(spark, path, schemas.SFT, "FAILFAST")
-    return rows if n is None else rows.limit(n)
+    return rows if n is None else _in_order(rows, "_at").orderBy("_at").limit(n).drop("_at")
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:

@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evalloom import schemas
 from evalloom.operators.evaluate import evaluate, pending
 
-def _scored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+#: The sink is laid out by so many buckets of ``sample_id``.
+BUCKETS = 64
+
+
+def bucket_of(sample_id: Column) -> Column:
+    return F.pmod(F.xxhash64(sample_id), F.lit(BUCKETS)).cast("int")
+
+
+def scored_before(spark: SparkSession, path: str, batch_id: int, buckets: list[int]) -> DataFrame:
+    """``sample_id, bucket`` of other batches, from the directories of these buckets only."""
     try:
-        ids = spark.read.parquet(path).where(F.col("batch_id") != batch_id)
+        ids = spark.read.parquet(path).where(F.col("bucket").isin(buckets) & (F.col("batch_id") != batch_id))
     except AnalysisException as missing:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], "sample_id string")
-    return ids.select("sample_id")
+        return spark.createDataFrame([], "sample_id string, bucket int")
+    return ids.select("sample_id", "bucket")
 
 
 def score_stream(
@@ -27,8 +36,10 @@ def score_stream(
 
     Each batch drops its own repeats, leaves out ids scored in other batches and
     overwrites its own ``batch_id`` directory. A batch that is run again after a failure
-    therefore gives the same rows and nothing is stored twice. Responses carry no event
-    time, so no watermark could ever expire a stateful de-duplication.
+    therefore gives the same rows and nothing is stored twice. Within it, rows lie by
+    ``bucket``, a hash of the id, so a batch looks ids up in the buckets it has rows for and
+    nowhere else. Responses carry no event time, so no watermark could ever expire a
+    stateful de-duplication.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -36,12 +47,12 @@ def score_stream(
         # the whole row is compared, so which repeat is kept does not depend on timing
         whole = F.struct(*[c for c in batch.columns if c != "sample_id"])
         once = batch.groupBy("sample_id").agg(F.min(whole).alias("r")).select("sample_id", "r.*")
-        once = once.persist()
-        # only the ids of this batch are sought in the history, which is scanned, not shuffled
-        history = _scored_before(session, sink, batch_id)
+        once = once.withColumn("bucket", bucket_of(F.col("sample_id"))).persist()
+        present = sorted(r["bucket"] for r in once.select("bucket").distinct().collect() if r["bucket"] is not None)
+        history = scored_before(session, sink, batch_id, present)
         repeated = history.join(once.select("sample_id"), "sample_id", "left_semi")
         fresh = pending(once, repeated)
-        evaluate(fresh).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        evaluate(fresh).write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch_id={batch_id}")
         once.unpersist()
 
     responses = spark.readStream.schema(schemas.RESPONSES).json(source)

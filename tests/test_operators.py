@@ -7,6 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalloom.streaming import incremental
+from evalloom.operators import evaluate as ev
+from evalloom.operators import strategies as st
 from evalloom.operators import accuracy as acc
 from evalloom.operators import audit, cot_text, gaps, generate as gen, geometry as geo, graph
 from evalloom.operators import params as pm, sampling as sm
@@ -269,3 +272,68 @@ def test_streamed_rows_are_scored_once(spark, tmp_path):
     score_stream(spark, source, sink, marks).awaitTermination()
     got = sorted((r["sample_id"], r["correct"]) for r in spark.read.parquet(sink).collect())
     assert got == [("1", True), ("2", False), ("3", True)]
+
+
+def test_batches_read_only_their_buckets(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    rows = spark.range(500).select(F.col("id").cast("string").alias("sample_id"))
+    rows = rows.withColumn("bucket", incremental.bucket_of(F.col("sample_id")))
+    rows.write.partitionBy("bucket").parquet(f"{sink}/batch_id=0")
+    found = incremental.scored_before(spark, sink, 1, [3, 5])
+    assert {r["bucket"] for r in found.collect()} == {3, 5}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert incremental.scored_before(spark, sink, 0, [3, 5]).count() == 0
+    assert incremental.scored_before(spark, str(tmp_path / "none"), 0, [3]).count() == 0
+
+
+def test_episodes_come_in_order_of_files(spark, tmp_path):
+    """A small first file and a large second one, which tasks read the other way round."""
+    for name, n in (("a", 5), ("b", 300)):
+        lines = [f'{{"response": "{name}{i:03d}", "ground_truth": "1,1"}}' for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+    want = [f"a{i:03d}" for i in range(5)] + [f"b{i:03d}" for i in range(300)]
+    rows = readers.read_episodes(spark, str(tmp_path))
+    assert [r["response"] for r in rows.orderBy("episode_id").collect()] == want
+    assert sorted(r["response"] for r in readers.read_episodes(spark, str(tmp_path), n=7).collect()) == want[:7]
+
+
+def test_deep_parameters(spark):
+    df = spark.createDataFrame(
+        [("t", '{"a":{"b":{"c":{"d":{"e":1}}}},"l":[{"x":1}],"n":null}'), ("t", '{"a":7}'), ("t", "not json"), ("t", None)],
+        "task_name string, params string",
+    )
+    got = {(r["param"], r["value"]) for r in pm.param_strings(df).collect()}
+    assert ("a.b.c.d.e", "1") in got and ("a", "7") in got and pm.nesting(df) >= 4
+
+
+def test_confusion_over_observed_labels(spark):
+    df = spark.createDataFrame([("t", "15", "15")] * 6 + [("t", "2", "15")], "task_name string, parsed_answer string, ground_truth string")
+    got = {(r["predicted"], r["truth"]): r["n"] for r in acc.confusion_table(df).collect()}
+    assert got == {(15, 15): 6, (2, 15): 1, (2, 2): 0, (15, 2): 0}
+
+
+def test_failed_calls_are_rows(spark, tmp_path):
+    def model(batch):
+        if (batch["sample_id"] == "s3").any():
+            raise RuntimeError("down")
+        return batch.assign(raw_response="r" + batch["sample_id"])[["sample_id", "raw_response"]]
+
+    rows = spark.createDataFrame([(f"s{i}",) for i in range(8)], "sample_id string")
+    path = str(tmp_path / "run")
+    first = {r["sample_id"]: (r["raw_response"], r["error_message"]) for r in ev.run_to(rows, path, model, "sample_id string, raw_response string", rows_per_wave=3).collect()}
+    assert first["s3"] == (None, "RuntimeError: down") and first["s4"] == ("rs4", None) and len(first) == 8
+    assert ev.run_to(rows, path, model, "sample_id string, raw_response string").count() == 8
+
+
+def test_cycles_of_parents_are_refused(spark):
+    nodes = spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "tree long, node long, parent long")
+    with pytest.raises(RuntimeError, match="cycle"):
+        graph.tree_depth(nodes)
+
+
+def test_unlisted_names(spark):
+    df = spark.createDataFrame([("t", "mine", True), ("t", "baseline", False)], "task_name string, strategy string, correct boolean")
+    assert st.best_strategies(df).first()["best_strategy"] == "mine"
+    with pytest.raises(Exception, match="not a listed strategy: mine"):
+        st.task_matrix(df, "strategy", ["baseline"]).collect()
