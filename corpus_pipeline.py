@@ -42,7 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = rows.select("_pipeline_row", F.col("doc_id").alias("_id")).join(found, F.col("_pipeline_row") == F.col("_r"))
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_pipeline_row")).alias("first"))
     chosen = stored(first.select(F.col("first._pipeline_row").alias("_keep")), "pipeline-chosen")
-    kept = rows.join(chosen, F.col("_pipeline_row") == F.col("_keep"), "left_semi")
+    # rejected rows are fewer than kept ones, and the side of the join that may be small enough to send around
+    others = ids.select(F.col("_pipeline_row").alias("_other")).join(chosen, F.col("_other") == F.col("_keep"), "left_anti")
+    rejected = stored(others, "pipeline-rejected")
+    kept = rows.join(rejected, F.col("_pipeline_row") == F.col("_other"), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
