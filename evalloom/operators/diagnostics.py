@@ -214,7 +214,8 @@ def _percent(column: str) -> Column:
 def report(prof: DataFrame) -> DataFrame:
     """All checks in one row, with the raised flags in order.
 
-    Each check is one row (or a short list) put in its own column of a union, and a
+    Of the accuracies per size it holds the lowest and the highest (``size_extremes``);
+    ``size_table`` has them all, a row per size. Each check is one row (or a short list) put in its own column of a union, and a
     global aggregate folds the union to one row.
     """
     checks = {
@@ -224,7 +225,7 @@ def report(prof: DataFrame) -> DataFrame:
         "calibration_status": calibration_status(prof),
     }
     lists = {
-        "size_accuracies": size_table(prof),
+        "size_accuracies": size_extremes(prof),
         "tool_use": tool_rates(prof),
         "calibration": calibration(prof),
     }
@@ -232,7 +233,7 @@ def report(prof: DataFrame) -> DataFrame:
     for name, check in (checks | lists).items():
         part = check.select(F.struct("*").alias(name))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    # the lists hold one entry per size, bucket or bin, all of them aggregates
+    # the lists hold one entry per bucket or bin, and a fixed number of sizes
     folded = rows.agg(
         *[F.max(name).alias(name) for name in checks],
         *[F.array_sort(F.collect_list(name)).alias(name) for name in lists],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from evalloom.operators import cot_text
 from evalloom.operators.sampling import hash_number, hash_text, pick
 
 
+#: Combinations that one row opens into.
+RANGE = 4_096
+
+
 def sweep_axes(config: DataFrame) -> DataFrame:
     """Sweep rows ``(task_name, axis, axis_no, value, value_no)`` as one array of axes per task.
 
@@ -28,14 +34,19 @@ def sweep_combos(axes: DataFrame) -> DataFrame:
     """Every combination of a task's axis values over its defaults.
 
     A combination is numbered and its values are read off the number, digit by digit,
-    so the product is one explode and no join. The last axis changes fastest. ``axes``
-    may carry ``defaults`` (map); a task without axes gives its defaults once.
+    so the product needs no join. Numbers are opened by ranges of ``RANGE``, which are spread
+    before they are opened themselves, so a task with a large product is made by many
+    tasks. The last axis changes fastest. ``axes`` may carry ``defaults`` (map); a task without axes gives its defaults once.
     """
     size = F.aggregate(
         "axes", F.lit(1).cast("bigint"), lambda acc, a: acc * F.array_size(a["values"])
     )
-    combos = axes.withColumn("n_combos", size).withColumn(
-        "combo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_combos") - 1))
+    ranges = axes.withColumn("n_combos", size).withColumn(
+        "_range", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_combos") - 1) / RANGE)))
+    ).where("n_combos > 0")
+    first = F.col("_range") * RANGE
+    combos = ranges.repartition("task_name", "_range").withColumn(
+        "combo", F.explode(F.sequence(first, F.least(first + RANGE, F.col("n_combos")) - 1))
     )
 
     def value(axis: Column, i: Column) -> Column:
@@ -151,10 +162,16 @@ def _shown(value: Column) -> Column:
     )
 
 
+def money(value: Column) -> Column:
+    """Dollars with thousands, to the nearest even dollar."""
+    return F.concat(F.when(value < 0, F.lit("$-")).otherwise(F.lit("$")), F.format_number(F.bround(F.abs(value), 0), 0))
+
+
 def choice_prompt(
-    key: Column, question: Column, correct: Column, wrong: Column, seed: int = 42
+    key: Column, question: Column, correct: Column, wrong: Column, seed: int = 42,
+    value_format: Callable[[Column], Column] = _shown,
 ) -> Column:
-    """Struct ``(prompt, letter)`` with the options in hashed order."""
+    """Struct ``(prompt, letter)`` with the options in hashed order, each shown by ``value_format``."""
     options = F.concat(
         F.array(F.struct(correct.alias("value"), F.lit(True).alias("right"))),
         F.transform(
@@ -173,7 +190,7 @@ def choice_prompt(
     letters = F.array(*[F.lit(v) for v in "ABCD"])
     lines = F.transform(
         mixed,
-        lambda o, i: F.concat(F.lit("("), F.get(letters, i), F.lit(") "), _shown(o["value"])),
+        lambda o, i: F.concat(F.lit("("), F.get(letters, i), F.lit(") "), value_format(o["value"])),
     )
     at = F.array_position(F.transform(mixed, lambda o: o["right"]), True) - 1
     return F.struct(

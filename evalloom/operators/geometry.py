@@ -10,6 +10,8 @@ INNER_LOW, INNER_HIGH = 0.05, 0.95
 PARALLEL = 1e-10
 # ---------------------------------------------------------------------------------
 _SLACK = 1e-6
+#: Bands of a group that are ordered together.
+STRETCH = 4_096
 
 
 def _grid(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,7 +150,7 @@ def cluster_levels(boxes: DataFrame, keys: list[str], floor: float = 15.0) -> Da
 
     The limit is half the mean height of the group, at least ``floor``. Centres in one
     band of that width can never be a limit apart, so bands are aggregated first and
-    only bands are ordered. Returns one row per level with its count and extent.
+    only bands are ordered, by stretches of ``STRETCH`` bands. Returns one row per level with its count and extent.
     """
     limits = boxes.groupBy(*keys).agg(
         F.greatest(F.avg("height") * 0.5, F.lit(floor)).alias("limit")
@@ -162,16 +164,23 @@ def cluster_levels(boxes: DataFrame, keys: list[str], floor: float = 15.0) -> Da
             F.first("limit").alias("limit"),
         )
     )
-    order = Window.partitionBy(*keys).orderBy("band")
-    starts = (F.col("low") - F.lag("high").over(order)) > F.col("limit")
+    # bands are settled within stretches of them, and stretches at their seams
+    bands = bands.withColumn("stretch", F.floor(F.col("band") / STRETCH))
+    order = Window.partitionBy(*keys, "stretch").orderBy("band")
+    starts = F.coalesce(F.col("low") - F.lag("high").over(order) > F.col("limit"), F.lit(False))
+    bands = bands.withColumn("starts", starts.cast("bigint"))
+    parts = bands.groupBy(*keys, "stretch").agg(
+        F.sum("starts").alias("inside"), F.min("low").alias("head"), F.max("high").alias("tail"), F.first("limit").alias("wide")
+    )
+    along = Window.partitionBy(*keys).orderBy("stretch")
+    seam = F.coalesce(F.col("head") - F.lag("tail").over(along) > F.col("wide"), F.lit(True)).cast("bigint")
+    parts = parts.withColumn("seam", seam)
+    so_far = F.sum(F.col("inside") + F.col("seam")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = parts.select(*keys, "stretch", (so_far - F.col("inside")).alias("first_level"))
+    inner = F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        bands.withColumn("starts", F.coalesce(starts, F.lit(True)))
-        .withColumn(
-            "level",
-            F.sum(F.col("starts").cast("int")).over(
-                order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
+        bands.withColumn("step", inner).join(parts, [*keys, "stretch"])
+        .withColumn("level", F.col("first_level") + F.col("step"))
         .groupBy(*keys, "level")
         .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     )

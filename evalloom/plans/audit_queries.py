@@ -264,13 +264,17 @@ def jn12(spark, sf_dir):
 # ---------------------------------------------------------------- geometry and series
 
 def segments(spark, sf_dir):
-    v = [F.col("embedding")[i].cast("double") for i in range(4)]
-    return fx.table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("figure"), F.col("vec_id").alias("edge"), *[c.alias(n) for c, n in zip(v, ("x1", "y1", "x2", "y2"))]
+    """Each vector as a figure of segments, four components to a segment, all of them used."""
+    vectors = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("figure"), F.col("embedding").cast("array<double>").alias("v"))
+    edges = vectors.select("figure", "v", F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / 4) - 1)).alias("edge"))
+    return edges.select(
+        "figure", F.col("edge").cast("bigint").alias("edge"),
+        *[F.get("v", F.col("edge").cast("int") * 4 + i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))],
     )
 
 
-@query("jn11", """WITH s AS (SELECT label AS figure, vec_id AS edge, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS y1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS y2 FROM embeddings),
+@query("jn11", """WITH s AS (SELECT figure, edge, v[edge * 4 + 1]::DOUBLE AS x1, v[edge * 4 + 2]::DOUBLE AS y1, v[edge * 4 + 3]::DOUBLE AS x2, v[edge * 4 + 4]::DOUBLE AS y2
+     FROM (SELECT vec_id AS figure, embedding AS v, unnest(range(len(embedding) // 4)) AS edge FROM embeddings)),
    p AS (SELECT a.figure, a.edge AS edge_a, b.edge AS edge_b, (a.x1 - a.x2) * (b.y1 - b.y2) - (a.y1 - a.y2) * (b.x1 - b.x2) AS den,
      (a.x1 - b.x1) * (b.y1 - b.y2) - (a.y1 - b.y1) * (b.x1 - b.x2) AS tn, -((a.x1 - a.x2) * (a.y1 - b.y1) - (a.y1 - a.y2) * (a.x1 - b.x1)) AS un FROM s a JOIN s b ON a.figure = b.figure AND a.edge < b.edge)
    SELECT figure, edge_a, edge_b FROM p WHERE abs(den) >= 1e-10 AND tn / den > 0.05::DOUBLE AND tn / den < 0.95::DOUBLE AND un / den > 0.05::DOUBLE AND un / den < 0.95::DOUBLE""")

@@ -169,6 +169,14 @@ def gen5(spark, sf_dir):
     return with_distractors(spark, sf_dir).select("question_id", made.alias("m")).select("question_id", "m.*")
 
 
+@query("gen5_format", f"""WITH {_CHOICE_SQL}, o AS (SELECT *, list_sort(list_transform([correct] || wrong, lambda v, i: {{'h': {hash_sql('42choice', 'question_id', 'i - 1')}, 'v': v, 'ok': i = 1}})) AS mixed FROM made)
+   SELECT question_id, 'What does part ' || question_id || ' cost?' || chr(10) || array_to_string(list_transform(mixed, lambda s, i: '(' || ['A', 'B', 'C', 'D'][i] || ') $' || format('{{:,}}', s.v::BIGINT)), chr(10)) || chr(10) || '{dims.CHOICE_CLOSING}' AS prompt,
+   ['A', 'B', 'C', 'D'][list_position([s.ok for s in mixed], true)] AS letter FROM o""")
+def gen5_format(spark, sf_dir):
+    made = gen.choice_prompt(F.col("question_id"), F.col("question"), F.col("correct"), F.col("wrong"), value_format=gen.money)
+    return with_distractors(spark, sf_dir).select("question_id", made.alias("m")).select("question_id", "m.*")
+
+
 # ---------------------------------------------------------------- worked answers
 
 _SEED = "o_orderkey % 50000"

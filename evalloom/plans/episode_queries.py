@@ -219,13 +219,20 @@ def dia6(spark, sf_dir):
 @query("snk6", _FLAGS + " SELECT len(f) AS n_flags, n_episodes FROM flags, dist")
 def snk6(spark, sf_dir):
     path = scratch_path(spark, "report")
-    writers.write_report(profile(spark, sf_dir), path)
+    writers.write_report(profile(spark, sf_dir), path, scratch_path(spark, "report-sizes"))
     return spark.read.text(path).select(
         F.get_json_object("value", "$.n_flags").cast("bigint").alias("n_flags"),
         F.get_json_object("value", "$.answer_distribution.n_episodes").cast("bigint").alias("n_episodes"),
     )
 
 
+@query("snk6_sizes", E + " SELECT ground_truth, round_even(avg((answer IS NOT DISTINCT FROM ground_truth)::INT), 3) AS accuracy, count(*) AS n FROM episodes GROUP BY ground_truth")
+def snk6_sizes(spark, sf_dir):
+    path, sizes = scratch_path(spark, "report"), scratch_path(spark, "report-sizes")
+    writers.write_report(profile(spark, sf_dir), path, sizes)
+    return spark.read.schema("ground_truth string, accuracy double, n bigint").json(sizes)
+
+
 _VERIFY = E + f" SELECT episode_id, {_OUTCOME} AS reward_outcome, round({_PROCESS}, 9) AS reward_process, {_TOOL} AS reward_tool_use FROM episodes WHERE {_OUTCOME} < 1 OR {_PROCESS} < 1 OR {_TOOL} < 1"
 
 

@@ -519,6 +519,50 @@ def agg7_table(spark, sf_dir):
     return acc.confusion_table(fx.results(spark, sf_dir))
 
 
+_TEXTS = """texts AS (SELECT doc_id::VARCHAR AS sample_id, lang AS task_name, quality::VARCHAR AS ground_truth,
+     text || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'So {' || toxic::VARCHAR || '}' WHEN 1 THEN 'I count ' || toxic::VARCHAR ELSE '' END AS raw_response
+     FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL)"""
+
+
+def labelled_texts(spark, sf_dir):
+    """Whole documents as responses that end in an answer or in none; one label is the truth, another the answer."""
+    docs = fx.table(spark, sf_dir, "documents").join(fx.table(spark, sf_dir, "labels"), "doc_id")
+    toxic = F.col("toxic").cast("string")
+    tail = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("So {"), toxic, F.lit("}"))).when(
+        F.col("doc_id") % 3 == 1, F.concat(F.lit("I count "), toxic)
+    ).otherwise(F.lit(""))
+    rows = docs.where("text IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(
+        F.col("doc_id").cast("string").alias("sample_id"), F.col("lang").alias("task_name"),
+        F.col("quality").cast("string").alias("ground_truth"), F.concat("text", F.lit("\n"), tail).alias("raw_response"),
+        F.lit("integer").alias("parser"), F.lit("integer_distance").alias("scorer"),
+    )
+    return ev.evaluate(rows)
+
+
+@query("par1_documents", f"WITH {_TEXTS} SELECT sample_id, {fx.parse_integer_sql('raw_response')} AS parsed_answer FROM texts")
+def par1_documents(spark, sf_dir):
+    return labelled_texts(spark, sf_dir).select("sample_id", "parsed_answer")
+
+
+@query("agg3_documents", f"""WITH {_TEXTS}, read AS (SELECT *, {fx.parse_integer_sql('raw_response')} AS a FROM texts)
+   SELECT task_name, count(*) AS n, count(*) FILTER (WHERE TRY_CAST(a AS HUGEINT) = TRY_CAST(ground_truth AS HUGEINT)) AS n_correct FROM read GROUP BY task_name""")
+def agg3_documents(spark, sf_dir):
+    return acc.tally(labelled_texts(spark, sf_dir), "task_name").select("task_name", "n", "n_correct")
+
+
+_SAID = """said AS (SELECT conv_id || '-' || turn::VARCHAR AS sample_id, role AS task_name, coalesce(text, '') || ' = ' || (turn % 7)::VARCHAR AS raw_response FROM conversations)"""
+
+
+@query("par1_conversations", f"WITH {_SAID} SELECT sample_id, {fx.parse_integer_sql('raw_response')} AS parsed_answer FROM said")
+def par1_conversations(spark, sf_dir):
+    turns = fx.table(spark, sf_dir, "conversations").select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("sample_id"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit(" = "), (F.col("turn") % 7).cast("string")).alias("raw_response"),
+        F.lit("integer").alias("parser"),
+    )
+    return ev.extract_answers(turns).select("sample_id", "parsed_answer")
+
+
 @query("agg8", R + """ SELECT task_name, sum(error)::DOUBLE / count(error) AS mean_error, (count(*) FILTER (WHERE error > 0))::DOUBLE / count(error) AS overcount_rate,
    (count(*) FILTER (WHERE error < 0))::DOUBLE / count(error) AS undercount_rate, (count(*) FILTER (WHERE error = 0))::DOUBLE / count(error) AS exact_rate
    FROM results WHERE error IS NOT NULL GROUP BY task_name""")

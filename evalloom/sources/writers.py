@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from evalloom.operators.diagnostics import report_json
+from evalloom.operators.diagnostics import report_json, size_table
 from evalloom.operators.evaluate import trace
 from evalloom.operators.failures import worst_rows
 
@@ -39,5 +39,8 @@ def write_by_task(rows: DataFrame, path: str, by: str = "task_name") -> None:
     rows.hint("rebalance", by).write.mode("overwrite").partitionBy(by).json(path)
 
 
-def write_report(prof: DataFrame, path: str) -> None:
+def write_report(prof: DataFrame, path: str, sizes_path: str | None = None) -> None:
+    """The report as one line of JSON; the accuracies of all sizes beside it, where a place is given."""
+    if sizes_path is not None:
+        size_table(prof).write.mode("overwrite").json(sizes_path)
     report_json(prof).coalesce(1).write.mode("overwrite").text(path)
