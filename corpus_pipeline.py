@@ -18,13 +18,13 @@ TOXIC = 0.3
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _with_text(docs: DataFrame, changed: Column, text: Column) -> list[Column]:
-    """The columns of ``docs`` with a new text, and its length where the table holds lengths and the text changed."""
-    new = {"text": text}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
+def _with_text(columns: DataFrame, changed: Column, text: str) -> list[Column]:
+    """The columns with the text from the column ``text``, and its length where there are lengths and the text changed."""
+    new = {"text": F.col(text)}
+    if "n_chars" in columns.columns:
+        kind = columns.schema["n_chars"].dataType
         new["n_chars"] = F.when(changed, F.char_length(text).cast(kind)).otherwise(F.col("n_chars"))
-    return [new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns]
+    return [new.get(c, F.col(f"`{c}`")).alias(c) for c in columns.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +53,14 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Replaces every secret found in a text by a mark; all documents stay."""
     found = secret_scan.scan(docs, names=("_pipeline_base", "_pipeline_spans"))
     spans = F.col("_pipeline_spans")
-    return found.select(*_with_text(docs, F.size(spans) > 0, secret_scan.redacted(F.col("text"), spans)))
+    found = found.withColumn("_pipeline_text", secret_scan.redacted(F.col("text"), spans))
+    return found.select(*_with_text(docs, F.size(spans) > 0, "_pipeline_text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of sources: a row for every stretch of a document that it takes, so documents may recur or be cut."""
     mixed = mixing.mixed_documents(mixing.mix(docs, keep=docs.columns), "text", docs.columns, changed="_pipeline_cut")
-    return mixed.select(*_with_text(docs, F.col("_pipeline_cut"), F.col("text")))
+    return mixed.select(*_with_text(docs, F.col("_pipeline_cut"), "text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

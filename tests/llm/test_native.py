@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from evalloom.llm import quality_rules, secret_scan
+from tests_llm_plain import plain_spans
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,20 +50,6 @@ def test_quality_of_nothing(none, odd):
     assert quality_rules.host_quality(odd).count() == odd.count()
 
 
-PATTERNS = [
-    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
-    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
-    ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
-]
-
-
-def plain_spans(text):
-    found = []
-    for k, (name, pattern, group, least) in enumerate(PATTERNS):
-        found += [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in pattern.finditer(text or "") if len(m[group]) >= least]
-    return ",".join(x[2] for x in sorted(found))
-
-
 LIVE = "aB3dE6gH9kL2mN5pQ8sT1vW4yZ7b"
 SECRETS = [
     "é password=hunter22 and token: 'abc' then API_KEY = \"x.y/z+12345\"",

@@ -8,47 +8,18 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evalloom.llm import bitsliced_topk, html_text, lm_score, mixing, packing, simhash_dedup, token_files, toxicity
 from evalloom.llm.token_ids import encoder
 from evalloom.storage import scratch_path
+from tests_llm_plain import plain_components, plain_simhash
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 # --- near duplicates ---------------------------------------------------------------------
-def plain_simhash(text):
-    words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").replace("\n", " ").replace("\t", " ").split(" ") if w]
-    if not words:
-        return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def plain_components(ids, prints, radius=2):
-    root = list(range(len(prints)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(prints)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    known = {}
-    for i, x in enumerate(ids):
-        if x is not None:
-            known[find(i)] = min(known.get(find(i), x), x)
-    return [known.get(find(i)) for i in range(len(prints))]
-
-
 def test_fingerprints_and_groups(odd, none):
     rows = odd.collect()
     prints = [plain_simhash(r["text"]) for r in rows]
