@@ -9,31 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.storage import stored
+from evalloom.storage import scratch_path, stored
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Every ``(start, node)`` with a path from start to node, start included.
 
-    Only pairs not met before are walked on, so shared paths are followed once and
-    cycles end; the walk goes on until no pair is new, however long the paths are.
+    With ``keys`` the tables hold many graphs, and paths stay within one; a graph with one
+    start then costs as much as it has edges. Only pairs not met before are walked on, so
+    shared paths are followed once and cycles end; the walk goes on until no pair is new,
+    however long the paths are. The rounds are directories of one table.
     """
-    steps = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
-    frontier = stored(starts.select("start", F.col("start").alias("node")).distinct(), "reach")
-    found = frontier
+    spark, pair = edges.sparkSession, [*keys, "start", "node"]
+    path = scratch_path(spark, "reach")
+    steps = edges.select(*keys, F.col("src").alias("node"), F.col("dst")).distinct()
+    frontier = starts.select(*keys, "start", F.col("start").alias("node")).distinct()
+    schema, number = frontier.schema, 0
     while True:
-        onward = frontier.join(steps, "node").select("start", F.col("dst").alias("node")).distinct()
-        frontier = stored(onward.join(found, ["start", "node"], "left_anti"), "reach")
+        frontier.write.parquet(f"{path}/round={number}")
+        frontier = spark.read.schema(schema).parquet(f"{path}/round={number}")
+        found = spark.read.schema(schema).parquet(f"{path}/round=*")
         if frontier.isEmpty():
             return found
-        found = found.unionByName(frontier)
+        onward = frontier.join(steps, [*keys, "node"]).select(*keys, "start", F.col("dst").alias("node")).distinct()
+        frontier, number = onward.join(found, pair, "left_anti"), number + 1
 
 
-def reachable_terminals(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def reachable_terminals(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Dead ends reachable from each start; a start without out-edges is its own."""
-    leaving = edges.select(F.col("src").alias("node")).distinct()
-    return reachable(edges, starts).join(leaving, "node", "left_anti").select(
-        "start", F.col("node").alias("terminal")
+    leaving = edges.select(*keys, F.col("src").alias("node")).distinct()
+    return reachable(edges, starts, keys).join(leaving, [*keys, "node"], "left_anti").select(
+        *keys, "start", F.col("node").alias("terminal")
     )
 
 

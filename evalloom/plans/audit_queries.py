@@ -230,11 +230,20 @@ _PART_EDGES = """edges AS (SELECT a.p_partkey AS src, b.p_partkey AS dst FROM pa
    UNION ALL SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON b.p_partkey = 3 * a.p_partkey + 2)"""
 
 
-@query("key1_graph", f"""WITH RECURSIVE {_PART_EDGES}, walk AS (SELECT p_partkey AS start, p_partkey AS node FROM part UNION SELECT w.start, e.dst FROM walk w JOIN edges e ON e.src = w.node)
-   SELECT start, node AS terminal FROM walk WHERE node NOT IN (SELECT src FROM edges)""")
+_GRAPHS = """nodes AS (SELECT p_partkey % 25 AS graph, p_partkey // 25 AS node FROM part),
+   edges AS (SELECT a.graph, a.node AS src, b.node AS dst FROM nodes a JOIN nodes b ON a.graph = b.graph AND (b.node = 2 * a.node + 1 OR b.node = 3 * a.node + 2))"""
+
+
+@query("key1_graph", f"""WITH RECURSIVE {_GRAPHS}, walk AS (SELECT graph, min(node) AS start, min(node) AS node FROM nodes GROUP BY graph
+     UNION SELECT w.graph, w.start, e.dst FROM walk w JOIN edges e ON e.graph = w.graph AND e.src = w.node)
+   SELECT graph, start, node AS terminal FROM walk w WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = w.graph AND e.src = w.node)""")
 def key1_graph(spark, sf_dir):
-    starts = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("start"))
-    return graph.reachable_terminals(part_edges(spark, sf_dir), starts)
+    """Twenty-five graphs over the parts, each walked from its first node."""
+    nodes = fx.table(spark, sf_dir, "part").selectExpr("p_partkey % 25 AS graph", "p_partkey div 25 AS node")
+    made = nodes.select("graph", F.col("node").alias("src"), F.explode(F.array(F.col("node") * 2 + 1, F.col("node") * 3 + 2)).alias("dst"))
+    edges = made.join(nodes.withColumnRenamed("node", "dst"), ["graph", "dst"], "left_semi")
+    starts = nodes.groupBy("graph").agg(F.min("node").alias("start"))
+    return graph.reachable_terminals(edges, starts, ("graph",))
 
 
 _TREE = """nodes AS (SELECT o_custkey % 40 AS tree, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) - 1 AS i FROM orders)"""
