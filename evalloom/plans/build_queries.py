@@ -315,9 +315,10 @@ def image_paths(spark, sf_dir):
     return fx.table(spark, sf_dir, "orders").selectExpr(f"{_PATH} AS path")
 
 
-@query("src7", f"WITH {_PATHS_SQL} SELECT sample_id, image_path, task_name, ground_truth FROM labelled")
+@query("src7", f"WITH {_PATHS_SQL} SELECT sample_id, image_path, task_name, ground_truth, 'disk' AS source FROM labelled")
 def src7(spark, sf_dir):
-    return ph.label_paths(image_paths(spark, sf_dir)).select("sample_id", "image_path", "task_name", "ground_truth")
+    rows = ph.label_paths(image_paths(spark, sf_dir), source="disk")
+    return rows.select("sample_id", "image_path", "task_name", "ground_truth", "source")
 
 
 @query("src7_sample", f"WITH {_PATHS_SQL} SELECT image_path, task_name, ground_truth FROM labelled QUALIFY row_number() OVER (PARTITION BY task_name, ground_truth ORDER BY {hash_sql(42, 'image_path')}, image_path) <= 20")

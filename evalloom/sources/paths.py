@@ -60,8 +60,8 @@ def _truth(rule: dict, groups: list[Column]) -> Column:
     return groups[0]
 
 
-def label_paths(paths: DataFrame) -> DataFrame:
-    """Manifest rows from paths; names that fit no pattern are dropped.
+def label_paths(paths: DataFrame, source: str = "paths") -> DataFrame:
+    """Manifest rows from paths, marked with where they come from; names that fit no pattern are dropped.
 
     One pass: each path is tested against the patterns in order.
     """
@@ -86,14 +86,14 @@ def label_paths(paths: DataFrame) -> DataFrame:
     return labelled.select(
         F.substring(hash_text("path", F.col("path")), 1, 8).alias("sample_id"),
         "task_name", F.col("path").alias("image_path"), "prompt", "ground_truth",
-        "parser", F.lit("exact_match").alias("scorer"), "params",
+        "parser", F.lit("exact_match").alias("scorer"), "params", F.lit(source).alias("source"),
     )
 
 
-def sample_paths(paths: DataFrame, max_per_class: int = 20, seed: int = 42) -> DataFrame:
+def sample_paths(paths: DataFrame, max_per_class: int = 20, seed: int = 42, source: str = "paths") -> DataFrame:
     """Labelled paths, at most ``max_per_class`` per task and truth."""
     return balanced_sample(
-        label_paths(paths), ["task_name", "ground_truth"], max_per_class, seed, "image_path"
+        label_paths(paths, source), ["task_name", "ground_truth"], max_per_class, seed, "image_path"
     ).drop("rank")
 
 
