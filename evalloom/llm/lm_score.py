@@ -15,6 +15,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -163,11 +164,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 def classes_of(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Classes of the words, their places in the head (-1: not there), and the positions not there."""
-    found = [*map(vocab.head.get, words)]
-    missing = [i for i, at in enumerate(found) if at is None]
-    for i in missing:
-        found[i] = -1
-    places = np.array(found, np.int64)
+    places = np.fromiter(map(vocab.head.get, words, repeat(-1)), np.int64, len(words))
+    missing = np.flatnonzero(places < 0).tolist()
     classes = vocab.head_class[places] if len(vocab.head_class) else np.zeros(len(places), np.int32)
     other = len(vocab.class_tokens) - 1
     if missing:
@@ -197,7 +195,7 @@ def train_step(p: Parameters, squares: Parameters, triples: np.ndarray, noise: n
     r1, r2 = p.context[near], p.context[far]
     h = r1 * p.near + r2 * p.far
     q, qn = p.target[target], p.target[noise]
-    k = math.log(len(noise))
+    k = np.float32(math.log(len(noise)))
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     up = sigmoid((h * q).sum(axis=1) + p.bias[target] - log_noise[target] - k) - 1
     down = sigmoid(h @ qn.T + p.bias[noise] - log_noise[noise] - k)
@@ -213,23 +211,23 @@ def train_step(p: Parameters, squares: Parameters, triples: np.ndarray, noise: n
     grads.near += (dh * r1).sum(axis=0)
     grads.far += (dh * r2).sum(axis=0)
     for name in ("context", "target", "bias", "near", "far"):
-        g = getattr(grads, name) / math.sqrt(n)
+        g = getattr(grads, name) * np.float32(1 / math.sqrt(n))
         s = getattr(squares, name)
         s += g * g
-        getattr(p, name)[...] -= RATE * g / np.sqrt(s + 1e-2)
+        getattr(p, name)[...] -= np.float32(RATE) * g / np.sqrt(s + np.float32(1e-2))
 
 
 def train_round(texts: DataFrame, vocab: Vocabulary, before: Parameters, round_number: int) -> Parameters:
     """One pass of every task over its training tokens, then the mean of the tasks' parameters by tokens trained on."""
     rows, columns = before.table.shape
     names = [f"v{i}" for i in range(columns)]
-    log_noise = np.log((vocab.class_tokens + 1) / (vocab.class_tokens + 1).sum())
+    log_noise = np.log((vocab.class_tokens + 1) / (vocab.class_tokens + 1).sum()).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Parameters.of(before.table)
+        p = Parameters(*[np.array(x, np.float32) for x in vars(Parameters.of(before.table)).values()])
         squares = Parameters(*[np.zeros_like(x) for x in (p.context, p.target, p.bias, p.near, p.far)])
         rng = np.random.default_rng(round_number)
-        chance = np.cumsum(np.exp(log_noise))
+        chance = np.cumsum(np.exp(log_noise.astype(float)))
         held, size, trained, shift = [], 0, 0, round_number
 
         def step(triples: np.ndarray) -> None:
@@ -258,7 +256,7 @@ def train_round(texts: DataFrame, vocab: Vocabulary, before: Parameters, round_n
                 step(triples[a : a + STEP])
             trained += len(triples)
         if trained:
-            table = np.hstack([np.full((rows, 1), float(trained)), p.table * trained])
+            table = np.hstack([np.full((rows, 1), float(trained)), p.table.astype(float) * trained])
             arrays = [pa.array(np.arange(rows), pa.int32())] + [pa.array(np.ascontiguousarray(c)) for c in table.T]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "weight", *names])
 
