@@ -15,6 +15,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -27,8 +28,8 @@ from evalloom.storage import stored
 
 #: Words with counts in every task, words with a class of their own, classes by ending: upper bounds.
 HEAD, OWN, ENDINGS = 150_000, 500, 500
-#: Length of the vectors, passes over the corpus, one trained token in so many, tokens in a step, noise draws in a step.
-SIZE, ROUNDS, EVERY, STEP, NOISE = 24, 2, 8, 1024, 96
+#: Length of the vectors, passes over the corpus, tokens in a step, noise draws in a step.
+SIZE, ROUNDS, STEP, NOISE = 24, 2, 1024, 96
 RATE = 0.15
 #: Words of a partition counted in memory before they are passed on.
 COUNTED = 300_000
@@ -189,27 +190,46 @@ def start(vocab: Vocabulary) -> Parameters:
     )
 
 
+@cache
+def _places(n: int, width: int) -> np.ndarray:
+    return np.arange(n * width).reshape(n, width)
+
+
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows that belong to each of ``n`` places."""
+    places = _places(n, rows.shape[1]).take(at, axis=0)
+    return np.bincount(places.ravel(), rows.ravel(), n * rows.shape[1]).astype(np.float32).reshape(n, -1)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """Of float32 logits, which it overwrites."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
+
+
 def train_step(p: Parameters, squares: Parameters, triples: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> None:
     """One step of noise-contrastive estimation on (far, near, target) triples; ``noise`` is shared by the step."""
     far, near, target = triples.T
-    r1, r2 = p.context[near], p.context[far]
+    r1, r2 = p.context.take(near, axis=0), p.context.take(far, axis=0)
     h = r1 * p.near + r2 * p.far
-    q, qn = p.target[target], p.target[noise]
+    q, qn = p.target.take(target, axis=0), p.target.take(noise, axis=0)
     k = np.float32(math.log(len(noise)))
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    up = sigmoid((h * q).sum(axis=1) + p.bias[target] - log_noise[target] - k) - 1
-    down = sigmoid(h @ qn.T + p.bias[noise] - log_noise[noise] - k)
+    up = _sigmoid(np.einsum("ij,ij->i", h, q) + (p.bias[target] - log_noise[target] - k)) - 1
+    down = h @ qn.T
+    down += p.bias[noise] - log_noise[noise] - k
+    down = _sigmoid(down)
     dh = up[:, None] * q + down @ qn
-    n = len(triples)
-    grads = Parameters(*[np.zeros_like(x) for x in (p.context, p.target, p.bias, p.near, p.far)])
-    np.add.at(grads.target, target, up[:, None] * h)
-    np.add.at(grads.target, noise, down.T @ h)
-    np.add.at(grads.bias, target, up)
-    np.add.at(grads.bias, noise, down.sum(axis=0))
-    np.add.at(grads.context, near, dh * p.near)
-    np.add.at(grads.context, far, dh * p.far)
-    grads.near += (dh * r1).sum(axis=0)
-    grads.far += (dh * r2).sum(axis=0)
+    n, size = len(triples), len(p.bias)
+    at = np.concatenate([target, noise])
+    grads = Parameters(
+        _sums(np.concatenate([near, far]), np.concatenate([dh * p.near, dh * p.far]), size),
+        _sums(at, np.concatenate([up[:, None] * h, down.T @ h]), size),
+        np.bincount(at, np.concatenate([up, down.sum(axis=0)]), size).astype(np.float32),
+        np.einsum("ij,ij->j", dh, r1), np.einsum("ij,ij->j", dh, r2),
+    )
     for name in ("context", "target", "bias", "near", "far"):
         g = getattr(grads, name) * np.float32(1 / math.sqrt(n))
         s = getattr(squares, name)
@@ -228,7 +248,7 @@ def train_round(texts: DataFrame, vocab: Vocabulary, before: Parameters, round_n
         squares = Parameters(*[np.zeros_like(x) for x in (p.context, p.target, p.bias, p.near, p.far)])
         rng = np.random.default_rng(round_number)
         chance = np.cumsum(np.exp(log_noise.astype(float)))
-        held, size, trained, shift = [], 0, 0, round_number
+        held, size, trained = [], 0, 0
 
         def step(triples: np.ndarray) -> None:
             noise = np.minimum(np.searchsorted(chance, rng.random(NOISE)), len(chance) - 1)
@@ -237,10 +257,8 @@ def train_round(texts: DataFrame, vocab: Vocabulary, before: Parameters, round_n
         for batch in batches:
             for text in batch.column(0):
                 s = _sequence(classes_of(text.as_py().lower().split(), vocab)[0])
-                at = np.arange(2 + shift % EVERY, len(s), EVERY)
-                shift += len(s)
-                held.append(np.stack([s[at - 2], s[at - 1], s[at]], axis=1))
-                size += len(at)
+                held.append(np.stack([s[:-2], s[1:-1], s[2:]], axis=1))
+                size += len(s) - 2
                 if size >= 32 * STEP:
                     triples = np.concatenate(held)
                     triples = triples[rng.permutation(len(triples))]

@@ -333,3 +333,16 @@ def test_model_on_odd_rows(odd, none):
     assert lm_score.score(none).count() == 0
     alone = odd.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
     assert all(r["n_known"] == 0 for r in lm_score.score(alone).collect())
+
+
+def test_every_training_token_is_a_target(spark, monkeypatch):
+    def counted(p, squares, triples, noise, log_noise):
+        np.add.at(p.bias, triples[:, 2], 1)
+
+    monkeypatch.setattr(lm_score, "train_step", counted)
+    docs = spark.createDataFrame([(i, "a few words of " * i) for i in range(40)], "doc_id long, text string").coalesce(1)
+    texts = lm_score._texts(docs, "doc_id", "text")
+    vocab = lm_score.vocabulary(lm_score.word_counts(texts))
+    before = lm_score.start(vocab)
+    after = lm_score.train_round(texts, vocab, before, 0)
+    assert np.allclose(after.bias - before.bias, vocab.class_tokens, atol=1e-2)
