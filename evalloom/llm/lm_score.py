@@ -55,7 +55,7 @@ class Vocabulary:
     endings: dict[bytes, int]
     class_tokens: np.ndarray
     class_words: np.ndarray
-    threshold: int  # head words are those of this order of count or above
+    threshold: int  # head words are those of this order of count or above, and the end token
 
 
 @dataclass
@@ -118,7 +118,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The head of the counts, classes and totals: at most ``HEAD`` words and ``ENDINGS`` endings are collected."""
+    """The head of the counts, classes and totals: at most ``HEAD`` words, the end token and ``ENDINGS`` endings are collected."""
     orders = counts.groupBy(_order(F.col("c")).alias("o")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()
     total, distinct = sum(r["c"] for r in orders), sum(r["n"] for r in orders)
     threshold, words = 1 << 30, 0
@@ -126,7 +126,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if (words := words + r["n"]) > HEAD:
             break
         threshold = r["o"]
-    rows = sorted(counts.where(_order(F.col("c")) >= threshold).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+    frequent = (_order(F.col("c")) >= threshold) | (F.length("word") == 0)  # the end token, however rare, is in no tail
+    rows = sorted(counts.where(frequent).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     rows = [(bytes(r["word"]), r["c"]) for r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

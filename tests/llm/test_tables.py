@@ -346,3 +346,13 @@ def test_every_training_token_is_a_target(spark, monkeypatch):
     before = lm_score.start(vocab)
     after = lm_score.train_round(texts, vocab, before, 0)
     assert np.allclose(after.bias - before.bias, vocab.class_tokens, atol=1e-2)
+
+
+def test_end_token_beyond_the_head(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HEAD", 100)
+    n = 300
+    docs = spark.createDataFrame([(2, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")
+    assert zlib.crc32(b"2") % 7 != 2
+    (row,) = lm_score.score(docs, rounds=1).collect()
+    assert row["n_tokens"] == row["n_known"] == n + 1
+    assert math.isclose(row["base_score"], (n + 1) * math.log10(2 / (2 * (n + 1) + 1)), rel_tol=1e-9)
