@@ -10,7 +10,7 @@ differences in length feed a calibrated threshold: a logistic curve over the lar
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm import common
+from evalloom.storage import stored
 
 #: Words in a window, bytes of the shared and of the own passages, compression level.
 WINDOW, SHARED, OWN, LEVEL = 16, 160_000, 1_300, 9
-#: The fit takes so many toxic and ordinary texts at most, and so many characters of each.
-TOXIC_TEXTS, ORDINARY_TEXTS, FIT_CHARS = 3_000, 5_000, 8_000
+#: The fit takes so many toxic and ordinary texts at most, whole, and has the trainer see about so many of their windows.
+TOXIC_TEXTS, ORDINARY_TEXTS, TRAINER_ROWS = 3_000, 5_000, 200_000
+#: Tasks that the sampled texts are dealt to, and own words that travel with them, most telling first.
+FIT_TASKS, OWN_WORDS = 24, 20_000
 #: A word is the toxic texts' own from this log-likelihood ratio and this ratio of rates on.
 OWN_LLR, OWN_RATIO = 20.0, 10.0
 FEATURES = 6
@@ -97,32 +100,35 @@ class Meter:
         return made
 
 
-def own_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Words that toxic texts use in more contexts than chance allows, most telling first.
+def own_words(texts: DataFrame) -> list[bytes]:
+    """Words that toxic texts use in more contexts than chance allows, most telling first, of ``text, toxic`` rows.
 
     A context is a word with its neighbours, counted once, so copied passages do not count again.
     """
-    ids: dict[bytes, int] = {}
-    counts = []
-    for texts in (toxic, ordinary):
-        rows = []
-        for text in texts:
-            line = np.fromiter((ids.setdefault(w, len(ids) + 1) for w in text.lower().split()), np.uint64)
-            if len(line):
-                padded = np.concatenate(([0], line, [0])).astype(np.uint64)
-                rows.append((padded[:-2] << np.uint64(42)) ^ (padded[1:-1] << np.uint64(21)) ^ padded[2:])
-        distinct = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
-        counts.append((distinct >> np.uint64(21)) & np.uint64((1 << 21) - 1))
-    size = len(ids) + 1
-    a, b = (np.bincount(c.astype(np.int64), minlength=size)[:size].astype(float) for c in counts)
-    na, nb = max(a.sum(), 1), max(b.sum(), 1)
-    pa_, pb, p = (np.clip(x, 1e-12, 1 - 1e-12) for x in (a / na, b / nb, (a + b) / (na + nb)))
-    part = lambda k, n, q: k * np.log(q) + (n - k) * np.log1p(-q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                line = [b"", *text.as_py().lower().split(), b""]
+                found = list(set(zip(line, line[1:], line[2:])))
+                if found:
+                    arrays = [pa.array([toxic] * len(found), pa.int32()), pa.array([x[1] for x in found], pa.binary())]
+                    arrays.append(pa.array([b" ".join(x) for x in found], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "word", "context"])
+
+    each = texts.select("text", "toxic").mapInArrow(run, "toxic int, word binary, context binary").distinct()
+    words = stored(
+        each.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")), "toxicity-words"
+    )
+    na, nb = (float(max(x or 0, 1)) for x in words.agg(F.sum("a"), F.sum("b")).first())
+    clipped = lambda x: F.least(F.greatest(x, F.lit(1e-12)), F.lit(1 - 1e-12))
+    part = lambda k, n, q: k * F.log(q) + (n - k) * F.log1p(-q)
+    a, b = F.col("a"), F.col("b")
+    pa_, pb, p = clipped(a / na), clipped(b / nb), clipped((a + b) / (na + nb))
     llr = 2 * (part(a, na, pa_) + part(b, nb, pb) - part(a, na, p) - part(b, nb, p))
     ratio = ((a + 0.5) / na) / ((b + 0.5) / nb)
-    words = [b"", *ids]
-    chosen = np.flatnonzero((llr > OWN_LLR) & (ratio > OWN_RATIO) & (a >= 3))
-    return [words[i] for i in chosen[np.argsort(-llr[chosen], kind="stable")]]
+    chosen = words.where((llr > OWN_LLR) & (ratio > OWN_RATIO) & (a >= 3)).select("word", llr.alias("llr"))
+    return [bytes(r["word"]) for r in chosen.orderBy(F.desc("llr"), "word").limit(OWN_WORDS).collect()]
 
 
 def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
@@ -133,25 +139,62 @@ def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _windows(texts: list[bytes]) -> list[bytes]:
-    buffer, segments, _ = window_segments(texts, WINDOW)
+def _passages(texts: DataFrame, kind: int, make: Callable[[bytes], list[bytes]]) -> list[bytes]:
+    """What ``make`` finds in the whole texts of a kind: all of it, or about ``TRAINER_ROWS`` rows from all places alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = make(text.as_py())
+                if found:
+                    arrays = [pa.array([i] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "place", "passage"])
+
+    made = stored(
+        texts.where(F.col("toxic") == kind).select("id", "text").mapInArrow(run, "id long, place long, passage binary"),
+        "toxicity-passages",
+    )
+    n = max(1, made.count())
+    rows = made.where(F.pmod(F.xxhash64("id", "place"), F.lit(n)) < TRAINER_ROWS).collect()
+    return [bytes(r["passage"]) for r in sorted(rows, key=lambda r: (r["id"], r["place"]))]
+
+
+def _windows(text: bytes) -> list[bytes]:
+    buffer, segments, _ = window_segments([text], WINDOW)
     return [buffer[a : a + n] for a, n in segments.tolist()]
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary, of equal size and with equal ends."""
-    telling = set(own_words(toxic, ordinary))
-    samples = []
-    for text in toxic:
+def dictionaries(texts: DataFrame) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, of equal size and with equal ends, from ``id, text, toxic`` rows."""
+    telling = set(own_words(texts))
+
+    def runs(text: bytes) -> list[bytes]:
         found = [w for w in text.lower().split() if w in telling]
-        samples += [b" " + b" ".join(found[i : i + 8]) + b" " for i in range(0, len(found), 8)]
-    plain = _windows(ordinary)
+        return [b" " + b" ".join(found[i : i + 8]) + b" " for i in range(0, len(found), 8)]
+
+    samples, plain = _passages(texts, 1, runs), _passages(texts, 0, _windows)
     shared = _trained(plain, SHARED, 64, 8)
     first, second = _trained(samples, OWN, 48, 6), _trained(plain, OWN, 48, 6)
     size = min(len(first), len(second))
     return first[len(first) - size :] + shared, second[len(second) - size :] + shared
 
 
+def measured(texts: DataFrame, toxic: bytes, ordinary: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the whole texts of ``id, text, toxic`` rows, by id."""
+    names = [f"f{i}" for i in range(FEATURES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter = Meter(toxic, ordinary)
+        for batch in batches:
+            made = np.concatenate([meter.features([t.as_py()]) for t in batch.column(2)] or [np.zeros((0, FEATURES))])
+            arrays = [*batch.columns[:2], *[pa.array(np.ascontiguousarray(c)) for c in made.T]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "toxic", *names])
+
+    schema = "id long, toxic int, " + ", ".join(f"{n} double" for n in names)
+    rows = sorted(texts.select("id", "toxic", "text").mapInArrow(run, schema).collect())
+    return np.array([r[2:] for r in rows], float), np.array([r["toxic"] for r in rows], float)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of a penalised logistic regression, bias first, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -166,52 +209,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(labelled: list[tuple[bytes, int]], toxic_share: float) -> Model:
+def fit(labelled: DataFrame | None, toxic_share: float) -> Model:
     """Dictionaries from two thirds of the labelled texts, the curve from the other third.
 
     ``toxic_share`` is the share of toxic labels in all labelled rows; texts are weighed so that
     the curve gives probabilities at that share.
     """
-    groups = [[t for t, toxic in labelled if toxic == kind] for kind in (1, 0)]
-    if min(map(len, groups)) < 3:
+    found = {(r["toxic"], r["probe"]) for r in labelled.select("toxic", "probe").distinct().collect()} if labelled is not None else ()
+    if len(found) < 4:
         return Model(b"", b"", [], [], [], toxic_share)
-    learn = [[t for i, t in enumerate(g) if i % 3] for g in groups]
-    probe = [[t for i, t in enumerate(g) if i % 3 == 0] for g in groups]
-    toxic, ordinary = dictionaries(*learn)
-    x = Meter(toxic, ordinary).features(probe[0] + probe[1])
-    y = np.array([1.0] * len(probe[0]) + [0.0] * len(probe[1]))
-    weight = np.where(y == 1, toxic_share / len(probe[0]), (1 - toxic_share) / len(probe[1])) * len(y)
+    toxic, ordinary = dictionaries(labelled.where(~F.col("probe")))
+    x, y = measured(labelled.where("probe"), toxic, ordinary)
+    weight = np.where(y == 1, toxic_share / y.sum(), (1 - toxic_share) / (1 - y).sum()) * len(y)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = _logistic((x - centre) / scale, y, weight)
     return Model(toxic, ordinary, w.tolist(), centre.tolist(), scale.tolist())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[bytes, int]], float]:
-    """At most ``TOXIC_TEXTS`` and ``ORDINARY_TEXTS`` labelled texts, the lowest by hash of their id, and the toxic share.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame | None, float]:
+    """``id, toxic, probe, text`` of at most ``TOXIC_TEXTS`` and ``ORDINARY_TEXTS`` labelled texts, and the toxic share.
 
-    Only ids whose crc32 modulo 4 is not 2 are used; rows without a label or id are passed over.
+    They are the lowest by hash of their id, and whole; of every three one is for the curve. Only
+    ids whose crc32 modulo 4 is not 2 are used; rows without a label or id are passed over.
     """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (common.id_remainder(F.col("doc_id"), 4) != 2)
     )
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = {
-        r["doc_id"]: kind
+        r["doc_id"]: (kind, i % 3 == 0)
         for kind, most in ((1, TOXIC_TEXTS), (0, ORDINARY_TEXTS))
-        for r in usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        for i, r in enumerate(usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect())
     }
     if not ids:
-        return [], 0.0
+        return None, 0.0
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in ids], "wanted long")  # TOXIC_TEXTS + ORDINARY_TEXTS rows at most
+    rows = [(i, *x) for i, x in ids.items()]  # TOXIC_TEXTS + ORDINARY_TEXTS rows at most
+    wanted = spark.createDataFrame(rows, "wanted long, toxic int, probe boolean")
     texts = (
-        docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.substring(F.col(f"`{text_col}`").cast("string"), 1, FIT_CHARS).alias("text"))
-        .join(F.broadcast(wanted), F.col("id") == F.col("wanted"), "left_semi")
-        .groupBy("id").agg(F.min("text").alias("text"))
-        .collect()
+        docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        .join(F.broadcast(wanted), F.col("id") == F.col("wanted"))
+        .groupBy("id", "toxic", "probe").agg(F.coalesce(F.min("text"), F.lit("")).cast("binary").alias("text"))
+        .repartition(FIT_TASKS, "id")
     )
-    rows = sorted((r["id"], (r["text"] or "").encode(), ids[r["id"]]) for r in texts)
-    return [(t, kind) for _, t, kind in rows], counts.get(1, 0) / sum(counts.values())
+    return stored(texts, "toxicity-sample"), counts.get(1, 0) / sum(counts.values())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:

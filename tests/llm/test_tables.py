@@ -256,6 +256,15 @@ def test_toxicity_on_held_out_rows(documents, spark, sf_dir, odd, none):
     assert {r["toxicity"] for r in toxicity.rate(odd, labels.where("false")).collect()} == {0.0}
 
 
+def test_fit_sees_the_ends_of_long_texts(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    filler = " ".join(f"plain{i % 50}" for i in range(2_000))
+    rows = [(i, f"{filler} {' '.join(f'x{i} vile{k} y{i}' for k in range(5))}" if i % 2 else filler) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.rate(docs, labels).select("doc_id", "toxicity").collect()
+    assert all((r["toxicity"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+
+
 def test_windows_cover_whole_texts():
     text = b"A bc  def\n" * 100
     buffer, segments, counts = toxicity.window_segments([text, b"", b" x "], 16)
