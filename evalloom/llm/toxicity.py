@@ -1,9 +1,10 @@
 """Toxicity by compression distance: which of two dictionaries shortens a text's windows more.
 
-Two zstandard dictionaries are trained on labelled texts, one on toxic and one on ordinary
-ones. Each ends in the same passages of ordinary language, so that what both know costs
-the same under both; before them stand passages trained on the toxic texts' own words, or
-as many on ordinary windows. Every window of a text is compressed with both, and the
+Two zstandard dictionaries are made from labelled texts. Each ends in the same passages of
+ordinary language, so that what both know costs the same under both; before them stand
+passages of the toxic texts' own words, or as many bytes of ordinary windows. So words
+chosen by their rates decide, and not toxic passages: whole windows of toxic texts in their
+place, which are mostly ordinary language, separate worse (figures in the README). Every window of a text is compressed with both, and the
 differences in length feed a calibrated threshold: a logistic curve over the largest ones.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from evalloom.llm import common
 from evalloom.storage import stored
 
-#: Words in a window, bytes of the shared and of the own passages, compression level.
-WINDOW, SHARED, OWN, LEVEL = 16, 160_000, 1_300, 9
+#: Words in a window, bytes of the shared passages and at most of the own ones, compression level.
+WINDOW, SHARED, OWN, LEVEL = 16, 160_000, 16_000, 9
 #: The fit takes so many toxic and ordinary texts at most, whole, and has the trainer see about so many of their windows.
 TOXIC_TEXTS, ORDINARY_TEXTS, TRAINER_ROWS = 3_000, 5_000, 200_000
 #: Tasks that the sampled texts are dealt to, and own words that travel with them, most telling first.

@@ -256,6 +256,21 @@ def test_toxicity_on_held_out_rows(documents, spark, sf_dir, odd, none):
     assert {r["toxicity"] for r in toxicity.rate(odd, labels.where("false")).collect()} == {0.0}
 
 
+def test_own_words_follow_the_lexicon(spark):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}slurword{i}" for i in range(300)]
+    rng = random.Random(3)
+    plain = [" ".join(f"plain{rng.randrange(500)}" for _ in range(60)) for _ in range(600)]
+    labelled = [(i, 0, i % 3 == 0, t.encode()) for i, t in enumerate(plain)]
+    for i in range(600):
+        line = plain[i].split()
+        for j in range(0, 60, 3):
+            line[j] = words[rng.randrange(300)]
+        labelled.append((1_000 + i, 1, i % 3 == 0, " ".join(line).encode()))
+    texts = spark.createDataFrame([r for r in labelled if not r[2]], "id long, toxic int, probe boolean, text binary")
+    toxic, _ = toxicity.dictionaries(texts)
+    assert sum(w.encode() in toxic for w in words) > 200  # 1,300 bytes hold some 100 of them
+
+
 def test_fit_sees_the_ends_of_long_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
     filler = " ".join(f"plain{i % 50}" for i in range(2_000))
