@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bitsliced_topk, common, html_text, lm_score, mixing, packing, quality_rules, ranked_search, secret_scan, simhash_dedup, token_files, toxicity
+from evalloom.llm import bitsliced_topk, common, html_text, lm_score, mixing, packing, quality_rules, ranked_search, secret_scan, simhash_dedup, token_files, toxicity, whitening
 from evalloom.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,3 +242,11 @@ SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <=
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return ranked_search.top_documents(docs, common.table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    # a sum of squares beyond a long (from some millions of rows on) has no value in this column; the operator gives it whole
+    deviation = F.col("deviation").try_cast("bigint").alias("deviation")
+    return white.select(F.col("id").alias("vec_id"), "component", "n", deviation, "whitened", "explained", "identity_error")
