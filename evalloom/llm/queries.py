@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bitsliced_topk, common, html_text, lm_score, mixing, packing, quality_rules, ranked_search, secret_scan, simhash_dedup, token_files, toxicity, whitening
+from evalloom.llm import bitsliced_topk, chat_windows, common, html_text, lm_score, mixing, packing, quality_rules, ranked_search, secret_scan, simhash_dedup, token_files, toxicity, whitening
 from evalloom.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,3 +250,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a sum of squares beyond a long (from some millions of rows on) has no value in this column; the operator gives it whole
     deviation = F.col("deviation").try_cast("bigint").alias("deviation")
     return white.select(F.col("id").alias("vec_id"), "component", "n", deviation, "whitened", "explained", "identity_error")
+
+
+@query("op12_chat_windows")
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    path = scratch_path(spark, "chat-windows")
+    chat_windows.windows(held.unionByName(more), public_tokenizers.path(TOKENIZER)).write.parquet(path)
+    return chat_windows.read_back(spark.read.parquet(path))
