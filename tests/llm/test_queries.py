@@ -15,6 +15,9 @@ ALL = {
     "op8_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_html_text": "page_id bigint, url string, text string, n_chars bigint",
     "op10_lm_score": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op11_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12_chat_windows": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    "op13_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
@@ -30,6 +33,12 @@ def test_results(spark, name):
     if name.startswith("op5"):
         table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
         assert rows == 5 * table.where("vec_id % 50 = 0").count()
+    elif name.startswith("op11"):
+        assert rows == 8 * spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    elif name.startswith("op12"):
+        assert rows == 1 + spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
+    elif name.startswith("op13"):
+        assert rows == 10 * spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
     elif name.startswith("op9"):
         assert rows == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     elif name.startswith("op1_"):
@@ -39,4 +48,4 @@ def test_results(spark, name):
 
 
 def test_what_sql_checks():
-    assert set(ORACLES) == {"op4_secret_scan", "op5_bitsliced_topk", "op8_quality_rules"} and set(QUERIES) == set(ALL)
+    assert set(ORACLES) == {"op4_secret_scan", "op5_bitsliced_topk", "op8_quality_rules", "op13_ranked_search"} and set(QUERIES) == set(ALL)
