@@ -220,13 +220,8 @@ def _fld_all_sql() -> str:
 
 @query("fld_all", _fld_all_sql())
 def fld_all(spark, sf_dir):
-    parts = [
-        fx.attempts(spark, sf_dir, name, fx.MANY_CALLS).withColumn("strategy", F.lit(name))
-        for name in ("best_of_n", "crop_zoom", "decompose", "iterative_refine", "code_vision", "verify")
-    ]
-    attempts = parts[0]
-    for part in parts[1:]:
-        attempts = attempts.unionByName(part)
+    names = ["best_of_n", "crop_zoom", "decompose", "iterative_refine", "code_vision", "verify"]
+    attempts = fx.attempts_of(spark, sf_dir, names, fx.MANY_CALLS)
     attempts = attempts.withColumn("model", F.concat(F.lit("m"), (F.col("sample_id").cast("bigint") % 2).cast("string")))
     return folds.fold_all(attempts).select("sample_id", "strategy", "model", "parsed_answer", "latency_s")
 

@@ -272,6 +272,21 @@ def attempts(spark: SparkSession, sf_dir: str, strategy: str, made: dict[str, li
     return ev.extract_answers(derive(crossed, _ATTEMPT_STAGES, ATTEMPT_COLUMNS))
 
 
+def attempts_of(spark: SparkSession, sf_dir: str, strategies: list[str], made: dict[str, list] = CALLS) -> DataFrame:
+    """Calls of several strategies in one table with ``strategy``, each event read once."""
+    calls = F.array(
+        *[
+            F.struct(F.lit(name).alias("strategy"), F.lit(k).alias("pass_kind"), F.lit(i).alias("attempt_idx"))
+            for name in strategies for k, i in made[name]
+        ]
+    )
+    crossed = (
+        derive(table(spark, sf_dir, "events"), _ATTEMPT_BASE)
+        .select("*", F.explode(calls).alias("call")).select("*", "call.*").drop("call")
+    )
+    return ev.extract_answers(derive(crossed, _ATTEMPT_STAGES, [*ATTEMPT_COLUMNS, "strategy"]))
+
+
 def attempts_sql(strategy: str, made: dict[str, list] = CALLS) -> str:
     crossed = (
         f"(SELECT * FROM ({derive_sql('events', _ATTEMPT_BASE)}) CROSS JOIN "

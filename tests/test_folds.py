@@ -147,3 +147,51 @@ def test_routes(spark):
     df = spark.createDataFrame([(t,) for t in tasks], "task_name string")
     got = [r[0] for r in df.select(folds.routed_strategy(F.col("task_name"))).collect()]
     assert got == ["sketchpad", "sketchpad", "baseline", "verify", "code_vision"]
+
+
+def test_one_table_of_all_strategies_is_read_and_gathered_once(spark):
+    """``fold_all`` gives each strategy what its own fold gives, from one shuffle; folds of other kinds read their own rows."""
+    kinds = {
+        "baseline": [("full", 0, "{1}")], "verify": [("full", 0, "{1}"), ("verify", 0, "it is {2}")],
+        "best_of_n": [("sample", i, r) for i, r in enumerate(("{1}", "{2}", "{2}", "no"))],
+        "best_of_n_verify": [("sample", 0, "{1}"), ("sample", 1, "{1}"), ("verify", 0, "yes, right")],
+        "crop_zoom": [("full", 0, "{4}"), ("crop", 0, "{5}"), ("crop", 1, "{5}")],
+        "decompose": [("sub", 0, "{4}"), ("sub", 1, "{6}"), ("final", 0, "none")],
+        "code_vision": [("code", 0, "```python\nprint(1)\n```"), ("output", 0, "1"), ("final", 0, "{1}")],
+        "iterative_refine": [("round", i, r) for i, r in enumerate(("{1}", "{2}", "{2}", "{3}"))],
+        "sketchpad": [("pass", 0, "TOOL(count_lines)"), ("pass", 1, "ANSWER: {7}")],
+    }
+    rows = [(s, k, i, r, strategy) for strategy, made in kinds.items() for s in ("a", "b") for k, i, r in made]
+    rows += [("c", "crop", 0, "{1}", "crop_zoom"), ("c", "crop", 0, None, "baseline")]  # no call the fold needs: no row
+    df = ev.extract_answers(
+        spark.createDataFrame([(s, "nested_squares", "integer", k, i, "p", r, 0.5, 10, 1, x) for s, k, i, r, x in rows], SCHEMA + ", strategy string")
+    )
+    whole = folds.fold_all(df)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan ExistingRDD") == 1
+    together = {(r["sample_id"], r["strategy"]): r.asDict() for r in whole.collect()}
+    assert set(together) == {(s, x) for s in ("a", "b") for x in kinds}
+    for name in kinds:
+        for r in folds.FOLDS[name](df.where(F.col("strategy") == name)).collect():
+            full = together[(r["sample_id"], name)]
+            assert {**full, **r.asDict()} == full and all(v is None for k, v in full.items() if k not in r.asDict())
+    own = {**folds.FOLDS, "verify": lambda x: x.groupBy("sample_id", "strategy").agg(F.lit("mine").alias("parsed_answer"))}
+    mixed = {(r["sample_id"], r["strategy"]): r["parsed_answer"] for r in folds.fold_all(df, own).collect()}
+    assert mixed == {k: "mine" if k[1] == "verify" else v["parsed_answer"] for k, v in together.items()}
+
+
+def test_sketchpad_lists_its_findings(spark):
+    rows = [
+        ("plan", 0, "How many?", None, "nine lines"), ("plan", 1, "Where?", None, "x" * 150), ("plan", 2, "Why?", None, None),
+        ("pass", 1, "p", "TOOL(count_lines)", "three"), ("pass", 2, "p", "ANSWER: {7}", None), ("pass", 3, "p", "{8}", "unused"),
+    ]
+    df = spark.createDataFrame(
+        [("a", "nested_squares", "integer", k, i, q, r, 0.5, 10, 1, f) for k, i, q, r, f in rows], SCHEMA + ", findings string"
+    )
+    got = one(folds.sketchpad(ev.extract_answers(df)))
+    tool = folds.dims.SKETCH_TOOLS
+    if "count_lines" in tool:
+        assert got["strategy_findings"] == f"[How many?] nine lines; [Where?] {'x' * 100}; [Model-requested (pass 1)] three"
+        assert (got["strategy_sub_questions"], got["strategy_passes"], got["parsed_answer"]) == (3, 3, "7")
+    else:
+        assert (got["strategy_sub_questions"], got["strategy_passes"]) == (3, 2)
