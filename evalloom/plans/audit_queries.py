@@ -363,11 +363,10 @@ def win6(spark, sf_dir):
 
 @query("str1", f"WITH {fx.RESULTS_SQL} SELECT sample_id, task_name, parsed_answer, correct, score FROM results")
 def str1(spark, sf_dir):
-    """Two drops of response files, half of the second repeated from the first."""
+    """Three drops of response files, each repeating rows of those before; the stream starts anew for every drop."""
     rows = fx.responses(spark, sf_dir).drop("thinking_text")
     source, sink, marks = (scratch_path(spark, n) for n in ("incoming", "scored", "marks"))
-    rows.where(F.col("line_no") % 4 < 2).drop("line_no").write.mode("append").json(source)
-    score_stream(spark, source, sink, marks).awaitTermination()
-    rows.where(F.col("line_no") % 4 > 0).drop("line_no").write.mode("append").json(source)
-    score_stream(spark, source, sink, marks).awaitTermination()
+    for first, last in ((0, 1), (1, 2), (0, 3)):
+        rows.where((F.col("line_no") % 4).between(first, last)).drop("line_no").write.mode("append").json(source)
+        score_stream(spark, source, sink, marks).awaitTermination()
     return spark.read.parquet(sink).select("sample_id", "task_name", "parsed_answer", "correct", "score")

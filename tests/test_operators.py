@@ -2,12 +2,12 @@
 
 import itertools
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.streaming import incremental
 from evalloom.operators import evaluate as ev
 from evalloom.operators import strategies as st
 from evalloom.operators import accuracy as acc
@@ -258,33 +258,67 @@ def test_malformed_lines(spark, tmp_path):
     assert readers.read_completed(spark, str(tmp_path / "absent")).count() == 0
 
 
+def dropped(folder, name, *rows):
+    (folder / "in").mkdir(exist_ok=True)
+    lines = [json.dumps(dict(sample_id=i, parser="integer", scorer="exact_match", ground_truth="3", raw_response=r)) for i, r in rows]
+    (folder / "in" / name).write_text("\n".join(lines))
+
+
 def test_streamed_rows_are_scored_once(spark, tmp_path):
+    """Three batches with restarts between them; the last one is run again and leaves the same rows."""
     source, sink, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    dropped(tmp_path, "a.json", ("1", "{3}"), ("2", "{4}"), ("1", "{3}"))
+    score_stream(spark, source, sink, marks).awaitTermination()
+    dropped(tmp_path, "b.json", ("2", "{3}"), ("3", "{3}"))
+    score_stream(spark, source, sink, marks).awaitTermination()
+    dropped(tmp_path, "c.json", ("1", "{4}"), ("4", "{4}"), (None, "{3}"), (None, "{3}"))
+    score_stream(spark, source, sink, marks).awaitTermination()
 
-    def drop(name, *rows):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        lines = [json.dumps(dict(sample_id=i, parser="integer", scorer="exact_match", ground_truth="3", raw_response=r)) for i, r in rows]
-        (tmp_path / "in" / name).write_text("\n".join(lines))
+    def rows():
+        return sorted((r["batch_id"], str(r["sample_id"]), r["correct"]) for r in spark.read.parquet(sink).collect())
 
-    drop("a.json", ("1", "{3}"), ("2", "{4}"), ("1", "{3}"))
+    got = rows()
+    assert got == [(0, "1", True), (0, "2", False), (1, "3", True), (2, "4", False), (2, "None", True)]
+    for mark in (tmp_path / "marks" / "commits").glob("*2*"):  # as if the driver was lost before the commit
+        mark.unlink()
+    dropped(tmp_path, "d.json", ("4", "{3}"), ("5", "{3}"))
     score_stream(spark, source, sink, marks).awaitTermination()
-    drop("b.json", ("2", "{3}"), ("3", "{3}"))
+    assert rows() == [*got, (3, "5", True)]
+
+
+def test_a_batch_reads_no_history(spark, tmp_path):
+    """What is left of the sink and the source after a batch is not looked at by the next one."""
+    source, sink, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    dropped(tmp_path, "a.json", *[(str(i), "{3}") for i in range(300)])
     score_stream(spark, source, sink, marks).awaitTermination()
-    got = sorted((r["sample_id"], r["correct"]) for r in spark.read.parquet(sink).collect())
-    assert got == [("1", True), ("2", False), ("3", True)]
-
-
-def test_batches_read_only_their_buckets(spark, tmp_path):
-    sink = str(tmp_path / "sink")
-    rows = spark.range(500).select(F.col("id").cast("string").alias("sample_id"))
-    rows = rows.withColumn("bucket", incremental.bucket_of(F.col("sample_id")))
-    rows.write.partitionBy("bucket").parquet(f"{sink}/batch_id=0")
-    found = incremental.scored_before(spark, sink, 1, [3, 5])
-    assert {r["bucket"] for r in found.collect()} == {3, 5}
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
-    assert incremental.scored_before(spark, sink, 0, [3, 5]).count() == 0
-    assert incremental.scored_before(spark, str(tmp_path / "none"), 0, [3]).count() == 0
+    for file in (tmp_path / "out" / "batch_id=0").glob("*.parquet"):
+        file.unlink()
+    (tmp_path / "in" / "a.json").unlink()
+    dropped(tmp_path, "b.json", ("7", "{3}"), ("300", "{3}"))
+    query = score_stream(spark, source, sink, marks)
+    query.awaitTermination()
+    assert [r["sample_id"] for r in spark.read.parquet(f"{sink}/batch_id=1").collect()] == ["300"]
+    assert query.lastProgress["numInputRows"] == 2 and query.lastProgress["stateOperators"][0]["numRowsUpdated"] == 1
+
+
+def test_ids_can_be_forgotten(spark, tmp_path):
+    """With an allowance for repeats, an id that comes again long after is new."""
+    source, sink, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    for n, (name, age) in enumerate((("a", 500), ("b", 499.5), ("c", 300), ("d", 100))):
+        dropped(tmp_path, f"{name}.json", ("1", "{3}"), (f"x{n}", "{3}"))
+        when = 1_700_000_000 - age * 3600
+        os.utime(tmp_path / "in" / f"{name}.json", (when, when))
+        score_stream(spark, source, sink, marks, repeats_within="24 hours").awaitTermination()
+    got = [r["sample_id"] for r in spark.read.parquet(sink).collect()]
+    assert 2 <= got.count("1") <= 3 and {f"x{n}" for n in range(4)} <= set(got)
+
+
+def test_a_sink_belongs_to_one_checkpoint(spark, tmp_path):
+    dropped(tmp_path, "a.json", ("1", "{3}"))
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    score_stream(spark, source, sink, str(tmp_path / "m1")).awaitTermination()
+    with pytest.raises(ValueError, match="does not know"):
+        score_stream(spark, source, sink, str(tmp_path / "m2"))
 
 
 def test_episodes_come_in_order_of_files(spark, tmp_path):
