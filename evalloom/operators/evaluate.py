@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalloom.batches import Batches
 from evalloom.functions import scoring, text as tx
 from evalloom.functions.extract import ColumnParser, parse_by_name
 from evalloom.operators.columns import with_fields, with_struct
+from evalloom.storage import scratch_path
 
 
 def extract_answers(
@@ -33,17 +34,24 @@ def score_answers(
     return with_struct(answers, fields, list(scoring.SCORE_FIELDS))
 
 
-def evaluate(responses: DataFrame) -> DataFrame:
-    """Extract and score. Rows that cannot be judged carry an ``error_message``."""
+def evaluate(
+    responses: DataFrame,
+    parsers: dict[str, ColumnParser] | None = None,
+    scorers: dict[str, scoring.ColumnScorer] | None = None,
+) -> DataFrame:
+    """Extract and score. Rows that cannot be judged carry an ``error_message``.
+
+    ``parsers`` and ``scorers`` are used in place of the registered ones where they are given.
+    """
     problem = (
         F.when(F.col("raw_response").isNull(), "missing response")
         .when(F.col("ground_truth").isNull(), "missing ground truth")
     )
-    answer = parse_by_name(F.col("parser"), F.col("raw_response"))
+    answer = parse_by_name(F.col("parser"), F.col("raw_response"), parsers)
     judged = with_fields(
         responses, parsed_answer=F.when(problem.isNull(), answer), error_message=problem
     )
-    return score_answers(judged)
+    return score_answers(judged, scorers)
 
 
 def pending(manifest: DataFrame, completed: DataFrame) -> DataFrame:
@@ -75,22 +83,44 @@ def run_model(
     model: Callable[[pd.DataFrame], pd.DataFrame],
     response_schema: T.StructType | str,
     rows_per_task: int = 2_000,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Call a user function over the unfinished rows, a batch at a time.
 
     The function gets a pandas batch of manifest rows and returns rows of
     ``response_schema``, which ``error_message`` is added to: a call that raises gives a row with
     its message and no answer. Tasks hold ``rows_per_task`` rows, so that a lost one
-    repeats little; how many run at once is up to the executors' cores.
+    repeats little; how many run at once is up to the executors' cores. The backlog is counted
+    for that, unless ``n_rows`` says how many rows there are.
     """
     todo = manifest if completed is None else pending(manifest, completed)
     schema = response_schema if isinstance(response_schema, T.StructType) else T.StructType.fromDDL(response_schema)
     fields = [f for f in schema.fields if f.name != "error_message"]
     schema = T.StructType([*fields, T.StructField("error_message", T.StringType())])
-    tasks = max(1, -(-todo.count() // rows_per_task))
+    tasks = max(1, -(-(todo.count() if n_rows is None else n_rows) // rows_per_task))
     return todo.repartition(tasks).mapInPandas(_with_errors(model, schema.names), schema)
 
 
+def _wave_of(name: str) -> int:
+    return int(name.split(".")[1])
+
+
+def _current(notes: dict[str, dict]) -> list[str]:
+    """The batches that hold the results: all runs of a wave since the last that replaced those before it."""
+    kept: dict[int, list[str]] = {}
+    for name, note in notes.items():
+        wave = _wave_of(name)
+        kept[wave] = [name] if note["replaces"] else [*kept.get(wave, []), name]
+    return [name for names in kept.values() for name in names]
+
+
+def read_run(spark: SparkSession, path: str) -> DataFrame | None:
+    """The results of all committed waves of a run; None before the first."""
+    batches = Batches(spark, path)
+    names = _current(batches.notes("wave.*"))
+    return batches.read(names) if names else None
+
+
 def run_to(
     manifest: DataFrame,
     path: str,
@@ -98,30 +128,58 @@ def run_to(
     response_schema: T.StructType | str,
     rows_per_wave: int = 1_000_000,
     rows_per_task: int = 2_000,
+    retry_errors: bool = False,
 ) -> DataFrame:
-    """Run the model over the manifest rows that ``path`` (Parquet) has no result for, append, and read all results.
+    """Run the model over the manifest rows that the run at ``path`` has no result for, and read all results.
 
-    The backlog goes in waves by a hash of ``sample_id``, each appended when it is done, so a run
-    that breaks off keeps its finished waves and the next one goes on from there. Error rows
-    count as results; take them out of the path to try them again.
-    """
-    spark = manifest.sparkSession
+    The manifest is dealt into waves of about ``rows_per_wave`` rows by a hash of ``sample_id``; their number
+    is set by the first run into ``path``. A wave is a batch (``batches``): its results lie in their
+    own directory and count once its marker is written, so a run that breaks off keeps its
+    finished waves, and what it left of the broken one has no marker and is done again.
 
-    def results() -> DataFrame | None:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as missing:
-            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
-
-    done = results()
-    todo = manifest if done is None else pending(manifest, done)
-    waves = max(1, -(-todo.count() // rows_per_wave))
-    for wave in range(waves):
-        part = manifest.where(F.pmod(F.xxhash64("sample_id"), F.lit(waves)) == wave)
-        run_model(part, results(), model, response_schema, rows_per_task).write.mode("append").parquet(path)
-    return results()
+    The marker holds how many rows the wave was run for and a hash of their ids. A wave whose
+    manifest rows are still the same is skipped without reading anything; one that has got new
+    rows reads the results of that wave alone. With ``retry_errors`` the rows of a wave that ended in an error
+    are called again, and the wave's results are written anew with those that were good.
+    """
+    spark, batches = manifest.sparkSession, Batches(manifest.sparkSession, path)
+    plan = batches.notes("plan")
+    if not plan:
+        if not batches.is_empty() and not batches.notes("wave.*"):
+            raise ValueError(f"{path} holds something else than a run")
+        batches.commit("plan", {"waves": max(1, -(-manifest.count() // rows_per_wave))})
+        plan = batches.notes("plan")
+    waves = plan["plan"]["waves"]
+    dealt = manifest.withColumn("_wave", F.pmod(F.xxhash64("sample_id"), F.lit(waves)))
+    prints = F.sum(F.xxhash64("sample_id", "_wave").cast("decimal(38,0)")).cast("string")
+    found = {r["_wave"]: (r["n"], r["p"]) for r in dealt.groupBy("_wave").agg(F.count("*").alias("n"), prints.alias("p")).collect()}
+    notes = batches.notes("wave.*")
+    last = {_wave_of(name): note for name, note in notes.items()}
+
+    def is_done(wave: int) -> bool:
+        note = last.get(wave)
+        return note is not None and (note["rows"], note["ids"]) == found[wave] and not (retry_errors and note["errors"])
+
+    todo = sorted(w for w in found if not is_done(w))
+    if todo:
+        queue = scratch_path(spark, "waves")
+        dealt.where(F.col("_wave").isin(todo)).repartition("_wave", F.rand(7)).write.partitionBy("_wave").parquet(queue)
+    for wave in todo:
+        rows = spark.read.schema(manifest.schema).parquet(f"{queue}/_wave={wave}")
+        before = [n for n in _current(notes) if _wave_of(n) == wave]
+        done = batches.read(before) if before else None
+        replaces = retry_errors and wave in last and bool(last[wave]["errors"])
+        good = done.where("error_message IS NULL") if replaces else done
+        made = run_model(rows, good, model, response_schema, rows_per_task, None if before else found[wave][0])
+        name = f"wave.{wave:06d}.run.{sum(_wave_of(n) == wave for n in notes):06d}"
+        batches.write(made.unionByName(good, allowMissingColumns=True) if replaces else made, name)
+        held = batches.read([*([] if replaces else before), name])
+        errors = held.where("error_message IS NOT NULL").count()
+        batches.commit(name, {"rows": found[wave][0], "ids": found[wave][1], "errors": errors, "replaces": replaces})
+    made = read_run(spark, path)
+    if made is None:  # an empty manifest: no wave has rows
+        return run_model(manifest, None, model, response_schema, rows_per_task, 0)
+    return made
 
 
 def normalise_reasoning(results: DataFrame) -> DataFrame:

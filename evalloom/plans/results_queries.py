@@ -100,12 +100,12 @@ def src6(spark, sf_dir):
 
 @query("snk1", f"{R} SELECT task_name, count(*) * 2 AS n FROM results GROUP BY task_name")
 def snk1(spark, sf_dir):
-    """Appending the same results twice doubles them."""
+    """Two batches of the same results, each appended twice: rows are doubled by the ids, not by the repeats."""
     path = scratch_path(spark, "append")
-    rows = fx.results(spark, sf_dir)
-    for _ in range(2):
-        writers.append_results(rows, path, "parquet")
-    return spark.read.parquet(path).groupBy("task_name").agg(F.count("*").alias("n"))
+    rows = fx.results(spark, sf_dir).drop("line_no")
+    for batch in ("first", "second", "second", "first"):
+        writers.append_results(rows, path, "json", batch)
+    return readers.read_batches(spark, path).groupBy("task_name").agg(F.count("*").alias("n"))
 
 
 @query("snk2", f"""{R} SELECT sample_id, parsed_answer, correct, reasoning_mode,
@@ -153,8 +153,12 @@ def top1(spark, sf_dir):
 @query("snk5", f"{RESPONSES} SELECT task_name, count(*) AS n, count(DISTINCT ground_truth) AS truths FROM responses GROUP BY task_name")
 def snk5(spark, sf_dir):
     path = scratch_path(spark, "by_task")
-    writers.write_by_task(fx.responses(spark, sf_dir), path)
-    return spark.read.json(path).groupBy("task_name").agg(
+    rows = fx.responses(spark, sf_dir)
+    half = F.col("line_no") % 2
+    for batch in (0, 1, 1):
+        writers.write_by_task(rows.where(half == batch), path, batch_id=f"half-{batch}")
+    kind = "ground_truth string, task_name string"
+    return readers.read_batches(spark, path, kind).groupBy("task_name").agg(
         F.count("*").alias("n"), F.count_distinct("ground_truth").alias("truths")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom import schemas
+from evalloom.batches import Batches
 from evalloom.operators.diagnostics import with_response
 
 
@@ -19,6 +20,13 @@ def read_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _json(spark, path, schemas.RESULTS, "FAILFAST")
 
 
+def read_batches(spark: SparkSession, path: str, schema: str = schemas.RESULTS, file_format: str = "json") -> DataFrame:
+    """The committed batches of a path that is appended to by batch ids; no rows before the first."""
+    options = {"mode": "FAILFAST"} if file_format == "json" else {}
+    rows = Batches(spark, path, file_format).read(schema=schema, **options)
+    return spark.createDataFrame([], schema) if rows is None else rows
+
+
 def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _json(spark, path, schemas.MANIFEST, "FAILFAST")
 

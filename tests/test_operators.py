@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalloom.functions import scoring
 from evalloom.operators import evaluate as ev
 from evalloom.operators import strategies as st
 from evalloom.operators import accuracy as acc
@@ -16,7 +17,7 @@ from evalloom.operators import params as pm, sampling as sm
 from evalloom.operators import diagnostics as dg
 from evalloom.operators.ranking import top_k_per_group
 from evalloom.plans import fixtures as fx
-from evalloom.sources import readers
+from evalloom.sources import readers, writers
 from evalloom.streaming.incremental import score_stream
 
 
@@ -371,3 +372,82 @@ def test_unlisted_names(spark):
     assert st.best_strategies(df).first()["best_strategy"] == "mine"
     with pytest.raises(Exception, match="not a listed strategy: mine"):
         st.task_matrix(df, "strategy", ["baseline"]).collect()
+
+
+def models():
+    """A model that fails on one sample, and one that answers another way (made here, so that tasks get them whole)."""
+
+    def answer(batch):
+        if (batch["sample_id"] == "s3").any():
+            raise RuntimeError("down")
+        return batch.assign(raw_response="r" + batch["sample_id"])[["sample_id", "raw_response"]]
+
+    def later(batch):
+        return batch.assign(raw_response="later " + batch["sample_id"])[["sample_id", "raw_response"]]
+
+    return answer, later
+
+
+def test_waves_are_committed_one_by_one(spark, tmp_path):
+    """A broken wave has no marker and is done again; finished ones are left alone; new rows run in their own wave only."""
+    _answer, _later = models()
+    kind, path = "sample_id string, raw_response string", str(tmp_path / "run")
+    rows = spark.createDataFrame([(f"s{i}", i) for i in range(40)], "sample_id string, n long")
+    whole = {r["sample_id"]: r["raw_response"] for r in ev.run_to(rows, path, _answer, kind, rows_per_wave=10, rows_per_task=4).collect()}
+    assert whole == {f"s{i}": f"rs{i}" if i != 3 else None for i in range(40)}
+    marks = sorted(p.name for p in (tmp_path / "run" / "_committed").iterdir() if p.name.startswith("wave"))
+    assert len(marks) == 4
+    (tmp_path / "run" / "_committed" / marks[2]).unlink()  # as if the driver was lost before the marker
+    held = spark.read.parquet(f"{path}/batch={marks[2]}").count()
+    assert ev.read_run(spark, path).count() == 40 - held
+    again = {r["sample_id"]: r["raw_response"] for r in ev.run_to(rows, path, _later, kind, rows_per_wave=3).collect()}
+    assert len(again) == 40 and sum(v is not None and v.startswith("later") for v in again.values()) == held
+    times = {p: p.stat().st_mtime_ns for p in (tmp_path / "run").glob("batch=*/*.parquet")}
+    assert ev.run_to(rows, path, _later, kind).count() == 40  # nothing to do: no model call, no file
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "run").glob("batch=*/*.parquet")} == times
+    more = rows.unionByName(spark.createDataFrame([("new", 1)], rows.schema))
+    assert {r["sample_id"]: r["raw_response"] for r in ev.run_to(more, path, _later, kind).collect()} == again | {"new": "later new"}
+    assert len(list((tmp_path / "run").glob("batch=*"))) == 5
+
+
+def test_errors_are_tried_again_when_asked(spark, tmp_path):
+    _answer, _later = models()
+    kind, path = "sample_id string, raw_response string", str(tmp_path / "run")
+    rows = spark.createDataFrame([(f"s{i}",) for i in range(12)], "sample_id string")
+    ev.run_to(rows, path, _answer, kind, rows_per_wave=4)
+    assert ev.run_to(rows, path, _later, kind).where("error_message IS NOT NULL").count() == 1
+    tried = ev.run_to(rows, path, _later, kind, retry_errors=True).collect()
+    assert sorted(r["raw_response"] for r in tried) == sorted(f"rs{i}" if i != 3 else "later s3" for i in range(12))
+    assert all(r["error_message"] is None for r in tried)
+    assert ev.run_to(rows, path, _answer, kind, retry_errors=True).count() == 12
+
+
+def test_runs_of_nothing_and_into_other_tables(spark, tmp_path):
+    _answer, _later = models()
+    kind = "sample_id string, raw_response string"
+    none = spark.createDataFrame([], "sample_id string")
+    assert ev.run_to(none, str(tmp_path / "none"), _answer, kind).collect() == []
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="something else"):
+        ev.run_to(none, str(tmp_path / "other"), _answer, kind)
+
+
+def test_appends_can_be_repeated(spark, tmp_path):
+    """The same batch twice gives its rows once, and what an unfinished append left is replaced."""
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("1", "t", True), ("2", "t", False)], "sample_id string, task_name string, correct boolean")
+    assert readers.read_batches(spark, path).count() == 0
+    rows.write.json(f"{path}/batch=a")  # an append whose driver was lost
+    assert readers.read_batches(spark, path).count() == 0
+    assert writers.append_results(rows, path, batch_id="a") and not writers.append_results(rows, path, batch_id="a")
+    assert writers.append_results(rows.limit(1), path, batch_id="b")
+    got = readers.read_batches(spark, path)
+    assert sorted(r["sample_id"] for r in got.collect()) == ["1", "1", "2"] and "batch" not in got.columns
+    with pytest.raises(ValueError, match="batch id"):
+        writers.append_results(rows, path, batch_id="../up")
+
+
+def test_scorers_of_ones_own(spark):
+    df = spark.createDataFrame([("1", "shout", "same", "yes", "YES")], "sample_id string, parser string, scorer string, raw_response string, ground_truth string")
+    got = ev.evaluate(df, {"shout": F.upper}, {"same": scoring.SCORERS["exact_match"]}).first()
+    assert (got["parsed_answer"], got["correct"]) == ("YES", True) and "same" not in scoring.SCORERS
