@@ -5,66 +5,117 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.storage import stored
+
 # --- fixed values: how far inside both segments a crossing must lie --------------
 INNER_LOW, INNER_HIGH = 0.05, 0.95
 PARALLEL = 1e-10
 # ---------------------------------------------------------------------------------
-_SLACK = 1e-6
+_SLACK = 1e-7
+#: Segments of a cell that are compared with each other.
+CELL = 64
 #: Bands of a group that are ordered together.
 STRETCH = 4_096
 
 
-def _grid(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Bounds and grid width of each figure, from one aggregate."""
+def _within(low: Column, high: Column) -> tuple[Column, Column, Column]:
+    """The part of a segment over an x-range: its x from, and its least and greatest y there."""
     x_low, x_high = F.least("x1", "x2"), F.greatest("x1", "x2")
-    y_low, y_high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    stats = segments.groupBy(*keys).agg(
-        F.min(x_low).alias("gx"), F.max(x_high).alias("gx2"),
-        F.min(y_low).alias("gy"), F.max(y_high).alias("gy2"), F.count("*").alias("gn"),
-    )
-    side = F.greatest(F.ceil(F.sqrt("gn") / 2), F.lit(1))
-    return stats.select(
-        *keys, "gx", "gy", side.cast("bigint").alias("cells"),
-        (F.greatest(F.col("gx2") - F.col("gx"), F.lit(1e-9)) / side).alias("cw"),
-        (F.greatest(F.col("gy2") - F.col("gy"), F.lit(1e-9)) / side).alias("ch"),
+    slope = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+
+    def height(x: Column) -> Column:
+        at = F.col("y1") + slope * (F.least(F.greatest(x, x_low), x_high) - F.col("x1"))
+        return F.least(F.greatest(at, F.least("y1", "y2")), F.greatest("y1", "y2"))
+
+    upright = slope.isNull()
+    a = F.when(upright, F.col("y1")).otherwise(height(low))
+    b = F.when(upright, F.col("y2")).otherwise(height(high))
+    return F.least(a, b), F.greatest(a, b), (a + b) / 2
+
+
+def _slack() -> Column:
+    """How far off a computed place on a segment may be."""
+    size = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    return _SLACK * size + 1e-12 * F.greatest(F.abs("x1"), F.abs("x2"), F.abs("y1"), F.abs("y2"))
+
+
+def _split(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of ``rows`` cut at quartiles of what lies in them, and every segment in the parts it passes through."""
+    low, high = F.greatest(F.least("x1", "x2"), F.col("from_x")), F.least(F.greatest("x1", "x2"), F.col("to_x"))
+    _, _, mid_y = _within(low, high)
+    mid_y = F.least(F.greatest(mid_y, F.col("from_y")), F.col("to_y"))
+    quartiles = [F.lit(q) for q in (0.25, 0.5, 0.75)]
+    cuts = rows.groupBy(*keys, "cell").agg(
+        F.array_distinct(F.percentile_approx((low + high) / 2, F.array(*quartiles))).alias("cuts_x"),
+        F.array_distinct(F.percentile_approx(mid_y, F.array(*quartiles))).alias("cuts_y"),
     )
 
+    def part(value: Column, cuts: str) -> Column:
+        return F.size(F.filter(cuts, lambda c: c <= value))
 
-def _cells(low: Column, high: Column, origin: str, width: str) -> Column:
-    def cell(v: Column) -> Column:
-        at = F.floor((v - F.col(origin)) / F.col(width)).cast("bigint")
-        return F.least(F.greatest(at, F.lit(0)), F.col("cells") - 1)
+    def parts(first: Column, last: Column, cuts: str) -> Column:
+        return F.explode(F.sequence(part(F.least(first, last) - _slack(), cuts), part(F.greatest(first, last) + _slack(), cuts)))
 
-    slack = F.col(width) * _SLACK
-    return F.sequence(cell(low - slack), cell(high + slack))
+    def bounds(at: str, cuts: str, start: str, end: str) -> tuple[Column, Column]:
+        i = F.col(at)
+        return F.when(i == 0, F.col(start)).otherwise(F.get(cuts, i - 1)), F.coalesce(F.get(cuts, i), F.col(end))
 
+    across = rows.join(cuts, [*keys, "cell"]).withColumn("_i", parts(low, high, "cuts_x"))
+    from_x, to_x = bounds("_i", "cuts_x", "from_x", "to_x")
+    across = across.withColumns({"from_x": from_x, "to_x": to_x})
+    least, greatest, _ = _within(F.col("from_x") - _slack(), F.col("to_x") + _slack())
+    least, greatest = F.greatest(least, F.col("from_y")), F.least(greatest, F.col("to_y"))
+    down = across.withColumn("_j", parts(least, greatest, "cuts_y"))
+    from_y, to_y = bounds("_j", "cuts_y", "from_y", "to_y")
+    cell = F.concat("cell", F.hex(F.col("_i") * 4 + F.col("_j")))
+    return down.withColumns({"from_y": from_y, "to_y": to_y, "cell": cell, "before": F.col("n")}).drop("cuts_x", "cuts_y", "_i", "_j", "n")
 
-def crossing_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of segments of one figure that cross well inside both.
 
-    ``segments``: keys, ``edge`` (number), ``x1, y1, x2, y2``. Each segment is put in
-    the grid cells it passes through, and only segments sharing a cell are compared, so
-    a figure with a third of all segments is spread over its cells. A pair is kept in
-    the one cell that holds its crossing point, which makes the result free of repeats.
-    """
-    placed = segments.join(_grid(segments, keys), keys)
-    x_low, x_high = F.least("x1", "x2"), F.greatest("x1", "x2")
-    columns = placed.withColumn("cx", F.explode(_cells(x_low, x_high, "gx", "cw")))
-    left = F.col("gx") + F.col("cx") * F.col("cw") - F.col("cw") * _SLACK
-    right = F.col("gx") + (F.col("cx") + 1) * F.col("cw") + F.col("cw") * _SLACK
-    slope = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+def _sized(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``n``, how many segments are in the cell."""
+    return rows.join(rows.groupBy(*keys, "cell").agg(F.count("*").alias("n")), [*keys, "cell"])
 
-    def height(x: Column) -> Column:
-        return F.col("y1") + slope * (F.least(F.greatest(x, x_low), x_high) - F.col("x1"))
 
-    steep = slope.isNull()
-    y_a = F.when(steep, F.col("y1")).otherwise(height(left))
-    y_b = F.when(steep, F.col("y2")).otherwise(height(right))
-    cells = columns.withColumn(
-        "cy", F.explode(_cells(F.least(y_a, y_b), F.greatest(y_a, y_b), "gy", "ch"))
+def cells_of(segments: DataFrame, keys: list[str], most: int = CELL) -> DataFrame:
+    """Every segment in the cells it passes through: ``cell``, its bounds, and ``n`` segments in it.
+
+    A figure is one cell without bounds at first. Cells of more than ``most`` segments are cut in up to
+    sixteen at quartiles of what is in them, so a far outlier only gets a cell of its own, and
+    the parts are looked at again, a stored round each. A cell that its cuts have left nearly as full, as
+    many segments meet in one place there, stays as it is.
+    """
+    named = segments.select(*keys, "edge", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    far = F.lit(float("inf"))
+    rows = named.select(
+        "*", F.lit("").alias("cell"), (-far).alias("from_x"), far.alias("to_x"), (-far).alias("from_y"), far.alias("to_y"),
+        F.lit(1 << 62).alias("before"),
     )
-    a, b = cells.alias("a"), cells.select(*keys, "cx", "cy", "edge", "x1", "y1", "x2", "y2").alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "cx", "cy")]
+    done: DataFrame | None = None
+    full = (F.col("n") > most) & (F.col("n") <= 0.8 * F.col("before"))
+    while True:
+        if rows.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.max("before").alias("before")).where(full).isEmpty():
+            last = _sized(rows, keys)
+            return last if done is None else done.unionByName(last)
+        held = stored(_sized(rows, keys), "segment-cells")
+        small = held.where(~full)
+        done = small if done is None else done.unionByName(small)
+        rows = stored(_split(held.where(full), keys), "segment-parts")
+
+
+def crossing_segments(segments: DataFrame, keys: list[str], most: int = CELL) -> DataFrame:
+    """Pairs of segments of one figure that cross well inside both.
+
+    ``segments``: keys, ``edge`` (number), ``x1, y1, x2, y2``. Only segments of one cell (``cells_of``) are
+    compared, so a figure with a third of all segments is spread over its cells. A pair is
+    kept in the one cell that holds its crossing point, which makes the result free of repeats. Cells that
+    could not be made small are dealt into blocks of ``most``, and a task compares two blocks.
+    """
+    cells = cells_of(segments, keys, most)
+    blocks = F.ceil(F.col("n") / most)
+    cells = cells.withColumns({"block": F.pmod(F.xxhash64("edge"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))})
+    a, b = cells.alias("a"), cells.select(*keys, "cell", "block", "other", "edge", "x1", "y1", "x2", "y2").alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "cell")]
+    same += [F.col("a.block") == F.col("b.other"), F.col("a.other") == F.col("b.block")]
     dx1, dy1 = F.col("a.x1") - F.col("a.x2"), F.col("a.y1") - F.col("a.y2")
     dx2, dy2 = F.col("b.x1") - F.col("b.x2"), F.col("b.y1") - F.col("b.y2")
     ox, oy = F.col("a.x1") - F.col("b.x1"), F.col("a.y1") - F.col("b.y1")
@@ -74,19 +125,13 @@ def crossing_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
     pairs = a.join(b, [*same, F.col("a.edge") < F.col("b.edge")]).select(
         *[F.col(f"a.{k}").alias(k) for k in keys],
         F.col("a.edge").alias("edge_a"), F.col("b.edge").alias("edge_b"),
-        F.col("a.cx").alias("cx"), F.col("a.cy").alias("cy"),
-        "gx", "gy", "cw", "ch", "cells",
+        "from_x", "to_x", "from_y", "to_y",
         turn.alias("turn"), t.alias("t"), u.alias("u"),
         (F.col("a.x1") - t * dx1).alias("x"), (F.col("a.y1") - t * dy1).alias("y"),
     )
     inner = (F.abs("turn") >= PARALLEL) & (F.col("t") > INNER_LOW) & (F.col("t") < INNER_HIGH) \
         & (F.col("u") > INNER_LOW) & (F.col("u") < INNER_HIGH)
-    home_x = F.floor((F.col("x") - F.col("gx")) / F.col("cw"))
-    home_y = F.floor((F.col("y") - F.col("gy")) / F.col("ch"))
-    last = F.col("cells") - 1
-    at_home = (F.least(F.greatest(home_x, F.lit(0)), last) == F.col("cx")) & (
-        F.least(F.greatest(home_y, F.lit(0)), last) == F.col("cy")
-    )
+    at_home = (F.col("x") >= F.col("from_x")) & (F.col("x") < F.col("to_x")) & (F.col("y") >= F.col("from_y")) & (F.col("y") < F.col("to_y"))
     return pairs.where(inner & at_home).select(*keys, "edge_a", "edge_b", "x", "y")
 
 

@@ -6,41 +6,88 @@ stay short and a lost executor never restarts the walk.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.storage import scratch_path, stored
 
 
-def reachable(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Every ``(start, node)`` with a path from start to node, start included.
+def _closure(spark: SparkSession, frontier: DataFrame, steps: DataFrame, on: str, to: str, name: str) -> DataFrame:
+    """All rows that come of ``frontier`` by replacing ``on`` with the ``to`` of its steps, again and again.
 
-    With ``keys`` the tables hold many graphs, and paths stay within one; a graph with one
-    start then costs as much as it has edges. Only pairs not met before are walked on, so
-    shared paths are followed once and cycles end; the walk goes on until no pair is new,
-    however long the paths are. The rounds are directories of one table.
+    Only rows not met before are walked on, so shared paths are followed once and cycles end. The rounds
+    are directories of one table.
     """
-    spark, pair = edges.sparkSession, [*keys, "start", "node"]
-    path = scratch_path(spark, "reach")
-    steps = edges.select(*keys, F.col("src").alias("node"), F.col("dst")).distinct()
-    frontier = starts.select(*keys, "start", F.col("start").alias("node")).distinct()
-    schema, number = frontier.schema, 0
+    columns = frontier.columns
+    path, schema, number = scratch_path(spark, name), frontier.schema, 0
+    shared = [c for c in steps.columns if c != to]
     while True:
         frontier.write.parquet(f"{path}/round={number}")
         frontier = spark.read.schema(schema).parquet(f"{path}/round={number}")
         found = spark.read.schema(schema).parquet(f"{path}/round=*")
         if frontier.isEmpty():
             return found
-        onward = frontier.join(steps, [*keys, "node"]).select(*keys, "start", F.col("dst").alias("node")).distinct()
-        frontier, number = onward.join(found, pair, "left_anti"), number + 1
+        moved = frontier.join(steps, shared).drop(on).withColumnRenamed(to, on).select(*columns).distinct()
+        frontier, number = moved.join(found, columns, "left_anti"), number + 1
+
+
+def reachable(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every ``(start, node)`` with a path from start to node, start included.
+
+    With ``keys`` the tables hold many graphs, and paths stay within one. As many rows as there are
+    such pairs are stored; where only dead ends are asked for, ``reachable_terminals`` stores less.
+    """
+    steps = edges.select(*keys, F.col("src").alias("node"), F.col("dst")).distinct()
+    frontier = starts.select(*keys, "start", F.col("start").alias("node")).distinct()
+    return _closure(edges.sparkSession, frontier, steps, "node", "dst", "reach")
+
+
+def _followed(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """``node, end`` of every node with one way on: the first node on it that has none or several.
+
+    Pointers are doubled, so a way of length d takes about log2(d) rounds. Nodes whose pointer never
+    comes out of such nodes run into a cycle without an exit; their end is null.
+    """
+    single = steps.groupBy(*keys, "node").agg(F.count("*").alias("ways"), F.min("dst").alias("end")).where("ways = 1").drop("ways")
+    state = stored(single, "followed")
+    for _ in range(state.count().bit_length() + 1):
+        onward = state.select(*keys, F.col("node").alias("end"), F.col("end").alias("_next"))
+        moving = state.join(onward, [*keys, "end"], "left_semi")
+        if moving.isEmpty():
+            return state
+        far = state.join(onward, [*keys, "end"], "left").select(*keys, "node", F.coalesce("_next", "end").alias("end"))
+        state = stored(far, "followed")
+    circling = state.select(*keys, F.col("node").alias("end"), F.lit(True).alias("_in"))
+    return state.join(circling, [*keys, "end"], "left").select(*keys, "node", F.when(F.col("_in").isNull(), F.col("end")).alias("end"))
 
 
 def reachable_terminals(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Dead ends reachable from each start; a start without out-edges is its own."""
-    leaving = edges.select(*keys, F.col("src").alias("node")).distinct()
-    return reachable(edges, starts, keys).join(leaving, [*keys, "node"], "left_anti").select(
-        *keys, "start", F.col("node").alias("terminal")
-    )
+    """Dead ends reachable from each start; a start without out-edges is its own.
+
+    Nodes with one way on have the dead ends of where it leads to, so they are followed to the first node
+    with none or several ways (``_followed``), and cycles without an exit go. In the graph that is left,
+    the nodes that any start reaches are marked, and dead ends are passed backwards along its edges
+    to marked nodes. So (node, dead end) pairs of these nodes are stored, whatever the number of starts.
+    """
+    spark, names = edges.sparkSession, list(keys)
+    steps = stored(edges.select(*names, F.col("src").alias("node"), F.col("dst")).distinct(), "steps")
+    ends = _followed(steps, names)
+
+    def led(rows: DataFrame, column: str) -> DataFrame:
+        """``column`` followed to its end; rows that lead into a cycle without an exit go."""
+        known = ends.select(*names, F.col("node").alias(column), "end", F.lit(True).alias("_one"))
+        end = F.when(F.col("_one").isNull(), F.col(column)).otherwise(F.col("end"))
+        return rows.join(known, [*names, column], "left").withColumn(column, end).where(F.col(column).isNotNull()).drop("end", "_one")
+
+    ways = steps.join(ends, [*names, "node"], "left_anti")  # nodes with several ways; those with one are followed
+    several = stored(led(ways, "dst").where("node <> dst").distinct(), "condensed")
+    asked = starts.select(*names, "start").distinct().withColumn("node", F.col("start"))
+    asked = stored(led(asked, "node"), "starts")
+    marked = _closure(spark, asked.select(*names, "node").distinct(), several, "node", "dst", "marked")
+    dead = marked.join(steps, [*names, "node"], "left_anti").withColumn("terminal", F.col("node"))
+    back = several.join(marked, [*names, "node"], "left_semi").select(*names, F.col("node").alias("before"), F.col("dst").alias("node"))
+    pairs = _closure(spark, dead.select(*names, "node", "terminal"), back, "node", "before", "terminals")
+    return asked.join(pairs, [*names, "node"]).select(*names, "start", "terminal")
 
 
 def tree_depth(nodes: DataFrame) -> DataFrame:

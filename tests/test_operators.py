@@ -138,6 +138,40 @@ def test_crossing_segments(spark, length):
     assert got == want and want
 
 
+def crossings(spark, rows, most):
+    df = spark.createDataFrame(rows, "figure boolean, edge int, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((r["figure"], r["edge_a"], r["edge_b"]) for r in geo.crossing_segments(df, ["figure"], most).collect())
+    want = sorted(
+        (a[0], a[1], b[1]) for a, b in itertools.combinations(sorted(rows, key=lambda r: r[1]), 2)
+        if a[0] == b[0] and brute_cross(a[2:], b[2:])
+    )
+    assert got == want and want
+    return geo.cells_of(df, ["figure"], most)
+
+
+def test_crossings_beside_a_far_outlier(spark):
+    """One segment a million units away; the others still lie in small cells."""
+    rng = random.Random(8)
+    rows = [(True, 0, 1e6, 1e6, 1e6 + 1, 1e6 + 1)]
+    for i in range(1, 600):
+        x, y = rng.random(), rng.random()
+        rows.append((i % 3 > 0, i, x, y, x + rng.uniform(-0.05, 0.05), y + rng.uniform(-0.05, 0.05)))
+    rows += [(True, 900, 0.5, 0.0, 0.5, 1.0), (True, 901, 0.0, 0.5, 1.0, 0.5), (False, 902, -3.0, -3.0, 3.0, 3.0)]
+    held = crossings(spark, rows, 16).agg(F.max("n").alias("n"), F.count("*").alias("rows")).first()
+    assert held["n"] <= 16 and held["rows"] < 12 * len(rows)
+
+
+def test_crossings_where_many_segments_meet(spark):
+    """Segments through one point and repeated ones cannot be parted by cuts: they are compared in blocks."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        dx, dy = rng.uniform(-1, 1), rng.uniform(-1, 1)
+        rows.append((True, i, 5 - dx, 5 - dy, 5 + dx * 1.1, 5 + dy * 1.1))
+    rows += [(True, 100 + i, 4.0, 4.5, 6.0, 5.6) for i in range(20)] + [(True, 200, 5.0, 5.0, 5.0, 5.0)]
+    assert crossings(spark, rows, 8).agg(F.max("n")).first()[0] > 8
+
+
 @pytest.mark.parametrize("stretch", [1, 3, 1000])
 def test_sign_changes_do_not_depend_on_the_cut(spark, stretch):
     rng = random.Random(9)
@@ -174,6 +208,31 @@ def test_walks_end_on_cycles(spark):
     assert got == {(1, 4), (4, 4), (5, 6)}
 
 
+@pytest.mark.parametrize("seed", [0, 2])
+def test_terminals_of_random_graphs(spark, seed):
+    """Cycles with and without exits, long chains, loops on one node, starts that are no nodes, several graphs."""
+    rng = random.Random(seed)
+    edges = [(g, rng.randrange(30), rng.randrange(30)) for g in "ab" for _ in range((25, 32, 45)[seed])]
+    edges += [("a", 100 + i, 101 + i) for i in range(25)] + [("a", 3, 100), ("a", 200, 201), ("a", 201, 202), ("a", 202, 200), ("a", 3, 200), ("b", 300, 300)]
+    starts = [(g, rng.randrange(30)) for g in "ab" for _ in range(9)] + [("a", 3), ("a", 200), ("b", 300), ("b", 999), ("a", 112)]
+    onward = {}
+    for g, a, b in edges:
+        onward.setdefault((g, a), set()).add(b)
+    want = set()
+    for g, s in starts:
+        seen, todo = {s}, [s]
+        while todo:
+            new = onward.get((g, todo.pop()), set()) - seen
+            seen |= new
+            todo += new
+        want |= {(g, s, x) for x in seen if (g, x) not in onward}
+    e = spark.createDataFrame(edges, "g string, src long, dst long")
+    got = graph.reachable_terminals(e, spark.createDataFrame(starts, "g string, start long"), ("g",)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    pairs = {tuple(r) for r in graph.reachable(e, spark.createDataFrame(starts, "g string, start long"), ("g",)).collect()}
+    assert {p for p in pairs if (p[0], p[2]) not in onward} == want
+
+
 def test_depth(spark):
     chain = [("a", i, i - 1 if i else None) for i in range(37)]
     nodes = spark.createDataFrame(chain + [("b", 0, None), ("b", 1, 0), ("b", 2, 0)], "tree string, node int, parent int")
