@@ -77,7 +77,7 @@ def _sized(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cells_of(segments: DataFrame, keys: list[str], most: int = CELL) -> DataFrame:
-    """Every segment in the cells it passes through: ``cell``, its bounds, and ``n`` segments in it.
+    """Every segment in the cells it passes through: ``cell``, its bounds, and ``n``, how many segments are in it at most.
 
     A figure is one cell without bounds at first. Cells of more than ``most`` segments are cut in up to
     sixteen at quartiles of what is in them, so a far outlier only gets a cell of its own, and
@@ -93,8 +93,11 @@ def cells_of(segments: DataFrame, keys: list[str], most: int = CELL) -> DataFram
     done: DataFrame | None = None
     full = (F.col("n") > most) & (F.col("n") <= 0.8 * F.col("before"))
     while True:
-        if rows.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.max("before").alias("before")).where(full).isEmpty():
-            last = _sized(rows, keys)
+        sizes = rows.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.max("before").alias("before"))
+        fullest = sizes.agg(F.max("n").alias("n"), F.count_if(full).alias("full")).first()
+        if not fullest["full"]:
+            bounded = (fullest["n"] or 0) <= most
+            last = rows.withColumn("n", F.lit(fullest["n"] or 0).cast("bigint")) if bounded else _sized(rows, keys)
             return last if done is None else done.unionByName(last)
         held = stored(_sized(rows, keys), "segment-cells")
         small = held.where(~full)

@@ -2,60 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.functions import text as tx
 from evalloom.operators.accuracy import is_correct
 
 _NOT_SCALAR = ("STRING", "ARRAY", "OBJECT")
 
 
-def nesting(results: DataFrame) -> int:
-    """How many levels of objects stand below the top of ``params``, at most over all rows."""
-    shape = F.schema_of_variant(F.try_parse_json("params"))
-    marks = F.regexp_extract_all(shape, F.lit("(OBJECT<|ARRAY<|>)"), F.lit(1))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+_OBJECT = "map<string,variant>"
 
-    def step(level, mark):
-        now = level["now"] + F.when(mark == ">", -1).otherwise(1)
-        return F.struct(now.alias("now"), F.greatest(level["most"], now).alias("most"))
 
-    # quoted names may hold these marks themselves; the number of objects is a bound then
-    levels = F.when(F.contains(shape, F.lit("`")), F.regexp_count(shape, F.lit("OBJECT<"))).otherwise(
-        F.aggregate(marks, start, step, lambda level: level["most"])
-    )
-    return max((results.agg(F.max(levels)).first()[0] or 0) - 1, 0)
+def leaves(params: Column) -> Column:
+    """``array<struct<param, value>>`` of a JSON text: its leaves by name, nested names joined by dots.
 
+    Values stay variants, so their JSON type is kept. Objects are opened at every level, however deep, and
+    lists stay whole. How many levels a text has is read off its own shape, so deep texts cost
+    their own rows more and nobody else's. A null value is a leaf, an empty object one without a
+    value; a text that is no object or cannot be read has none.
+    """
 
-def flatten_params(results: DataFrame, depth: int | None = None) -> DataFrame:
-    """Long form of ``params``: one row per leaf, nested names joined by dots.
+    def entries(value: Column, prefix: Column | None) -> Column:
+        name = lambda key: key if prefix is None else F.concat(prefix, F.lit("."), key)
+        return F.transform(F.map_entries(F.try_variant_get(value, "$", _OBJECT)), lambda e: F.struct(name(e["key"]).alias("param"), e["value"].alias("value")))
 
-    Values stay variants, so their JSON type is kept. Objects are opened at every level, however
-    deep, and lists stay whole. A pass over ``params`` finds the depth unless the caller
-    knows it; each level is opened within the row, without a shuffle.
-    """
-    spark = results.sparkSession
-    depth = nesting(results) if depth is None else depth
-    # a null parameter still names a column, so variant nulls are kept as rows
-    long = results.withColumn("_v", F.try_parse_json("params")).lateralJoin(
-        spark.tvf.variant_explode(F.col("_v").outer())
-    ).drop("_v", "pos").withColumnsRenamed({"key": "param"})
-    for _ in range(depth):
-        is_object = F.startswith(F.schema_of_variant("value"), F.lit("OBJECT"))
-        nested = long.withColumn("_o", F.when(is_object, F.col("value")))
-        inner = spark.tvf.variant_explode_outer(F.col("_o").outer())
-        long = nested.withColumnsRenamed({"value": "_outer"}).lateralJoin(inner).select(
-            *[c for c in long.columns if c not in ("param", "value")],
-            F.when(F.col("key").isNull(), F.col("param"))
-            .otherwise(F.concat("param", F.lit("."), "key")).alias("param"),
-            F.when(F.col("_o").isNull(), F.col("_outer")).otherwise(F.col("value")).alias("value"),
-        )
-    return long
+    def is_object(value: Column) -> Column:
+        return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+
+    def opened(leaf: Column) -> Column:
+        inside = entries(leaf["value"], leaf["param"])
+        empty = F.array(F.struct(leaf["param"].alias("param"), F.lit(None).cast("variant").alias("value")))
+        return F.when(is_object(leaf["value"]), F.when(F.size(inside) > 0, inside).otherwise(empty)).otherwise(F.array(leaf))
+
+    def found(v: Column) -> Column:
+        top = F.when(is_object(v), entries(v, None))
+        # the number of objects in the shape bounds their depth
+        levels = F.sequence(F.lit(1), F.regexp_count(F.schema_of_variant(v), F.lit("OBJECT<")) - 1)
+        deep = F.regexp_count(F.schema_of_variant(v), F.lit("OBJECT<")) > 1
+        return F.when(deep, F.aggregate(levels, top, lambda held, _: F.flatten(F.transform(held, opened)))).otherwise(top)
+
+    return tx.let(F.try_parse_json(params), found)
+
+
+def flatten_params(results: DataFrame) -> DataFrame:
+    """Long form of ``params``: one row per leaf (``leaves``), opened within its row; one pass, no join."""
+    return results.withColumn("_leaves", leaves(F.col("params"))).select(*results.columns, F.inline("_leaves"))
 
 
-def param_strings(results: DataFrame, depth: int | None = None) -> DataFrame:
+def param_strings(results: DataFrame) -> DataFrame:
     """``flatten_params`` with the value as text and its JSON type beside it."""
-    flat = flatten_params(results, depth)
+    flat = flatten_params(results)
     kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
     return flat.withColumn("value_type", kind).withColumn(
         "value", F.col("value").try_cast("string")

@@ -45,19 +45,18 @@ def src1(spark, sf_dir):
     return readers.read_results(spark, written_results(spark, sf_dir)).select(*_KEPT)
 
 
-@query("src2", f"{RESPONSES} SELECT sample_id, task_name, prompt, ground_truth, parser, scorer,"
-       " json_extract_string(params, '$.level') AS level FROM responses")
+_FIELDS = ["level", "width", "name", "size", "path", "percentages", "target_pct"]
+
+
+@query("src2", f"{RESPONSES} SELECT sample_id, task_name, prompt, ground_truth, parser, scorer, "
+       + ", ".join(f"replace(json_extract_string(params, '$.{f}'), ' ', '') AS {f}" for f in _FIELDS) + " FROM responses")
 def src2(spark, sf_dir):
+    """A manifest whose lines hold ``params`` as an object; all its fields are read back."""
     path = scratch_path(spark, "manifest")
-    rows = fx.responses(spark, sf_dir).select(
-        "sample_id", "task_name", "prompt", "ground_truth", "parser", "scorer",
-        F.from_json("params", "level int, width int, name string").alias("params"),
-    )
-    rows.write.json(path)
-    return readers.read_manifest(spark, path).select(
-        "sample_id", "task_name", "prompt", "ground_truth", "parser", "scorer",
-        F.get_json_object("params", "$.level").alias("level"),
-    )
+    plain = ["sample_id", "task_name", "prompt", "ground_truth", "parser", "scorer"]
+    line = F.to_json(F.struct(*plain, F.parse_json("params").alias("params")))
+    fx.responses(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return readers.read_manifest(spark, path).select(*plain, *[F.get_json_object("params", f"$.{f}").alias(f) for f in _FIELDS])
 
 
 @query("src3", f"{RESPONSES} SELECT DISTINCT sample_id FROM responses WHERE line_no % 3 <> 0")
@@ -84,15 +83,13 @@ def src4(spark, sf_dir):
 
 
 @query("src6", f"""WITH {fx.STRATEGY_SQL} SELECT 'big_v_1' AS run_model, strategy AS run_strategy, task_name,
-       count(*) AS n, count(*) FILTER (WHERE correct) AS n_correct FROM strategy_results
-       WHERE strategy IN ('baseline', 'verify') GROUP BY ALL""")
+       count(*) AS n, count(*) FILTER (WHERE correct) AS n_correct FROM strategy_results GROUP BY ALL""")
 def src6(spark, sf_dir):
+    """A run of every strategy, each a directory of its own."""
     root = scratch_path(spark, "runs")
-    rows = fx.strategy_results(spark, sf_dir).drop("strategy", "rank")
-    all_rows = fx.strategy_results(spark, sf_dir)
-    for name in ("baseline", "verify"):
-        rows = all_rows.where(F.col("strategy") == name).drop("strategy", "rank")
-        rows.write.json(f"{root}/big_v_1/{name}/results.jsonl")
+    rows = fx.strategy_results(spark, sf_dir).drop("rank")
+    for strategy in dims.STRATEGIES:
+        rows.where(F.col("strategy") == strategy).drop("strategy").write.json(f"{root}/big_v_1/{strategy}/results.jsonl")
     return acc.tally(readers.read_runs(spark, root), "run_model", "run_strategy", "task_name").select(
         "run_model", "run_strategy", "task_name", "n", "n_correct"
     )
@@ -180,10 +177,10 @@ _FLAT_SQL = RESPONSES + """, flat AS (
            unnest(['BIGINT', 'BIGINT', 'STRING', 'BIGINT', 'ARRAY', 'ARRAY', 'BIGINT']) AS value_type))"""
 
 
-@query("prj2", _FLAT_SQL + " SELECT sample_id, 'p_' || param AS param, value, value_type FROM flat WHERE value_type <> 'ARRAY'")
+@query("prj2", _FLAT_SQL + " SELECT sample_id, 'p_' || param AS param, value, value_type FROM flat")
 def prj2(spark, sf_dir):
     flat = pm.param_strings(fx.responses(spark, sf_dir))
-    return flat.where(F.col("value_type") != "ARRAY").select(
+    return flat.select(
         "sample_id", F.concat(F.lit("p_"), "param").alias("param"), "value", "value_type"
     )
 

@@ -393,12 +393,23 @@ def test_episodes_come_in_order_of_files(spark, tmp_path):
 
 
 def test_deep_parameters(spark):
+    """Any depth, nulls, empty objects and lists, odd names; texts that are no objects have no leaves. One scan, no join."""
+    deep = "".join(f'{{"k{i}":' for i in range(30)) + "1" + "}" * 30
     df = spark.createDataFrame(
-        [("t", '{"a":{"b":{"c":{"d":{"e":1}}}},"l":[{"x":1}],"n":null}'), ("t", '{"a":7}'), ("t", "not json"), ("t", None)],
+        [
+            ("t", '{"a":{"b":{"c":{"d":{"e":1}}}},"l":[{"x":1}],"n":null,"o":{},"s":"5"}'), ("t", '{"a":7}'), ("t", "not json"), ("t", None),
+            ("t", "[1]"), ("t", "3"), ("t", deep), ("u", '{"OBJECT<":{"y.z":true}, "q":{"r":1.5,"p":{"m":"x"}}}'),
+        ],
         "task_name string, params string",
     )
-    got = {(r["param"], r["value"]) for r in pm.param_strings(df).collect()}
-    assert ("a.b.c.d.e", "1") in got and ("a", "7") in got and pm.nesting(df) >= 4
+    flat = pm.param_strings(df)
+    got = {(r["param"], r["value"], r["value_type"]) for r in flat.collect()}
+    assert got == {
+        ("a.b.c.d.e", "1", "BIGINT"), ("l", '[{"x":1}]', "ARRAY"), ("n", None, "VOID"), ("o", None, None), ("s", "5", "STRING"), ("a", "7", "BIGINT"),
+        (".".join(f"k{i}" for i in range(30)), "1", "BIGINT"), ("OBJECT<.y.z", "true", "BOOLEAN"), ("q.r", "1.5", "DECIMAL"), ("q.p.m", "x", "STRING"),
+    }
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("Scan ExistingRDD") == 1
 
 
 def test_confusion_over_observed_labels(spark):
