@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalloom import dims
 from evalloom.functions import scoring
 from evalloom.operators.evaluate import normalise_reasoning, without_reasoning
+from evalloom.storage import stored
 
 TEXT_SUFFIX = "_text"
 
@@ -327,19 +328,25 @@ def confusion(results: DataFrame) -> DataFrame:
     return counted.join(fit, "task_name", "left_semi")
 
 
-def confusion_table(results: DataFrame) -> DataFrame:
+#: Labels of a block of a square table.
+LABELS = 1_024
+
+
+def confusion_table(results: DataFrame, block: int = LABELS) -> DataFrame:
     """Square table per task in long form: every pair of its labels, zero where nothing was counted.
 
-    The labels of a task are all that occur in it, as truth or as prediction.
+    The labels of a task are all that occur in it, as truth or as prediction. They are dealt into blocks of
+    about ``block``, and one pair of blocks is filled at a time, so no task holds the labels of a whole
+    table; a task of few labels is one block.
     """
-    cells = confusion(results)
-    labels = cells.select("task_name", F.explode(F.array("predicted", "truth")).alias("label")).groupBy("task_name").agg(
-        F.array_sort(F.collect_set("label")).alias("labels")
-    )
-    square = labels.select("task_name", "labels", F.explode("labels").alias("predicted")).select(
-        "task_name", "predicted", F.explode("labels").alias("truth")
-    )
-    counted = cells.select("task_name", "predicted", "truth", "n")
-    return square.join(counted, ["task_name", "predicted", "truth"], "left").select(
+    cells = stored(confusion(results).select("task_name", "predicted", "truth", "n"), "confusion")
+    labels = cells.select("task_name", F.explode(F.array("predicted", "truth")).alias("label")).distinct()
+    dealt = labels.join(labels.groupBy("task_name").agg(F.ceil(F.count("*") / block).alias("_blocks")), "task_name")
+    own = F.pmod(F.xxhash64("label"), F.col("_blocks"))
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
+    down = dealt.select("task_name", F.col("label").alias("predicted"), own.alias("_i"), each.alias("_j"))
+    across = dealt.select("task_name", F.col("label").alias("truth"), own.alias("_j"), each.alias("_i"))
+    square = down.join(across, ["task_name", "_i", "_j"]).drop("_i", "_j")
+    return square.join(cells, ["task_name", "predicted", "truth"], "left").select(
         "task_name", "predicted", "truth", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.operators.ranking import top_k_per_group
+from evalloom.operators.ranking import smallest_hashes, top_k_per_group
+from evalloom.storage import stored
 
 
 def hash_text(seed: int | str, *columns: Column) -> Column:
@@ -46,21 +47,30 @@ def coverage_sample(combos: DataFrame, keep: Column | int, seed: int = 42) -> Da
 
     ``combos`` has ``task_name, combo, params`` (map) and ``axes`` (names). Each value of
     each axis names the combination of lowest hash that holds it; those come first, in
-    axis and value order, and the rest fills up by hash.
+    axis and value order, and the rest fills up by hash. ``keep`` may be a column that differs by task.
+    About ``keep`` rows of a task are shuffled, found by a histogram of their hashes.
     """
     order = hash_text(seed, F.col("task_name"), F.col("combo"))
     hashed = combos.withColumn("_h", order)
     values = hashed.select(
         "task_name", "combo", "_h", "params", F.posexplode("axes").alias("axis_no", "axis")
     ).withColumn("value", F.try_element_at("params", F.col("axis")))
+    # the combination is carried as its entries, since maps have no order
+    chosen = F.min(F.struct("_h", "combo", F.map_entries("params").alias("entries")))
     named = (
-        values.groupBy("task_name", "axis_no", "value")
-        .agg(F.min(F.struct("_h", "combo")).alias("c"))
-        .groupBy("task_name", F.col("c.combo").alias("combo"))
+        values.groupBy("task_name", "axis_no", "value").agg(chosen.alias("c"))
+        .groupBy("task_name", "c")
         .agg(F.min(F.struct("axis_no", "value")).alias("covers"))
+        .select("task_name", "c.combo", F.map_from_entries("c.entries").alias("params"), "c._h", "covers")
     )
-    joined = hashed.join(named, ["task_name", "combo"], "left")
+    named = stored(named, "named-combos")
+    # the first ``keep`` by hash hold enough others to fill up with, so no more rows are shuffled
+    near = smallest_hashes(hashed, ["task_name"], "_h", keep).select("task_name", "combo", "params", "_h", "_keep")
+    limits = near.groupBy("task_name").agg(F.max("_keep").alias("_keep"))
+    others = near.drop("_keep").join(named.select("task_name", "combo"), ["task_name", "combo"], "left_anti")
+    either = named.unionByName(others.withColumn("covers", F.lit(None).cast(named.schema["covers"].dataType))).join(limits, "task_name")
     turn = [F.col("covers").isNull(), F.col("covers"), F.col("_h")]
-    return top_k_per_group(joined, ["task_name"], turn, keep, "pick", salt_on="combo").select(
+    ranked = either.withColumn("pick", F.row_number().over(Window.partitionBy("task_name").orderBy(*turn)))
+    return ranked.where(F.col("pick") <= F.col("_keep")).select(
         "task_name", "combo", "params", F.col("covers").isNotNull().alias("for_coverage")
     )

@@ -15,7 +15,7 @@ from evalloom.operators import accuracy as acc
 from evalloom.operators import audit, cot_text, gaps, generate as gen, geometry as geo, graph
 from evalloom.operators import params as pm, sampling as sm
 from evalloom.operators import diagnostics as dg
-from evalloom.operators.ranking import top_k_per_group
+from evalloom.operators.ranking import smallest_hashes, top_k_per_group
 from evalloom.plans import fixtures as fx
 from evalloom.sources import readers, writers
 from evalloom.streaming.incremental import score_stream
@@ -418,6 +418,37 @@ def test_confusion_over_observed_labels(spark):
     assert got == {(15, 15): 6, (2, 15): 1, (2, 2): 0, (15, 2): 0}
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_confusion_in_blocks(spark, block):
+    rng = random.Random(block)
+    rows = [(t, str(rng.randrange(12)), str(rng.randrange(12))) for t in "ab" for _ in range(40)] + [("few", "1", "1")]
+    df = spark.createDataFrame(rows, "task_name string, parsed_answer string, ground_truth string")
+    got = {(r["task_name"], r["predicted"], r["truth"]): r["n"] for r in acc.confusion_table(df, block).collect()}
+    want = {}
+    for t in "ab":
+        labels = {int(x) for r in rows if r[0] == t for x in r[1:]}
+        want |= {(t, p, q): sum(r == (t, str(p), str(q)) for r in rows) for p in labels for q in labels}
+    assert got == want
+
+
+def test_keep_that_differs_by_task(spark):
+    """Only about as many rows as are kept pass the threshold, whatever the size of the task."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "small").when(F.col("id") % 500 == 1, "tiny").otherwise("hot").alias("task_name"), F.col("id").alias("combo"),
+    ).withColumn("_h", sm.hash_text(1, F.col("task_name"), F.col("combo")))
+    keep = F.when(F.col("task_name") == "hot", 40).when(F.col("task_name") == "tiny", 1_000).otherwise(0)
+    near = smallest_hashes(rows, ["task_name"], "_h", keep).collect()
+    held = {t: sorted(r["_h"] for r in near if r["task_name"] == t) for t in ("hot", "tiny", "small")}
+    assert 40 <= len(held["hot"]) <= 160 and len(held["small"]) == 0
+    hot, tiny = (sorted(r["_h"] for r in rows.where(F.col("task_name") == t).select("_h").collect()) for t in ("hot", "tiny"))
+    assert held["hot"][:40] == hot[:40] and held["tiny"] == tiny
+    made = rows.withColumns({"params": F.create_map(F.lit("a"), (F.col("combo") % 7).cast("string")), "axes": F.array(F.lit("a"))})
+    kept = sm.coverage_sample(made.drop("_h"), keep).collect()
+    by = {t: [r for r in kept if r["task_name"] == t] for t in ("hot", "tiny", "small")}
+    assert len(by["hot"]) == 40 and len(by["tiny"]) == len(tiny) and not by["small"]
+    assert {r["params"]["a"] for r in by["hot"] if r["for_coverage"]} == set("0123456")
+
+
 def test_failed_calls_are_rows(spark, tmp_path):
     def model(batch):
         if (batch["sample_id"] == "s3").any():
