@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalloom.operators import audit, geometry as geo, graph
+from evalloom.operators import audit, geometry as geo, graph, sets
 from evalloom.plans import fixtures as fx
 from evalloom.plans.catalog import query
 from evalloom.plans.fixtures import choose, derive, derive_sql, text
@@ -195,27 +195,23 @@ def key13_ids(spark, sf_dir):
 _MEMBERS = "mem AS (SELECT DISTINCT o_orderpriority AS s, o_custkey AS item FROM orders)"
 
 
-def member_items(spark, sf_dir, *names):
-    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("s"), F.col("o_custkey").alias("item"))
-    return rows.where(F.col("s").isin(*names)).select("item")
+def members(spark, sf_dir):
+    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("set"), F.col("o_custkey").alias("item"))
 
 
 @query("set1", f"WITH {_MEMBERS} SELECT item FROM mem WHERE s = '1-URGENT' INTERSECT SELECT item FROM mem WHERE s = '2-HIGH'")
 def set1(spark, sf_dir):
-    return member_items(spark, sf_dir, "1-URGENT").intersect(member_items(spark, sf_dir, "2-HIGH"))
+    return sets.in_all(members(spark, sf_dir), ["1-URGENT", "2-HIGH"])
 
 
 @query("set2", f"WITH {_MEMBERS} SELECT item, max(s) AS only_set FROM mem GROUP BY item HAVING count(*) = 1")
 def set2(spark, sf_dir):
-    """Items of exactly one set: first and last set name agree. One combined aggregate."""
-    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("s"), F.col("o_custkey").alias("item"))
-    ends = rows.groupBy("item").agg(F.min("s").alias("a"), F.max("s").alias("b"))
-    return ends.where(F.col("a") == F.col("b")).select("item", F.col("b").alias("only_set"))
+    return sets.in_one_only(members(spark, sf_dir))
 
 
 @query("set3", f"WITH {_MEMBERS} SELECT item FROM mem WHERE s = '1-URGENT' EXCEPT SELECT item FROM mem WHERE s = '2-HIGH'")
 def set3(spark, sf_dir):
-    return member_items(spark, sf_dir, "1-URGENT").subtract(member_items(spark, sf_dir, "2-HIGH"))
+    return sets.in_first_only(members(spark, sf_dir), "1-URGENT", ["2-HIGH"])
 
 
 # ---------------------------------------------------------------- graphs

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalloom import dims
 from evalloom.functions import rewards
-from evalloom.operators import diagnostics as dg
+from evalloom.operators import diagnostics as dg, sets
 from evalloom.plans import fixtures as fx
 from evalloom.plans.catalog import query
 from evalloom.plans.fixtures import derive_sql
@@ -122,12 +122,8 @@ def top3(spark, sf_dir):
 def set5(spark, sf_dir):
     """Predicted and true answers as one full outer join of two count tables."""
     prof = profile(spark, sf_dir)
-    key = F.coalesce("answer", F.lit(dg.UNPARSED)).alias("key")
-    pred = prof.groupBy(key).agg(F.sum("n").alias("p"))
-    truth = prof.groupBy(F.col("ground_truth").alias("key")).agg(F.sum("n").alias("q"))
-    return pred.join(truth, "key", "full").select(
-        "key", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q")
-    )
+    pred = prof.select(F.coalesce("answer", F.lit(dg.UNPARSED)).alias("key"), "n")
+    return sets.counts_of_either(pred, prof.select(F.col("ground_truth").alias("key"), "n"))
 
 
 _SIZES = E + """, sizes AS (SELECT ground_truth, round_even(avg((answer IS NOT DISTINCT FROM ground_truth)::INT), 3) AS accuracy, count(*) AS n FROM episodes GROUP BY ground_truth)"""

@@ -9,7 +9,7 @@ from evalloom import dims
 from evalloom.functions import scoring
 from evalloom.operators import accuracy as acc
 from evalloom.operators import evaluate as ev
-from evalloom.operators import gaps, params as pm, strategies as st
+from evalloom.operators import gaps, params as pm, sets, strategies as st
 from evalloom.plans import fixtures as fx
 from evalloom.plans.catalog import query
 from evalloom.sources import readers, writers
@@ -492,7 +492,7 @@ def set4(spark, sf_dir):
     even = F.col("sample_id").cast("bigint") % 2 == 0
     first = rows.where((F.col("strategy") == "baseline") & even)
     second = acc.image_tasks_only(rows.where(F.col("strategy") == "verify"))
-    return first.select("task_name").intersect(second.select("task_name"))
+    return sets.common_tasks(first, second)
 
 
 @query("agg5", T + f""" , s AS (SELECT task_name, n, n_correct, acc AS accuracy, {wilson_sql('n_correct', 'n', 15)} FROM tally)

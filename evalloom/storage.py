@@ -13,13 +13,18 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
-    A session that does not name one gets a folder in its warehouse, which executors and
-    driver share as well; a machine-local temporary folder is never used.
+    A session that does not name one gets a folder in its warehouse. On a cluster that must be in a store
+    which executors and driver share: a warehouse in a machine's own files is refused there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+    if store == "file" and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

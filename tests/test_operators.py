@@ -13,7 +13,7 @@ from evalloom.operators import evaluate as ev
 from evalloom.operators import strategies as st
 from evalloom.operators import accuracy as acc
 from evalloom.operators import audit, cot_text, gaps, generate as gen, geometry as geo, graph
-from evalloom.operators import params as pm, sampling as sm
+from evalloom.operators import params as pm, sampling as sm, sets
 from evalloom.operators import diagnostics as dg
 from evalloom.operators.ranking import smallest_hashes, top_k_per_group
 from evalloom.plans import fixtures as fx
@@ -552,3 +552,27 @@ def test_scorers_of_ones_own(spark):
     df = spark.createDataFrame([("1", "shout", "same", "yes", "YES")], "sample_id string, parser string, scorer string, raw_response string, ground_truth string")
     got = ev.evaluate(df, {"shout": F.upper}, {"same": scoring.SCORERS["exact_match"]}).first()
     assert (got["parsed_answer"], got["correct"]) == ("YES", True) and "same" not in scoring.SCORERS
+
+
+def test_sets(spark):
+    """Membership of several sets against Python's, null items among them."""
+    rng = random.Random(6)
+    rows = [(rng.choice("abcd"), rng.randrange(12)) for _ in range(60)] + [("a", None), ("b", None), ("c", 99)]
+    df = spark.createDataFrame(rows, "set string, item int")
+    held = {n: {i for s, i in rows if s == n} for n in "abcd"}
+    one = lambda x: {r["item"] for r in x.collect()}
+    assert one(sets.in_all(df, ["a", "b"])) == held["a"] & held["b"]
+    assert one(sets.in_all(df, ["a", "b", "c"])) == held["a"] & held["b"] & held["c"]
+    assert one(sets.in_first_only(df, "a", ["b", "c"])) == held["a"] - held["b"] - held["c"]
+    alone = {(i, n) for n in "abcd" for i in held[n] if sum(i in held[m] for m in "abcd") == 1}
+    assert {tuple(r) for r in sets.in_one_only(df).collect()} == alone and (99, "c") in alone
+    p, q = spark.createDataFrame([("x", 1), ("x", 2), ("y", 5)], "key string, n long"), spark.createDataFrame([("y", 1), ("z", 7)], "key string, n long")
+    assert {tuple(r) for r in sets.counts_of_either(p, q).collect()} == {("x", 3, 0), ("y", 5, 1), ("z", 0, 7)}
+    plan = sets.in_all(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Join" not in plan
+
+
+def test_scratch_folder_is_shared(spark):
+    from evalloom.storage import shared_folder
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
