@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +27,18 @@ def with_fields(df: DataFrame, **fields: Column) -> DataFrame:
     """``with_struct`` for columns given by name."""
     made = F.struct(*[column.alias(name) for name, column in fields.items()])
     return with_struct(df, made, list(fields))
+
+
+_BUILT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def remembered(df: DataFrame, key: Hashable, build: Callable[[], Column]) -> Column:
+    """``build()``, made once per Spark context and key.
+
+    A column of thousands of expressions, each a call to the JVM, takes a second to build. It names its inputs
+    only, so one and the same column serves every table that has them.
+    """
+    held = _BUILT.setdefault(df.sparkSession.sparkContext, {})
+    if key not in held:
+        held[key] = build()
+    return held[key]

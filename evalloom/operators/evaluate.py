@@ -11,26 +11,35 @@ from pyspark.sql import types as T
 
 from evalloom.batches import Batches
 from evalloom.functions import scoring, text as tx
-from evalloom.functions.extract import ColumnParser, parse_by_name
-from evalloom.operators.columns import with_fields, with_struct
+from evalloom.functions.extract import PARSERS, ColumnParser, parse_by_name
+from evalloom.operators.columns import remembered, with_fields, with_struct
 from evalloom.storage import scratch_path
 
 
+def _answer(responses: DataFrame, registry: dict[str, ColumnParser] | None) -> Column:
+    def build() -> Column:
+        return parse_by_name(F.col("parser"), F.col("raw_response"), registry)
+
+    return remembered(responses, ("answer", *PARSERS.items()), build) if registry is None else build()
+
+
 def extract_answers(
     responses: DataFrame, registry: dict[str, ColumnParser] | None = None
 ) -> DataFrame:
     """Add ``parsed_answer`` using the parser each row names."""
-    answer = parse_by_name(F.col("parser"), F.col("raw_response"), registry)
-    return with_fields(responses, parsed_answer=answer)
+    return with_fields(responses, parsed_answer=_answer(responses, registry))
 
 
 def score_answers(
     answers: DataFrame, registry: dict[str, scoring.ColumnScorer] | None = None
 ) -> DataFrame:
     """Add the score fields using the scorer each row names."""
-    fields = scoring.score_by_name(
-        F.col("scorer"), F.col("parsed_answer"), F.col("ground_truth"), registry
-    )
+    def build() -> Column:
+        return scoring.score_by_name(F.col("scorer"), F.col("parsed_answer"), F.col("ground_truth"), registry)
+
+    # what is registered may change; registries of a call's own are not kept
+    key = ("score", *scoring.SCORERS.items())
+    fields = remembered(answers, key, build) if registry is None else build()
     return with_struct(answers, fields, list(scoring.SCORE_FIELDS))
 
 
@@ -47,7 +56,7 @@ def evaluate(
         F.when(F.col("raw_response").isNull(), "missing response")
         .when(F.col("ground_truth").isNull(), "missing ground truth")
     )
-    answer = parse_by_name(F.col("parser"), F.col("raw_response"), parsers)
+    answer = _answer(responses, parsers)
     judged = with_fields(
         responses, parsed_answer=F.when(problem.isNull(), answer), error_message=problem
     )

@@ -27,22 +27,21 @@ def leaves(params: Column) -> Column:
         name = lambda key: key if prefix is None else F.concat(prefix, F.lit("."), key)
         return F.transform(F.map_entries(F.try_variant_get(value, "$", _OBJECT)), lambda e: F.struct(name(e["key"]).alias("param"), e["value"].alias("value")))
 
-    def is_object(value: Column) -> Column:
-        return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
-
     def opened(leaf: Column) -> Column:
-        inside = entries(leaf["value"], leaf["param"])
         empty = F.array(F.struct(leaf["param"].alias("param"), F.lit(None).cast("variant").alias("value")))
-        return F.when(is_object(leaf["value"]), F.when(F.size(inside) > 0, inside).otherwise(empty)).otherwise(F.array(leaf))
+        return tx.let(
+            entries(leaf["value"], leaf["param"]),  # null for all that is no object
+            lambda inside: F.when(inside.isNull(), F.array(leaf)).when(F.size(inside) > 0, inside).otherwise(empty),
+        )
 
-    def found(v: Column) -> Column:
-        top = F.when(is_object(v), entries(v, None))
+    def found(v: Column, shape: Column) -> Column:
+        top = F.when(F.startswith(shape, F.lit("OBJECT")), entries(v, None))
         # the number of objects in the shape bounds their depth
-        levels = F.sequence(F.lit(1), F.regexp_count(F.schema_of_variant(v), F.lit("OBJECT<")) - 1)
-        deep = F.regexp_count(F.schema_of_variant(v), F.lit("OBJECT<")) > 1
-        return F.when(deep, F.aggregate(levels, top, lambda held, _: F.flatten(F.transform(held, opened)))).otherwise(top)
+        objects = ((F.length(shape) - F.length(F.replace(shape, F.lit("OBJECT<"), F.lit("")))) / 7).cast("int")
+        deep = F.aggregate(F.sequence(F.lit(2), objects), top, lambda held, _: F.flatten(F.transform(held, opened)))
+        return F.when(objects > 1, deep).otherwise(top)
 
-    return tx.let(F.try_parse_json(params), found)
+    return tx.let(F.try_parse_json(params), lambda v: tx.let(F.schema_of_variant(v), lambda shape: found(v, shape)))
 
 
 def flatten_params(results: DataFrame) -> DataFrame:
