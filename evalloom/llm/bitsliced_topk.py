@@ -21,18 +21,18 @@ from evalloom.storage import stored
 
 #: Rows in a block, and queries and blocks that meet in one group of work.
 BLOCK, QUERIES, BLOCKS = 1 << 15, 512, 4
-#: Components beyond this size would overflow a long score; such a vector takes no part.
-LIMIT = 1 << 27
+#: A component of this size or more has no 64-bit integer to score with; such a vector takes no part.
+LIMIT = 1 << 62
 
 BLOCK_SCHEMA = "block long, ids binary, low binary, bits binary, slices binary"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """``vec_id, v``: components as floor(scale * x). Null ids, null vectors, and null, non-finite or oversized components drop a row."""
+    """``vec_id, v``: components as floor(scale * x). Null ids, null vectors, and null, non-finite or beyond 64-bit components drop a row."""
     x = F.transform(F.col(f"`{vector_col}`").cast("array<double>"), lambda x: x * F.lit(float(scale)))
-    usable = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < LIMIT))
+    usable = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float(LIMIT)))
     return vectors.where(F.col(f"`{id_col}`").isNotNull() & F.coalesce(usable, F.lit(False))).select(
-        F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, lambda y: F.floor(y).cast("int")).alias("v")
+        F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, lambda y: F.floor(y)).alias("v")
     )
 
 
@@ -114,6 +114,9 @@ class Block:
         """
         waiting: list[list[np.ndarray]] = []
         constant = 0
+        ends = [max(abs(int(a)), abs(int(a) + (1 << int(n)) - 1)) for a, n in zip(self.low, self.bits)]
+        if sum(abs(int(q)) * e for q, e in zip(query, ends)) >= 1 << 61:  # sums of slices stay below 2**64
+            raise OverflowError("a score may be beyond 64 bits")
         for c in range(min(len(query), len(self.low))):
             factor, n = int(query[c]), int(self.bits[c])
             constant += factor * int(self.low[c])
@@ -204,7 +207,7 @@ def top_k(
     """``query_id, rank, vec_id, score``: the k rows of ``vectors`` with the highest integer inner product, per query.
 
     Ties go to smaller ids; a query with fewer candidates gets all of them. Rows with the query's
-    own id are no candidates. Vectors of unequal length are compared as if the shorter ended in
+    own id are no candidates. Where scores may not fit a long, the job fails. Vectors of unequal length are compared as if the shorter ended in
     zeros. Repeated rows are candidates each; of repeated query ids one, the least vector, asks.
     Query blocks meet index blocks in a grid whose cells are tasks of bounded size, and each
     cell returns k rows per query, so work follows queries times rows and nothing else.

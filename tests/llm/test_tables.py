@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -380,3 +381,17 @@ def test_end_token_beyond_the_head(spark, monkeypatch):
     (row,) = lm_score.score(docs, rounds=1).collect()
     assert row["n_tokens"] == row["n_known"] == n + 1
     assert math.isclose(row["base_score"], (n + 1) * math.log10(2 / (2 * (n + 1) + 1)), rel_tol=1e-9)
+
+
+def test_large_components_are_kept(spark):
+    """Components around 2**27 and beyond take part, exactly; where scores cannot be longs the job fails."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-(1 << 29), 1 << 29, 6)]) for i in range(60)] + [(60, [float(1 << 19)] * 6), (61, [float(-(1 << 19))] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in bitsliced_topk.top_k(df, asked, k=5, scale=1.0).collect()}
+    for q, v in rows[::20]:
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), i) for i, w in rows if i != q)
+        assert [got[(q, r + 1)] for r in range(5)] == [(i, -s) for s, i in scores[:5]]
+    with pytest.raises(PySparkException, match="beyond 64 bits"):
+        bitsliced_topk.top_k(df, asked, k=5, scale=float(1 << 12)).collect()
