@@ -4,12 +4,15 @@ A page is a sequence of tokens. Words score +1 each and tags score below zero; a
 finds the stretch whose sum is highest. The weights of tags are learned from pages whose
 author marked the article: they start from how often a tag stands outside the mark, and a
 structured perceptron lowers those by which a wrong stretch went beyond the marked one,
-and raises those it should have passed.
+and raises those it should have passed. Elements that name themselves as something else
+(a menu, a notice) are cut out first; where the name leaves doubt, it is one more weight
+beside their words.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The fit takes so many pages at most, those of lowest hashed id, and so many characters of each.
-FIT_PAGES, FIT_CHARS, FIT_PASSES, RATE = 400, 60_000, 8, 0.25
+#: The fit takes so many pages at most, whole, those of lowest hashed id.
+FIT_PAGES, FIT_PASSES, RATE = 400, 8, 0.25
 #: How many sightings of a tag its prior weight is worth.
 START = 5.0
 #: While fitting, words outside the mark count more and words inside less, which leaves a margin.
@@ -47,6 +50,16 @@ _ASIDE_HINTS = frozenset(
     "ad ads advert advertisement banner sponsored promo nav navigation menu breadcrumb breadcrumbs header footer sidebar aside "
     "notice cookie consent popup newsletter subscribe share social related comment comments reply disqus login search form".split()
 )
+#: Those of them that are ordinary words of longer names, which are then weighed against the element's words.
+_TOPICS = frozenset("banner header notice share social related reply login search form promo menu".split())
+#: Words that make a name tell of a state of the page (no-sidebar, comments-enabled), not of what the element is.
+_STATES = frozenset("no not has with without open closed enabled disabled on off fixed sticky free hidden visible left right".split())
+#: What such a longer name costs, in words, and what a word of a link costs inside.
+NAMED_COST, LINKED_COST = 12, 2
+#: Shares of the page's words above which an element is no aside: of wrappers, and of clearly named ones.
+WRAPS, HOLDS_ALL = 0.5, 0.9
+#: Scripts written without spaces: two characters count as one word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 @dataclass
@@ -58,30 +71,93 @@ class Token:
     marked: bool  # inside the author's mark
 
 
-def _hints(more: str) -> list[str]:
+@dataclass
+class Doubtful:
+    """An element that names itself as aside: its tokens are those from ``start`` up to ``end``."""
+
+    start: int
+    sure: bool  # its words need not be weighed
+    wrapper: bool
+    end: int = 0
+
+
+def _names(more: str) -> list[list[str]]:
+    """The names in class, id and role, each as its lower-case parts."""
     found = _HINTED.findall(more) if "=" in more else []
-    return [w for groups in found for w in re.split(r"[^a-z0-9]+", "".join(groups).lower()) if w]
+    names = [n for groups in found for n in "".join(groups).lower().split()]
+    return [parts for n in names if (parts := [w for w in re.split(r"[^a-z0-9]+", n) if w])]
+
+
+def _named(names: list[list[str]]) -> tuple[bool, bool]:
+    """Whether one of the names tells of an aside, and whether without doubt."""
+    told = sure = False
+    for parts in names:
+        hints = _ASIDE_HINTS.intersection(parts)
+        if hints and not (len(parts) > 1 and _STATES.intersection(parts)):
+            told = True
+            sure = sure or len(parts) == 1 or not hints <= _TOPICS
+    return told, sure
+
+
+def _count(text: str) -> int:
+    words = len(text.split())
+    return words if text.isascii() else max(words, (len(_UNSPACED.findall(text)) + 1) // 2)
+
+
+def _asides(line: list[Token], linked: list[bool], elements: list[Doubtful]) -> list[bool]:
+    """Which tokens lie in an element that is an aside.
+
+    An element is none if it holds more than ``HOLDS_ALL`` of the page's words (a wrapper, or one of a
+    longer name: more than ``WRAPS``), or if its name leaves doubt and its words outweigh that name:
+    plain words count for it, words of links and the name against it.
+    """
+    words, links = [0], [0]
+    for t, in_link in zip(line, linked):
+        words.append(words[-1] + t.words)
+        links.append(links[-1] + t.words * in_link)
+    depth = [0] * (len(line) + 1)
+    for e in elements:
+        n, of_links = words[e.end] - words[e.start], links[e.end] - links[e.start]
+        if n > (WRAPS if e.wrapper or not e.sure else HOLDS_ALL) * words[-1]:
+            continue
+        if not e.sure and n - of_links - LINKED_COST * of_links > NAMED_COST:
+            continue
+        depth[e.start] += 1
+        depth[e.end] -= 1
+    inside, out = 0, []
+    for d in depth[:-1]:
+        inside += d
+        out.append(inside > 0)
+    return out
 
 
 def tokens(page: str, hinted: bool = True) -> list[Token]:
-    """The tokens of a page. Of elements that name themselves as aside - by their class only if ``hinted`` -
-    their own tags alone are kept, so that their text is never returned.
+    """The tokens of a page. Of asides - by their class only if ``hinted`` - their own tags alone are kept, so
+    that their text is never returned. ``body``, ``article`` and ``main`` are never asides.
     """
     made: list[Token] = []
-    stack: list[tuple[str, str, bool]] = []  # name, key, aside
-    aside = marked = 0
+    linked: list[bool] = []
+    stack: list[tuple[str, str, Doubtful | None]] = []
+    elements: list[Doubtful] = []
+    doubts = marked = links = 0
 
     def pop() -> None:
-        nonlocal aside, marked
-        name, _, was_aside = stack.pop()
-        aside -= was_aside
+        nonlocal doubts, marked, links
+        name, _, doubtful = stack.pop()
+        if doubtful:
+            doubtful.end = len(made)
+            doubts -= 1
         marked -= name in _MARK
+        links -= name == "a"
+
+    def add(token: Token) -> None:
+        made.append(token)
+        linked.append(links > 0)
 
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
             text = html.unescape(text)
-            if not aside:
-                made.append(Token("", len(text.split()), text, False, marked > 0))
+            add(Token("", _count(text), text, False, marked > 0))
             continue
         if m["name"] is None:
             continue
@@ -93,8 +169,7 @@ def tokens(page: str, hinted: bool = True) -> list[Token]:
                     pop()
                 key = stack[-1][1]
                 pop()
-            if not aside:
-                made.append(Token("/" + key, 0, " " if name == "br" else "", name not in _INLINE, marked > 0))
+            add(Token("/" + key, 0, " " if name == "br" else "", name not in _INLINE, marked > 0))
             continue
         block = name not in _INLINE
         if block and stack and stack[-1][0] == "p":
@@ -102,18 +177,24 @@ def tokens(page: str, hinted: bool = True) -> list[Token]:
         if name in ("li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1][0] == name:
             pop()
         if name in _MARK:
-            while aside:
+            while doubts:
                 pop()
-        hints = _hints(m["more"])
-        key = name + "".join("." + h for h in hints[:1])
-        if not aside:
-            made.append(Token(key, 0, " " if name == "br" else "", block, marked > 0))
+        names = _names(m["more"])
+        key = name + "".join("." + w for parts in names[:1] for w in parts[:1])
+        add(Token(key, 0, " " if name == "br" else "", block, marked > 0))
         if name not in _VOID and not m["more"].endswith("/"):
-            named = name in _ASIDE or (hinted and block and bool(_ASIDE_HINTS.intersection(hints)))
-            stack.append((name, key, named))
-            aside += named
+            told, sure = _named(names) if hinted and block and name not in _MARK and name not in ("body", "html") else (False, False)
+            doubtful = None
+            if name in _ASIDE or told:
+                doubtful = Doubtful(len(made), name in _ASIDE or sure, name == "form" and not sure)
+                elements.append(doubtful)
+                doubts += 1
+            stack.append((name, key, doubtful))
             marked += name in _MARK
-    return made
+            links += name == "a"
+    while stack:
+        pop()
+    return [t for t, aside in zip(made, _asides(made, linked, elements)) if not aside]
 
 
 def prior(key: str) -> float:
@@ -146,8 +227,18 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def fit(pages: list[str]) -> dict[str, float]:
-    """Weights of tags from the pages that mark an article.
+#: A page without its texts: key, words and mark of every token.
+Line = list[tuple[str, int, bool]]
+
+
+def lines(page: str) -> tuple[Line, Line]:
+    """The page with and without the hints of classes; two empty lines if it marks no article."""
+    both = [[(t.key, t.words, t.marked) for t in tokens(page, hinted)] for hinted in (True, False)]
+    return (both[0], both[1]) if any(marked and words for _, words, marked in both[0]) else ([], [])
+
+
+def fit(pages: list[tuple[Line, Line]]) -> dict[str, float]:
+    """Weights of tags from the ``lines`` of pages that mark an article.
 
     Of every four pages one is shown whole, one without the mark's own tags, one without the
     hints of classes, and one without either, so that no single sign is relied on. No tag's
@@ -155,16 +246,16 @@ def fit(pages: list[str]) -> dict[str, float]:
     """
     examples = []
     inside, outside = Counter(), Counter()
-    for page in pages:
+    for hinted, plain in pages:
         shown = len(examples) % 4
-        line = tokens(page, hinted=shown < 2)
-        if any(t.marked and t.words for t in line):
+        line = hinted if shown < 2 else plain
+        if any(marked and words for _, words, marked in line):
             if shown % 2:
-                line = [t for t in line if t.key.strip("/").split(".")[0] not in _MARK]
+                line = [t for t in line if t[0].strip("/").split(".")[0] not in _MARK]
             examples.append(line)
-            for t in line:
-                if t.key:
-                    (inside if t.marked else outside)[t.key] += 1
+            for key, _, marked in line:
+                if key:
+                    (inside if marked else outside)[key] += 1
     weights = {
         key: (START * prior(key) - 4.0 * outside[key] - 0.02 * inside[key]) / (START + outside[key] + inside[key])
         for key in {*inside, *outside}
@@ -174,15 +265,15 @@ def fit(pages: list[str]) -> dict[str, float]:
         wrong = 0
         for line in examples:
             scores = [
-                _weight(weights, t.key) if t.key else t.words * (INSIDE if t.marked else OUTSIDE) for t in line
+                _weight(weights, key) if key else words * (INSIDE if marked else OUTSIDE) for key, words, marked in line
             ]
             a, b = best_stretch(scores)
-            wanted = [i for i, t in enumerate(line) if t.marked and t.words]
+            wanted = [i for i, (_, words, marked) in enumerate(line) if marked and words]
             c, d = wanted[0], wanted[-1] + 1
-            if {i for i in range(a, b) if line[i].words} != {i for i in range(c, d) if line[i].words}:
+            if {i for i in range(a, b) if line[i][1]} != {i for i in range(c, d) if line[i][1]}:
                 wrong += 1
-                change = Counter(t.key for t in line[c:d] if t.key)
-                change.subtract(t.key for t in line[a:b] if t.key)
+                change = Counter(t[0] for t in line[c:d] if t[0])
+                change.subtract(t[0] for t in line[a:b] if t[0])
                 for key, n in change.items():
                     if n:
                         weights[key] = min(-0.01, _weight(weights, key) + RATE * max(-4, min(4, n)))
@@ -208,7 +299,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
 
 
 def learned(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
-    """``fit`` on the sample of ``FIT_PAGES`` pages."""
+    """``fit`` on the sample of ``FIT_PAGES`` pages, read by tasks; their tags and numbers of words are collected."""
     ids = [
         r[0] for r in pages.select(F.col(f"`{id_col}`").cast("long").alias("id")).where("id IS NOT NULL")
         .orderBy(F.xxhash64("id"), "id").limit(FIT_PAGES).collect()
@@ -216,19 +307,25 @@ def learned(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     if not ids:
         return {}
     wanted = pages.sparkSession.createDataFrame([(i,) for i in ids], "wanted long")  # FIT_PAGES rows at most
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([json.dumps(lines(t.as_py() or "")) for t in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["id", "lines"])
+
     rows = (
-        pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.substring(F.col(f"`{html_col}`").cast("string"), 1, FIT_CHARS).alias("html"))
+        pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{html_col}`").cast("string").alias("html"))
         .join(F.broadcast(wanted), F.col("id") == F.col("wanted"), "left_semi")
-        .groupBy("id").agg(F.min("html").alias("html")).collect()
+        .groupBy("id").agg(F.min("html").alias("html"))
+        .mapInArrow(run, "id long, lines string").collect()
     )
-    return fit([r["html"] for r in sorted(rows) if r["html"]])
+    return fit([tuple(json.loads(r["lines"])) for r in sorted(rows)])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", text_col: str = "main_text") -> DataFrame:
     """``pages`` with the main text of each whole page; a column of that name is replaced.
 
-    Null and empty pages, and pages without words outside asides, give an empty text. Rows
-    are handled alone, so repeated ones get equal texts. Where no page marks an article
+    Null and empty pages, and pages without words outside asides, give an empty text. Of equal
+    stretches the first is returned. Rows are handled alone, so repeated ones get equal texts. Where no page marks an article
     the weights stay as they were before fitting.
     """
     weights = learned(pages, id_col, html_col)

@@ -312,6 +312,43 @@ def test_main_texts(spark, sf_dir):
     assert got[2] == "" and got[3] == "" and got[None] == "" and html_text.main_text(df.where("false")).count() == 0
 
 
+W60, W40, W20 = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 40), ("c", 20)))
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<html><body class='home no-sidebar'><p>{W60}</p></body></html>", W60),
+    (f"<body><article class='post comments-enabled'><p>{W60}</p></article></body>", W60),
+    (f"<div class='page header-fixed'><p>{W60}</p></div>", W60),
+    (f"<form action='/'><p>{W60}</p></form>", W60),
+    (f"<article><p>{W40}</p><section class='related-work'><p>{W20}</p></section></article>", f"{W40}\n{W20}"),
+    (f"<article><p>{W60}</p><section class='related-posts'><a href='/'>{W20}</a></section></article>", W60),
+    (f"<article><p>{W60}</p></article><div class='comment-list'><p>{W40}</p></div>", W60),
+    (f"<article><p>{W60}</p><div class='ad'>{W20}</div></article>", W60),
+    (f"<article><p>{W60}</p><form class='search'><p>{W20}</p></form></article>", W60),
+    ("<nav><a href='/'>家 目次</a></nav><article><p>" + "文字列" * 30 + "</p></article>", "文字列" * 30),
+])
+def test_hints_leave_articles(page, want, spark, sf_dir):
+    weights = html_text.learned(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    assert html_text.extract(page, weights) == want
+    assert html_text.extract(page, {}) == want  # also where no page could be learned from
+
+
+def test_very_long_and_repeated_pages(spark):
+    body = "".join(f"<p>{W60}</p>" for _ in range(4_000))  # 1 MB
+    page = f"<body><nav>{W20}</nav><article>{body}</article></body>"
+    df = spark.createDataFrame([(1, page), (1, page), (2, f"<p>{W20}</p><table><tr><td>{W20}</td></tr></table>" * 2)], "page_id long, html string")
+    got = [r["main_text"] for r in html_text.main_text(df).orderBy("page_id").collect()]
+    assert got[0] == got[1] == "\n".join([W60] * 4_000)
+    assert got[2] == "\n".join([W20] * 4)
+
+
+def test_fit_reads_whole_pages():
+    """The article of a page whose start alone is longer than usual pages is learned from."""
+    page = f"<body><div class='x'>{W20 * 4_000}</div><article><p>{W60}</p></article></body>"
+    hinted, plain = html_text.lines(page)
+    assert any(marked and words == 60 for _, words, marked in hinted) and html_text.fit([(hinted, plain)] * 4)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_stretch_is_the_best(seed):
     rng = random.Random(seed)
