@@ -112,8 +112,9 @@ def _op4_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(parts)}),
-owners AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n FROM found GROUP BY value),
-spans AS (SELECT found.*, n <= 2 AS live FROM found JOIN owners USING (value)),
+places AS (SELECT DISTINCT value, owner, doc_id FROM found),
+owners AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n, count(*) AS repos FROM places GROUP BY value),
+spans AS (SELECT found.*, n <= 2 AND repos <= 10 * n AS live FROM found JOIN owners USING (value)),
 made AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
          count(*) FILTER (WHERE kind = 2) AS n_hex,

@@ -3,15 +3,19 @@
 Everything here is built-in Spark functions. Patterns find candidates in each whole text.
 The corpus then says what each value is: a hash of it is counted over distinct
 repositories and owners. A value that many owners carry is an example that was copied
-around; a value of one or a few owners looks live. Loose candidates (long mixed-case
+around, and so is one that its owners repeat over and over; a value in few places of one or a
+few owners looks live. Loose candidates (long mixed-case
 tokens that no pattern names) are added only when they look live.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.functions.text import let
 from evalloom.llm import common
 from evalloom.operators.columns import with_fields
 from evalloom.storage import stored
@@ -33,6 +37,40 @@ MIXED = r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+#: Running values are taken inside blocks of so many elements, and over the blocks.
+BLOCK = 256
+#: A text is cut into stretches of so many code points, so that a piece is found without a walk from the start.
+STRETCH = 4_096
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For every integer of a non-empty array what ``combine`` makes of those before it, from 0, and of all at the end.
+
+    ``combine`` is associative and leaves other values as they are when it meets 0. An array that grows by one is
+    copied each time, so it grows within a block only.
+    """
+    none = F.array().cast("array<int>")
+
+    def inside(part: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(
+            part, first,
+            lambda done, v: F.struct(combine(done["at"], v).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")),
+        )
+
+    def step(done: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda v: combine(done["at"], v))
+        return F.struct(combine(done["at"], block["at"]).alias("at"), F.concat(done["out"], F.array(moved)).alias("out"))
+
+    def whole(bound: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(bound) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(starts, lambda b: inside(F.slice(bound, b * BLOCK + 1, F.lit(BLOCK))))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        return F.aggregate(blocks, first, step, lambda done: F.concat(F.flatten(done["out"]), F.array(done["at"])))
+
+    return let(values, whole)
+
+
 def _found(text: Column, number: int, kind: tuple) -> Column:
     """Spans of one kind, by start; offsets are code points and ends are exclusive.
 
@@ -47,20 +85,21 @@ def _found(text: Column, number: int, kind: tuple) -> Column:
     )
 
     def placed(f: Column) -> Column:
-        def step(done: Column, i: Column) -> Column:
-            start = done["at"] + F.char_length(F.get(f["between"], i))
-            end = start + F.char_length(F.get(f["whole"], i))
-            span = F.struct(
-                start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.get(f["value"], i).alias("value")
+        steps = F.transform(f["whole"], lambda w, i: F.char_length(F.get(f["between"], i)) + F.char_length(w))
+
+        def spans(ends: Column) -> Column:  # where each match ends; in front of them, 0
+            made = F.transform(
+                f["whole"],
+                lambda w, i: F.struct(
+                    (F.get(ends, i + 1) - F.char_length(w)).alias("start"), F.lit(number).alias("kind"),
+                    F.get(ends, i + 1).alias("end"), F.get(f["value"], i).alias("value"),
+                ),
             )
-            return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+            return F.filter(made, lambda s: F.char_length(s["value"]) >= least)
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-        spans = F.aggregate(F.sequence(F.lit(0), F.size(f["whole"]) - 1), start, step, lambda done: done["spans"])
-        return F.filter(spans, lambda s: F.char_length(s["value"]) >= least)
+        return let(_running(steps, lambda a, b: a + b), spans)
 
-    made = F.get(F.transform(F.array(found), placed), 0)
-    return F.when(text.rlike(pattern), made).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.array().cast(SPAN))
 
 
 def _blanked(text: Column, pattern: str) -> Column:
@@ -106,13 +145,14 @@ def scan(
     owner_col: str = "source",
     repo_col: str = "doc_id",
     max_owners: int = 2,
+    max_repos: int = 10,
     keep_text: bool = True,
     names: tuple[str, str] = ("base_spans", "all_spans"),
 ) -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans`` (or other ``names``): arrays of (start, kind, end, live).
 
-    A span is live when at most ``max_owners`` owners hold its value; ``all_spans`` adds
-    the live loose ones to the base spans. Columns of ``docs`` with these names are
+    A span is live when at most ``max_owners`` owners hold its value, in at most ``max_repos`` repositories an
+    owner on average; ``all_spans`` adds the live loose ones to the base spans. Columns of ``docs`` with these names are
     replaced; repeated rows are scanned one by one. Only documents with candidates are
     shuffled. They are stored, and the others, if their texts are kept, are scanned again in
     the end rather than copied; with ``keep_text=False`` all are stored without their texts.
@@ -140,13 +180,12 @@ def scan(
         .drop("value")
     )
     counts = stored(ownership(each), "secret-owners")
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos * F.col("n_owners"))
     spans = (
-        each.join(counts.select(F.col("hash").alias("_hash"), "n_owners"), F.col("hash") == F.col("_hash"))
+        each.join(counts.select(F.col("hash").alias("_hash"), live.alias("live")), F.col("hash") == F.col("_hash"))
         .groupBy(F.col("_row").alias("_key"))
         .agg(
-            F.array_sort(
-                F.collect_list(F.struct("start", "kind", "end", (F.col("n_owners") <= max_owners).alias("live")))
-            ).alias("_spans")
+            F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("_spans")
         )
     )
     kind = "array<struct<start:int,kind:int,end:int,live:boolean>>"
@@ -173,19 +212,29 @@ def span_text(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by a mark; overlapping spans by one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(done["out"], F.array(gap, F.lit(mark)))).otherwise(done["out"]).alias("out"),
-        )
+    """The text with every span (sorted by start) replaced by a mark; overlapping spans by one. Empty spans: the text."""
+
+    def masked(t: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            first = F.floor(start / STRETCH).cast("int")
+            near = F.array_join(F.slice(t["stretches"], first + 1, F.floor(end / STRETCH).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(near, start - first * STRETCH + 1, end - start)).otherwise(F.lit(""))
+
+        def pieces(before: Column) -> Column:  # how far the spans before each one reach, and all of them
+            made = F.transform(
+                t["spans"],
+                lambda s, i: F.when(
+                    s["start"] >= F.get(before, i), F.concat(piece(F.get(before, i), s["start"]), F.lit(mark))
+                ),
+            )
+            rest = piece(F.element_at(before, -1), t["length"])
+            return F.concat(F.array_join(made, ""), rest)  # what is null, inside an earlier span, is left out
 
-    def whole(done: Column) -> Column:
-        rest = F.substring(text, done["at"] + 1, F.char_length(text))
-        return F.array_join(F.concat(done["out"], F.array(rest)), "")
+        reach = _running(F.transform(t["spans"], lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        return let(reach, pieces)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, whole))
+    cut = F.struct(
+        F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STRETCH}}}"), F.lit(0)).alias("stretches"),
+        F.char_length(text).alias("length"), spans.alias("spans"),
+    )
+    return F.when(F.size(spans) == 0, text).otherwise(let(cut, masked))

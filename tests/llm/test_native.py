@@ -1,6 +1,7 @@
 """Operators of built-in functions, against plain Python."""
 
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -93,3 +94,52 @@ def test_redaction(spark, none):
     assert secret_scan.scan(none).count() == 0
 
 
+
+
+def test_examples_of_one_owner_are_not_live(spark):
+    """A value repeated in many documents of one owner is a copied example, one in a few of its documents is not."""
+    rows = [(i, f"see {LIVE} here", "s") for i in range(11)] + [(i, f"mine {LIVE[::-1]}", "s") for i in range(20, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: len(r["all_spans"]) for r in secret_scan.scan(df).collect()}
+    assert got == {**{i: 0 for i in range(11)}, **{i: 1 for i in range(20, 30)}}
+
+
+def test_running_values(spark):
+    rows = [[5], [3, 0, 4], list(range(700)), [7] * 256, [1] * 257, [9] + [2] * 600]
+    df = spark.createDataFrame([(r,) for r in rows], "v array<int>")
+    sums = secret_scan._running(F.col("v"), lambda a, b: a + b)
+    most = secret_scan._running(F.col("v"), lambda a, b: F.greatest(a, b))
+    for r in df.select("v", sums.alias("s"), most.alias("m")).collect():
+        assert r["s"] == [sum(r["v"][:i]) for i in range(len(r["v"]) + 1)]
+        assert r["m"] == [max(r["v"][:i], default=0) for i in range(len(r["v"]) + 1)]
+
+
+def test_redaction_of_long_texts(spark):
+    """Overlapping, touching and far spans, also across the stretches a text is cut into."""
+    text = "é💩x" * 5_000
+    cases = [
+        [(0, 3), (1, 2), (3, 9), (4_090, 4_100), (4_096, 4_097), (8_192, 8_192 + 4_096), (14_999, 15_000)],
+        [(0, 15_000)], [(4_096, 8_192)], [],
+        [(i, i + 7) for i in range(0, 14_900, 5)], [(i, i + 2) for i in range(0, 14_900, 5)],
+    ]
+    df = spark.createDataFrame([(i, text, c) for i, c in enumerate(cases)], "i int, t string, s array<struct<start:int,end:int>>")
+    for r in df.select("i", secret_scan.redacted(F.col("t"), F.col("s"), "#").alias("t")).collect():
+        want, at = "", 0
+        for a, b in cases[r["i"]]:
+            if a >= at:
+                want += text[at:a] + "#"
+            at = max(at, b)
+        assert r["t"] == want + text[at:]
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 matches in one text end within seconds and lie where they should."""
+    n = 100_000
+    text = "".join(f"é password=hunter{i:06d}\n" for i in range(n))
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    began = time.monotonic()
+    found = secret_scan.scan(df).select("base_spans", secret_scan.redacted(F.col("text"), F.col("all_spans")).alias("t"))
+    row = found.select("t", F.transform("base_spans", lambda s: F.struct(s["start"], s["end"])).alias("s")).collect()[0]
+    assert [tuple(s) for s in row["s"]] == [(24 * i + 2, 24 * i + 23) for i in range(n)]
+    assert row["t"] == "é [SECRET]\n" * n
+    assert time.monotonic() - began < 60
