@@ -6,7 +6,8 @@ tokens before it - a bilinear form of learned vectors - and the word within its
 corpus counts. Every task trains on the training tokens of its own partition, from the same
 start, and the parameters are averaged by Spark, so training grows with the corpus and
 nothing but sums of fixed size reaches the driver. Three products of the class matrices
-then give the normaliser of every pair of context classes at once.
+then give the normaliser of every pair of context classes at once. Texts are read twice, for
+counts and for classes; both rounds of training and the scores read the stored classes.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ RATE = 0.15
 COUNTED = 300_000
 END, BEGIN = 0, 1  # the class of the end token, and of what stands before the first word
 FIRST = 2
+#: How classes are stored: there are fewer than 65,536.
+CLASS = np.dtype("<u2")
 
 
 def ending(word: bytes) -> bytes:
@@ -239,7 +242,11 @@ def train_step(p: Parameters, squares: Parameters, triples: np.ndarray, noise: n
 
 
 def train_round(texts: DataFrame, vocab: Vocabulary, before: Parameters, round_number: int) -> Parameters:
-    """One pass of every task over its training tokens, then the mean of the tasks' parameters by tokens trained on."""
+    """One pass of every task over its training tokens, then the mean of the tasks' parameters by tokens trained on.
+
+    ``texts`` may be a table of ``classed_texts``, which is then read as it is.
+    """
+    classed = texts if "classes" in texts.columns else classed_texts(texts, vocab)
     rows, columns = before.table.shape
     names = [f"v{i}" for i in range(columns)]
     log_noise = np.log((vocab.class_tokens + 1) / (vocab.class_tokens + 1).sum()).astype(np.float32)
@@ -256,8 +263,8 @@ def train_round(texts: DataFrame, vocab: Vocabulary, before: Parameters, round_n
             train_step(p, squares, triples, noise, log_noise)
 
         for batch in batches:
-            for text in batch.column(0):
-                s = _sequence(classes_of(text.as_py().lower().split(), vocab)[0])
+            for classes in batch.column(0):
+                s = _sequence(np.frombuffer(classes.as_buffer(), CLASS))
                 held.append(np.stack([s[:-2], s[1:-1], s[2:]], axis=1))
                 size += len(s) - 2
                 if size >= 32 * STEP:
@@ -281,7 +288,7 @@ def train_round(texts: DataFrame, vocab: Vocabulary, before: Parameters, round_n
 
     schema = "row int, weight double, " + ", ".join(f"{n} double" for n in names)
     sums = (
-        texts.where(~F.col("held_out")).select("text").mapInArrow(run, schema)
+        classed.where(~F.col("held_out")).select("classes").mapInArrow(run, schema)
         .groupBy("row").agg(F.sum("weight").alias("weight"), *[F.sum(n).alias(n) for n in names]).collect()
     )
     if not sums:
@@ -321,38 +328,57 @@ def fit(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Parameters
     return p
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, predicted double, tail array<binary>"
+CLASSED = (
+    "row long, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, within double, "
+    "classes binary, tail array<binary>"
+)
 
 
-def _scored(texts: DataFrame, vocab: Vocabulary, p: Parameters) -> DataFrame:
-    """What each text yields without the counts of rare words, and these words."""
+def classed_texts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The classes of each text's words, two bytes a word, and what it yields besides them: rounds and scores read no text.
+
+    ``counted`` and ``within`` leave out the counts of rare words, which are in ``tail``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = Predictor.of(p)
         count = np.log10(vocab.head_count + 1)
         inside = np.log10(vocab.class_tokens + vocab.class_words + 1)
         alone = np.arange(len(inside)) < FIRST + len([w for w in vocab.head if w][:OWN])
         end = vocab.head_count[vocab.head[b""]] if b"" in vocab.head else 0.0
         for batch in batches:
-            columns = [[] for _ in range(5)]
+            columns = [[] for _ in range(6)]
             for text in batch.column(3):
                 words = text.as_py().lower().split()
                 classes, places, missing = classes_of(words, vocab)
                 here = places >= 0
                 counts = count[places[here]]
                 single = alone[classes]
-                within = counts[~single[here]].sum() - inside[classes[~single]].sum()
                 columns[0].append(len(words) + 1)
                 columns[1].append(int(here.sum()) + (end > 0))
                 columns[2].append(float(counts.sum() + math.log10(end + 1)))
-                columns[3].append(float(predict.log10(_sequence(classes)).sum() + within))
-                columns[4].append([words[i] for i in missing])
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
+                columns[3].append(float(counts[~single[here]].sum() - inside[classes[~single]].sum()))
+                columns[4].append(classes.astype(CLASS).tobytes())
+                columns[5].append([words[i] for i in missing])
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
             made = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=[x.split()[0] for x in SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=[x.split()[0] for x in CLASSED.split(", ")])
 
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    return numbered.mapInArrow(run, SCORED)
+    return numbered.mapInArrow(run, CLASSED)
+
+
+def _predicted(classed: DataFrame, p: Parameters) -> DataFrame:
+    """``classed`` without classes and tail, and with ``predicted``: log10 of its classes, end included."""
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "counted", "within"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = Predictor.of(p)
+        for batch in batches:
+            sums = [float(predict.log10(_sequence(np.frombuffer(c.as_buffer(), CLASS))).sum()) for c in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sums, pa.float64())], names=[*kept, "predicted"])
+
+    schema = classed.select(*kept).withColumn("predicted", F.lit(0.0)).schema
+    return classed.select(*kept, "classes").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -369,17 +395,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     texts = _texts(docs, id_col, text_col)
     counts = stored(word_counts(texts), "lm-counts")
     vocab = vocabulary(counts)
-    p = fit(texts, vocab, rounds)
-    scored = stored(_scored(texts, vocab, p), "lm-scored")
+    classed = stored(classed_texts(texts, vocab), "lm-classes")
+    scored = _predicted(classed, fit(classed, vocab, rounds))
     rare = counts.where(_order(F.col("c")) < vocab.threshold)
-    tail = scored.select("row", F.explode("tail").alias("w"))
+    tail = classed.select("row", F.explode("tail").alias("w"))
     found = tail.join(rare, F.col("w") == F.col("word")).groupBy(F.col("row").alias("r")).agg(
         F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("known")
     )
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("tail").join(found, F.col("row") == F.col("r"), "left").select(
+    return scored.join(found, F.col("row") == F.col("r"), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
         (F.col("counted") + more - F.col("n_tokens") * math.log10(vocab.total + vocab.distinct + 1)).alias("base_score"),
-        (F.col("predicted") + more).alias("score"),
+        (F.col("predicted") + F.col("within") + more).alias("score"),
     )

@@ -373,6 +373,35 @@ def test_model_scores(documents, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_are_plain_sums(documents, monkeypatch):
+    """Every token's log probability, by a softmax of its own and the counts of its class, added up."""
+    kept, fit, vocabulary = {}, lm_score.fit, lm_score.vocabulary
+    monkeypatch.setattr(lm_score, "HEAD", 500)
+    monkeypatch.setattr(lm_score, "fit", lambda *a, **k: kept.setdefault("p", fit(*a, **k)))
+    monkeypatch.setattr(lm_score, "vocabulary", lambda counts: kept.setdefault("v", vocabulary(counts)))
+    docs = documents.limit(60)
+    rows = {r["doc_id"]: r for r in lm_score.score(docs).collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    counts = Counter(w for d, ws in texts.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
+    p, vocab = kept["p"], kept["v"]
+    members = {}  # the words of a class are all that share it
+    for w in counts:
+        members.setdefault(int(lm_score.classes_of([w], vocab)[0][0]), []).append(w)
+    single = lm_score.FIRST + min(lm_score.OWN, len([w for w in vocab.head if w]))
+    for d in sorted(texts)[:15]:
+        far = near = lm_score.BEGIN
+        total = 0.0
+        for w in [*texts[d], b""]:
+            k = int(lm_score.classes_of([w], vocab)[0][0]) if w else lm_score.END
+            logits = p.target @ (p.context[near] * p.near + p.context[far] * p.far) + p.bias
+            total += (logits[k] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) / math.log(10)
+            if k >= single:
+                own = [counts[m] for m in members.get(k, [])]
+                total += math.log10((counts[w] + 1) / (sum(own) + len(own) + 1))
+            far, near = near, k
+        assert math.isclose(rows[d]["score"], total, rel_tol=1e-6)
+
+
 def test_model_is_normalised(documents):
     texts = lm_score._texts(documents.limit(200), "doc_id", "text")
     counts = lm_score.word_counts(texts).cache()
