@@ -46,16 +46,39 @@ class Mix:
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
-    """``row, doc_id, source, size`` and the kept columns; size is the number of words, 0 for a null text."""
+    """``row, doc_id, source, size`` and the kept columns; size is the number of words, 0 for a null text.
+
+    ``_print`` tells rows of one id apart: a hash of the text, and of the row's number where the id is null.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("_id"),
         common.column_or_null(docs, source_col, "string").cast("string").alias("_source"),
         F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size"),
+        F.xxhash64(text, F.when(F.col(f"`{id_col}`").cast("long").isNull(), F.monotonically_increasing_id())).alias("_print"),
         *[F.col(f"`{c}`").alias(f"_kept_{c}") for c in keep],
     )
 
 
+def _in_order(df: DataFrame, keys: list[Column], sums: list[str], name: str) -> DataFrame:
+    """``df`` with ``_rank``, from 0 in the order of ``keys``, and ``_before_x``: the sum of ``x`` over the rows before.
+
+    Rows are sorted by ranges, numbered and summed up inside each; only one row a range meets in one task.
+    """
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stored(ranged, name).withColumn("_range", F.shiftright("_at", 33))
+    totals = ranged.groupBy(F.col("_range").alias("r")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    earlier = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda column, over: F.coalesce(F.sum(column).over(over), F.lit(0))
+    totals = totals.select("r", before("_n", earlier).alias("_ranks"), *[before(f"_sum_{c}", earlier).alias(f"_upto_{c}") for c in sums])
+    inside = Window.partitionBy("_range").orderBy("_at")
+    ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(totals, F.col("_range") == F.col("r")).select(
+        *df.columns, (F.col("_ranks") + F.row_number().over(inside) - 1).alias("_rank"),
+        *[(F.col(f"_upto_{c}") + before(c, ahead)).alias(f"_before_{c}") for c in sums],
+    )
+
+
 def targets(sized: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
     """``sid, source, n_docs, source_size, weight, target`` per source.
 
@@ -63,22 +86,20 @@ def targets(sized: DataFrame, weights: list[float], share: float, most: float) -
     all words by weight, and none exceeds ``most`` times its source: sources are passed in order
     of the level at which they reach that bound, and the first that does not sets the level of the rest.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    sums = sized.groupBy(F.col("_source").alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
     known = stored(
-        sized.groupBy(F.col("_source").alias("source"))
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-        .withColumn("sid", F.row_number().over(order) - 1)
-        .withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))),
+        _in_order(sums, [F.col("source").asc_nulls_last()], [], "mix-names").withColumnRenamed("_rank", "sid").withColumn("weight", weight),
         "mix-sources",
     )
-    total = known.agg(F.sum("source_size")).first()[0] or 0
+    total, all_weights = known.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     full = F.col("source_size") * F.lit(float(most))
-    by_level = Window.orderBy(full / F.col("weight"), "sid")
-    earlier = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_level.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.lit(share * total) - F.coalesce(F.sum(full).over(earlier), F.lit(0.0))) / F.sum("weight").over(onward)
+    levels = _in_order(
+        known.withColumn("bound", full / F.col("weight")), [F.col("bound").asc(), F.col("sid").asc()], ["source_size", "weight"], "mix-levels"
+    )
+    level = (F.lit(float(share * total)) - F.col("_before_source_size") * F.lit(float(most))) / (F.lit(all_weights) - F.col("_before_weight"))
     first = (
-        known.withColumn("level", level).withColumn("bound", full / F.col("weight")).where("bound > level")
+        levels.withColumn("level", level).where("bound > level")
         .orderBy("bound", "sid").select("level", "bound", "sid").first()
     )
     target = full
@@ -207,7 +228,7 @@ def mix(
     documents without words are in no shard, repeated rows are documents each, and an empty
     table gives an empty mixture. Everything random is a hash of ids or seeded by the node
     of the tree, so reruns agree. Lines are placed by chunks of bounded size, so a source
-    that holds a third of all rows is worked on by many tasks.
+    that holds a third of all rows is worked on by many tasks, also where ids are null or equal (rows of one id and text lie side by side).
     """
     sized = stored(sizes(docs, id_col, text_col, source_col, keep or []), "mix-sizes")
     known = targets(sized, list(weights), share, most)
@@ -217,12 +238,12 @@ def mix(
     sources = stored(known.mapInPandas(_drawn(block), schema), "mix-draws")
 
     documents = stored(
-        sized.select("row", "_id", "_source", "size").join(
+        sized.select("row", "_id", "_source", "size", "_print").join(
             sources.select("sid", "n_docs", F.col("source").alias("_s")), F.col("_source").eqNullSafe(F.col("_s"))
         ).drop("_s")
-        .withColumn("_key", F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(_KEYS)))
+        .withColumn("_key", F.pmod(F.xxhash64("_id", "_print", F.lit(SEED)), F.lit(_KEYS)))
         .withColumn("_chunk", F.floor(F.col("_key") / F.lit(float(_KEYS)) * F.ceil(F.col("n_docs") / CHUNK)))
-        .drop("n_docs"),
+        .drop("n_docs", "_print"),
         "mix-documents",
     )
     chunks = documents.groupBy("sid", "_chunk").agg(F.sum("size").alias("words"))
@@ -260,7 +281,7 @@ def mix(
     rows = rows.withColumn("position", F.row_number().over(shuffled) - 1).select(
         "row", "shard", "position", "epoch", "first_word", "words"
     )
-    return Mix(sized.drop("_id", "_source"), documents, sources, rows)
+    return Mix(sized.drop("_id", "_source", "_print"), documents, sources, rows)
 
 
 def taken_words(mixed: Mix) -> DataFrame:
