@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
+#: What a file says whose texts may be cut so: no normalizer, the byte-level pattern, merges that nothing changes.
+_CUT = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {
+        "type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None,
+        "byte_fallback": False, "ignore_merges": False,
+    },
+}
 #: Texts of these characters alone are cut by the pattern below exactly as the tokenizer cuts
 #: texts before its merges; all other texts are encoded whole.
 _KNOWN = re.compile(r"[\n\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
@@ -18,17 +28,27 @@ _REMEMBERED, _LONGEST = 800_000, 40
 _HELD: dict = {}
 
 
+def _says(found, wanted) -> bool:
+    """Whether what a file says has all that is wanted; a name it leaves out counts as null or false."""
+    if isinstance(wanted, dict):
+        return isinstance(found, dict) and all(_says(found.get(k), v) for k, v in wanted.items())
+    return found == wanted or (found is None and wanted is False)
+
+
 class Encoder:
     """Ids as native unsigned 32-bit little-endian bytes, from the tokenizers library.
 
     Texts repeat their words, so the ids of each piece are remembered, up to a bound. Special
-    strings of the file are matched in texts, as the library does unless told otherwise.
+    strings of the file are matched in texts, as the library does unless told otherwise. Of
+    files with another way to cut texts, all texts are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.cuts = _says(json.load(file), _CUT)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self.tokenizer.model
         plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xAD)]
@@ -44,7 +64,7 @@ class Encoder:
         return array("I", [t.id for t in self.merges.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not _KNOWN.fullmatch(text) or any(s in text for s in self.special):
+        if not self.cuts or not _KNOWN.fullmatch(text) or any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = _PIECES.findall(text)
         ids = [*map(self.known.get, pieces)]
