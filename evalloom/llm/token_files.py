@@ -27,8 +27,8 @@ from evalloom.llm.token_ids import encoder
 
 #: Bytes of compressed data in a chunk, and documents in it at most.
 CHUNK, CHUNK_DOCS = 1 << 22, 4096
-#: The dictionary is fitted to so many documents, and so many characters of each.
-FIT_TEXTS, FIT_CHARS, DICTIONARY = 2_000, 8_000, 64_000
+#: The dictionary is fitted to so many whole documents at most, cut to blocks of so many ids, of which so many are kept.
+FIT_TEXTS, FIT_IDS, FIT_BLOCKS, DICTIONARY = 2_000, 2_048, 4_000, 64_000
 LEVEL = 3
 
 CHUNKS = (
@@ -43,18 +43,34 @@ def serialized(ids: bytes, width: int) -> bytes:
 
 
 def train(docs: DataFrame, tokenizer: str, width: int) -> bytes:
-    """The dictionary, from the documents of lowest hashed id; empty where they are too few to train on."""
+    """The dictionary, from the documents of lowest hashed id; empty where they are too few to train on.
+
+    Tasks encode these documents whole; of their blocks, from all places, those of lowest hash are
+    collected: ``FIT_BLOCKS`` of ``FIT_IDS`` ids at most.
+    """
     ids = [r[0] for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_TEXTS).collect()]
     if not ids:
         return b""
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "wanted long")  # FIT_TEXTS rows at most
-    texts = (
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = serialized(encode(text.as_py() or ""), width)
+                step = FIT_IDS * width
+                blocks = [ids[i : i + step] for i in range(0, len(ids), step)]
+                made = [[doc_id] * len(blocks), list(range(len(blocks))), blocks]
+                kinds = [pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names=["doc_id", "at", "ids"])
+
+    blocks = (
         docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"), "left_semi")
-        .select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"))
-        .groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+        .groupBy("doc_id").agg(F.min("text").alias("text"))
+        .mapInArrow(run, "doc_id long, at long, ids binary")
+        .orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(FIT_BLOCKS).collect()
     )
-    encode = encoder(tokenizer).encode
-    samples = [serialized(encode(r["text"]), width) for r in sorted(texts) if r["text"]]
+    samples = [bytes(r["ids"]) for r in blocks]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:

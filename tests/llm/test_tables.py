@@ -1,5 +1,6 @@
 """Operators with Python in their tasks, against brute force, round trips and held-out accuracy."""
 
+import json
 import math
 import random
 import zlib
@@ -12,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evalloom.llm import bitsliced_topk, html_text, lm_score, mixing, packing, simhash_dedup, token_files, toxicity
+from evalloom.llm import bitsliced_topk, html_text, lm_score, mixing, packing, simhash_dedup, token_files, token_ids, toxicity
 from evalloom.llm.token_ids import encoder
 from evalloom.storage import scratch_path
 from tests_llm_plain import plain_components, plain_simhash
@@ -75,6 +76,31 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_files_that_cut_otherwise():
+    """Ids of a file with a normalizer and another pattern, and of one that puts a space first."""
+    other = FILE.replace("byte_bpe_50k", "word_bpe_49k")
+    tokenizer, made = Tokenizer.from_file(other), encoder(other)
+    assert not made.cuts and encoder(FILE).cuts
+    for text in ("", "Hello  World's 123 end.", "a\nb", "É é"):
+        assert np.frombuffer(made.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    with open(FILE, encoding="utf-8") as file:
+        said = json.load(file)
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    assert not token_ids._says(said, token_ids._CUT)
+
+
+def test_dictionary_sees_whole_texts(spark, monkeypatch):
+    """Blocks that the dictionary is trained on come from all places of long texts."""
+    seen = []
+    monkeypatch.setattr(token_files.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or 1 / 0)
+    docs = spark.createDataFrame([(i, f"start {i} " + "word " * 9_000 + f"ending{i}") for i in range(5)], "doc_id long, text string")
+    with pytest.raises(ZeroDivisionError):
+        token_files.train(docs, FILE, 2)
+    whole = [token_files.serialized(encoder(FILE).encode(r["text"]), 2) for r in docs.collect()]
+    step = token_files.FIT_IDS * 2
+    assert sorted(seen) == sorted(w[i : i + step] for w in whole for i in range(0, len(w), step))
+
+
 def test_local_search_empties_bins():
     bins = packing.Bins([6, 3, 5, 4, 2, 7], 10)
     bins.bins, bins.fill = [[0], [1], [2], [3], [4], [5]], [6, 3, 5, 4, 2, 7]
@@ -223,6 +249,30 @@ def test_mixture(documents, odd, none):
     assert mixing.taken_words(mixing.mix(none)).count() == 0
 
 
+def test_order_by_ranges(spark):
+    """Ranks and running sums over many ranges are those of one sorted list; nulls last, ties by the second key."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *"abcdefghij"]), i, rng.randrange(50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int, x long").repartition(7)
+    for frame in (df, df.where("i = 3"), df.where("false")):
+        got = mixing._in_order(frame, [F.col("k").asc_nulls_last(), F.col("i").asc()], ["x"], "test-order").collect()
+        want = sorted(map(tuple, frame.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
+        assert sorted(r["_rank"] for r in got) == list(range(len(want)))
+        for r in got:
+            assert want[r["_rank"]] == (r["k"], r["i"], r["x"])
+            assert r["_before_x"] == sum(w[2] for w in want[: r["_rank"]])
+
+
+def test_rows_without_ids_are_spread(spark):
+    """Null and equal ids fill many chunks instead of one."""
+    n = 3 * mixing.CHUNK
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("a b c d "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    mixed = mixing.mix(rows)
+    sizes = [r["count"] for r in mixed.documents.groupBy("_chunk").count().collect()]
+    assert len(sizes) == 3 and max(sizes) < 1.2 * mixing.CHUNK
+    assert all(0 <= r["taken"] <= 10 for r in mixing.taken_words(mixed).collect())
+
+
 def test_tree_is_exact():
     rng = np.random.default_rng(1)
     draws = rng.integers(0, 60, 64)
