@@ -1,17 +1,20 @@
 """Toxicity by compression distance: which of two dictionaries shortens a text's windows more.
 
-Two zstandard dictionaries are made from labelled texts. Each ends in the same passages of
-ordinary language, so that what both know costs the same under both; before them stand
-passages of the toxic texts' own words, or as many bytes of ordinary windows. So words
-chosen by their rates decide, and not toxic passages: whole windows of toxic texts in their
-place, which are mostly ordinary language, separate worse (figures in the README). Every window of a text is compressed with both, and the
+Two zstandard dictionaries are trained on labelled texts, one on passages of toxic texts and
+one on windows of ordinary ones. Both end in the same passages of ordinary language, so that
+what both know costs the same under both. Most of a toxic text is ordinary language too, so
+its passages are contrasted first: toxic texts are dealt to a few parts, and of each part's
+passages those stay that a dictionary of the other parts shortens more than an ordinary one
+does, which are passages that recur in toxic texts and not in ordinary ones, whatever words
+they are made of. Every window of a text is compressed with both dictionaries, and the
 differences in length feed a calibrated threshold: a logistic curve over the largest ones.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,14 +26,15 @@ from pyspark.sql import functions as F
 from evalloom.llm import common
 from evalloom.storage import stored
 
-#: Words in a window, bytes of the shared passages and at most of the own ones, compression level.
-WINDOW, SHARED, OWN, LEVEL = 16, 160_000, 16_000, 9
-#: The fit takes so many toxic and ordinary texts at most, whole, and has the trainer see about so many of their windows.
+#: Words in a window and in a passage of the toxic dictionary, bytes of the shared end, compression level.
+WINDOW, PASSAGE, SHARED, LEVEL = 24, 4, 160_000, 9
+#: The fit takes so many toxic and ordinary texts at most, whole; the trainer sees about so many of their windows.
 TOXIC_TEXTS, ORDINARY_TEXTS, TRAINER_ROWS = 3_000, 5_000, 200_000
-#: Tasks that the sampled texts are dealt to, and own words that travel with them, most telling first.
-FIT_TASKS, OWN_WORDS = 24, 20_000
-#: A word is the toxic texts' own from this log-likelihood ratio and this ratio of rates on.
-OWN_LLR, OWN_RATIO = 20.0, 10.0
+#: Tasks that the sampled texts are dealt to.
+FIT_TASKS = 24
+#: Parts of the toxic texts, bytes of the dictionaries that contrast them, bytes that a passage must save to stay, and
+#: how many bytes of passages that stayed make one byte of the dictionaries, of ``LEAST`` bytes at least.
+PARTS, FIRST, SAVES, PER_BYTE, LEAST = 4, 60_000, 2, 20, 4_000
 FEATURES = 6
 
 
@@ -101,83 +105,83 @@ class Meter:
         return made
 
 
-def own_words(texts: DataFrame) -> list[bytes]:
-    """Words that toxic texts use in more contexts than chance allows, most telling first, of ``text, toxic`` rows.
+def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """Dictionary content from zstandard's trainer; the samples themselves where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
-    A context is a word with its neighbours, counted once, so copied passages do not count again.
+
+def passages(texts: DataFrame, kind: int, size: int) -> DataFrame:
+    """``part, passage``: the distinct windows of ``size`` words of all whole texts of a kind.
+
+    A text belongs to one of ``PARTS`` parts by its id, a passage to the lowest part that has
+    it; so copies count once and no passage is in two parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                line = [b"", *text.as_py().lower().split(), b""]
-                found = list(set(zip(line, line[1:], line[2:])))
-                if found:
-                    arrays = [pa.array([toxic] * len(found), pa.int32()), pa.array([x[1] for x in found], pa.binary())]
-                    arrays.append(pa.array([b" ".join(x) for x in found], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "word", "context"])
-
-    each = texts.select("text", "toxic").mapInArrow(run, "toxic int, word binary, context binary").distinct()
-    words = stored(
-        each.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")), "toxicity-words"
-    )
-    na, nb = (float(max(x or 0, 1)) for x in words.agg(F.sum("a"), F.sum("b")).first())
-    clipped = lambda x: F.least(F.greatest(x, F.lit(1e-12)), F.lit(1 - 1e-12))
-    part = lambda k, n, q: k * F.log(q) + (n - k) * F.log1p(-q)
-    a, b = F.col("a"), F.col("b")
-    pa_, pb, p = clipped(a / na), clipped(b / nb), clipped((a + b) / (na + nb))
-    llr = 2 * (part(a, na, pa_) + part(b, nb, pb) - part(a, na, p) - part(b, nb, p))
-    ratio = ((a + 0.5) / na) / ((b + 0.5) / nb)
-    chosen = words.where((llr > OWN_LLR) & (ratio > OWN_RATIO) & (a >= 3)).select("word", llr.alias("llr"))
-    return [bytes(r["word"]) for r in chosen.orderBy(F.desc("llr"), "word").limit(OWN_WORDS).collect()]
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                buffer, segments, _ = window_segments([text.as_py()], size)
+                found = list({buffer[a : a + n] for a, n in segments.tolist()})
+                arrays = [pa.array([part] * len(found), pa.int32()), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "passage"])
 
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")
+    each = texts.where(F.col("toxic") == kind).select(part, "text").mapInArrow(run, "part int, passage binary")
+    once = each.groupBy("passage").agg(F.min("part").alias("part")).select("part", "passage")
+    return stored(once.repartition(FIT_TASKS, "passage"), "toxicity-passages")
 
-def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
-    """Dictionary content from zstandard's trainer; the samples themselves where they are too few to train on."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()[-size:]
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
 
+def telling(found: DataFrame, pairs: list[tuple[bytes, bytes]]) -> DataFrame:
+    """The rows of ``part, passage`` that the toxic dictionary for their part shortens by ``SAVES`` bytes more.
 
-def _passages(texts: DataFrame, kind: int, make: Callable[[bytes], list[bytes]]) -> list[bytes]:
-    """What ``make`` finds in the whole texts of a kind: all of it, or about ``TRAINER_ROWS`` rows from all places alike."""
+    ``pairs`` holds for each part the toxic and the ordinary dictionary, made without that part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meters = [Meter(*pair) for pair in pairs]
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = make(text.as_py())
-                if found:
-                    arrays = [pa.array([i] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "place", "passage"])
-
-    made = stored(
-        texts.where(F.col("toxic") == kind).select("id", "text").mapInArrow(run, "id long, place long, passage binary"),
-        "toxicity-passages",
-    )
-    n = max(1, made.count())
-    rows = made.where(F.pmod(F.xxhash64("id", "place"), F.lit(n)) < TRAINER_ROWS).collect()
-    return [bytes(r["passage"]) for r in sorted(rows, key=lambda r: (r["id"], r["place"]))]
+            parts, held = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist()
+            keep = np.zeros(len(held), bool)
+            for part, meter in enumerate(meters):
+                at = np.flatnonzero(parts == part)
+                own = [held[i] for i in at]
+                lengths = np.fromiter(map(len, own), np.int64, len(own))
+                segments = np.stack([np.cumsum(lengths) - lengths, lengths], axis=1).astype(np.uint64)
+                keep[at] = meter.gains(b"".join(own), segments) >= SAVES
+            yield batch.filter(pa.array(keep))
 
+    return stored(found.mapInArrow(run, "part int, passage binary"), "toxicity-telling")
 
-def _windows(text: bytes) -> list[bytes]:
-    buffer, segments, _ = window_segments([text], WINDOW)
-    return [buffer[a : a + n] for a, n in segments.tolist()]
 
+def _collected(found: DataFrame) -> list[tuple[int, bytes]]:
+    """All of ``part, passage``, or about ``TRAINER_ROWS`` rows from all places alike, in an order of no meaning."""
+    n = max(1, found.count())
+    rows = found.where(F.pmod(F.xxhash64("passage"), F.lit(n)) < TRAINER_ROWS).collect()
+    return sorted(((r["part"], bytes(r["passage"])) for r in rows), key=lambda r: (zlib.crc32(r[1]), r[1]))
 
-def dictionaries(texts: DataFrame) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary, of equal size and with equal ends, from ``id, text, toxic`` rows."""
-    telling = set(own_words(texts))
 
-    def runs(text: bytes) -> list[bytes]:
-        found = [w for w in text.lower().split() if w in telling]
-        return [b" " + b" ".join(found[i : i + 8]) + b" " for i in range(0, len(found), 8)]
+def dictionaries(texts: DataFrame) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, of equal size and with equal ends, from ``id, text, toxic`` rows.
 
-    samples, plain = _passages(texts, 1, runs), _passages(texts, 0, _windows)
+    Where no passage of toxic texts stays, all of them make the toxic dictionary.
+    """
+    plain = [passage for _, passage in _collected(passages(texts, 0, WINDOW))]
     shared = _trained(plain, SHARED, 64, 8)
-    first, second = _trained(samples, OWN, 48, 6), _trained(plain, OWN, 48, 6)
-    size = min(len(first), len(second))
-    return first[len(first) - size :] + shared, second[len(second) - size :] + shared
+
+    def pair(samples: list[bytes], size: int, k: int) -> tuple[bytes, bytes]:
+        first = _trained(samples, size, k, 8)
+        second = _trained(plain, max(LEAST, len(first)), 48, 6)
+        least = min(len(first), len(second))
+        return first[len(first) - least :] + shared, second[len(second) - least :] + shared
+
+    found = passages(texts, 1, PASSAGE)
+    held = _collected(found)
+    stay = _collected(telling(found, [pair([x for part, x in held if part != p], FIRST, 24) for p in range(PARTS)]))
+    chosen = [x for _, x in stay or held]
+    return pair(chosen, max(LEAST, sum(map(len, chosen)) // PER_BYTE) if stay else FIRST, 32)
 
 
 def measured(texts: DataFrame, toxic: bytes, ordinary: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -307,7 +308,7 @@ def test_toxicity_on_held_out_rows(documents, spark, sf_dir, odd, none):
     assert {r["toxicity"] for r in toxicity.rate(odd, labels.where("false")).collect()} == {0.0}
 
 
-def test_own_words_follow_the_lexicon(spark):
+def test_dictionary_follows_the_lexicon(spark):
     words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}slurword{i}" for i in range(300)]
     rng = random.Random(3)
     plain = [" ".join(f"plain{rng.randrange(500)}" for _ in range(60)) for _ in range(600)]
@@ -322,6 +323,51 @@ def test_own_words_follow_the_lexicon(spark):
     assert sum(w.encode() in toxic for w in words) > 200  # 1,300 bytes hold some 100 of them
 
 
+def test_toxic_phrases_of_ordinary_words(spark):
+    rng = random.Random(4)
+    line = lambda: [f"plain{rng.randrange(300)}" for _ in range(80)]
+    phrases = [" ".join(f"plain{rng.randrange(300)}" for _ in range(5)) for _ in range(6)]
+    rows = []
+    for i in range(900):
+        words = line()
+        for _ in range(4 if i % 3 == 1 else 0):
+            words.insert(rng.randrange(80), rng.choice(phrases))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 1)) for i in range(900)], "doc_id long, toxic int")
+    held = [(r["toxicity"] >= 0.3, r["doc_id"] % 3 == 1) for r in toxicity.rate(docs, labels).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held) > 150 and sum(a == b for a, b in held) / len(held) > 0.9
+
+
+def test_gains_are_plain_differences(spark):
+    rng = random.Random(5)
+    text = " ".join(rng.choice("aa bb cc dd ee vile foul plain words here".split()) for _ in range(200)).encode()
+    toxic, ordinary = b" vile foul " * 20 + text[:300], b" plain words here " * 20 + text[:300]
+    buffer, segments, _ = toxicity.window_segments([text], 8)
+
+    def plain(window, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=toxicity.LEVEL)
+        options = {"level": toxicity.LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        return len(zstandard.ZstdCompressor(dict_data=held, **options).compress(window))
+
+    parts = [buffer[a : a + n] for a, n in segments.tolist()]
+    want = [plain(p, ordinary) - plain(p, toxic) for p in parts]
+    assert len(parts) == 25 and toxicity.Meter(toxic, ordinary).gains(buffer, segments).tolist() == want
+    rows = spark.createDataFrame([(0, p) for p in parts], "part int, passage binary")
+    kept = [bytes(r["passage"]) for r in toxicity.telling(rows, [(toxic, ordinary), (ordinary, toxic)]).collect()]
+    assert sorted(kept) == sorted(p for p, g in zip(parts, want) if g >= toxicity.SAVES)
+
+
+def test_passages_are_distinct(spark):
+    rows = [(i, 1, f"a b c d e f g h own{i}".encode()) for i in range(20)] + [(30, 1, b""), (31, 0, b"x y")]
+    texts = spark.createDataFrame(rows, "id long, toxic int, text binary")
+    got = [bytes(r["passage"]) for r in toxicity.passages(texts, 1, 4).collect()]
+    assert sorted(got) == sorted([b" a b c d ", b" e f g h ", *[f" own{i} ".encode() for i in range(20)]])
+    empty = spark.createDataFrame([(1, 1, b""), (2, 0, b"")], "id long, toxic int, text binary")
+    assert toxicity.Meter(*toxicity.dictionaries(empty)).features([b"", b"a b"]).shape == (2, toxicity.FEATURES)
+
+
 def test_fit_sees_the_ends_of_long_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
     filler = " ".join(f"plain{i % 50}" for i in range(2_000))
