@@ -6,6 +6,8 @@ stay short and a lost executor never restarts the walk.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,27 +92,42 @@ def reachable_terminals(edges: DataFrame, starts: DataFrame, keys: tuple[str, ..
     return asked.join(pairs, [*names, "node"]).select(*names, "start", "terminal")
 
 
+#: Up to so many trees still being walked are named in filters; of more, all rows go on.
+TREES = 1_000
+
+
 def tree_depth(nodes: DataFrame) -> DataFrame:
     """Number of levels of each tree, from ``(tree, node, parent)`` with null parents at roots.
 
     Every node keeps a pointer to an ancestor and the distance to it. A round replaces
-    the pointer by the ancestor's own, so depth d takes about log2(d) rounds. Nodes that still
-    move after as many rounds as the number of all nodes allows lie on a cycle.
+    the pointer by the ancestor's own, so depth d takes about log2(d) rounds; trees that have come to
+    their roots are set aside. Nodes that still move after as many rounds as the number of all nodes
+    allows lie on a cycle.
+
+    Both sides of a round are shuffled: pointers compress to a byte a row or less, so that files of any number
+    of them look small enough to broadcast.
     """
     first = nodes.select(
         "tree", "node", F.col("parent").alias("up"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
     )
-    state = stored(first, "depth")
+    state, settled, walked = stored(first, "depth"), [], None
     for _ in range(state.count().bit_length() + 1):
         moving = state.where(F.col("up").isNotNull())
-        if moving.isEmpty():
-            return state.groupBy("tree").agg((F.max("dist") + 1).alias("depth"))
+        trees = [r["tree"] for r in moving.where(F.col("tree").isNotNull()).select("tree").distinct().limit(TREES + 1).collect()]
+        if not trees:  # without a tree no node has a parent
+            whole = reduce(DataFrame.unionByName, [*settled, state])
+            return whole.groupBy("tree").agg((F.max("dist") + 1).alias("depth"))
+        if len(trees) <= TREES and len(trees) != walked:
+            walked, going = len(trees), F.coalesce(F.col("tree").isin(trees), F.lit(False))
+            settled.append(state.where(~going))
+            state = state.where(going)
+            moving = state.where(F.col("up").isNotNull())
         above = state.select(
             "tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more")
         )
         # a parent that is not a node of the tree acts as a root
-        moved = moving.join(above, ["tree", "up"], "left").select(
+        moved = moving.join(above.hint("merge"), ["tree", "up"], "left").select(
             "tree", "node", F.col("next").alias("up"),
             (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
         )

@@ -239,6 +239,24 @@ def test_depth(spark):
     assert {tuple(r) for r in graph.tree_depth(nodes).collect()} == {("a", 37), ("b", 2)}
 
 
+def test_depth_of_compressible_pointers_is_not_broadcast(spark, monkeypatch):
+    """Files of a chain are tiny against its rows, so no round may broadcast by their size; short trees are set aside."""
+    plans, keep = [], graph.stored
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(graph, "stored", watched)
+    chain = [(1, i, i - 1 if i else None) for i in range(300)]
+    short = [(t, i, i - 1 if i else None) for t in (2, 3) for i in range(t)]
+    nodes = spark.createDataFrame([*chain, *short, (4, 9, 8), (None, 1, None)], "tree long, node long, parent long")
+    assert {tuple(r) for r in graph.tree_depth(nodes).collect()} == {(1, 300), (2, 2), (3, 3), (4, 2), (None, 1)}
+    assert len(plans) > 8 and not any("BroadcastExchange" in p for p in plans)
+    monkeypatch.setattr(graph, "TREES", 1)
+    assert {tuple(r) for r in graph.tree_depth(nodes).collect()} == {(1, 300), (2, 2), (3, 3), (4, 2), (None, 1)}
+
+
 def test_answer_keys(spark):
     rows = [
         ("arrow_following", {"edges": [["A", "B"], ["B", "C"], ["A", "D"], ["X", "Y"]], "start_box": "A"}, "", "C,D"),
