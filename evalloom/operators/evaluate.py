@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,23 +67,46 @@ def evaluate(
 
 def pending(manifest: DataFrame, completed: DataFrame) -> DataFrame:
     """Manifest rows that have no result yet (both sides are hashed on sample_id)."""
-    return manifest.join(completed.select("sample_id").distinct(), "sample_id", "left_anti")
+    done = completed.select("sample_id").distinct()
+    return manifest.join(done.hint("merge"), "sample_id", "left_anti")  # files of ids look smaller than they are
 
 
 def _with_errors(model: Callable[[pd.DataFrame], pd.DataFrame], names: list[str]):
-    """The model over batches; where it raises on one, its rows are tried alone, and those that fail become error rows."""
+    """The model over batches; where it raises on one, it is called on parts, and rows that fail alone become error rows.
+
+    A part that goes well doubles the next, one that fails is halved and tried again: few failing
+    rows cost few calls, and many do not cost a call for each row that is good.
+    """
 
     def attempt(batch: pd.DataFrame) -> pd.DataFrame:
         try:
             return model(batch).assign(error_message=None)
         except Exception as error:  # noqa: BLE001  any failed call is a row of the result, not the end of the run
+            failed = error
+        made, ids, messages = [], [], []
+        start, size = 0, max(1, len(batch) // 2)
+        while start < len(batch):
             if len(batch) > 1:
-                return pd.concat([attempt(batch.iloc[[i]]) for i in range(len(batch))])
-            return pd.DataFrame({"sample_id": batch["sample_id"], "error_message": f"{type(error).__name__}: {error}"})
+                part = batch.iloc[start : start + size]
+                try:
+                    made.append(model(part))
+                    start, size = start + len(part), size * 2
+                    continue
+                except Exception as error:  # noqa: BLE001
+                    failed = error
+                if len(part) > 1:
+                    size = len(part) // 2
+                    continue
+            ids.append(batch["sample_id"].iloc[start])
+            messages.append(f"{type(failed).__name__}: {failed}")
+            start += 1
+        good = [pd.concat(made).assign(error_message=None)] if made else []
+        return pd.concat([*good, pd.DataFrame({"sample_id": ids, "error_message": messages})])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield attempt(batch).reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+            made = attempt(batch)
+            yield made.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
 
     return call
 
@@ -110,24 +135,54 @@ def run_model(
     return todo.repartition(tasks).mapInPandas(_with_errors(model, schema.names), schema)
 
 
-def _wave_of(name: str) -> int:
-    return int(name.split(".")[1])
+#: Waves are run together so that there are about so many rounds, as long as a round has no more rows than this.
+ROUNDS, ROUND_ROWS = 24, 2_000_000
 
 
-def _current(notes: dict[str, dict]) -> list[str]:
-    """The batches that hold the results: all runs of a wave since the last that replaced those before it."""
-    kept: dict[int, list[str]] = {}
+def _rounds(notes: dict[str, dict]) -> list[tuple[str, dict]]:
+    """The committed rounds in the order they were made, with what is noted of each of their waves."""
+    made = []
     for name, note in notes.items():
-        wave = _wave_of(name)
-        kept[wave] = [name] if note["replaces"] else [*kept.get(wave, []), name]
-    return [name for names in kept.values() for name in names]
+        _, wave, _, run = name.split(".")
+        if "waves" not in note:  # a wave of its own
+            note = {"at": int(run), "waves": {wave: note}, "replaces": [int(wave)] if note["replaces"] else []}
+        made.append((name, note | {"waves": {int(w): held for w, held in note["waves"].items()}}))
+    return sorted(made, key=lambda x: (x[1]["at"], x[0]))
+
+
+def _current(rounds: list[tuple[str, dict]]) -> dict[str, tuple[set[int], set[int]]]:
+    """The rounds that hold the results: per name the waves it still holds, and those a later round has replaced."""
+    kept: dict[str, tuple[set[int], set[int]]] = {}
+    for name, note in rounds:
+        for held, gone in kept.values():
+            replaced = held & set(note["replaces"])
+            held -= replaced
+            gone |= replaced
+        kept[name] = (set(note["waves"]), set())
+    return {name: (held, gone) for name, (held, gone) in kept.items() if held}
+
+
+def _wave(waves: int, id_type: str) -> Column:
+    """The wave of a row; results are dealt as the manifest is, also where their ids are of another type."""
+    return F.pmod(F.xxhash64(F.col("sample_id").cast(id_type)), F.lit(waves))
+
+
+def _held(batches: Batches, current: dict[str, tuple[set[int], set[int]]], wave: Column) -> DataFrame | None:
+    """The rows of these rounds without those of replaced waves; None where there are none."""
+    whole = [name for name, (_, gone) in current.items() if not gone]
+    parts = [batches.read(whole)] if whole else []
+    parts += [batches.read([name]).where(~wave.isin(*gone)) for name, (_, gone) in current.items() if gone]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame | None:
     """The results of all committed waves of a run; None before the first."""
     batches = Batches(spark, path)
-    names = _current(batches.notes("wave.*"))
-    return batches.read(names) if names else None
+    rounds = _rounds(batches.notes("wave.*"))
+    if not rounds:
+        return None
+    plan = batches.notes("plan")["plan"]
+    return _held(batches, _current(rounds), _wave(plan["waves"], plan.get("id_type", "string")))
 
 
 def run_to(
@@ -142,13 +197,15 @@ def run_to(
     """Run the model over the manifest rows that the run at ``path`` has no result for, and read all results.
 
     The manifest is dealt into waves of about ``rows_per_wave`` rows by a hash of ``sample_id``; their number
-    is set by the first run into ``path``. A wave is a batch (``batches``): its results lie in their
-    own directory and count once its marker is written, so a run that breaks off keeps its
-    finished waves, and what it left of the broken one has no marker and is done again.
-
-    The marker holds how many rows the wave was run for and a hash of their ids. A wave whose
-    manifest rows are still the same is skipped without reading anything; one that has got new
-    rows reads the results of that wave alone. With ``retry_errors`` the rows of a wave that ended in an error
+    is set by the first run into ``path``. Waves are run in rounds: one wave at a time while there are no more than
+    ``ROUNDS`` of them, else neighbouring waves together, up to ``ROUND_ROWS`` rows, so that many small waves do not
+    make as many jobs. A round is a batch (``batches``): its results lie in their own directory and count
+    once its marker is written, so a run that breaks off keeps its finished rounds, and what it left of the
+    broken one has no marker and is done again.
+
+    The marker holds for each wave how many rows it was run for and a hash of their ids. A wave whose
+    manifest rows are still the same is skipped without reading anything; for waves that have got new
+    rows, the rounds that hold these waves are read. With ``retry_errors`` the rows of a wave that ended in an error
     are called again, and the wave's results are written anew with those that were good.
     """
     spark, batches = manifest.sparkSession, Batches(manifest.sparkSession, path)
@@ -156,35 +213,51 @@ def run_to(
     if not plan:
         if not batches.is_empty() and not batches.notes("wave.*"):
             raise ValueError(f"{path} holds something else than a run")
-        batches.commit("plan", {"waves": max(1, -(-manifest.count() // rows_per_wave))})
+        id_type = manifest.schema["sample_id"].dataType.simpleString()
+        batches.commit("plan", {"waves": max(1, -(-manifest.count() // rows_per_wave)), "id_type": id_type})
         plan = batches.notes("plan")
     waves = plan["plan"]["waves"]
+    wave = _wave(waves, plan["plan"].get("id_type", "string"))
     dealt = manifest.withColumn("_wave", F.pmod(F.xxhash64("sample_id"), F.lit(waves)))
     prints = F.sum(F.xxhash64("sample_id", "_wave").cast("decimal(38,0)")).cast("string")
     found = {r["_wave"]: (r["n"], r["p"]) for r in dealt.groupBy("_wave").agg(F.count("*").alias("n"), prints.alias("p")).collect()}
-    notes = batches.notes("wave.*")
-    last = {_wave_of(name): note for name, note in notes.items()}
+    rounds = _rounds(batches.notes("wave.*"))
+    last = {w: held for _, note in rounds for w, held in note["waves"].items()}
+    taken, at = {name for name, _ in rounds}, max((note["at"] for _, note in rounds), default=-1)
 
-    def is_done(wave: int) -> bool:
-        note = last.get(wave)
-        return note is not None and (note["rows"], note["ids"]) == found[wave] and not (retry_errors and note["errors"])
+    def is_done(w: int) -> bool:
+        note = last.get(w)
+        return note is not None and (note["rows"], note["ids"]) == found[w] and not (retry_errors and note["errors"])
 
     todo = sorted(w for w in found if not is_done(w))
     if todo:
-        queue = scratch_path(spark, "waves")
-        dealt.where(F.col("_wave").isin(todo)).repartition("_wave", F.rand(7)).write.partitionBy("_wave").parquet(queue)
-    for wave in todo:
-        rows = spark.read.schema(manifest.schema).parquet(f"{queue}/_wave={wave}")
-        before = [n for n in _current(notes) if _wave_of(n) == wave]
-        done = batches.read(before) if before else None
-        replaces = retry_errors and wave in last and bool(last[wave]["errors"])
-        good = done.where("error_message IS NULL") if replaces else done
-        made = run_model(rows, good, model, response_schema, rows_per_task, None if before else found[wave][0])
-        name = f"wave.{wave:06d}.run.{sum(_wave_of(n) == wave for n in notes):06d}"
-        batches.write(made.unionByName(good, allowMissingColumns=True) if replaces else made, name)
-        held = batches.read([*([] if replaces else before), name])
-        errors = held.where("error_message IS NOT NULL").count()
-        batches.commit(name, {"rows": found[wave][0], "ids": found[wave][1], "errors": errors, "replaces": replaces})
+        mean = max(1, sum(n for n, _ in found.values()) // len(found))
+        width = max(1, min(-(-waves // ROUNDS), ROUND_ROWS // mean))
+        queue, current = scratch_path(spark, "waves"), _current(rounds)
+        asked = dealt if len(todo) == len(found) else dealt.where(F.col("_wave").isin(todo))
+        asked.withColumn("_round", F.floor(F.col("_wave") / width)).drop("_wave").hint("rebalance", "_round").write.partitionBy("_round").parquet(queue)
+    for number, group in groupby(todo, key=lambda w: w // width):
+        group = list(group)
+        rows = spark.read.schema(manifest.schema).parquet(f"{queue}/_round={number}")
+        n_rows = sum(found[w][0] for w in group)
+        done = _held(batches, {name: state for name, state in current.items() if not state[0].isdisjoint(group)}, wave)
+        replaces = [w for w in group if retry_errors and w in last and last[w]["errors"]]
+        good = done
+        if replaces:
+            again = wave.isin(*replaces)
+            good = done.where(~again | F.col("error_message").isNull())
+        made = run_model(rows, good, model, response_schema, rows_per_task, n_rows if done is None else None)
+        name = next(n for i in range(len(taken) + 1) if (n := f"wave.{group[0]:06d}.run.{i:06d}") not in taken)
+        batches.write(made.unionByName(good.where(again), allowMissingColumns=True) if replaces else made, name)
+        failed = batches.read([name]).where("error_message IS NOT NULL").groupBy(wave.alias("_wave")).agg(F.count("*").alias("n"))
+        errors = {r["_wave"]: r["n"] for r in failed.collect()}
+        held = {}
+        for w in group:
+            before = last[w]["errors"] if w in last and w not in replaces else 0
+            held[w] = {"rows": found[w][0], "ids": found[w][1], "errors": before + errors.get(w, 0)}
+        at += 1
+        batches.commit(name, {"at": at, "waves": held, "replaces": replaces})
+        taken.add(name)
     made = read_run(spark, path)
     if made is None:  # an empty manifest: no wave has rows
         return run_model(manifest, None, model, response_schema, rows_per_task, 0)

@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -529,6 +530,43 @@ def test_waves_are_committed_one_by_one(spark, tmp_path):
     assert len(list((tmp_path / "run").glob("batch=*"))) == 5
 
 
+def test_failing_rows_are_found_in_parts():
+    """Every tenth row fails: all are found, none is lost, and good rows do not cost a call each."""
+    calls = []
+
+    def model(batch):
+        calls.append(len(batch))
+        if (batch["n"] % 10 == 3).any():
+            raise ValueError("no three")
+        return batch.assign(raw_response="r" + batch["sample_id"])[["sample_id", "raw_response"]]
+
+    batch = pd.DataFrame({"sample_id": [f"s{i}" for i in range(2000)], "n": range(2000)})
+    made = pd.concat(ev._with_errors(model, ["sample_id", "raw_response", "error_message"])(iter([batch, batch[3:4]])))
+    got = {r.sample_id: (r.raw_response, r.error_message) for r in made.itertuples()}
+    assert len(made) == 2001 and got == {
+        f"s{i}": (None, "ValueError: no three") if i % 10 == 3 else (f"rs{i}", None) for i in range(2000)
+    }
+    assert len(calls) < 2000, len(calls)
+
+
+def test_many_small_waves_run_in_few_rounds(spark, tmp_path, monkeypatch):
+    """The number of jobs is set by the rows, not by the waves; a wave is still skipped, resumed and replaced by itself."""
+    _answer, _later = models()
+    kind, path = "sample_id string, raw_response string", str(tmp_path / "run")
+    monkeypatch.setattr(ev, "ROUNDS", 4)
+    rows = spark.createDataFrame([(f"s{i}",) for i in range(60)], "sample_id string")
+    first = {r["sample_id"]: r["raw_response"] for r in ev.run_to(rows, path, _answer, kind, rows_per_wave=3).collect()}
+    assert first == {f"s{i}": f"rs{i}" if i != 3 else None for i in range(60)}
+    assert len(list((tmp_path / "run").glob("batch=*"))) == 4
+    more = rows.unionByName(spark.createDataFrame([("new",)], rows.schema))
+    grown = {r["sample_id"]: r["raw_response"] for r in ev.run_to(more, path, _later, kind).collect()}
+    assert grown == first | {"new": "later new"}
+    tried = {r["sample_id"]: r["raw_response"] for r in ev.run_to(more, path, _later, kind, retry_errors=True).collect()}
+    assert tried == grown | {"s3": "later s3"} and ev.read_run(spark, path).count() == 61
+    assert ev.run_to(more, path, _answer, kind, retry_errors=True).count() == 61
+    assert len(list((tmp_path / "run").glob("batch=*"))) == 6
+
+
 def test_errors_are_tried_again_when_asked(spark, tmp_path):
     _answer, _later = models()
     kind, path = "sample_id string, raw_response string", str(tmp_path / "run")
