@@ -119,41 +119,50 @@ def distractors(
     steps away from it. ``others`` is the short list of values in one picture.
     """
     everything = F.concat(F.array(correct), others)
-    span = F.when(
-        F.array_size(others) > 0, F.array_max(everything) - F.array_min(everything)
-    ).otherwise(F.coalesce(F.nullif(F.abs(correct), F.lit(0.0)), F.lit(10.0)))
-    gap = span * spacing
-    least = F.greatest(gap, F.lit(1.0))
+
+    def spanned(values: Column) -> Column:
+        return F.when(F.array_size(others) > 0, F.array_max(values) - F.array_min(values)).otherwise(
+            F.coalesce(F.nullif(F.abs(correct), F.lit(0.0)), F.lit(10.0))
+        )
 
     def shuffled(values: Column, salt: str) -> Column:
         keyed = F.transform(
             values,
             lambda v, i: F.struct(hash_text(f"{seed}{salt}", key, i).alias("h"), v.alias("v")),
         )
-        return F.transform(F.array_sort(keyed), lambda s: s["v"])
+        return F.sort_array(keyed)["v"]
 
     offsets = F.array(*[F.lit(o) for o in dims.DISTRACTOR_OFFSETS])
     moved = F.transform(
         shuffled(offsets, "offset"),
         lambda o: F.bround(F.when(correct != 0, correct * (o + 1)).otherwise(o * 10)),
     )
-    step = F.greatest(F.floor(gap), F.lit(2)).cast("double")
-    steps = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(19)),
-            lambda d: F.array(correct + d * step, correct - d * step),
-        )
-    )
-    candidates = F.concat(shuffled(others, "other"), moved, steps)
+    candidates = F.concat(shuffled(others, "other"), moved)
 
-    def choose(limit: Column) -> Column:
+    def choose(limit: Column, step: Column) -> Column:
         def take(chosen: Column, v: Column) -> Column:
             fits = (F.array_size(chosen) <= n) & F.forall(chosen, lambda e: F.abs(v - e) >= limit)
             return F.when(fits, F.array_append(chosen, v)).otherwise(chosen)
 
-        return F.aggregate(candidates, F.array(correct), take)
+        steps = F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), F.lit(19)),
+                lambda d: F.array(correct + d * step, correct - d * step),
+            )
+        )
+        # the steps are made only where the others do not give enough
+        return tx.let(
+            F.aggregate(candidates, F.array(correct), take),
+            lambda found: F.when(F.array_size(found) > n, found).otherwise(F.aggregate(steps, found, take)),
+        )
+
+    def with_gap(gap: Column) -> Column:
+        limits = F.struct(
+            F.greatest(gap, F.lit(1.0)).alias("least"), F.greatest(F.floor(gap), F.lit(2)).cast("double").alias("step")
+        )
+        return tx.let(limits, lambda of: choose(of["least"], of["step"]))
 
-    return F.slice(tx.let(least, choose), 2, n)
+    return F.slice(tx.let(tx.let(everything, spanned) * spacing, with_gap), 2, n)
 
 
 def _shown(value: Column) -> Column:
@@ -178,7 +187,7 @@ def choice_prompt(
             F.slice(wrong, 1, 3), lambda v: F.struct(v.alias("value"), F.lit(False).alias("right"))
         ),
     )
-    mixed = F.array_sort(
+    mixed = F.sort_array(
         F.transform(
             options,
             lambda o, i: F.struct(
@@ -188,15 +197,19 @@ def choice_prompt(
         )
     )
     letters = F.array(*[F.lit(v) for v in "ABCD"])
-    lines = F.transform(
-        mixed,
-        lambda o, i: F.concat(F.lit("("), F.get(letters, i), F.lit(") "), value_format(o["value"])),
-    )
-    at = F.array_position(F.transform(mixed, lambda o: o["right"]), True) - 1
-    return F.struct(
-        F.concat_ws("\n", F.array(question), lines, F.array(F.lit(dims.CHOICE_CLOSING))).alias("prompt"),
-        F.get(letters, at.cast("int")).alias("letter"),
-    )
+
+    def shown(mixed: Column) -> Column:
+        lines = F.transform(
+            mixed,
+            lambda o, i: F.concat(F.lit("("), F.get(letters, i), F.lit(") "), value_format(o["value"])),
+        )
+        at = F.array_position(mixed["right"], True) - 1
+        return F.struct(
+            F.concat_ws("\n", F.array(question), lines, F.array(F.lit(dims.CHOICE_CLOSING))).alias("prompt"),
+            F.get(letters, at.cast("int")).alias("letter"),
+        )
+
+    return tx.let(mixed, shown)
 
 
 def seed_split(seed: Column) -> Column:

@@ -125,9 +125,13 @@ def win10(spark, sf_dir):
 # ---------------------------------------------------------------- multiple choice
 
 def choices(spark, sf_dir):
-    """Parts: the price is the right value, the other values are made from it."""
+    """Parts: the price is the right value, the other values are made from it.
+
+    The rows are dealt out first: millions of them fit a file of one split, and each takes long.
+    """
     price = F.floor("p_retailprice")
-    return fx.table(spark, sf_dir, "part").select(
+    parts = fx.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return parts.repartition("p_partkey").select(
         F.col("p_partkey").cast("string").alias("question_id"),
         F.concat(F.lit("What does part "), F.col("p_partkey").cast("string"), F.lit(" cost?")).alias("question"),
         F.when(F.col("p_partkey") % 50 == 0, 0.0).otherwise(price.cast("double")).alias("correct"),

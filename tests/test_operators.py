@@ -632,3 +632,13 @@ def test_scratch_folder_is_shared(spark):
     from evalloom.storage import shared_folder
 
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_choices_are_dealt_to_all_cores(spark, sf_dir):
+    """Few bytes hold many parts, and their wrong values take long: one split of a file may not make them all."""
+    from evalloom.plans import build_queries as bq
+
+    for name in ("gen4", "gen5", "gen5_format"):
+        plan = getattr(bq, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(p_partkey" in plan
+        assert plan.count("42other") == 1  # made once a row
