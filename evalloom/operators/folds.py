@@ -16,7 +16,7 @@ column by the row's strategy.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +58,20 @@ def _keys(attempts: DataFrame) -> list[str]:
     return [c for c in KEY if c in attempts.columns]
 
 
-def _gather(attempts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per key with all its calls in order, and the task; columns that are not there are null."""
-    call = F.struct(*[F.col(c) if c in attempts.columns else F.lit(None).cast("string").alias(c) for c in [*_CALL, *extra]])
-    gathered = attempts.groupBy(*_keys(attempts)).agg(F.array_sort(F.collect_list(call)).alias("_all"))
-    return gathered.withColumn("task_name", F.array_min(F.transform("_all", lambda c: c["task_name"])))
+def _gather(attempts: DataFrame, extra: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """One row per key with all its calls in order, and the task; columns that are not there are null.
+
+    ``extra`` names further columns and the kinds of calls that carry them. Calls are dealt out by sample as they are and
+    gathered behind the shuffle: gathered before it, a task sorts all calls it reads and spills them, and
+    a sample's calls side by side compress to a fraction. A sample has few calls.
+    """
+    named = [F.col(c) if c in attempts.columns else F.lit(None).cast("string").alias(c) for c in _CALL if c != "task_name"]
+    for c, kinds in (extra or {}).items():
+        carried = F.when(F.col("pass_kind").isin(*kinds), F.col(c)) if c in attempts.columns else F.lit(None).cast("string")
+        named.append(carried.alias(c))
+    task = F.col("task_name") if "task_name" in attempts.columns else F.lit(None).cast("string")
+    calls = attempts.select(*_keys(attempts), task.alias("task_name"), F.struct(*named).alias("_call")).repartition("sample_id")
+    return calls.groupBy(*_keys(attempts)).agg(F.array_sort(F.collect_list("_call")).alias("_all"), F.min("task_name").alias("task_name"))
 
 
 def _opened(gathered: DataFrame, made: Column, fields: tuple[str, ...], strategy: Column) -> DataFrame:
@@ -83,13 +92,13 @@ class ColumnFold:
     """A fold as a column: from the ordered calls of a key and its task to a ``result``, or null where there is none.
 
     Called with attempts it gives a row per key with its own ``fields``. ``extra`` names further
-    columns of the attempts that its calls carry.
+    columns of the attempts, and the kinds of calls that carry them.
     """
 
     name: str
     made: Callable[[Column, Column], Column]
     fields: tuple[str, ...]
-    extra: tuple[str, ...] = ()
+    extra: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __call__(self, attempts: DataFrame) -> DataFrame:
         gathered = _gather(attempts, self.extra)
@@ -97,7 +106,7 @@ class ColumnFold:
         return _opened(gathered, self.made(F.col("_all"), F.col("task_name")), self.fields, strategy)
 
 
-def column_fold(*fields: str, extra: tuple[str, ...] = ()) -> Callable[[Callable[[Column, Column], Column]], ColumnFold]:
+def column_fold(*fields: str, **extra: tuple[str, ...]) -> Callable[[Callable[[Column, Column], Column]], ColumnFold]:
     """Registers a column function as the fold of its name, with these fields beside the common ones."""
 
     def keep(made: Callable[[Column, Column], Column]) -> ColumnFold:
@@ -292,7 +301,7 @@ def best_of_n_verify(calls: Column, task: Column) -> Column:
     )
 
 
-@column_fold("strategy_sub_responses", "strategy_steps", extra=("prompt",))
+@column_fold("strategy_sub_responses", "strategy_steps", prompt=("sub",))
 def decompose(calls: Column, task: Column) -> Column:
     """The final answer; for grid sizes a failed one is rebuilt from the line counts.
 
@@ -381,7 +390,7 @@ def iterative_refine(calls: Column, task: Column) -> Column:
     )
 
 
-@column_fold("strategy_passes", "strategy_findings", "strategy_sub_questions", extra=("prompt", "findings"))
+@column_fold("strategy_passes", "strategy_findings", "strategy_sub_questions", prompt=("plan",), findings=("plan", "pass"))
 def sketchpad(calls: Column, task: Column) -> Column:
     """Passes up to the first that answers; a known tool call goes on to the next pass.
 
@@ -458,7 +467,11 @@ def fold_all(attempts: DataFrame, folds: dict[str, Fold] | None = None) -> DataF
     unknown = F.raise_error(F.concat(F.lit("no fold for strategy "), F.coalesce("strategy", F.lit("null"))))
     rest = attempts.where(~F.coalesce(strategy.isin(*others), F.lit(False))) if others else attempts
     if columns:
-        gathered = _gather(rest, tuple(sorted({c for fold in columns.values() for c in fold.extra})))
+        extra: dict[str, tuple[str, ...]] = {}
+        for fold in columns.values():
+            for c, kinds in fold.extra.items():
+                extra[c] = tuple(sorted({*extra.get(c, ()), *kinds}))
+        gathered = _gather(rest, extra)
         made = None
         for name, fold in columns.items():
             one = fold.made(F.col("_all"), F.col("task_name"))

@@ -195,3 +195,16 @@ def test_sketchpad_lists_its_findings(spark):
         assert (got["strategy_sub_questions"], got["strategy_passes"], got["parsed_answer"]) == (3, 3, "7")
     else:
         assert (got["strategy_sub_questions"], got["strategy_passes"]) == (3, 2)
+
+
+def test_calls_are_gathered_behind_one_shuffle_by_sample(spark):
+    """Gathered before the shuffle, a task sorts and spills all calls it reads; texts that no fold reads are not carried."""
+    rows = [("s", "decompose", kind, i, "1", "p" * 90) for i, kind in enumerate(("sub", "sub", "final"))]
+    df = spark.createDataFrame(rows, "sample_id string, strategy string, pass_kind string, attempt_idx int, parsed_answer string, prompt string")
+    plan = folds.fold_all(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(sample_id" in plan
+    assert plan.index("ObjectHashAggregate") < plan.index("Exchange") and "ObjectHashAggregate" not in plan[plan.index("Exchange"):]
+    made = folds.fold_all(df).first()
+    assert [s["prompt"] for s in made["strategy_sub_responses"]] == ["p" * 90] * 2
+    held = folds._gather(df, {"prompt": ("sub",)}).first()["_all"]
+    assert [c["prompt"] is None for c in held] == [False, False, True]
