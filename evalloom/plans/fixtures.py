@@ -181,9 +181,14 @@ STRATEGY_COLUMNS = [
 ]
 
 
-def strategy_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.array(*[F.lit(s) for s in dims.STRATEGIES])
-    crossed = table(spark, sf_dir, "events").select("*", F.posexplode(listed).alias("rank", "strategy"))
+def strategy_results(spark: SparkSession, sf_dir: str, strategy: str | None = None) -> DataFrame:
+    """Results of all strategies, or of one, which is then made alone."""
+    events = table(spark, sf_dir, "events")
+    if strategy is None:
+        listed = F.array(*[F.lit(s) for s in dims.STRATEGIES])
+        crossed = events.select("*", F.posexplode(listed).alias("rank", "strategy"))
+    else:
+        crossed = events.select("*", F.lit(list(dims.STRATEGIES).index(strategy)).alias("rank"), F.lit(strategy).alias("strategy"))
     return derive(crossed, _STRATEGY_STAGES, STRATEGY_COLUMNS)
 
 

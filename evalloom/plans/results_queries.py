@@ -87,9 +87,9 @@ def src4(spark, sf_dir):
 def src6(spark, sf_dir):
     """A run of every strategy, each a directory of its own."""
     root = scratch_path(spark, "runs")
-    rows = fx.strategy_results(spark, sf_dir).drop("rank")
     for strategy in dims.STRATEGIES:
-        rows.where(F.col("strategy") == strategy).drop("strategy").write.json(f"{root}/big_v_1/{strategy}/results.jsonl")
+        rows = fx.strategy_results(spark, sf_dir, strategy).drop("rank", "strategy")
+        rows.write.json(f"{root}/big_v_1/{strategy}/results.jsonl")
     return acc.tally(readers.read_runs(spark, root), "run_model", "run_strategy", "task_name").select(
         "run_model", "run_strategy", "task_name", "n", "n_correct"
     )

@@ -642,3 +642,13 @@ def test_choices_are_dealt_to_all_cores(spark, sf_dir):
         plan = getattr(bq, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(p_partkey" in plan
         assert plan.count("42other") == 1  # made once a row
+
+
+def test_one_strategy_is_made_alone(spark):
+    from evalloom.plans import fixtures as fx
+
+    folder = "/root/testdata/sf0.001"
+    one = fx.strategy_results(spark, folder, "verify")
+    same = fx.strategy_results(spark, folder).where("strategy = 'verify'")
+    assert one.columns == same.columns and sorted(map(tuple, one.collect())) == sorted(map(tuple, same.collect()))
+    assert "Generate" not in one._jdf.queryExecution().executedPlan().toString()
