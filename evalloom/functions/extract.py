@@ -1,6 +1,9 @@
 """Answer extraction: one Column per answer dialect, chosen by the row's parser name.
 
 A missing answer is null; the empty string is a real answer (an empty set).
+
+Inside the arms of a ``CASE`` Spark computes an expression again wherever it is repeated, so a dialect
+names costly parts once where it can, and tests the text as it is rather than a stripped or lower-cased copy.
 """
 
 from __future__ import annotations
@@ -29,8 +32,15 @@ def register_parser(name: str) -> Callable[[ColumnParser], ColumnParser]:
 
 
 # --- fixed values: the answer patterns of each dialect -----------------------
+_SPACE = r"[\s\x1c-\x1f]"  # with (?U): what ``tx.strip`` removes
+_START, _END = rf"(?U)^{_SPACE}*+", rf"{_SPACE}*\z"
 BRACED_INT = r"\{\$?(\d+)\$?\}"
 BARE_INT = r"(?U)\b(\d+)\b"
+_YES, _NO = "[Yy][Ee][Ss]", "[Nn][Oo]"
+# the text starts with it, or it is among the first three words; anywhere
+YES_OR_NO = [
+    (rf"{_START}(?:{word}|(?:\S++\s++){{1,2}}{word}(?=\s|{_END}))", rf"(?U)\b{word}\b") for word in (_YES, _NO)
+]
 BRACED_LETTER = r"\{([A-Za-z])\}"
 STATED_LETTER = r"(?iU)(?:answer\s+is|is|box|reach)\s+([A-Za-z])\b"
 LONE_LETTER_NOT_IA = r"(?U)(?<!\S)([B-HJ-Zb-hj-z])\.?(?!\S)"
@@ -44,13 +54,19 @@ CHOICE_STATED = r"(?iU)answer\s*(?:is|:)\s*([A-Da-d])\b"
 CHOICE_BOLD = r"\*\*([A-Da-d])\*\*"
 CHOICE_WORD = r"""(?U)(?<!\S)[.,;:!?()\[\]{}"'*]*([A-Da-d])[.,;:!?()\[\]{}"'*]*(?!\S)"""
 BRACED_TEXT = r"\{([^}]+)\}"
+DOLLARS = r"(?s)^\$(.+)\$\z"
 BRACED_ANY = r"\{([^}]*)\}"
 QUOTED_TEXT = "[\"“]([^\"”]+)[\"”]"
 PREAMBLES = (
-    r"(?iU)^(?:the\s+)?(?:answer|value|text|number|word)\s+is\s*:?\s*",
-    r"(?iU)^it\s+(?:says?|reads?)\s*:?\s*",
+    rf"(?i){_START}(?:the\s+)?(?:answer|value|text|number|word)\s+is\s*:?\s*",
+    rf"(?i){_START}it\s+(?:says?|reads?)\s*:?\s*",
 )
+BLANK = rf"{_START}\z"
+UP_TO_FIVE_WORDS = rf"{_START}\S++(?:\s++\S++){{0,4}}+{_END}"
 EMPTY_SET_WORDS = ("none", "n/a", "empty", "no items")
+# of the first braces; letters are compared without regard to case in ASCII only, so white space is listed
+EMPTY_BRACES = rf"(?i)^[^{{]*+\{{[{tx.WHITESPACE}]*+(?:{'|'.join(EMPTY_SET_WORDS)})?+[{tx.WHITESPACE}]*+\}}"
+WITH_ITEM = r"(?sU)^.*[^\s,].*\z"
 CAPITAL_LIST = r"(?mU)(?:^|:)\s*([A-Z][a-z]+(?:\s*,\s*[A-Z][a-z]+)+)"
 LETTER_SET = r"(?U)\{([A-Za-z](?:\s*,\s*[A-Za-z])*)\}"
 LETTER_LIST = r"(?U)\b([A-Za-z]\s*(?:,\s*[A-Za-z]\s*)+)\b"
@@ -68,13 +84,12 @@ def integer(response: Column) -> Column:
 
 @register_parser("yes_no")
 def yes_no(response: Column) -> Column:
-    lowered = tx.strip(F.lower(response))
-    lead = F.slice(tx.words(lowered), 1, 3)
+    (yes_first, yes), (no_first, no) = YES_OR_NO
     return (
-        F.when(lowered.startswith("yes") | F.array_contains(lead, "yes"), "Yes")
-        .when(lowered.startswith("no") | F.array_contains(lead, "no"), "No")
-        .when(tx.has(lowered, r"(?U)\byes\b"), "Yes")
-        .when(tx.has(lowered, r"(?U)\bno\b"), "No")
+        F.when(tx.has(response, yes_first), "Yes")
+        .when(tx.has(response, no_first), "No")
+        .when(tx.has(response, yes), "Yes")
+        .when(tx.has(response, no), "No")
     )
 
 
@@ -123,55 +138,38 @@ def mc4(response: Column) -> Column:
 
 @register_parser("exact_string")
 def exact_string(response: Column) -> Column:
-    whole = tx.strip(response)
     braced = tx.strip(tx.first_match(response, BRACED_TEXT))
-    unwrapped = F.when(
-        braced.startswith("$") & braced.endswith("$") & (F.length(braced) > 2),
-        tx.strip(F.regexp_extract(braced, r"(?s)^\$(.*)\$$", 1)),
-    ).otherwise(braced)
+    unwrapped = tx.strip(F.regexp_replace(braced, DOLLARS, "$1"))
     quoted = tx.strip(tx.first_match(response, QUOTED_TEXT))
-    chain = F.when(F.length(whole) == 0, F.lit(None).cast("string"))
-    chain = chain.when(braced.isNotNull(), unwrapped).when(quoted.isNotNull(), quoted)
+    plain = F.when(tx.has(response, BLANK), F.lit(None).cast("string"))
     for pattern in PREAMBLES:
-        rest = tx.strip(F.regexp_replace(whole, pattern, ""))
-        chain = chain.when(tx.has(whole, pattern), tx.rstrip_dots(rest))
-    first_line = tx.strip(F.substring_index(whole, "\n", 1))
-    return chain.when(F.array_size(tx.words(whole)) <= 5, tx.rstrip_dots(whole)).otherwise(
-        tx.rstrip_dots(first_line)
-    )
+        plain = plain.when(tx.has(response, pattern), F.regexp_replace(response, pattern, ""))
+    first_line = F.substring_index(tx.strip(response), "\n", 1)
+    plain = plain.when(tx.has(response, UP_TO_FIVE_WORDS), response).otherwise(first_line)
+    return F.coalesce(unwrapped, quoted, tx.rstrip_dots(tx.strip(plain)))
 
 
 @register_parser("csv_words")
 def csv_words(response: Column) -> Column:
     """Comma list sorted without regard to case; ``""`` for a stated empty set."""
-
-    def items(text: Column) -> Column:
-        return F.array_remove(F.split(tx.strip(text), r"(?U)\s*,\s*"), "")
-
     inner = tx.strip(F.regexp_extract(response, BRACED_ANY, 1))
-    in_braces = tx.has(response, BRACED_ANY)
-    listed = tx.first_match(response, CAPITAL_LIST)
-    return (
-        F.when(in_braces & ((inner == "") | F.lower(inner).isin(*EMPTY_SET_WORDS)), "")
-        .when(
-            in_braces & (F.array_size(items(inner)) > 0),
-            F.array_join(tx.sort_ignoring_case(items(inner)), ","),
-        )
-        .when(listed.isNotNull(), F.array_join(tx.sort_ignoring_case(items(listed)), ","))
-    )
+    listed = F.coalesce(tx.first_match(inner, WITH_ITEM, 0), tx.first_match(response, CAPITAL_LIST))
+    items = F.array_remove(F.split(listed, r"(?U)\s*,\s*"), "")
+    return F.when(tx.has(response, EMPTY_BRACES), "").otherwise(F.array_join(tx.sort_ignoring_case(items), ","))
 
 
 def _sorted_labels(labels: Column) -> Column:
     """Upper-cased distinct labels in string order; null when there are none."""
     # joining before upper-casing avoids a per-element lambda
     upper = F.split(F.upper(F.array_join(labels, ",")), ",")
-    return F.when(F.array_size(labels) > 0, F.array_join(F.array_sort(F.array_distinct(upper)), ","))
+    return tx.non_empty(F.array_join(F.sort_array(F.array_distinct(upper)), ","))
 
 
 @register_parser("csv_letters")
 def csv_letters(response: Column) -> Column:
     def letters_of(text: Column) -> Column:
-        return _sorted_labels(tx.all_matches(text, r"([A-Za-z])"))
+        upper = F.split(F.upper(F.regexp_replace(text, r"(?U)\s+", "")), ",")
+        return F.array_join(F.sort_array(F.array_distinct(upper)), ",")
 
     return F.coalesce(
         letters_of(tx.first_match(response, LETTER_SET)),

@@ -1,10 +1,13 @@
 """Answer dialects, restated as small tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from evalloom.functions import directives, extract
 from evalloom.operators import evaluate as ev
+from evalloom.plans import answer_queries
 
 CASES = [
     ("integer", "It holds {12} of 30", "12"),
@@ -69,6 +72,64 @@ def test_dialects(spark):
     assert not wrong
 
 
+ODD = [
+    ("yes_no", "\x1c yes\x1f", "Yes"),
+    ("yes_no", "I say YES\x1c", "Yes"),
+    ("yes_no", "I say no\x1cx or yes", "Yes"),
+    ("yes_no", "I say ye\u017f, no", "No"),
+    ("yes_no", "a b c yes", "Yes"),
+    ("yes_no", "a b no c yes", "No"),
+    ("exact_string", "\x1c\u3000", None),
+    ("exact_string", "{ $ $ }", ""),
+    ("exact_string", "{$$}", "$$"),
+    ("exact_string", "{$ a\nb $}", "a\nb"),
+    ("exact_string", "\xa0the  answer is", ""),
+    ("exact_string", "a b c d e \x1c", "a b c d e"),
+    ("exact_string", "a b c\nd e \x1c f", "a b c"),
+    ("exact_string", "...", ""),
+    ("csv_words", "{ \n\x1c}", ""),
+    ("csv_words", "{No Items} {a}", ""),
+    ("csv_words", "{no item\u017f}", "no item\u017f"),
+    ("csv_words", "{,\n, a }", "a"),
+    ("csv_words", "{, ,}: Fig, Apple", "Apple,Fig"),
+    ("csv_words", "{none: Fig, Apple", "Apple,Fig"),
+    ("csv_letters", "{b\xa0,\nA}", "A,B"),
+    ("csv_letters", "so b , a , then", "A,B"),
+]
+
+
+def test_odd_spaces_and_letters(spark):
+    rows = [(i, p, r) for i, (p, r, _) in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "i int, parser string, raw_response string")
+    got = {r["i"]: r["parsed_answer"] for r in ev.extract_answers(df).collect()}
+    assert not [(ODD[i], got[i]) for i in got if got[i] != ODD[i][2]]
+
+
+def test_patterns_are_matched_once_a_row(spark, capsys):
+    """In the arms of a CASE every mention of a pattern is one more search of the text."""
+    df = spark.createDataFrame([("integer", "{2}")], "parser string, raw_response string")
+    ev.extract_answers(df).explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    once = [
+        extract.BRACED_INT, extract.BRACED_LETTER, extract.ANY_LETTER, extract.ROWS_VALUE, extract.CHOICE_BRACED,
+        extract.CHOICE_BOLD, extract.QUOTED_TEXT, extract.BRACED_ANY, extract.CAPITAL_LIST, extract.LETTER_SET,
+        extract.LETTER_LIST, extract.LONE_LETTER_WORD, extract.BARE_CELL_LABEL,
+    ]
+    assert {p: plan.count(f", {p}, ") for p in once} == dict.fromkeys(once, 1)
+
+
+def test_texts_of_all_parsers_are_compiled(spark, sf_dir, capsys):
+    """The JVM does not compile methods of more than 8,000 bytes."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else no code is made before the run
+    try:
+        answer_queries.jn10(spark, sf_dir).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
 def test_last_size(spark):
     df = spark.createDataFrame(
         [("rows=11 - 1 so rows=10 columns=3 columns=4",), ("2x2 then 3 x 5",), ("none",)], "r string"
