@@ -181,14 +181,30 @@ STRATEGY_COLUMNS = [
 ]
 
 
+#: The columns that differ by strategy; the others are those of the event.
+_JUDGED = ("correct", "parsed_answer")
+
+
+def judged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the results of all strategies share, a row per event."""
+    shared = [{c: e for c, e in stage.items() if c not in _JUDGED} for stage in _STRATEGY_STAGES]
+    columns = ["event_id", "user_id", "k", "sample_id", "task_name", "ground_truth"]
+    return derive(table(spark, sf_dir, "events"), shared, columns)
+
+
+def results_of(events: DataFrame, strategy: str) -> DataFrame:
+    """Results of one strategy from ``judged_events``: its rows of ``strategy_results``."""
+    ranked = events.select("*", F.lit(list(dims.STRATEGIES).index(strategy)).alias("rank"), F.lit(strategy).alias("strategy"))
+    own = [{c: e for c, e in stage.items() if c in _JUDGED} for stage in _STRATEGY_STAGES]
+    return derive(ranked, own, STRATEGY_COLUMNS)
+
+
 def strategy_results(spark: SparkSession, sf_dir: str, strategy: str | None = None) -> DataFrame:
     """Results of all strategies, or of one, which is then made alone."""
-    events = table(spark, sf_dir, "events")
-    if strategy is None:
-        listed = F.array(*[F.lit(s) for s in dims.STRATEGIES])
-        crossed = events.select("*", F.posexplode(listed).alias("rank", "strategy"))
-    else:
-        crossed = events.select("*", F.lit(list(dims.STRATEGIES).index(strategy)).alias("rank"), F.lit(strategy).alias("strategy"))
+    if strategy is not None:
+        return results_of(judged_events(spark, sf_dir), strategy)
+    listed = F.array(*[F.lit(s) for s in dims.STRATEGIES])
+    crossed = table(spark, sf_dir, "events").select("*", F.posexplode(listed).alias("rank", "strategy"))
     return derive(crossed, _STRATEGY_STAGES, STRATEGY_COLUMNS)
 
 

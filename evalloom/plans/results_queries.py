@@ -13,7 +13,7 @@ from evalloom.operators import gaps, params as pm, sets, strategies as st
 from evalloom.plans import fixtures as fx
 from evalloom.plans.catalog import query
 from evalloom.sources import readers, writers
-from evalloom.storage import scratch_path
+from evalloom.storage import scratch_path, stored
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -87,8 +87,9 @@ def src4(spark, sf_dir):
 def src6(spark, sf_dir):
     """A run of every strategy, each a directory of its own."""
     root = scratch_path(spark, "runs")
+    events = stored(fx.judged_events(spark, sf_dir), "judged")
     for strategy in dims.STRATEGIES:
-        rows = fx.strategy_results(spark, sf_dir, strategy).drop("rank", "strategy")
+        rows = fx.results_of(events, strategy).drop("rank", "strategy")
         rows.write.json(f"{root}/big_v_1/{strategy}/results.jsonl")
     return acc.tally(readers.read_runs(spark, root), "run_model", "run_strategy", "task_name").select(
         "run_model", "run_strategy", "task_name", "n", "n_correct"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom import schemas
@@ -80,12 +80,23 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.schema(schemas.RESULTS).option("mode", "FAILFAST").json(
         f"{root}/*/*/results.jsonl"
     )
-    where = F.url_decode(F.col("_metadata.file_path"))
+    model, strategy = _run_of(F.col("_metadata.file_path"))
+    return rows.withColumns({"run_model": model, "run_strategy": strategy})
+
+
+def _run_of(path: Column) -> tuple[Column, Column]:
+    """Model and strategy: the two folders before the first ``results.jsonl`` that has two.
+
+    Every row has its path, and a pattern tried from each place in it costs many times what reading the row does.
+    So the text before the first such name is cut out; the pattern is left for paths where two folders are not there.
+    """
+    before = F.substring_index(path, "/results.jsonl", 1)
+    two = F.url_decode(F.substring_index(before, "/", -2))
+    cut = F.substring_index(two, "/", 1), F.substring_index(two, "/", -1)
+    there = (before != path) & F.contains(two, F.lit("/")) & (cut[0] != "") & (cut[1] != "")
     pattern = r"([^/]+)/([^/]+)/results\.jsonl"
-    return rows.withColumns(
-        {"run_model": F.regexp_extract(where, pattern, 1),
-         "run_strategy": F.regexp_extract(where, pattern, 2)}
-    )
+    found = [F.regexp_extract(F.url_decode(path), pattern, group) for group in (1, 2)]
+    return F.when(there, cut[0]).otherwise(found[0]), F.when(there, cut[1]).otherwise(found[1])
 
 
 def model_slug(model):

@@ -4,11 +4,14 @@ import itertools
 import json
 import os
 import random
+import re
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from evalloom import dims
 from evalloom.functions import scoring
 from evalloom.operators import evaluate as ev
 from evalloom.operators import strategies as st
@@ -652,3 +655,53 @@ def test_one_strategy_is_made_alone(spark):
     same = fx.strategy_results(spark, folder).where("strategy = 'verify'")
     assert one.columns == same.columns and sorted(map(tuple, one.collect())) == sorted(map(tuple, same.collect()))
     assert "Generate" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_strategies_share_is_made_once(spark):
+    folder = "/root/testdata/sf0.001"
+    events = fx.judged_events(spark, folder)
+    same = fx.strategy_results(spark, folder).collect()
+    got = [r for s in dims.STRATEGIES for r in fx.results_of(events, s).collect()]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, same)) and len(got) == len(dims.STRATEGIES) * events.count()
+    plain = spark.createDataFrame(events.collect(), events.schema)
+    assert "get_json_object" not in fx.results_of(plain, "verify")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nulls_of_events_stay_nulls_of_their_results(spark, tmp_path):
+    rows = [(1, 3, None), (1, 3, None), (2, None, '{"k": 4}'), (3, 5, "{}"), (4, 25, '{"k": 17}'), (5, 14, "")]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, props string").write.parquet(f"{tmp_path}/events.parquet")
+    every = fx.strategy_results(spark, str(tmp_path)).where("strategy = 'crop_zoom'").collect()
+    alone = fx.results_of(fx.judged_events(spark, str(tmp_path)), "crop_zoom").collect()
+    assert sorted(map(repr, alone)) == sorted(map(repr, every)) and len(alone) == len(rows)
+
+
+def test_runs_are_named_by_the_folders_above_them(spark, tmp_path):
+    names = ["plain/verify", "a b/x+y", "50%/ü", "r%2Fs/100%25"]
+    for i, name in enumerate(names):
+        os.makedirs(tmp_path / "in" / name)
+        (tmp_path / "in" / name / "results.jsonl").write_text(f'{{"sample_id": "{i}"}}\n')
+    os.makedirs(tmp_path / "in" / "many/files/results.jsonl")
+    for part in "12":
+        (tmp_path / "in" / "many/files/results.jsonl" / f"part-{part}").write_text('{"sample_id": "9"}\n')
+    got = [tuple(r) for r in readers.read_runs(spark, str(tmp_path / "in")).select("sample_id", "run_model", "run_strategy").collect()]
+    made = [(str(i), *name.replace("+", " ").split("/")) for i, name in enumerate(names)]
+    assert sorted(got) == sorted([*made, ("9", "many", "files"), ("9", "many", "files")])
+    # places that folders above may have: the first name with two folders before it counts
+    paths = ["file:///results.jsonl/m/s/results.jsonl/p", "s3://b/results.jsonl.d/m/s/results.jsonl", "dbfs:/results.jsonl/m/s/results.jsonl",
+             "file:/s/results.jsonl", "file:///s/results.jsonl", "a/b/results.jsonl/m/s/results.jsonl", "/x/y/none", "results.jsonl", ""]
+    model, strategy = readers._run_of(F.col("p"))
+    for row in spark.createDataFrame([(p,) for p in paths], "p string").select("p", model.alias("m"), strategy.alias("s")).collect():
+        found = re.search(r"([^/]+)/([^/]+)/results\.jsonl", row["p"])
+        assert (row["m"], row["s"]) == (found.groups() if found else ("", "")), row["p"]
+
+
+def test_long_paths_of_runs_cost_little_a_row(spark, tmp_path):
+    root = tmp_path
+    for _ in range(10):
+        root = root / ("f" * 200)
+    os.makedirs(root / "m" / "s")
+    (root / "m" / "s" / "results.jsonl").write_text('{"task_name": "t", "correct": true}\n' * 10000)
+    began = time.perf_counter()
+    got = acc.tally(readers.read_runs(spark, str(root)), "run_model", "run_strategy", "task_name").select("run_model", "run_strategy", "n", "n_correct").collect()
+    assert [tuple(r) for r in got] == [("m", "s", 10000, 10000)]
+    assert time.perf_counter() - began < 15  # the pattern tried from each place took several times as long
